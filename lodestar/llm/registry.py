@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, simhash
+from . import bpe, exact_dedup, packing, quality, simhash
 
-MODULES = (simhash, quality, exact_dedup, packing)
+MODULES = (simhash, quality, exact_dedup, bpe, packing)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
