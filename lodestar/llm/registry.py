@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality, simhash
+from . import bpe, exact_dedup, langid, packing, quality, simhash, toxicity
 
-MODULES = (simhash, quality, exact_dedup, bpe, packing)
+MODULES = (simhash, toxicity, quality, exact_dedup, langid, bpe, packing)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
