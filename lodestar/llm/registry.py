@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, packing, quality, simhash, suffix_tree_lm, toxicity
+from . import bpe, exact_dedup, langid, packing, quality, repeats, simhash, suffix_tree_lm, toxicity
 
-MODULES = (simhash, suffix_tree_lm, toxicity, quality, exact_dedup, langid, bpe, packing)
+MODULES = (simhash, suffix_tree_lm, repeats, toxicity, quality, exact_dedup, langid, bpe, packing)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
