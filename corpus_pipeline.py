@@ -1,11 +1,64 @@
-"""Quality rules, exact dedup, near-dedup, repeated passages, packing."""
+"""A corpus pipeline: quality rules, exact dedup, near-dedup, repeated passages, packing.
 
-ORACLE_SQL = None
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Rows are
+told apart by id and text: a null id is an id of its own, and rows that repeat id and text share their fate until
+exact dedup leaves one. An empty table stays empty through all stages.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import common, exact_dedup, packing, quality, repeats, simhash
+
+_KEYS = ["__id", "__text"]
+
+
+def _id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    # Of equal id and text but unlike hosts, one host's verdict holds for all rows.
+    kept = quality.judge(docs).where("kept").select(_id().alias("__id"), F.col("content").alias("__text"))
+    return docs.withColumns({"__id": _id(), "__text": quality.content_hash(F.col("text"))}).join(kept, _KEYS, "left_semi").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the one with the smallest id."""
+    kept = exact_dedup.owners(docs).where("kept").select(_id().alias("__id"), F.unhex("text_sha256").alias("__text"))
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), common.SPACE_CLASS, " ").cast("binary")
+    keyed = docs.withColumns({"__id": _id(), "__text": F.unhex(F.sha2(body, 256))})
+    return keyed.join(kept, _KEYS, "left_semi").dropDuplicates(_KEYS).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked fingerprints."""
+    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id().alias("__id"))
+    return docs.withColumn("__id", _id()).join(kept, "__id", "left_semi").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without repeated passages, n_chars counted anew."""
+    out = repeats.remove(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences and their places."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("simhash_dedup", near), ("repeats", passages), ("packing", best_fit)]
+ORACLE_SQL = None  # fingerprints, passages and packing can't be said in SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
     return docs

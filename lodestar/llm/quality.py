@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,13 +52,18 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+def content_hash(text: Column) -> Column:
+    """What tells contents apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         out = []
-        for ident, text, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for ident, text, source, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
             text = text or ""
             raw = text.encode()
             words = raw.split()  # bytes.split knows just the white space of the contract
@@ -73,15 +78,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = b" ".join(own).lower()
                     lines[key] = lines.get(key, 0) + len(own)
             chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
-            out.append((ident, source, digest(raw) - (1 << 63), len(words), chars, len(_SYMBOLS.findall(text)), dups, repeated_words(words), [digest(x) - (1 << 63) for x in lines], list(lines.values())))
+            out.append((ident, source, content, len(words), chars, len(_SYMBOLS.findall(text)), dups, repeated_words(words), [digest(x) - (1 << 63) for x in lines], list(lines.values())))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept, and row, a number of the row."""
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept; also content, a hash of the text, and row, a number of the row."""
     common.small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(host_col).cast("string")).mapInArrow(_measure, _SCHEMA)
+    base = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(host_col).cast("string"), content_hash(F.col(text_col))).mapInArrow(_measure, _SCHEMA)
     base = common.materialize(base.withColumn("row", F.monotonically_increasing_id()), "quality")
     lines = base.select("row", "source", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "source", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     # A line in k contents of a host leaves a task once for each content at most; counts, not rows, meet.
@@ -90,7 +95,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     hosts = base.groupBy("source", "content").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("contents"))
     hot = held.alias("h").join(hosts.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).where(F.col("n") > F.col("contents") * F.lit(LINE_SHARE)).select("h.source", "line")
     taken = lines.alias("l").join(hot.alias("h"), (F.col("l.line") == F.col("h.line")) & F.col("l.source").eqNullSafe(F.col("h.source"))).groupBy("row").agg(F.sum("words").alias("taken"))
-    out = base.drop("lines", "line_words", "source", "content").join(taken, "row", "left")
+    out = base.drop("lines", "line_words", "source").join(taken, "row", "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("taken", F.lit(0))
     out = out.withColumn("base_failed", failed).withColumn("left_words", left)
@@ -99,7 +104,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(common.read(spark, sf_dir, "documents")).drop("row")
+    return judge(common.read(spark, sf_dir, "documents")).drop("row", "content")
 
 
 ORACLE = {
