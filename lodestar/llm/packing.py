@@ -28,8 +28,10 @@ from . import common
 CAPACITY = 2048
 #: Pieces that share a bucket are ordered together; the number of buckets grows with the input.
 BUCKET_ROWS = 20_000
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words whose ids a worker remembers; as many again stay until the next that many are met.
+CACHE = 500_000
+#: Signs after a word that are split from it.
+_TAIL = ".,!?;:"
 #: Texts of these characters alone are split at white space and looked up word by word; others go to the library whole.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7EÀ-ɏß¡¿«»]*")
 
@@ -40,10 +42,46 @@ def _encoder(path: str):
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
+        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache={}, old={})
     return _state["tokenizer"], _state["cache"]
 
 
+def _learn(words: list[str], tokenizer, cache: dict[str, bytes], old: dict[str, bytes]) -> None:
+    """Puts the ids of new words into the cache. Words of letters, which the splits keep whole, are encoded many at a time as one text."""
+    whole, odd, tailed = set(), [], []
+    for w in words:
+        if w in old:
+            cache[w] = old[w]
+            continue
+        core = w.rstrip(_TAIL)
+        if core.isalpha():
+            if core not in cache:
+                if core in old:
+                    cache[core] = old[core]
+                else:
+                    whole.add(core)
+            if len(core) < len(w):
+                tailed.append((w, core, w[len(core) :]))
+        else:
+            odd.append(w)
+    odd += list({t for _, _, t in tailed if t not in cache})
+    letters = list(whole)
+    for i in range(0, len(letters), 10_000):
+        part = letters[i : i + 10_000]
+        found = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids, starts = np.array(found.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1)).tolist()
+        if len(starts) != len(part):
+            raise ValueError("a word of letters was split")
+        for w, a, b in zip(part, starts, [*starts[1:], len(ids) // 4]):
+            cache[w] = ids[4 * a : 4 * b]
+    for i in range(0, len(odd), 10_000):
+        part = odd[i : i + 10_000]
+        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+    for w, core, tail in tailed:
+        cache[w] = cache[core] + cache[tail]
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers; equal to the library's encoding of the whole text.
 
@@ -52,12 +90,11 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     tokenizer, cache = _encoder(path)
     words = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
     if len(cache) > CACHE:
-        cache.clear()
-    missing = list({w for ws in words if ws for w in ws if w not in cache})
-    for i in range(0, len(missing), 10_000):
-        part = missing[i : i + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        _state["old"], cache = cache, {}
+        _state["cache"] = cache
+    missing = {w for ws in words if ws for w in ws}.difference(cache)
+    if missing:
+        _learn(list(missing), tokenizer, cache, _state["old"])
     get = cache.__getitem__
     return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words)]
 
