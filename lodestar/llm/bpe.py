@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words whose ids a worker remembers; as many again stay until the next that many are met.
+CACHE = 500_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of these characters are split here; the library's own splitter takes the others, whose classes may differ by Unicode version.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-ɏ‐-‧€]*")
@@ -58,24 +58,25 @@ class SpeculativeBpe:
         self.good = np.empty(0, np.int64)  # codes of compatible pairs, sorted; a token alone is a pair with size
         self.bad = np.empty(0, np.int64)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.library, self.path = None, path
 
     def merge(self, word: bytes) -> list[int]:
-        """The exact encoding of one word."""
+        """The exact encoding of one word: the pair of least rank is joined, leftmost first, until none is left."""
+        get, none = self.ranks.get, (1 << 60, 0)
         parts = [self.single[b] for b in word]
-        while len(parts) > 1:
-            rank, at, made = min(((self.ranks[p][0], i, self.ranks[p][1]) for i, p in enumerate(zip(parts, parts[1:])) if p in self.ranks), default=(0, -1, 0))
-            if at < 0:
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best is none:
                 break
-            left, right, out, i = parts[at], parts[at + 1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(best)
+            parts[i] = best[1]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
         return parts
 
     def propose(self, word: bytes) -> list[int]:
@@ -122,12 +123,14 @@ class SpeculativeBpe:
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         cache, split = self.cache, []
         for t in texts:
             parts = self.special.split(t) if self.special and any(s in t for s in self.added) else [t]
             split.append([(p, None) if p in self.added else (p, self.pieces(p)) for p in parts if p])
-        missing = list({w for ps in split for _, ws in ps if ws for w in ws if w not in cache})
+        missing = {w for ps in split for _, ws in ps if ws for w in ws}.difference(cache)
+        cache.update({w: self.old[w] for w in missing if w in self.old})
+        missing = list(missing.difference(self.old))
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             for w, ids in zip(part, self.encode_words([w.encode() for w in part])):
