@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+from . import evaluation, retrieval
+
+MODULES = (retrieval, evaluation)
+QUERIES: dict[str, Callable] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE.items()}
