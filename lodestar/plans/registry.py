@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evaluation, retrieval
+from . import candidates, evaluation, retrieval
 
-MODULES = (retrieval, evaluation)
+MODULES = (retrieval, candidates, evaluation)
 QUERIES: dict[str, Callable] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE.items()}
