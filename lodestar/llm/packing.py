@@ -14,6 +14,7 @@ own. An empty table gives no rows. Columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +30,11 @@ CAPACITY = 2048
 #: Pieces that share a bucket are ordered together; the number of buckets grows with the input.
 BUCKET_ROWS = 20_000
 #: Words whose ids a worker remembers; as many again stay until the next that many are met.
-CACHE = 500_000
+CACHE = 600_000
 #: Signs after a word that are split from it.
 _TAIL = ".,!?;:"
+#: A comma or full stop that other signs stand before belongs to them.
+_SIGNS = re.compile(r"[^\w\s][,.]\s")
 #: Texts of these characters alone are split at white space and looked up word by word; others go to the library whole.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7EÀ-ɏß¡¿«»]*")
 
@@ -46,6 +49,14 @@ def _encoder(path: str):
     return _state["tokenizer"], _state["cache"]
 
 
+def _words(text: str) -> list[str]:
+    """Pieces of a plain text that are encoded by themselves; commas and full stops after a word are parted from it."""
+    low = text.lower()
+    if not _SIGNS.search(low):
+        low = low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").replace(",\n", " ,\n")
+    return low.split()
+
+
 def _learn(words: list[str], tokenizer, cache: dict[str, bytes], old: dict[str, bytes]) -> None:
     """Puts the ids of new words into the cache. Words of letters, which the splits keep whole, are encoded many at a time as one text."""
     whole, odd, tailed = set(), [], []
@@ -88,7 +99,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     The vocabulary's splits never cross white space, so plain texts are looked up word by word.
     """
     tokenizer, cache = _encoder(path)
-    words = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+    words = [_words(t) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
     if len(cache) > CACHE:
         _state["old"], cache = cache, {}
         _state["cache"] = cache
