@@ -38,6 +38,8 @@ SPAN = LENGTH - K + 1
 BATCH, SHARD, HOT = 1 << 19, 1 << 17, 1 << 20
 #: Windows of a long text looked at together.
 CHUNK = 1 << 19
+#: Places of windows, relative to their anchor, that are looked at together before the merge.
+CELL = 24
 _PASSES = LENGTH // STEP
 _NONE = -(1 << 63)
 
@@ -205,6 +207,33 @@ def repeated_windows(bodies: list[bytes]) -> list[np.ndarray]:
     return [flat[bounds[k] : bounds[k] + sizes[k] - LENGTH + 1] for k in range(len(bodies))]
 
 
+def likely_parts(keys: np.ndarray, lows: np.ndarray, bodies: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """Of segments, those runs of windows that can have an equal: (segment, first window, bytes).
+
+    Windows are parted by their place relative to the anchor into cells of CELL places. All windows of a cell share a
+    middle, so equal ones are in segments of equal key that agree in it; cells alone in theirs are left out.
+    """
+    sizes = np.array([len(b) for b in bodies])
+    n = sizes - LENGTH + 1
+    s = np.frombuffer(b"".join(bodies), np.uint8)
+    first = lows // CELL
+    cells = (lows + n - 1) // CELL - first + 1
+    owner = np.repeat(np.arange(len(bodies)), cells)
+    cell = np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells) + first[owner]
+    anchor = (np.cumsum(sizes) - sizes + lows + n - 1)[owner]
+    middle = Hasher(s)(anchor - cell * CELL, anchor - (cell + 1) * CELL + 1 + LENGTH)
+    name = _mix(keys.astype(np.int64).view(np.uint64)[owner] * _u(3) + cell.astype(np.uint64)) ^ middle
+    place, count = np.unique(name, return_inverse=True, return_counts=True)[1:]
+    width = np.minimum((lows + n)[owner], (cell + 1) * CELL) - np.maximum(lows[owner], cell * CELL)
+    flags = np.repeat(count[place] > 1, width)  # of each segment's windows, by place, the last window first
+    out, bounds = [], np.concatenate(([0], np.cumsum(n))).tolist()
+    for k, body in enumerate(bodies):
+        for i, j in _runs(flags[bounds[k] : bounds[k + 1]]):
+            skip = int(n[k]) - j
+            out.append((k, skip, body if j - i == n[k] else body[skip : skip + j - i + LENGTH - 1]))
+    return out
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
@@ -219,20 +248,23 @@ def _spans(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def _merge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, ident, hash, start, known, body) come in order of key; a key's rows are judged together."""
+    """Rows (key, ident, hash, start, known, body, low) come in order of key; a key's rows are judged together."""
     held, size, group, key = [], 0, [], None
 
     def judged(rows: list) -> list[tuple[int, int, int, int]]:
+        if len(rows) < 2:
+            return []
+        parts = likely_parts(np.array([r[0] for r in rows]), np.array([r[6] for r in rows]), [r[5] for r in rows])
         out = []
-        if len(rows) > 1:
-            for (_, ident, h, start, known, _), flags in zip(rows, repeated_windows([r[5] for r in rows])):
-                if not known:
-                    out += [(ident, h, start + i, start + j + LENGTH - 1) for i, j in _runs(flags)]
+        for (k, skip, _), flags in zip(parts, repeated_windows([p[2] for p in parts]) if parts else []):
+            _, ident, h, start, known, _, _ = rows[k]
+            if not known:
+                out += [(ident, h, start + skip + i, start + skip + j + LENGTH - 1) for i, j in _runs(flags)]
         return out
 
     for batch in batches:
         found = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
             if row[0] != key:
                 if size > BATCH:
                     found += judged(held + group)
@@ -334,7 +366,7 @@ def repeated_spans(bodies: DataFrame) -> DataFrame:
         more, small = _halved(parts.join(hot, "key", "left_semi"))
         spans += more
         parts = common.union_all([parts.join(hot, "key", "left_anti"), *small])
-    dealt = parts.select("key", "ident", "hash", "start", "known", "body").repartition("key").sortWithinPartitions("key")
+    dealt = parts.select("key", "ident", "hash", "start", "known", "body", "low").repartition("key").sortWithinPartitions("key")
     spans.append(dealt.mapInArrow(_merge_groups, _SPAN))
     return common.union_all(spans)
 
