@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def words(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -25,17 +30,21 @@ def total(columns: Iterable[Column], start: Column | None = None) -> Column:
 
 def tokens(text: Column, stopwords: Iterable[str] = V.STOPWORDS, phrases: Iterable[str] = V.PHRASES) -> Column:
     """Lower-case tokens without stopwords, then one marker for each phrase that the text holds."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    stop = words(dict.fromkeys(stopwords))
-    plain = F.filter(F.regexp_extract_all(low, F.lit(V.TOKEN), F.lit(0)), lambda w: ~F.array_contains(stop, w)) if stopwords else F.regexp_extract_all(low, F.lit(V.TOKEN), F.lit(0))
-    marks = F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p.replace("/", "_").replace(" ", "_"))) for p in phrases])) if phrases else F.array().cast("array<string>")
-    return F.concat(plain, marks)
+    stop = list(dict.fromkeys(stopwords))
+
+    def split(low: Column) -> Column:
+        found = F.regexp_extract_all(low, F.lit(V.TOKEN), F.lit(0))
+        plain = F.filter(found, lambda w: ~w.isin(stop)) if stop else found
+        if not phrases:
+            return plain
+        return F.concat(plain, F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p.replace("/", "_").replace(" ", "_"))) for p in phrases])))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), split)
 
 
 def concepts(text: Column) -> Column:
     """Names of the concepts of which an alias is in the text."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(any_of(low.contains(a) for a in aliases), F.lit(f"concept_{name}")) for name, aliases in V.CONCEPTS.items()]))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(any_of(low.contains(a) for a in aliases), F.lit(f"concept_{name}")) for name, aliases in V.CONCEPTS.items()])))
 
 
 def join_nonempty(parts: Iterable[Column], separator: str = " ") -> Column:
@@ -68,7 +77,7 @@ def pad(text: Column) -> Column:
 
 
 def has_term(terms: Iterable[str], padded_text: Column) -> Column:
-    return any_of(padded_text.contains(t) for t in padded(terms))
+    return let(padded_text, lambda p: any_of(p.contains(t) for t in padded(terms)))
 
 
 def count_terms(terms: Iterable[str], padded_text: Column, token_set: Column | None = None) -> Column:
@@ -77,7 +86,8 @@ def count_terms(terms: Iterable[str], padded_text: Column, token_set: Column | N
     singles = list(dict.fromkeys(t.strip() for t in all_terms if " " not in t.strip()))
     phrases = [t for t in all_terms if " " in t.strip()]
     found = token_set if token_set is not None else F.split(padded_text, " ")
-    return total((padded_text.contains(p).cast("int") for p in phrases), F.size(F.array_intersect(words(singles), found)) if singles else F.lit(0))
+    single = F.size(F.array_intersect(words(singles), found)) if singles else F.lit(0)
+    return single + let(padded_text, lambda p: total(p.contains(t).cast("int") for t in phrases)) if phrases else single
 
 
 def alias_match(aliases: Iterable[str], skill_terms: Column, padded_text: Column, token_set: Column) -> Column:
@@ -125,17 +135,18 @@ def occurrences(text: Column, term: str) -> Column:
 
 def integrity_flags(text: Column) -> Column:
     """Hidden characters, instructions to a reader that is a model, and blocks of repeated keywords."""
-    raw = F.coalesce(text, F.lit(""))
-    low = F.lower(raw)
-    counts = [occurrences(low, k) for k in V.KEYWORDS]
-    hits, kinds = total(counts), total((c > 0).cast("int") for c in counts)
-    return F.array_compact(
-        F.array(
-            F.when(raw.rlike(V.HIDDEN), F.lit("hidden_text_control_chars")),
-            F.when(any_of(low.contains(m) for m in V.INJECTION_MARKERS) & low.rlike(V.INJECTION), F.lit("prompt_injection_text")),
-            F.when((hits >= 60) & (kinds / F.greatest(hits, F.lit(1)) <= 0.35), F.lit("repeated_keyword_block")),
+
+    def flags(raw: Column, low: Column) -> Column:
+        markers = let(F.array(*[occurrences(low, k) for k in V.KEYWORDS]), lambda n: (F.aggregate(n, F.lit(0), lambda a, x: a + x) >= 60) & (F.size(F.filter(n, lambda x: x > 0)) / F.greatest(F.aggregate(n, F.lit(0), lambda a, x: a + x), F.lit(1)) <= 0.35))
+        return F.array_compact(
+            F.array(
+                F.when(raw.rlike(V.HIDDEN), F.lit("hidden_text_control_chars")),
+                F.when(any_of(low.contains(m) for m in V.INJECTION_MARKERS) & low.rlike(V.INJECTION), F.lit("prompt_injection_text")),
+                F.when(markers, F.lit("repeated_keyword_block")),
+            )
         )
-    )
+
+    return let(F.coalesce(text, F.lit("")), lambda raw: let(F.lower(raw), lambda low: flags(raw, low)))
 
 
 def html_text(html: Column) -> Column:

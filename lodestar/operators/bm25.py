@@ -42,7 +42,7 @@ def score(tokens: DataFrame, query: list[str]) -> DataFrame:
     known = {t: q for t, q in terms.items() if df.get(t)}
     if not known:
         return tokens.withColumn("bm25", F.lit(0.0))
-    hits = F.filter("tokens", lambda w: F.array_contains(T.words(known), w))
+    hits = F.filter("tokens", lambda w: w.isin(list(known)))
     length = K1 * (1 - B + B * F.size("tokens") / max(mean, 1e-12))
     rows = tokens.withColumn("__hits", hits).withColumn("__length", length)
     parts = []
@@ -60,13 +60,14 @@ def okapi(tokens: DataFrame, query: list[str], epsilon: float = 0.25) -> DataFra
     average = everything.agg(F.avg(raw)).first()[0] or 0.0
     parts = []
     length = K1 * (1 - B + B * F.size("tokens") / max(mean, 1e-12))
+    rows = tokens.withColumn("__hits", F.filter("tokens", lambda w: w.isin(list(df)))) if df else tokens
     for t, q in Counter(query).items():
         if df.get(t):
             weight = log((n - df[t] + 0.5) / (df[t] + 0.5))
             weight = weight if weight >= 0 else epsilon * average
-            tf = F.size(F.filter("tokens", _is(t)))
+            tf = F.size(F.filter("__hits", _is(t)))
             parts.append(F.lit(q * weight * (K1 + 1)) * tf / (length + tf))
-    return tokens.withColumn("bm25", T.total(parts, F.lit(0.0)))
+    return rows.withColumn("bm25", T.total(parts, F.lit(0.0))).drop("__hits")
 
 
 def multi_query(tokens: DataFrame, queries: DataFrame, ident: str, query_id: str) -> DataFrame:

@@ -61,9 +61,10 @@ def _has(terms, text: Column) -> Column:
 
 
 def _product_job(j: Column) -> Column:
-    company, industry = T.norm(j["company"]), T.norm(j["industry"])
-    size = F.coalesce(j["company_size"], F.lit("")).isin(*V.PRODUCT_SIZES)
-    return _has(V.PRODUCT_COMPANIES, company) | (~_has(V.SERVICES, company) & (_has(V.PRODUCT_INDUSTRIES, industry) | (size & _has(V.TECH_INDUSTRIES, industry))))
+    """Of a normalised job."""
+    company, industry = j["company"], j["industry"]
+    has = lambda terms, p: T.any_of(p.contains(t) for t in T.padded(terms))
+    return has(V.PRODUCT_COMPANIES, company) | (~has(V.SERVICES, company) & (has(V.PRODUCT_INDUSTRIES, industry) | (j["size"].isin(V.PRODUCT_SIZES) & has(V.TECH_INDUSTRIES, industry))))
 
 
 def texts(rows: DataFrame) -> DataFrame:
@@ -72,9 +73,11 @@ def texts(rows: DataFrame) -> DataFrame:
     career = F.concat(F.array(F.col("profile.summary")), F.flatten(F.transform(jobs, lambda j: F.array(j["title"], j["description"], j["industry"]))))
     blank = F.transform(career, lambda x: F.coalesce(x, F.lit("")))
     titles = F.array_join(F.transform(jobs, lambda j: T.norm(j["title"])), " ")
-    rows = rows.withColumns({"x_full": T.pad(T.norm(F.col("doc_text"))), "x_career": T.pad(T.norm(F.array_join(blank, " "))), "x_title": T.norm(F.col("profile.current_title")), "x_headline": T.norm(F.col("profile.headline")), "x_titles": titles, "x_names": F.transform("skills", lambda s: T.norm(s["name"]))})
+    job = lambda j: F.struct(T.pad(T.norm(j["company"])).alias("company"), T.pad(T.norm(j["industry"])).alias("industry"), F.coalesce(j["company_size"], F.lit("")).alias("size"), T.pad(T.norm(F.concat_ws(" ", F.coalesce(j["title"], F.lit("None")), F.coalesce(j["description"], F.lit("None"))))).alias("text"), _months(j).alias("months"))
+    skill = lambda s: F.struct(T.norm(s["name"]).alias("name"), T.norm(s["proficiency"]).alias("level"), F.coalesce(s["duration_months"], F.lit(0)).alias("months"), F.coalesce(s["endorsements"], F.lit(0)).alias("endorsements"))
+    rows = rows.withColumns({"x_full": T.pad(T.norm(F.col("doc_text"))), "x_career": T.pad(T.norm(F.array_join(blank, " "))), "x_title": T.norm(F.col("profile.current_title")), "x_headline": T.norm(F.col("profile.headline")), "x_titles": titles, "x_jobs": F.transform("career_history", job), "x_skills": F.transform("skills", skill)})
+    rows = rows.withColumn("x_names", F.col("x_skills.name"))
     words = F.flatten(F.transform("x_names", lambda n: F.filter(F.split(n, r"\s+"), lambda w: F.length(w) > 2)))
-    unpad = lambda c: F.substring(c, 2, 1 << 30)
     return rows.withColumns({"x_tokens": F.array_distinct(F.split(F.expr("substring(x_full, 2, length(x_full) - 2)"), " ")), "x_career_tokens": F.array_distinct(F.split(F.expr("substring(x_career, 2, length(x_career) - 2)"), " ")), "x_terms": F.array_distinct(F.filter(F.concat("x_names", words), lambda w: w != ""))})
 
 
@@ -85,7 +88,8 @@ def counts(rows: DataFrame) -> DataFrame:
     normal = [T.norm_literal(a) for a in every]
     both = T.pad(F.concat_ws(" ", "x_title", F.expr("substring(x_career, 2, length(x_career) - 2)")))
     done = F.array_sort(F.transform(F.filter("career_history", lambda j: ~F.coalesce(j["is_current"], F.lit(False))), _months))
-    learning = lambda j: T.pad(T.norm(F.concat_ws(" ", F.coalesce(j["title"], F.lit("None")), F.coalesce(j["description"], F.lit("None")))))
+    has = lambda terms, p: T.any_of(p.contains(t) for t in T.padded(terms))
+    months = lambda f: _sum(F.filter("x_jobs", f), lambda j: j["months"])
     out = {
         "c_retrieval": T.count_terms(V.RETRIEVAL_TERMS, career, career_tokens),
         "c_production": T.count_terms(V.PRODUCTION_TERMS, career, career_tokens),
@@ -99,9 +103,9 @@ def counts(rows: DataFrame) -> DataFrame:
         "c_core": reduce(lambda a, b: a + b, [F.lit(V.MUST_WEIGHTS[g]) * T.alias_match(al, F.col("x_terms"), full, tokens) for g, al in V.MUST.items()]),
         "c_nice": reduce(lambda a, b: a + b, [T.alias_match(al, F.col("x_terms"), full, tokens) for al in V.NICE.values()]) / len(V.NICE),
         "c_months": _sum(F.col("career_history"), _months),
-        "c_product": _sum(F.filter("career_history", _product_job), _months),
-        "c_services": _sum(F.filter("career_history", lambda j: _has(V.SERVICES, T.norm(j["company"]))), _months),
-        "c_learning": _sum(F.filter("career_history", lambda j: T.has_term([*V.RETRIEVAL_TERMS, *V.LEARNING_TERMS], learning(j))), _months),
+        "c_product": months(_product_job),
+        "c_services": months(lambda j: has(V.SERVICES, j["company"])),
+        "c_learning": months(lambda j: has([*V.RETRIEVAL_TERMS, *V.LEARNING_TERMS], j["text"])),
         "c_done": done,
     }
     return rows.withColumns(out)
@@ -111,10 +115,10 @@ def _skill_depth() -> Column:
     relevant = [T.norm_literal(a) for g in (*V.MUST.values(), *V.NICE.values()) for a in g]
     level = F.create_map(*[F.lit(x) for kv in V.PROFICIENCY.items() for x in kv])
     scored = F.transform(
-        F.filter("skills", lambda s: (T.norm(s["name"]) != "") & T.has_term(relevant, T.pad(T.norm(s["name"])))),
-        lambda s: 0.45 * F.coalesce(F.try_element_at(level, T.norm(s["proficiency"])), F.lit(0.4)) + 0.35 * N.clamp(F.coalesce(s["duration_months"], F.lit(0)) / 36.0) + 0.20 * N.clamp(N.saturation(F.coalesce(s["endorsements"], F.lit(0)))),
+        F.filter("x_skills", lambda s: (s["name"] != "") & T.has_term(relevant, T.pad(s["name"]))),
+        lambda s: 0.45 * F.coalesce(F.try_element_at(level, s["level"]), F.lit(0.4)) + 0.35 * N.clamp(s["months"] / 36.0) + 0.20 * N.clamp(N.saturation(s["endorsements"])),
     )
-    return N.clamp(_sum(scored, lambda x: x) / F.greatest(F.lit(1), F.least(F.lit(7), F.size(scored))))
+    return T.let(scored, lambda x: N.clamp(_sum(x, lambda y: y) / F.greatest(F.lit(1), F.least(F.lit(7), F.size(x)))))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def features(rows: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     rows = counts(texts(rows))
     title_text = T.pad(F.concat_ws(" ", "x_title", "x_headline", "x_titles"))
-    title = reduce(lambda a, b: F.greatest(a, b), [F.when(title_text.contains(t), w).otherwise(0.08) for term, w in V.TITLES.items() for t in T.padded([term])], F.lit(0.08))
+    title = T.let(title_text, lambda p: F.greatest(F.lit(0.08), *[F.when(p.contains(t), w).otherwise(0.08) for term, w in V.TITLES.items() for t in T.padded([term])]))
     title = F.when(_has(V.OTHER_TITLES, F.col("x_title")), F.least(title, F.lit(0.18))).otherwise(title)
     trust = F.transform("skills", lambda k: N.clamp(N.saturation(zero(k["endorsements"])) * F.when((zero(k["endorsements"]) > 30) & (zero(k["duration_months"]) < 6), 0.55).otherwise(1.0)))
     tests = F.map_values(F.coalesce(s["skill_assessment_scores"], F.create_map().cast("map<string,double>")))
@@ -187,8 +191,8 @@ def _hard_flags() -> Column:
     yoe, months = F.col("x_yoe"), F.col("c_months")
     expected = F.floor(yoe * 12)
     said = F.regexp_extract(F.coalesce("profile.summary", F.lit("")), r"(?i)\bwith\s+(\d+(?:\.\d+)?)\+?\s+years?\s+of\s+(?:hands[- ]on\s+)?experience\b", 1).try_cast("double")
-    idle = F.filter("skills", lambda s: (F.lower(F.coalesce(s["proficiency"], F.lit(""))) == "expert") & (F.coalesce(s["duration_months"], F.lit(0)) == 0))
-    core = F.filter(idle, lambda s: T.has_term([T.norm_literal(a) for g in V.MUST.values() for a in g], T.pad(T.norm(s["name"]))))
+    idle = F.filter("x_skills", lambda s: (s["level"] == "expert") & (s["months"] == 0))
+    core = F.filter(idle, lambda s: T.has_term([T.norm_literal(a) for g in V.MUST.values() for a in g], T.pad(s["name"])))
     start, end = (lambda e: F.coalesce(e["start_year"], F.lit(0))), (lambda e: F.coalesce(e["end_year"], F.lit(0)))
     return _flags(
         {
@@ -229,7 +233,7 @@ def gates(rows: DataFrame, floor: float = 0.25) -> DataFrame:
     tests = F.coalesce(s["skill_assessment_scores"], F.create_map().cast("map<string,double>"))
     expected = F.create_map(*[F.lit(x) for kv in V.EXPECTED_ASSESSMENT.items() for x in kv])
     by_name = F.map_from_entries(F.transform(F.map_entries(tests), lambda e: F.struct(T.norm(e["key"]).alias("key"), e["value"].alias("value"))))
-    short = F.size(F.filter("skills", lambda k: F.coalesce(F.try_element_at(by_name, T.norm(k["name"])) < F.try_element_at(expected, T.norm(k["proficiency"])) - 20, F.lit(False))))
+    short = F.when(F.size(tests) == 0, 0).otherwise(T.let(by_name, lambda m: F.size(F.filter("x_skills", lambda k: F.coalesce(F.try_element_at(m, k["name"]) < F.try_element_at(expected, k["level"]) - 20, F.lit(False))))))
     claims = F.when(F.size(tests) > 0, F.when(F.col("assessment_score_avg") > 0.6, 1.05).when(F.col("assessment_score_avg") < 0.4, 0.9).otherwise(1.0) * N.clamp(F.pow(F.lit(0.86), short), 0.55, 1.0)).otherwise(1.0)
     offer = s["offer_acceptance_rate"]
     factors = [

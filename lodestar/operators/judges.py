@@ -80,8 +80,8 @@ def near_misses() -> Column:
     yoe, months = F.col("x_yoe"), F.col("c_months")
     expected = F.floor(yoe * 12)
     gap, ratio = expected + 30 - months, F.try_divide(months, expected.cast("double"))
-    idle = F.filter("skills", lambda s: (F.lower(F.coalesce(s["proficiency"], F.lit(""))) == "expert") & (F.coalesce(s["duration_months"], F.lit(0)) == 0))
-    core = F.size(F.filter(idle, lambda s: T.has_term([T.norm_literal(a) for g in V.MUST.values() for a in g], T.pad(T.norm(s["name"])))))
+    idle = F.filter("x_skills", lambda s: (s["level"] == "expert") & (s["months"] == 0))
+    core = F.size(F.filter(idle, lambda s: T.has_term([T.norm_literal(a) for g in V.MUST.values() for a in g], T.pad(s["name"]))))
     current = F.size(F.filter("career_history", lambda j: F.coalesce(j["is_current"], F.lit(False))))
     r = F.col("ir_ranking_experience")
     say = lambda c, k, v: F.when(c, F.struct(F.lit(k).alias("flag"), v.cast("double").alias("closeness")))

@@ -10,6 +10,7 @@ from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import bm25
 from lodestar.operators import candidates as C
+from lodestar.sources.staging import spread
 
 TITLES = ["Senior Machine Learning Engineer", "Data Scientist", "Backend Engineer", "Marketing Manager", "Junior ML Engineer", "Search Engineer", "Accountant", "Lead AI Engineer", "Java Developer"]
 COMPANIES = ["Flipkart", "TCS", "Acme Corp", "Infosys", "Tiny Labs", "Swiggy", "Wipro"]
@@ -62,7 +63,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
         F.struct((k % 40).cast("double").alias("min"), (k % 37 + 5).cast("double").alias("max")).alias("expected_salary_range_inr_lpa"),
     )
     profile = F.struct(_pick(TITLES, k).alias("current_title"), F.lit("Engineer").alias("headline"), F.concat(F.lit("Engineer with "), (k % 15).cast("string"), F.lit("+ years of experience.")).alias("summary"), F.lit("Software").alias("current_industry"), _pick(CITIES, k).alias("location"), _pick(COUNTRIES, k).alias("country"), (k % 19 + F.when(k % 23 == 0, 4).otherwise(0)).cast("double").alias("years_of_experience"))
-    rows = spark.read.parquet(f"{d}/customer.parquet")
+    rows = spread(spark.read.parquet(f"{d}/customer.parquet"))
     return rows.select(F.format_string("CAND_%07d", k).alias("candidate_id"), k.alias("k"), profile.alias("profile"), F.transform(upto(1 + k % 5), job).alias("career_history"), F.transform(upto(1 + k % 2), study).alias("education"), F.transform(upto(2 + k % 15), skill).alias("skills"), signals.alias("signals"))
 
 

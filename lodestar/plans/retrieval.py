@@ -9,13 +9,14 @@ from lodestar.functions import numeric as N
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import bm25
+from lodestar.sources.staging import spread
 
 QUERY = "the ranking of search and retrieval with vector search over documents that hold licensed under the version idiot worthless with from this that"
 LOOKUP = ["are", "and", "released", "license", "version", "erth", "ndnt", "thnt", "under", "erand"]
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+    return spread(spark.read.parquet(f"{d}/{table}.parquet"))
 
 
 def _list(values) -> str:

@@ -22,3 +22,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/lodestar/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of an input with fewer partitions than the cluster has cores over all cores; others are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
