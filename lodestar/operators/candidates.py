@@ -52,6 +52,13 @@ def with_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_text", F.when(marks != "", F.concat_ws("\n", "doc_text", marks)).otherwise(F.col("doc_text")))
 
 
+def template_tokens(query: str = V.DEFAULT_QUERY) -> list[str]:
+    """Distinct tokens of the ideal record of the first role that a query names."""
+    low = query.lower()
+    role = next((r for r in V.ROLE_TEMPLATES if r.split("/")[0].lower() in low or r.lower() in low), "AI/ML Engineer")
+    return list(dict.fromkeys(V.ROLE_TEMPLATES[role].lower().replace(",", " ").replace(".", " ").split()))
+
+
 def _sum(array: Column, f) -> Column:
     return F.aggregate(F.transform(array, lambda x: f(x).cast("double")), F.lit(0.0), lambda a, x: a + x)
 
@@ -167,7 +174,7 @@ def features(rows: DataFrame) -> DataFrame:
             "relocation_willing": one(flag("willing_to_relocate")),
             "backend_depth_score": F.lit(0.0),
             "data_bi_depth_score": F.lit(0.0),
-            "hyre_similarity": F.lit(0.0),
+            "hyre_similarity": T.jaccard(T.loose_tokens(F.col("x_full")), T.words(template_tokens())),
             "x_yoe": yoe,
         }
     )

@@ -108,6 +108,9 @@ def _alias(aliases) -> str:
 _TITLE = "greatest(" + ", ".join(f"CASE WHEN contains(tt, '{t}') THEN {w} ELSE 0.08 END" for term, w in V.TITLES.items() for t in T.padded([term])) + ")::DOUBLE"
 _CONCEPT_SQL = "concat_ws(' ', " + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(lower(t), '{a}')''' for a in al)} THEN 'concept_{n}' END" for n, al in V.CONCEPTS.items()) + ")"
 _LOG60 = "ln(61.0::DOUBLE)"
+_OWN = "list_distinct(list_filter(regexp_split_to_array(xf, '\\s+'), lambda w: w <> ''))"
+_IDEAL = _sql_list(C.template_tokens())
+_LIKE = f"len(list_intersect({_OWN}, {_IDEAL})) / (len({_OWN}) + len({_IDEAL}) - len(list_intersect({_OWN}, {_IDEAL})))"
 SIGNALS = """(k % 3 <> 0) AS otw, (k % 11) / 10.0::DOUBLE AS rr, (k * 3 % 200)::DOUBLE AS rt, (k % 9) / 8.0::DOUBLE AS icr, (k % 13 - 1) / 12.0::DOUBLE AS oar, (k * 7 % 101)::DOUBLE AS pcs, (k % 120 - 10)::DOUBLE AS gh, k % 12 AS saved, k % 8 * 20 AS notice, k % 60 AS er, make_date(2026, (k % 5 + 1)::INT, (k % 28 + 1)::INT) AS active"""
 FEATURES = f"""{RECORDS},
 sig AS (SELECT k, {SIGNALS} FROM c),
@@ -124,7 +127,7 @@ ed AS (SELECT k, max(least(CASE tier WHEN 'tier_1' THEN 1.0 WHEN 'tier_2' THEN 0
 f0 AS (SELECT c.*, sig.* EXCLUDE (k), nrm.* EXCLUDE (k), sk.* EXCLUDE (k), jb.* EXCLUDE (k), ed.* EXCLUDE (k), ' ' || {_N("title")} || ' ' || {_N("headline")} || ' ' || titles || ' ' AS tt FROM c JOIN sig USING (k) JOIN nrm USING (k) JOIN sk USING (k) JOIN jb USING (k) JOIN ed USING (k)),
 f1 AS (SELECT *, {_clamp(" + ".join(f"{w} * {_alias(V.MUST[g])}" for g, w in V.MUST_WEIGHTS.items()))} AS core_skill_match, {_clamp(f"({_count(_EVERY, 'xf')}) / 12.0::DOUBLE")} AS jd_keyword_coverage_score, ({" + ".join(_alias(a) for a in V.NICE.values())}) / 5 AS nice_skill_match,
  {_clamp(f"({_count(V.RETRIEVAL_TERMS, 'xc')}) / 7.0::DOUBLE")} AS ir_ranking_experience, {_clamp(f"least(({_count(V.PRODUCTION_TERMS, 'xc')}) / 8.0::DOUBLE, 1) + CASE WHEN long >= 2 THEN 0.08::DOUBLE ELSE 0 END")} AS production_evidence, {_clamp(f"({_count(V.SCALE_TERMS, 'xc')}) / 4.0::DOUBLE")} AS scale_signal,
- {_clamp(f"({_count(V.CODE_TERMS, _both := chr(39) + ' ' + chr(39) + ' || ' + _N('title') + ' || xc')}) / 4.0::DOUBLE")} AS code_writing_recent, {_clamp(f"({_count(V.OPEN_SOURCE_TERMS, 'xf')}) / 3.0::DOUBLE")} AS open_source_signal, {_count(V.VISION_TERMS, "xf")} AS vision, {_count(V.WRAPPER_TERMS, "xf")} AS wrapper, {_has(V.RESEARCH_TERMS, "xc")} AS research,
+ {_clamp(f"({_count(V.CODE_TERMS, _both := chr(39) + ' ' + chr(39) + ' || ' + _N('title') + ' || xc')}) / 4.0::DOUBLE")} AS code_writing_recent, {_clamp(f"({_count(V.OPEN_SOURCE_TERMS, 'xf')}) / 3.0::DOUBLE")} AS open_source_signal, {_count(V.VISION_TERMS, "xf")} AS vision, {_count(V.WRAPPER_TERMS, "xf")} AS wrapper, {_has(V.RESEARCH_TERMS, "xc")} AS research, {_LIKE} AS hyre_similarity,
  CASE WHEN {_has(V.OTHER_TITLES, "' ' || " + _N("title") + " || ' '")} THEN least({_TITLE}, 0.18) ELSE {_TITLE} END AS title_match_score, {_clamp("coalesce(product, 0) / greatest(1, months)")} AS product_company_ratio, len(coalesce(done, [])) AS nd,
  CASE WHEN len(coalesce(done, [])) = 0 THEN 0 ELSE (done[(len(done) - 1) // 2 + 1] + done[len(done) // 2 + 1]) / 2.0::DOUBLE END AS median, len(list_filter(coalesce(done, []), lambda m: m < 18)) AS short, len(list_filter(coalesce(done, []), lambda m: m < 9)) AS tiny FROM f0),
 f2 AS (SELECT *, CASE WHEN yoe >= 10 AND short / greatest(1, nd) <= 0.4 AND median >= 18 THEN 0.0::DOUBLE WHEN (nd >= 3 AND median < 18) OR tiny >= 3 THEN 1.0::DOUBLE WHEN short >= 3 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS hop,
@@ -151,7 +154,7 @@ f5 AS (SELECT f4.*, least(greatest(CASE WHEN otw THEN 1.05::DOUBLE ELSE 0.9 END
  greatest(CASE WHEN list_contains(soft, 'consulting_only') THEN CASE WHEN production_evidence > 0.5 THEN 0.8::DOUBLE ELSE 0.35 END ELSE 1 END * {" * ".join(f"CASE WHEN list_contains(soft, '{f}') THEN {w}::DOUBLE ELSE 1 END" for f, w in V.DISQUALIFIERS.items())}, 0.05) AS disqualifier FROM f4 JOIN claims USING (k))"""
 
 #: Feature and its name in the SQL.
-SHOWN = {f: {"skill_depth_score": "depth", "endorsement_trust": "trust", "education_score": "education"}.get(f, f) for f in V.FEATURES if f not in ("backend_depth_score", "data_bi_depth_score", "hyre_similarity")}
+SHOWN = {f: {"skill_depth_score": "depth", "endorsement_trust": "trust", "education_score": "education"}.get(f, f) for f in V.FEATURES if f not in ("backend_depth_score", "data_bi_depth_score")}
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +184,7 @@ def profile_scores(spark: SparkSession, d: str) -> DataFrame:
 def _score_sql(profile: str, retrieval: str = "0.5") -> str:
     factors, exponent = V.PROFILES[profile]
     weights = {k: w * factors.get(k, 1.0) for k, w in V.WEIGHTS.items()}
-    parts = " + ".join(f"{w!r}::DOUBLE * {retrieval if k == 'bm25_score' else '0' if k == 'hyre_similarity' else SHOWN[k]}" for k, w in weights.items())
+    parts = " + ".join(f"{w!r}::DOUBLE * {retrieval if k == 'bm25_score' else SHOWN[k]}" for k, w in weights.items())
     return f"({parts}) / {sum(weights.values())!r}::DOUBLE * behaviour ^ {exponent}::DOUBLE * honeypot * disqualifier"
 
 
@@ -249,7 +252,7 @@ def importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOTAL = sum(V.WEIGHTS.values())
-IMPORTANCE_SQL = f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{k}' AS feature, round(avg(abs({w!r}::DOUBLE / {_TOTAL!r}::DOUBLE * {'0.5' if k == 'bm25_score' else '0.0::DOUBLE' if k == 'hyre_similarity' else SHOWN[k]})), 6) AS importance, count(*) FILTER ({w!r}::DOUBLE * {'0.5' if k == 'bm25_score' else '0' if k == 'hyre_similarity' else SHOWN[k]} > 0) AS n_positive FROM f5" for k, w in V.WEIGHTS.items())
+IMPORTANCE_SQL = f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{k}' AS feature, round(avg(abs({w!r}::DOUBLE / {_TOTAL!r}::DOUBLE * {'0.5' if k == 'bm25_score' else SHOWN[k]})), 6) AS importance, count(*) FILTER ({w!r}::DOUBLE * {'0.5' if k == 'bm25_score' else SHOWN[k]} > 0) AS n_positive FROM f5" for k, w in V.WEIGHTS.items())
 
 
 def anachronism(spark: SparkSession, d: str) -> DataFrame:

@@ -70,7 +70,7 @@ def stability(spark: SparkSession, d: str) -> DataFrame:
 def _stability_sql() -> str:
     factors, exponent = V.PROFILES["universal-v2"]
     weights = {k: w * factors.get(k, 1.0) for k, w in V.WEIGHTS.items()}
-    value = lambda k: "0.5" if k == "bm25_score" else "0" if k == "hyre_similarity" else P.SHOWN[k]
+    value = lambda k: "0.5" if k == "bm25_score" else P.SHOWN[k]
     one = lambda drop: f"SELECT candidate_id, '{drop or ''}' AS drop_, round(({' + '.join(f'{w!r}::DOUBLE * {value(k)}' for k, w in weights.items() if k != drop)}) / {sum(w for k, w in weights.items() if k != drop)!r}::DOUBLE * behaviour ^ {exponent}::DOUBLE * honeypot * disqualifier, 9) AS s FROM f5"
     every = " UNION ALL ".join(one(k) for k in [None, *[k for k in weights if k != "bm25_score"]])
     return f"WITH {P.FEATURES}, v AS ({every}), r AS (SELECT candidate_id, drop_, row_number() OVER (PARTITION BY drop_ ORDER BY s DESC, candidate_id) AS rank FROM v) SELECT candidate_id, max(rank) FILTER (drop_ = '') AS rank, min(rank) AS least, max(rank) AS most FROM r GROUP BY candidate_id HAVING max(rank) FILTER (drop_ = '') <= 20"
