@@ -58,13 +58,13 @@ def features(text: str | None) -> np.ndarray | None:
 
 def svm(x: np.ndarray, y: np.ndarray, steps: int = 300, c: float = 50.0) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss; y is 1 or -1, classes weigh alike."""
-    x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
+    x = np.hstack((x, np.ones((len(x), 1)))).astype(np.float32)
     side = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, seen, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     rate = 1 / (1 / c + 2 * max(float((side * (x**2).sum(1)).sum()), 1e-9))
     for _ in range(steps):  # Nesterov's gradient method
-        slack = np.maximum(0, 1 - y * (x @ seen))
-        new = seen - rate * (seen / c - 2 * (x.T @ (side * y * slack)))
+        slack = np.maximum(0, 1 - y * (x @ seen.astype(np.float32)))
+        new = seen - rate * (seen / c - 2 * ((side * y * slack).astype(np.float32) @ x))
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         seen, w = new + (before - 1) / t * (new - w), new
     return w
