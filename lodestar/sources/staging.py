@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
+_shipped: set[str] = set()
+
+
+def ship(context: SparkContext) -> None:
+    """Sends this package to the executors, once for each application, so that it need not be installed there."""
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="lodestar-"), f"lodestar-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(top, "lodestar")):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    out.write(whole, os.path.relpath(whole, top))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df below spark.checkpoint.dir (a temporary folder only where that is unset, as in tests) and reads it back.
