@@ -26,8 +26,8 @@ from . import common
 LINE_DOCS = 10
 LINE_SHARE = 0.01
 #: A document is depleted if fewer words than this are left, or less than this share.
-LEFT_WORDS = 10
-LEFT_SHARE = 0.3
+LEFT_WORDS = 5
+LEFT_SHARE = 0.25
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SCHEMA = "doc_id long, source string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
