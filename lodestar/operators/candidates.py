@@ -15,6 +15,8 @@ from lodestar.functions import numeric as N
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 
+from .plan import DEFAULT, Plan
+
 EMPTY_JOBS = "array<struct<company:string,title:string,industry:string,company_size:string,description:string,start_date:string,end_date:string,is_current:boolean,duration_months:int>>"
 
 
@@ -88,11 +90,11 @@ def texts(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"x_tokens": F.array_distinct(F.split(F.expr("substring(x_full, 2, length(x_full) - 2)"), " ")), "x_career_tokens": F.array_distinct(F.split(F.expr("substring(x_career, 2, length(x_career) - 2)"), " ")), "x_terms": F.array_distinct(F.filter(F.concat("x_names", words), lambda w: w != ""))})
 
 
-def counts(rows: DataFrame) -> DataFrame:
+def counts(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     """Evidence counts, and facts of jobs."""
     full, career, tokens, career_tokens = F.col("x_full"), F.col("x_career"), F.col("x_tokens"), F.col("x_career_tokens")
-    every = [a for g in (*V.MUST.values(), *V.NICE.values()) for a in g]
-    normal = [T.norm_literal(a) for a in every]
+    normal = [T.norm_literal(a) for g in (*plan.must.values(), *plan.nice.values()) for a in g]
+    zero = F.lit(0.0)
     both = T.pad(F.concat_ws(" ", "x_title", F.expr("substring(x_career, 2, length(x_career) - 2)")))
     done = F.array_sort(F.transform(F.filter("career_history", lambda j: ~F.coalesce(j["is_current"], F.lit(False))), _months))
     has = lambda terms, p: T.any_of(p.contains(t) for t in T.padded(terms))
@@ -107,19 +109,21 @@ def counts(rows: DataFrame) -> DataFrame:
         "c_vision": T.count_terms(V.VISION_TERMS, full, tokens),
         "c_wrapper": T.count_terms(V.WRAPPER_TERMS, full, tokens),
         "c_relevant": T.count_terms(normal, full, tokens),
-        "c_core": reduce(lambda a, b: a + b, [F.lit(V.MUST_WEIGHTS[g]) * T.alias_match(al, F.col("x_terms"), full, tokens) for g, al in V.MUST.items()]),
-        "c_nice": reduce(lambda a, b: a + b, [T.alias_match(al, F.col("x_terms"), full, tokens) for al in V.NICE.values()]) / len(V.NICE),
+        "c_core": reduce(lambda a, b: a + b, [F.lit(plan.weights[g]) * T.alias_match(al, F.col("x_terms"), full, tokens) for g, al in plan.must.items()]),
+        "c_nice": reduce(lambda a, b: a + b, [T.alias_match(al, F.col("x_terms"), full, tokens) for al in plan.nice.values()], zero) / max(1, len(plan.nice)),
+        "c_role": T.count_terms(normal, career, career_tokens) if not plan.default else F.lit(0),
         "c_months": _sum(F.col("career_history"), _months),
         "c_product": months(_product_job),
         "c_services": months(lambda j: has(V.SERVICES, j["company"])),
         "c_learning": months(lambda j: has([*V.RETRIEVAL_TERMS, *V.LEARNING_TERMS], j["text"])),
+        "c_role_months": months(lambda j: has([*normal, *plan.titles], j["text"])) if not plan.default else zero,
         "c_done": done,
     }
     return rows.withColumns(out)
 
 
-def _skill_depth() -> Column:
-    relevant = [T.norm_literal(a) for g in (*V.MUST.values(), *V.NICE.values()) for a in g]
+def _skill_depth(plan: Plan) -> Column:
+    relevant = [T.norm_literal(a) for g in (*plan.must.values(), *plan.nice.values()) for a in g]
     level = F.create_map(*[F.lit(x) for kv in V.PROFICIENCY.items() for x in kv])
     scored = F.transform(
         F.filter("x_skills", lambda s: (s["name"] != "") & T.has_term(relevant, T.pad(s["name"]))),
@@ -128,13 +132,17 @@ def _skill_depth() -> Column:
     return T.let(scored, lambda x: N.clamp(_sum(x, lambda y: y) / F.greatest(F.lit(1), F.least(F.lit(7), F.size(x)))))
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Adds the features and flags; needs doc_text."""
+def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
+    """Adds the features and flags; needs doc_text. Plans but the default one take evidence of their own skills as retrieval and production evidence."""
     s, p = F.col("signals"), F.col("profile")
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    rows = counts(texts(rows))
+    rows = counts(texts(rows), plan)
     title_text = T.pad(F.concat_ws(" ", "x_title", "x_headline", "x_titles"))
-    title = T.let(title_text, lambda p: F.greatest(F.lit(0.08), *[F.when(p.contains(t), w).otherwise(0.08) for term, w in V.TITLES.items() for t in T.padded([term])]))
+    best_title = lambda text: T.let(text, lambda p: F.greatest(F.lit(0.08), *[F.when(p.contains(t), w).otherwise(0.08) for term, w in plan.titles.items() for t in T.padded([term])]))
+    title = best_title(title_text)
+    if not plan.default:  # a past title counts less if the present one is far from the role
+        present = best_title(T.pad(F.concat_ws(" ", "x_title", "x_headline")))
+        title = F.when((present < 0.35) & (title > 0.65), F.least(title, F.lit(0.55))).when((present < 0.65) & (title > 0.85), F.least(title, F.lit(0.72))).otherwise(title)
     title = F.when(_has(V.OTHER_TITLES, F.col("x_title")), F.least(title, F.lit(0.18))).otherwise(title)
     trust = F.transform("skills", lambda k: N.clamp(N.saturation(zero(k["endorsements"])) * F.when((zero(k["endorsements"]) > 30) & (zero(k["duration_months"]) < 6), 0.55).otherwise(1.0)))
     tests = F.map_values(F.coalesce(s["skill_assessment_scores"], F.create_map().cast("map<string,double>")))
@@ -150,19 +158,19 @@ def features(rows: DataFrame) -> DataFrame:
             "core_skill_match": N.clamp(F.col("c_core")),
             "jd_keyword_coverage_score": N.clamp(F.col("c_relevant") / 12.0),
             "nice_skill_match": N.clamp(F.col("c_nice")),
-            "skill_depth_score": _skill_depth(),
+            "skill_depth_score": _skill_depth(plan),
             "endorsement_trust": F.when(F.size("skills") > 0, N.clamp(_sum(trust, lambda x: x) / F.size("skills"))).otherwise(0.0),
             "assessment_score_avg": F.when(F.size(tests) > 0, N.clamp(_sum(tests, lambda x: x) / (100 * F.size(tests)))).otherwise(0.0),
             "github_signal": F.when(github < 0, 0.0).otherwise(N.clamp(github / 100.0)),
             "product_company_ratio": N.clamp(F.col("c_product") / F.greatest(F.lit(1.0), F.col("c_months"))),
-            "ir_ranking_experience": N.clamp(F.col("c_retrieval") / 7.0),
-            "production_evidence": N.clamp(N.clamp(F.col("c_production") / 8.0) + F.when(F.size(F.filter("career_history", lambda j: _months(j) >= 18)) >= 2, 0.08).otherwise(0.0)),
+            "ir_ranking_experience": F.greatest(N.clamp(F.col("c_retrieval") / 7.0), N.clamp(F.col("c_role") / 8.0)),
+            "production_evidence": F.greatest(N.clamp(N.clamp(F.col("c_production") / 8.0) + F.when(F.size(F.filter("career_history", lambda j: _months(j) >= 18)) >= 2, 0.08).otherwise(0.0)), N.clamp(F.col("c_role") / 12.0)),
             "title_match_score": N.clamp(title),
             "scale_signal": N.clamp(F.col("c_scale") / 4.0),
             "code_writing_recent": N.clamp(F.col("c_code") / 4.0),
-            "yoe_fit_score": F.when(yoe >= 7, 1.0).otherwise(N.clamp(N.gaussian(yoe, 7.0, 2.6))) * F.when(yoe < 3, 0.55).otherwise(1.0),
+            "yoe_fit_score": F.when(yoe >= plan.years[1], 1.0).otherwise(N.clamp(N.gaussian(yoe, plan.years[1], 2.6))) * F.when(yoe < 3, 0.55).otherwise(1.0),
             "education_score": N.or_else(F.coalesce(F.array_max(study), F.lit(0.0)), 0.45),
-            "ml_ai_tenure_score": N.clamp(F.col("c_learning") / 60.0),
+            "ml_ai_tenure_score": N.clamp(F.greatest("c_learning", "c_role_months") / 60.0),
             "open_source_signal": N.clamp(F.col("c_open_source") / 3.0),
             "availability_score": N.clamp(N.steps(days, [(14, 1.0), (30, 0.9), (60, 0.72), (120, 0.5)], 0.22) * F.when(flag("open_to_work_flag"), 1.0).otherwise(0.68)),
             "engagement_score": N.clamp(0.25 * zero(s["profile_views_received_30d"]) / 80 + 0.20 * zero(s["applications_submitted_30d"]) / 12 + 0.35 * zero(s["saved_by_recruiters_30d"]) / 12 + 0.20 * zero(s["search_appearance_30d"]) / 250),
@@ -170,11 +178,11 @@ def features(rows: DataFrame) -> DataFrame:
             "interview_reliability": N.clamp(zero(s["interview_completion_rate"])),
             "profile_quality": N.clamp(0.70 * N.clamp(zero(s["profile_completeness_score"]) / 100.0) + 0.30 * (F.when(flag("verified_email"), 0.45).otherwise(0.0) + F.when(flag("verified_phone"), 0.35).otherwise(0.0) + F.when(flag("linkedin_connected"), 0.20).otherwise(0.0))),
             "notice_period_score": N.steps(N.or_else(s["notice_period_days"], 180), [(30, 1.0), (60, 0.93), (90, 0.85), (120, 0.45)], 0.20),
-            "location_score": F.when(_has(V.PLACES, place), 1.0).when(country.contains("india"), 0.68).when(flag("willing_to_relocate"), 0.42).otherwise(0.10),
+            "location_score": F.when(_has(plan.places, place), 1.0).when(country.contains("india"), 0.68).when(flag("willing_to_relocate"), 0.42).otherwise(0.10),
             "relocation_willing": one(flag("willing_to_relocate")),
             "backend_depth_score": F.lit(0.0),
             "data_bi_depth_score": F.lit(0.0),
-            "hyre_similarity": T.jaccard(T.loose_tokens(F.col("x_full")), T.words(template_tokens())),
+            "hyre_similarity": T.jaccard(T.loose_tokens(F.col("x_full")), T.words(template_tokens(plan.query))),
             "x_yoe": yoe,
         }
     )
@@ -186,20 +194,20 @@ def features(rows: DataFrame) -> DataFrame:
     strong = (F.col("production_evidence") > 0.45) | (F.col("ir_ranking_experience") > 0.65)
     stuffed = F.lit(2) + (F.col("production_evidence") < 0.30).cast("int") + (F.col("ir_ranking_experience") < 0.25).cast("int") + (F.col("skill_depth_score") < 0.45).cast("int") + (F.col("endorsement_trust") < 0.35).cast("int")
     rows = rows.withColumns({"career_trajectory_score": N.clamp(0.75 * F.col("title_match_score") + 0.25 * F.col("product_company_ratio") - F.when(strong, 0.18).otherwise(0.35) * F.col("x_hop")), "keyword_stuffer_flag": F.when((F.size("skills") >= 12) & (F.col("core_skill_match") >= 0.55), N.clamp(stuffed / 6.0)).otherwise(0.0)})
-    return rows.withColumn("hard_flags", _hard_flags()).withColumn("soft_flags", _soft_flags()).withColumn("flags", F.concat("hard_flags", "soft_flags"))
+    return rows.withColumn("hard_flags", _hard_flags(plan)).withColumn("soft_flags", _soft_flags()).withColumn("flags", F.concat("hard_flags", "soft_flags"))
 
 
 def _flags(conditions: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()]))
 
 
-def _hard_flags() -> Column:
+def _hard_flags(plan: Plan) -> Column:
     """Contradictions within a record."""
     yoe, months = F.col("x_yoe"), F.col("c_months")
     expected = F.floor(yoe * 12)
     said = F.regexp_extract(F.coalesce("profile.summary", F.lit("")), r"(?i)\bwith\s+(\d+(?:\.\d+)?)\+?\s+years?\s+of\s+(?:hands[- ]on\s+)?experience\b", 1).try_cast("double")
     idle = F.filter("x_skills", lambda s: (s["level"] == "expert") & (s["months"] == 0))
-    core = F.filter(idle, lambda s: T.has_term([T.norm_literal(a) for g in V.MUST.values() for a in g], T.pad(s["name"])))
+    core = F.filter(idle, lambda s: T.has_term([T.norm_literal(a) for g in plan.must.values() for a in g], T.pad(s["name"])))
     start, end = (lambda e: F.coalesce(e["start_year"], F.lit(0))), (lambda e: F.coalesce(e["end_year"], F.lit(0)))
     return _flags(
         {
@@ -277,6 +285,49 @@ def score(profile: str = "main", retrieval: str = "retrieval", semantic: str | N
     return F.greatest(F.lit(0.0), relevance * F.pow("behavioral_multiplier", F.lit(exponent)) * F.col("honeypot_multiplier") * F.col("disqualifier_multiplier"))
 
 
+def plan_weights(plan: Plan) -> dict[str, float]:
+    """Weights for plans but the default one: more on title, coverage and retrieval, by the groups that are active."""
+    w = {
+        "bm25_score": 0.24, "core_skill_match": 0.20, "jd_keyword_coverage_score": 0.12, "nice_skill_match": 0.04, "skill_depth_score": 0.08, "endorsement_trust": 0.02, "assessment_score_avg": 0.02,
+        "github_signal": 0.02, "product_company_ratio": 0.04, "ir_ranking_experience": 0.02, "production_evidence": 0.08, "title_match_score": 0.22, "senior_title_held": 0.04, "career_trajectory_score": 0.06,
+        "scale_signal": 0.03, "code_writing_recent": 0.05, "yoe_fit_score": 0.08, "education_score": 0.02, "ml_ai_tenure_score": 0.01, "open_source_signal": 0.01, "location_score": 0.04, "relocation_willing": 0.01, "notice_period_score": 0.01,
+    }
+    groups = set(plan.must)
+    if "ranking_information_retrieval" in groups:
+        w |= {"ir_ranking_experience": 0.10, "bm25_score": 0.16, "code_writing_recent": 0.04}
+    if groups & {"embeddings_retrieval", "vector_database", "llm_production"}:
+        w |= {"ml_ai_tenure_score": 0.04, "product_company_ratio": 0.07}
+    if groups & {"software_backend", "cloud_devops", "data_bi"}:
+        w |= {"bm25_score": 0.16, "core_skill_match": 0.12, "jd_keyword_coverage_score": 0.24, "ir_ranking_experience": 0.10, "production_evidence": 0.10, "title_match_score": 0.24, "senior_title_held": 0.04, "career_trajectory_score": 0.04, "ml_ai_tenure_score": 0.06, "product_company_ratio": 0.02}
+    if plan.backend_first:
+        w |= {"bm25_score": 0.22, "core_skill_match": 0.16, "jd_keyword_coverage_score": 0.40, "ir_ranking_experience": 0.14, "production_evidence": 0.14, "title_match_score": 0.05, "career_trajectory_score": 0.00, "product_company_ratio": 0.00}
+    return w
+
+
+def plan_score(plan: Plan, retrieval: str = "retrieval") -> Column:
+    """The score for a plan but the default one: title damping, floors of behaviour, and mercy for soft flags."""
+    weights, c, groups = plan_weights(plan), F.col, set(plan.must)
+    relevance = reduce(lambda a, b: a + b, [F.lit(w) * (N.clamp(c(retrieval)) if k == "bm25_score" else c(k)) for k, w in weights.items()]) / sum(weights.values())
+    title, role = c("title_match_score"), c("ir_ranking_experience")
+    damping = F.when(title < 0.35, F.when(role < 0.85, 0.72).otherwise(0.82))
+    if "software_backend" in groups:
+        damping = damping.when(title < 0.65, 0.90)
+    soft = F.size(F.array_except("flags", T.words(["consulting_only", "salary_inversion", "title_hopper", "endorsement_inflation_low_profile", "llm_wrapper_only", "junior_for_senior_role"]))) == 0
+    behaviour = c("behavioral_multiplier")
+    if groups & {"cloud_devops", "data_bi"}:
+        behaviour = N.clamp(0.88 + 0.12 * behaviour, 0.88, 1.03)
+    elif "software_backend" in groups:
+        years = c("yoe_fit_score") >= 0.75
+        floor = F.when((title >= 0.98) & (role >= 0.70) & years & soft, 0.94).when((title >= 0.95) & (role >= 0.50) & years & soft, 0.88).when((title >= 0.80) & (role >= 0.60) & years & soft, 0.76).otherwise(0.0)
+        behaviour = F.greatest(behaviour, floor)
+    disqualifier = F.when((F.size("flags") > 0) & soft, F.greatest(c("disqualifier_multiplier"), F.lit(0.95))).otherwise(c("disqualifier_multiplier"))
+    factor = F.lit(1.0)
+    if plan.backend_first:
+        production = c("production_evidence")
+        factor = F.when((title >= 0.94) & (title < 0.98) & (c("senior_title_held") >= 0.5) & (production >= 0.68) & (role >= 0.75), 1.12).otherwise(1.0) * F.when((title >= 0.90) & (title < 0.95) & (c("core_skill_match") >= 0.95) & (production < 0.62) & (c("ml_ai_tenure_score") >= 0.80), 0.88).otherwise(1.0)
+    return F.greatest(F.lit(0.0), relevance * damping.otherwise(1.0) * behaviour * c("honeypot_multiplier") * disqualifier * factor)
+
+
 def contributions(profile: str = "main", retrieval: str = "retrieval") -> dict[str, Column]:
     """What each feature adds to relevance: their sum is the relevance, as the score is linear in them."""
     factors, _ = V.PROFILES[profile]

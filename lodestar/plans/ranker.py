@@ -13,6 +13,7 @@ from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import bm25
 from lodestar.operators import candidates as C
+from lodestar.operators.plan import DEFAULT, Plan
 from lodestar.sources import candidates as sources
 from lodestar.sources import sinks
 
@@ -24,6 +25,7 @@ class RankerConfig:
     max_candidates: int | None = None
     bm25_backend: str = "auto"
     scoring_profile: str = "main"
+    plan: Plan = DEFAULT
 
     def __post_init__(self) -> None:
         for name in ("top_k", "candidate_pool_size", "max_candidates"):
@@ -36,6 +38,8 @@ class RankerConfig:
             raise ValueError(f"unknown backend: {self.bm25_backend!r}")
         if self.scoring_profile not in V.PROFILES:
             raise ValueError(f"unknown profile: {self.scoring_profile!r}")
+        if not self.plan.default and self.scoring_profile != "main":
+            raise ValueError("a plan of one's own needs the main profile")
 
 
 def query_terms(query: str = V.DEFAULT_QUERY) -> list[str]:
@@ -45,11 +49,11 @@ def query_terms(query: str = V.DEFAULT_QUERY) -> list[str]:
     return [t for t in re.findall(V.TOKEN, low) if t not in V.STOPWORDS] + [p.replace("/", "_").replace(" ", "_") for p in V.PHRASES if p in low]
 
 
-def retrieve(rows: DataFrame, config: RankerConfig, query: str = V.DEFAULT_QUERY) -> DataFrame:
+def retrieve(rows: DataFrame, config: RankerConfig) -> DataFrame:
     """Rows with retrieval, scaled to 0..1 over the pool; a pool size keeps the best rows only, as it asks for."""
     rows = C.with_text(rows).withColumn("tokens", T.tokens(F.col("doc_text")))
     score = bm25.okapi if config.bm25_backend == "rank_bm25" else bm25.score
-    rows = score(rows, query_terms(query))
+    rows = score(rows, query_terms(config.plan.query))
     if config.candidate_pool_size:
         rows = rows.orderBy(F.desc(F.round("bm25", 9)), "candidate_id").limit(config.candidate_pool_size)
     low, high = rows.agg(F.min("bm25"), F.max("bm25")).first()
@@ -58,7 +62,8 @@ def retrieve(rows: DataFrame, config: RankerConfig, query: str = V.DEFAULT_QUERY
 
 def rank_candidates(rows: DataFrame, config: RankerConfig = RankerConfig()) -> DataFrame:
     """All rows with features, gates and total."""
-    return C.gates(C.features(retrieve(rows, config))).withColumn("total", C.score(config.scoring_profile))
+    total = C.score(config.scoring_profile) if config.plan.default else C.plan_score(config.plan)
+    return C.gates(C.features(retrieve(rows, config), config.plan)).withColumn("total", total)
 
 
 def reason() -> Column:

@@ -141,6 +141,18 @@ def test_pipeline_end_to_end(spark, tmp_path):
             ranker.RankerConfig(**bad)
 
 
+def test_other_plans_prefer_their_own_people(spark, tmp_path):
+    plan = compiler.compile_role("Senior Backend Engineer: REST API, Java, microservices, SQL. 5-9 years, Pune")
+    p = person()
+    backend = person(profile={**p["profile"], "current_title": "Senior Backend Engineer"}, career_history=[{**j, "title": "Backend Engineer", "description": "Built microservices and a rest api in java with spring boot, shipped to production for users."} for j in p["career_history"]], skills=[{"name": n, "proficiency": "expert", "endorsements": 20, "duration_months": 60} for n in ("Java", "Spring Boot", "REST API")])
+    rows = sources.read_candidates(spark, write(tmp_path, [{**p, "candidate_id": "ml"}, {**backend, "candidate_id": "backend"}]))
+    for config, best in ((ranker.RankerConfig(), "ml"), (ranker.RankerConfig(plan=plan), "backend")):
+        got = ranker.rank_candidates(rows, config).orderBy(F.desc("total")).collect()
+        assert got[0]["candidate_id"] == best and got[0]["total"] > got[1]["total"]
+    with pytest.raises(ValueError):
+        ranker.RankerConfig(plan=plan, scoring_profile="universal-v2")
+
+
 def test_stream_of_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
