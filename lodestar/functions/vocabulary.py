@@ -174,3 +174,31 @@ Experience with e-commerce product search, query understanding, spell correction
 Strong ML skills applied to personalization, collaborative filtering, and two-tower neural retrieval models.
 Proficient in Java, Python, and C++ for high-performance retrieval systems.""",
 }
+
+# ---- Fixed values: depth in other roles: terms of each category and how many are deep -----------------------------
+BACKEND_DEPTH = {
+    "api": (["rest api", "restful api", "api gateway", "graphql", "grpc", "websocket", "microservice", "microservices", "service", "platform", "backend", "spring boot", "fastapi", "flask", "django", "express", "nodejs", "node js"], 3.0),
+    "db": (["postgres", "postgresql", "mysql", "mongodb", "cassandra", "dynamodb", "redis", "kafka", "rabbitmq", "sql", "database", "caching", "cache", "sharding", "partitioning", "replica", "read replica"], 3.0),
+    "scale": (["qps", "rps", "p99", "p95", "latency", "throughput", "scale", "scaled", "million", "millions", "high availability", "fault tolerant", "load balancing", "horizontal scaling", "rate limiting", "concurrent"], 2.0),
+    "infra": (["docker", "kubernetes", "terraform", "aws", "azure", "gcp", "ci cd", "ci/cd", "jenkins", "github actions", "deployment", "deployments"], 3.0),
+}
+BACKEND_DELIVERY = ["api", "apis", "rest api", "microservice", "microservices", "distributed", "kafka", "spark", "production", "deployed", "shipped", "launched", "latency", "throughput", "scale", "scaled", "service", "services", "platform"]
+BACKEND_TITLES = ["senior backend engineer", "staff backend engineer", "principal backend engineer", "backend engineer", "platform engineer", "api developer"]
+BACKEND_SURFACE = [
+    "api", "rest", "restful", "graphql", "grpc", "json", "xml", "http", "https", "oauth", "jwt", "sso", "authentication", "authorization", "backend",
+    "server side", "server", "microservice", "microservices", "service", "services", "endpoint", "endpoints", "middleware", "database", "db", "sql",
+    "nosql", "postgres", "postgresql", "mysql", "mongodb", "redis", "cassandra", "dynamodb", "sqlite", "oracle", "mssql", "elasticsearch", "cache", "caching",
+    "memcached", "kafka", "rabbitmq", "sqs", "sns", "message queue", "event", "pubsub", "pub sub", "docker", "kubernetes", "k8s", "ci cd", "ci/cd",
+    "jenkins", "gitlab", "github actions", "terraform", "ansible", "aws", "gcp", "azure", "cloud", "ec2", "s3", "lambda", "java", "spring", "spring boot",
+    "hibernate", "jpa", "maven", "gradle", "python", "django", "flask", "fastapi", "celery", "nodejs", "node js", "express", "nestjs", "typescript",
+    "go", "golang", "gin", "ruby", "rails", "php", "laravel", "symfony", "c#", ".net", "asp.net", "git", "github", "bitbucket", "agile", "scrum", "jira",
+    "confluence", "unit test", "integration test", "tdd", "bdd", "swagger", "postman", "openapi",
+]
+DATA_DEPTH = {
+    "sql": (["sql", "window function", "cte", "partition by", "rank", "dense rank", "lead", "lag", "query optimization", "stored procedure", "index tuning"], 2.0),
+    "warehouse": (["data warehouse", "data warehousing", "snowflake", "bigquery", "redshift", "databricks", "star schema", "fact table", "dimension table", "dbt"], 2.0),
+    "viz": (["tableau", "power bi", "looker", "metabase", "superset", "dashboard", "executive dashboard", "self service", "reporting", "kpi", "metrics"], 2.0),
+    "etl": (["etl", "elt", "data pipeline", "pipelines", "airflow", "prefect", "dagster", "fivetran", "scheduled refresh", "data quality", "data model", "data modeling"], 2.0),
+    "impact": (["stakeholder", "stakeholders", "business users", "executives", "saved", "automated reporting", "hours per week", "decision", "revenue", "cost reduction", "self service", "adoption"], 2.0),
+}
+DATA_TITLES = ["senior data analyst", "data analyst", "business intelligence developer", "bi developer", "analytics engineer", "data engineer", "business analyst", "reporting analyst"]

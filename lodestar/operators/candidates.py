@@ -186,6 +186,7 @@ def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
             "x_yoe": yoe,
         }
     )
+    rows = rows if plan.default else _role_depth(rows, plan)
     n = F.size("c_done")
     median = F.when(n == 0, 0.0).otherwise((F.get("c_done", F.floor((n - 1) / 2).cast("int")) + F.get("c_done", F.floor(n / 2).cast("int"))) / 2.0)
     short = F.size(F.filter("c_done", lambda m: m < 18))
@@ -197,6 +198,38 @@ def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     return rows.withColumn("hard_flags", _hard_flags(plan)).withColumn("soft_flags", _soft_flags()).withColumn("flags", F.concat("hard_flags", "soft_flags"))
 
 
+def _role_depth(rows: DataFrame, plan: Plan) -> DataFrame:
+    """For backend and data plans: depth by categories of evidence, which then stands for retrieval and production evidence."""
+    c, groups = F.col, set(plan.must)
+    full, tokens = c("x_full"), c("x_tokens")
+    present = T.pad(c("x_title"))
+    data_first = any(t in next(iter(plan.titles), "") for t in ("senior data analyst", "business intelligence developer", "bi developer"))
+
+    def measured(rows: DataFrame, table: dict) -> DataFrame:
+        return rows.withColumns({f"d_{k}": N.clamp(T.count_terms(terms, full, tokens) / deep) for k, (terms, deep) in table.items()})
+
+    def raised(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+        return rows.withColumns({k: F.greatest(c(k), v) for k, v in values.items()})
+
+    if "software_backend" in groups and not data_first:
+        rows = measured(rows, V.BACKEND_DEPTH)
+        kinds = [c(f"d_{k}") for k in V.BACKEND_DEPTH]
+        delivered = T.count_terms(V.BACKEND_DELIVERY, c("x_career"), c("x_career_tokens"))
+        rows = rows.withColumns({"backend_depth_score": N.category_depth(kinds, [1.0] * 4), "d_surface": N.clamp(T.count_terms(V.BACKEND_SURFACE, full, tokens) / 15.0), "d_delivered": delivered, "d_titled": T.has_term(V.BACKEND_TITLES, present)})
+        made = N.clamp(0.26 * c("d_api") + 0.22 * c("d_db") + 0.16 * c("d_scale") + 0.12 * c("d_infra") + 0.24 * c("d_surface"))
+        limit = N.clamp(0.40 + 0.40 * N.clamp(c("d_delivered") / 4.0) + 0.20 * N.clamp(c("c_production") / 2.0))
+        rows = raised(rows, {"jd_keyword_coverage_score": c("d_surface"), "ir_ranking_experience": N.clamp(0.60 * c("d_surface") + 0.40 * c("backend_depth_score")), "production_evidence": F.least(made, limit), "scale_signal": F.greatest(c("d_scale"), 0.55 * c("d_surface")), "code_writing_recent": N.clamp(0.50 * c("d_api") + 0.30 * c("d_db") + 0.20 * c("d_surface")), **({"title_match_score": F.when(c("d_titled"), 0.98).otherwise(0.0)} if plan.backend_first else {})})
+        # Words of the trade without delivery in the career don't make depth.
+        thin = (c("d_delivered") <= 3) & (c("c_production") == 0) & ~c("d_titled")
+        rows = rows.withColumn("ir_ranking_experience", F.when(thin, F.least(c("ir_ranking_experience"), F.lit(0.72))).otherwise(c("ir_ranking_experience")))
+    if "data_bi" in groups:
+        rows = measured(rows, V.DATA_DEPTH)
+        kinds = [c(f"d_{k}") for k in V.DATA_DEPTH]
+        rows = rows.withColumn("data_bi_depth_score", N.category_depth(kinds, [1.0] * 5))
+        rows = raised(rows, {"ir_ranking_experience": c("data_bi_depth_score"), "production_evidence": N.clamp(0.25 * c("d_sql") + 0.25 * c("d_warehouse") + 0.20 * c("d_viz") + 0.20 * c("d_etl") + 0.10 * c("d_impact")), "scale_signal": c("d_impact"), **({"title_match_score": F.when(T.has_term(V.DATA_TITLES, present), 0.98).otherwise(0.0)} if data_first else {})})
+    return rows
+
+
 def _flags(conditions: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()]))
 

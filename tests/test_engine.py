@@ -149,6 +149,12 @@ def test_other_plans_prefer_their_own_people(spark, tmp_path):
     for config, best in ((ranker.RankerConfig(), "ml"), (ranker.RankerConfig(plan=plan), "backend")):
         got = ranker.rank_candidates(rows, config).orderBy(F.desc("total")).collect()
         assert got[0]["candidate_id"] == best and got[0]["total"] > got[1]["total"]
+        assert best == "ml" or got[0]["backend_depth_score"] > got[1]["backend_depth_score"]
+    analyst = compiler.compile_role("Senior Data Analyst: SQL, Tableau dashboards, snowflake, etl")
+    table = person(profile={**p["profile"], "current_title": "Data Analyst"}, skills=[{"name": n, "proficiency": "expert", "endorsements": 20, "duration_months": 60} for n in ("SQL", "Tableau", "Snowflake", "Airflow")])
+    both = sources.read_candidates(spark, write(tmp_path, [{**p, "candidate_id": "ml"}, {**table, "candidate_id": "data"}], "d.jsonl"))
+    got = ranker.rank_candidates(both, ranker.RankerConfig(plan=analyst)).orderBy(F.desc("total")).first()
+    assert got["candidate_id"] == "data" and got["data_bi_depth_score"] > 0.15 and got["title_match_score"] == 0.98
     with pytest.raises(ValueError):
         ranker.RankerConfig(plan=plan, scoring_profile="universal-v2")
 
