@@ -153,6 +153,7 @@ def load(path: str) -> SpeculativeBpe:
 
 def _both(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("bpe", _loaded)
         coder = load(path)
         for batch in batches:
             ids = coder.encode_texts([t or "" for t in batch.column(1).to_pylist()])
@@ -167,6 +168,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """Per row: id, ids (array of ints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("bpe", _loaded)
         coder = load(tokenizer)
         for batch in batches:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode_texts([t or "" for t in batch.column(1).to_pylist()])]

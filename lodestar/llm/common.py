@@ -26,6 +26,26 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_caches: dict[str, list] = {}
+_tenant = ""
+
+
+def tenant(name: str, *caches: dict) -> None:
+    """Called by a task of an operator: caches that other operators' tasks left in this worker process are emptied.
+
+    Workers live on from stage to stage, and what one stage remembers would take the memory of the next.
+    """
+    global _tenant
+    if name != _tenant:
+        for other, held in _caches.items():
+            if other != name:
+                for cache in held:
+                    cache.clear()
+        _tenant = name
+    if caches:
+        _caches[name] = list(caches)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)

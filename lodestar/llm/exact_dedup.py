@@ -98,6 +98,7 @@ def _rows(tries: dict[tuple[int, bytes], Patricia]) -> Iterator[pa.RecordBatch]:
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("exact_dedup")
     tries: dict[tuple[int, bytes], Patricia] = {}
     held = 0
     for batch in batches:
@@ -115,6 +116,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of (nbytes, sha): a subtree is complete when its key is over."""
+    common.tenant("exact_dedup")
     key, trie = None, Patricia()
 
     def done():

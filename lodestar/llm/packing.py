@@ -117,6 +117,7 @@ def _pieces(path: str, capacity: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        common.tenant("packing", _state)
         tokenizer, _ = _encoder(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()

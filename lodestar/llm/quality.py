@@ -61,6 +61,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
     digest = xxhash.xxh64_intdigest
+    common.tenant("quality")
     for batch in batches:
         out = []
         for ident, text, source, content in zip(*(batch.column(i).to_pylist() for i in range(4))):

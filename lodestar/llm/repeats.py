@@ -35,7 +35,7 @@ from . import common
 LENGTH, K, STEP = 400, 32, 40
 SPAN = LENGTH - K + 1
 #: Bytes of segments merged at once, in one shard, and of one anchor before its windows are halved.
-BATCH, SHARD, HOT = 1 << 19, 1 << 17, 1 << 20
+BATCH, SHARD, HOT = 1 << 18, 1 << 17, 1 << 20
 #: Windows of a long text looked at together.
 CHUNK = 1 << 19
 #: Places of windows, relative to their anchor, that are looked at together before the merge.
@@ -109,6 +109,7 @@ _SEGMENT = "ident long, hash long, start int, windows int, offset int, anchor lo
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64()]
+    common.tenant("repeats")
     for batch in batches:
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in names]
         for ident, key, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -249,6 +250,7 @@ def _spans(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 def _merge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, ident, hash, start, known, body, low) come in order of key; a key's rows are judged together."""
+    common.tenant("repeats")
     held, size, group, key = [], 0, [], None
 
     def judged(rows: list) -> list[tuple[int, int, int, int]]:
@@ -420,15 +422,20 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """docs with the repeated passages taken out of the text; a character cut in part goes whole. Null texts stay null."""
     common.small_batches(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def cut(body, spans):
-        import pandas as pd
+    names = docs.columns
+    at = names.index(text_col)
 
-        return pd.Series([_keep(bytes(b), None if s is None else [{"first": x["first"], "last": x["last"]} for x in s])[0].decode("utf-8", "ignore") for b, s in zip(body, spans)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("repeats")
+        for batch in batches:
+            columns = batch.columns
+            spans, body = columns.pop().to_pylist(), columns.pop().to_pylist()
+            texts = [t if t is None or s is None else _keep(b, s)[0].decode("utf-8", "ignore") for t, b, s in zip(columns[at].to_pylist(), body, spans)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = _with_spans(docs, id_col, text_col)
-    text = F.when(F.col(text_col).isNull() | F.col("__spans").isNull(), F.col(text_col)).otherwise(cut("__body", "__spans"))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    return rows.select(*docs.columns, "__body", "__spans").mapInArrow(run, docs.schema)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,7 @@ def fingerprint(text: str) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("simhash")
     for batch in batches:
         fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["ident", "fp"])
@@ -149,6 +150,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of bucket."""
+    common.tenant("simhash")
+
     def done(parts: list[np.ndarray]) -> list[tuple[int, int]]:
         fps = np.concatenate(parts).view(np.uint64) if parts else np.empty(0, np.uint64)
         return forest(fps) if len(fps) > 1 else []
