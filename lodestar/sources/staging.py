@@ -11,6 +11,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def ship(context: SparkContext) -> None:
@@ -41,10 +42,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/lodestar/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(context: SparkContext) -> None:
+    """Deletes the tables that this process has staged; call it when no result that reads them is needed any more."""
+    jvm = context._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows of an input with fewer partitions than the cluster has cores over all cores; others are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -265,3 +265,15 @@ def test_entry_contract(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_staged_tables_can_be_forgotten(spark):
+    from lodestar.sources import staging
+
+    df = staging.staged(spark.range(5), "numbers")
+    path = df.inputFiles()[0]
+    assert df.count() == 5
+    staging.forget(spark.sparkContext)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
