@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.sources.staging import ship
+from lodestar.sources.staging import ship, staged
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -46,21 +44,9 @@ def tenant(name: str, *caches: dict) -> None:
         _caches[name] = list(caches)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, name)
 
 
 def crc_mod(column: Column, n: int) -> Column:
@@ -68,21 +54,32 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Parts that a node's neighbours are dealt into.
+SALT = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least v of their u. A node's edges meet in SALT parts, of which each tells its least."""
+    keyed = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)))
+    parts = keyed.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.select("u", "s").join(parts.groupBy("u").agg(F.min("m").alias("m")), "u")
+    return keyed.join(least, ["u", "s"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) of longs, by alternating large-star and small-star steps.
 
-    Returns (node, root), root the smallest node reachable. A step groups by node with map-side combining
-    and joins the minima back, so no neighbour list is ever collected; each step is written to the shared folder.
+    Returns (node, root), root the smallest node reachable. A step takes minima with map-side combining and joins them
+    back by parts of a node's edges, so no neighbour list is ever collected; each step is written to the shared folder.
     """
     edges = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").selectExpr("v AS u", "m AS v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").selectExpr("v AS u", "m AS v")
-        edges = materialize(small.union(least.selectExpr("u", "m AS v")).distinct(), "edges")
+        large = _with_least(both).selectExpr("u", "v", "least(u, m) AS m").where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct()
+        stars = _with_least(large)
+        edges = stars.where("v <> m").selectExpr("v AS u", "m AS v").union(stars.selectExpr("u", "m AS v"))
+        edges = materialize(edges.distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.selectExpr("u AS node", "v AS root")
