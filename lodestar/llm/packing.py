@@ -30,7 +30,7 @@ CAPACITY = 2048
 #: Pieces that share a bucket are ordered together; the number of buckets grows with the input.
 BUCKET_ROWS = 20_000
 #: Words whose ids a worker remembers; as many again stay until the next that many are met.
-CACHE = 600_000
+CACHE = 400_000
 #: Signs after a word that are split from it.
 _TAIL = ".,!?;:"
 #: A comma or full stop that other signs stand before belongs to them.
@@ -45,7 +45,11 @@ def _encoder(path: str):
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache={}, old={})
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(1 + max(vocabulary.values()), bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True  # the last token of each word
+        _state.update(path=path, tokenizer=tokenizer, ends=ends, cache={}, old={})
     return _state["tokenizer"], _state["cache"]
 
 
@@ -79,11 +83,12 @@ def _learn(words: list[str], tokenizer, cache: dict[str, bytes], old: dict[str,
     letters = list(whole)
     for i in range(0, len(letters), 10_000):
         part = letters[i : i + 10_000]
-        found = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        ids, starts = np.array(found.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(found.word_ids), prepend=-1)).tolist()
-        if len(starts) != len(part):
+        (found,) = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+        flat = np.array(found.ids, "<u4")
+        ids, stops = flat.tobytes(), (np.flatnonzero(_state["ends"][flat]) + 1).tolist()
+        if len(stops) != len(part):
             raise ValueError("a word of letters was split")
-        for w, a, b in zip(part, starts, [*starts[1:], len(ids) // 4]):
+        for w, a, b in zip(part, [0, *stops[:-1]], stops):
             cache[w] = ids[4 * a : 4 * b]
     for i in range(0, len(odd), 10_000):
         part = odd[i : i + 10_000]
@@ -103,7 +108,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(cache) > CACHE:
         _state["old"], cache = cache, {}
         _state["cache"] = cache
-    missing = {w for ws in words if ws for w in ws}.difference(cache)
+    missing = set().union(*filter(None, words)).difference(cache)
     if missing:
         _learn(list(missing), tokenizer, cache, _state["old"])
     get = cache.__getitem__
