@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import byte_symbols
 
 CAPACITY = 2048
 #: Pieces that share a bucket are ordered together; the number of buckets grows with the input.
@@ -46,10 +48,8 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        vocabulary = tokenizer.get_vocab()
-        ends = np.zeros(1 + max(vocabulary.values()), bool)
-        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True  # the last token of each word
-        _state.update(path=path, tokenizer=tokenizer, ends=ends, cache={}, old={})
+        table = {b: c for c, b in byte_symbols().items()}  # how the vocabulary writes bytes
+        _state.update(path=path, tokenizer=tokenizer, table=table, cache={}, old={})
     return _state["tokenizer"], _state["cache"]
 
 
@@ -62,8 +62,8 @@ def _words(text: str) -> list[str]:
 
 
 def _learn(words: list[str], tokenizer, cache: dict[str, bytes], old: dict[str, bytes]) -> None:
-    """Puts the ids of new words into the cache. Words of letters, which the splits keep whole, are encoded many at a time as one text."""
-    whole, odd, tailed = set(), [], []
+    """Puts the ids of new words into the cache. Words of letters go to the merges at once, past the library's splitting."""
+    whole, odd, tailed = set(), [], []  # whole: words of letters, which the splits keep whole
     for w in words:
         if w in old:
             cache[w] = old[w]
@@ -80,16 +80,9 @@ def _learn(words: list[str], tokenizer, cache: dict[str, bytes], old: dict[str,
         else:
             odd.append(w)
     odd += list({t for _, _, t in tailed if t not in cache})
-    letters = list(whole)
-    for i in range(0, len(letters), 10_000):
-        part = letters[i : i + 10_000]
-        (found,) = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-        flat = np.array(found.ids, "<u4")
-        ids, stops = flat.tobytes(), (np.flatnonzero(_state["ends"][flat]) + 1).tolist()
-        if len(stops) != len(part):
-            raise ValueError("a word of letters was split")
-        for w, a, b in zip(part, [0, *stops[:-1]], stops):
-            cache[w] = ids[4 * a : 4 * b]
+    tokenize, table = tokenizer.model.tokenize, _state["table"]
+    for w in whole:
+        cache[w] = np.array([t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(table))], "<u4").tobytes()
     for i in range(0, len(odd), 10_000):
         part = odd[i : i + 10_000]
         for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -98,6 +91,12 @@ def _learn(words: list[str], tokenizer, cache: dict[str, bytes], old: dict[str,
         cache[w] = cache[core] + cache[tail]
 
 
+def _joined(words: list[str], cache: dict[str, bytes]) -> bytes:
+    if len(words) < 2:
+        return cache[words[0]] if words else b""
+    return b"".join(itemgetter(*words)(cache))
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers; equal to the library's encoding of the whole text.
 
@@ -111,8 +110,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     missing = set().union(*filter(None, words)).difference(cache)
     if missing:
         _learn(list(missing), tokenizer, cache, _state["old"])
-    get = cache.__getitem__
-    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words)]
+    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else _joined(ws, cache) for t, ws in zip(texts, words)]
 
 
 def _pieces(path: str, capacity: int):
