@@ -1,16 +1,18 @@
 """LM scoring with probabilistic suffix trees.
 
-Symbols are the tokens of a text. Contexts of one and two symbols grow level by level: a context is counted if it
-has at least a share of the training tokens, and is retained if its next-symbol distribution diverges from that of
-its own suffix, by a likelihood ratio beyond chance and by a least gain for each use. A retained state's distribution
-is smoothed with its suffix state's; a token is scored in the longest retained suffix of what comes before it. The
-root gives each known token its share less an absolute discount; what is discounted is divided evenly among as many
-unknown words as the counts of words seen once and twice lead to expect (Chao's estimate), so an unknown word is never
-likelier than a known one.
-
-Counts cover all training rows. What a worker holds is bounded by shares, not by the input: tokens with at least
-HEAVY of all tokens number at most 1/HEAVY, symbols that take part in contexts 1/SYMBOL, contexts of two 1/PAIR.
-Rarer tokens are never gathered: they meet their counts in a join.
+Symbols are the tokens of a text. Contexts of one to DEPTH tokens grow level by level: a context is counted if it was
+met LEAST times, whatever the size of the corpus, and any word may be what it predicts. It is retained if its smoothed
+next-symbol distribution, each use left out in turn, predicts the uses better than that of its suffix, by a least gain
+for each use. The probability of a token is interpolated along the retained suffixes of what comes before it, from
+the root up. The root gives each known token its share less an absolute discount; what is discounted is divided evenly
+among as many unknown words as the counts of words seen once and twice lead to expect (Chao's estimate). Between the
+root and the contexts stands a small dense tree over the most frequent tokens, which every worker holds.
+
+Counts cover all training rows. States and next-symbol counts are a table by 64-bit code, partitioned like any other.
+To score, rows are dealt into groups of GROUP characters; a group asks once for each code it needs, the codes meet the
+table in a join, and the answers meet the group's rows. What a worker holds besides is bounded: tokens with at least
+HEAVY of all tokens, the dense tree (SYMBOL, PAIR), and bitmaps of BITS that only spare questions: they let some
+through in vain but hide no state.
 
 Defined results: a null text counts as empty and is its end alone. With no training rows, no token is known, the end
 and any word have probability 1/2. Null ids fall in the same remainder as the empty id. Rows
@@ -25,8 +27,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,6 +39,10 @@ HEAVY, SYMBOL, PAIR = 1e-6, 5e-4, 2e-4
 GAIN = 0.002
 END = b"\n"  # no word has white space
 FLUSH = 300_000
+#: Uses that a context has at least, and its tokens at most.
+LEAST, DEPTH = 10, 4
+#: Bits of a bitmap (a power of two), and characters of a group of rows.
+BITS, GROUP = 1 << 27, 8 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,6 +66,44 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) ^ b * np.uint64(0x94D049BB133111EB)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def _grams(h: np.ndarray, end: np.uint64, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By depth: codes of the contexts, and of them with their next token. Places before depth - 1 have no context so long."""
+    before = np.concatenate(([end], h[:-1]))
+    out, c = [], np.full(len(h), 0x51ED27, np.uint64)
+    for j in range(depth):
+        c = _mix(c, np.concatenate((np.zeros(min(j, len(h)), np.uint64), before[: max(0, len(h) - j)])))
+        out.append((c, _mix(~c, h)))
+    return out
+
+
+class Bits:
+    """A bitmap of codes."""
+
+    def __init__(self, codes: DataFrame) -> None:
+        """Codes in a column named code."""
+        low = F.col("code").bitwiseAND(BITS - 1)
+        t = codes.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 AS int))")).alias("bits")).toArrow()
+        self.words = np.zeros(BITS >> 6, np.uint64)
+        self.words[t.column("at").to_numpy()] = t.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+        self.any = t.num_rows > 0
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        at = codes & np.uint64(BITS - 1)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).cast(pa.float64())], names=["code", "v"])
+
+
 class _Codes:
     """Sums of counts by code."""
 
@@ -97,6 +142,8 @@ class Tree:
         words = sorted(words, key=lambda x: (-x[1], x[0]))
         self.ids = {w: k for k, (w, _) in enumerate(words)}
         c = np.array([k for _, k in words], float)
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in words), np.uint64, len(words))
+        self.depth, self.states, self.nexts = 0, None, None  # of the contexts in the table: levels and bitmaps
         self.base = np.log10(c + 0.1)
         self.root = np.log10((c - self.discount) / n if n else np.full(len(words), 0.5))
         self.symbol = np.full(len(words), -1)
@@ -158,21 +205,62 @@ class Tree:
         self.table = np.log10(self.chance)
         self.table[:, -1] -= np.log10(self.chance0[-1])
 
-    def score(self, text: str | None) -> tuple[int, int, float, float, Counter[bytes]]:
-        """Tokens, heavy tokens, their base, the score without rare tokens' root, and the rare tokens."""
-        ids, s, words = self.sequence(text)
+    def codes(self, ids: np.ndarray, words: list[bytes]) -> np.ndarray:
+        h = self.hashes[ids]
+        for i in np.flatnonzero(ids < 0).tolist():
+            h[i] = xxhash.xxh64_intdigest(words[i])
+        return h
+
+    def dense(self, ids: np.ndarray, s: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """log10 by the dense tree at each place; rare: that of the root for the places that aren't heavy."""
         one, two = self.before(s)
         state = self.state1[one]
         if len(self.pairs):
             at = np.minimum(np.searchsorted(self.pairs, two), len(self.pairs) - 1)
             longer = np.where(self.pairs[at] == two, self.state2[at], -1)
             state = np.where(longer >= 0, longer, state)
-        heavy, rooted = ids >= 0, s == self.kinds
-        part = np.where(heavy & (rooted | (state < 0)), self.root[ids], 0.0)
+        root = self.root[ids]
+        root[ids < 0] = rare
+        part = np.where((s == self.kinds) | (state < 0), root, 0.0)
         if len(self.table):
             part += np.where(state >= 0, self.table[state, s], 0.0)
-        rare = Counter(words[i] for i in np.flatnonzero(~heavy).tolist())
-        return len(ids), int(heavy.sum()) if self.n else 0, float(self.base[ids[heavy]].sum()), float(part.sum()), rare
+        return part
+
+    def lookups(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By depth: places whose context the bitmaps let through, the codes of context and of it with its next (0: surely unseen)."""
+        for j, (c, t) in enumerate(_grams(h, self.hashes[self.end], self.depth)):
+            at = np.flatnonzero(self.states.has(c))
+            at = at[at >= j]
+            t = t[at]
+            yield at, c[at], np.where(self.nexts.has(t), t, np.uint64(0))
+
+    def asks(self, text: str | None) -> np.ndarray:
+        """Codes that scoring needs from the table."""
+        ids, _, words = self.sequence(text)
+        h = self.codes(ids, words)
+        found = [h[ids < 0]]
+        for _, c, t in self.lookups(h):
+            found += [c, t[t != 0]]
+        return np.unique(np.concatenate(found))
+
+    def score(self, text: str | None, codes: np.ndarray, values: np.ndarray) -> tuple[int, int, float, float]:
+        """Tokens, known tokens, their base, and the score; codes of the table, sorted, and their values."""
+
+        def value(asked: np.ndarray, otherwise: float) -> np.ndarray:
+            if not len(codes):
+                return np.full(len(asked), otherwise)
+            at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+            return np.where(codes[at] == asked, values[at], otherwise)
+
+        ids, s, words = self.sequence(text)
+        h, heavy = self.codes(ids, words), ids >= 0
+        c = value(h[~heavy], 0.0)
+        root = np.where(c > 0, np.maximum(c - self.discount, 1e-300) / max(1, self.n), self.unknown)
+        p = 10 ** self.dense(ids, s, np.log10(root))
+        for at, context, t in self.lookups(h):
+            p[at] = p[at] * value(context, 1.0) + np.where(t != 0, value(t, 0.0), 0.0)
+        known = (int(heavy.sum()) if self.n else 0) + int((c > 0).sum())
+        return len(ids), known, float(self.base[ids[heavy]].sum() + np.log10(c + 0.1).sum()), float(np.log10(p).sum())
 
 
 def _contexts(tree_of, level: int):
@@ -202,8 +290,58 @@ def _summed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column("code").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64)
 
 
+def _followed(tree_of, bits_of, level: int):
+    """Counts of contexts of a level with their next token: t and c, their codes, s that of the suffix with it, n, and p, the sum of the dense tree's chances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, bits, held, size = tree_of.value, bits_of.value, [], 0
+
+        def rows() -> pa.RecordBatch:
+            t, c, s, p = (np.concatenate(x) for x in zip(*held)) if held else [np.empty(0, np.uint64)] * 3 + [np.empty(0)]
+            t, first, place, n = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
+            held.clear()
+            columns = [t.view(np.int64), c[first].view(np.int64), s[first].view(np.int64), n, np.bincount(place, p, len(t)).astype(float)]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["t", "c", "s", "n", "p"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ids, symbols, words = tree.sequence(text)
+                h, end = tree.codes(ids, words), tree.hashes[tree.end]
+                grams = _grams(h, end, level)
+                # A context is what its last token followed, one level up.
+                last = np.concatenate(([end], h[:-1])) if level == 1 else np.concatenate(([np.uint64(0)], grams[level - 2][1][:-1]))
+                at = np.flatnonzero(bits.has(last))
+                at = at[at >= level - 1]
+                if len(at):
+                    c, t = grams[level - 1]
+                    p = 10 ** tree.dense(ids, symbols, np.log10(HEAVY))  # at least the chance of a rare word
+                    held.append((t[at], c[at], grams[level - 2][1][at] if level > 1 else np.zeros(len(at), np.uint64), p[at]))
+                    size += len(at)
+                if size > 8 * FLUSH:
+                    yield rows()
+                    size = 0
+        yield rows()
+
+    return run
+
+
+def _level(texts: DataFrame, tree: Tree, bits: Bits, level: int, below: DataFrame | None) -> DataFrame:
+    """Contexts of a level with their next tokens: t, c, n; kept; keep and gain, what a retained context leaves to its suffix and adds; a and b, from which a + b * (chance by the dense tree) is the chance."""
+    context = texts.sparkSession.sparkContext
+    run = _followed(context.broadcast(tree), context.broadcast(bits), level)
+    rows = texts.mapInArrow(run, "t long, c long, s long, n long, p double").groupBy("t").agg(F.first("c").alias("c"), F.first("s").alias("s"), F.sum("n").alias("n"), F.sum("p").alias("p"))
+    rows = rows.selectExpr("*", "0D AS a", "1D AS b") if below is None else rows.join(below.selectExpr("t AS s", "a", "b"), "s")
+    w = Window.partitionBy("c")
+    rows = rows.withColumn("total", F.sum("n").over(w)).withColumn("kinds", F.count("*").over(w)).where(F.col("total") >= LEAST)
+    rows = rows.withColumn("q", F.expr("a + b * p / n"))
+    out = F.expr("CASE WHEN n > 1 THEN (n - 1 + kinds * q) / (total - 1 + kinds) ELSE (kinds - 1) * q / (total + kinds - 2) END")
+    rows = rows.withColumn("kept", F.sum(F.col("n") * F.log(F.greatest(out, F.lit(1e-300)) / F.col("q"))).over(w) > GAIN * F.col("total"))
+    rows = rows.withColumn("keep", F.expr("kinds / (total + kinds)")).withColumn("gain", F.expr("n / (total + kinds)"))
+    return common.materialize(rows.selectExpr("t", "c", "n", "kept", "keep", "gain", "if(kept, gain + keep * a, a) AS a", "if(kept, keep * b, b) AS b"), f"level{level}")
+
+
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """From a column of training texts: the tree, and the table of all words with their counts."""
+    """From a column of training texts: the tree, and the table (code, v) of counts of words and of what contexts keep and gain."""
     spark = texts.sparkSession
     vocab = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     vocab = common.materialize(vocab.where("c > 0"), "vocab")
@@ -211,52 +349,80 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     n = n or 0
     heavy = vocab.where((F.col("c") >= HEAVY * n) | (F.col("word") == F.lit(END))).collect() if n else []
     tree = Tree([(bytes(r["word"]), r["c"]) for r in heavy] or [(END, 0)], n, v, n1, n2)
-    if n:
-        for level in (1, 2):
-            shared = spark.sparkContext.broadcast(tree)
-            found, k = _summed(texts.mapInArrow(_contexts(shared, level), "code long, n long"))
-            tree.grow(found, k)
-            shared.unpersist()
-            if level == 1:
-                keep = (k >= PAIR * n) & (found % (tree.kinds + 1) < tree.kinds)
-                tree.pairs = np.sort(found[keep])
-                if not len(tree.pairs):
-                    break
-    return tree, vocab
-
-
-def score(docs: DataFrame, tree: Tree, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    facts = vocab.mapInArrow(_word_codes, "code long, v double")
+    if not n:
+        return tree, facts
+    for level in (1, 2):
+        shared = spark.sparkContext.broadcast(tree)
+        found, k = _summed(texts.mapInArrow(_contexts(shared, level), "code long, n long"))
+        tree.grow(found, k)
+        shared.unpersist()
+        if level == 1:
+            keep = (k >= PAIR * n) & (found % (tree.kinds + 1) < tree.kinds)
+            tree.pairs = np.sort(found[keep])
+            if not len(tree.pairs):
+                break
+    levels: list[DataFrame] = []
+    bits = Bits(facts.where(F.col("v") >= LEAST).select("code"))
+    while bits.any and len(levels) < DEPTH:
+        levels.append(_level(texts, tree, bits, len(levels) + 1, levels[-1] if levels else None))
+        bits = Bits(levels[-1].where(F.col("n") >= LEAST).selectExpr("t AS code"))
+    if levels:
+        kept = common.union_all([x.where("kept") for x in levels])
+        states, nexts = kept.groupBy(F.col("c").alias("code")).agg(F.first("keep").alias("v")), kept.selectExpr("t AS code", "gain AS v")
+        tree.depth, tree.states, tree.nexts = len(levels), Bits(states), Bits(nexts)
+        facts = common.union_all([facts, states, nexts])
+    return tree, facts
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        groups = []
+        for text in batch.column(1).to_pylist():
+            if size > GROUP:
+                group, size = group + 1, 0
+            groups.append(group)
+            size += len(text or "") + 64
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), batch.column(0), batch.column(1)], names=["group", "doc_id", "text"])
+
+
+def score(docs: DataFrame, tree: Tree, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("n", pa.int32()), ("tokens", pa.int32()), ("known", pa.int32()), ("base", pa.float64()), ("part", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        row = TaskContext.get().partitionId() << 36
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, held, size, group = shared.value, [], 0, None
+
+        def done() -> pa.RecordBatch:
+            codes = np.unique(np.concatenate(held)).view(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), group, np.int64)), pa.array(codes)], names=["group", "code"])
+
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row += 1
-                n, known, base, part, rare = tree.score(text)
-                k = len(rare)
-                # The row itself joins with nothing, under a key that no word has and that isn't shared.
-                for column, values in zip(out, ([row] * (k + 1), [ident] + [None] * k, [b" %d" % row, *rare], [0, *rare.values()], [n] + [0] * k, [known] + [0] * k, [base] + [0.0] * k, [part] + [0.0] * k)):
-                    column += values
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
-
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "row long, doc_id long, word binary, n int, tokens int, known int, base double, part double")
-    rows = rows.join(vocab, "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    root = F.when(c > 0, (c - F.lit(tree.discount)) / F.lit(max(1, tree.n))).otherwise(F.lit(tree.unknown))
-    sums = rows.select(
-        "row",
-        "doc_id",
-        "tokens",
-        (F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
-        (F.col("base") + F.col("n") * F.log10(c + 0.1)).alias("base"),
-        (F.col("part") + F.col("n") * F.log10(root)).alias("part"),
-    )
-    total = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("part").alias("score"))
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and (own != group or size > 8 * FLUSH):
+                    yield done()
+                    size = 0
+                group = own
+                held.append(tree.asks(text))
+                size += len(held[-1])
+        if held:
+            yield done()
+
+    def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
+        tree = shared.value
+        codes = found.column("code").to_numpy().view(np.uint64)
+        order = np.argsort(codes)
+        codes, values = codes[order], found.column("v").to_numpy()[order]
+        scores = [tree.score(text, codes, values) for text in rows.column("text").to_pylist()]
+        columns = [pa.array(x, k) for x, k in zip(zip(*scores), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))] if scores else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+        return pa.Table.from_arrays([rows.column("doc_id").combine_chunks(), *columns], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    rows = common.materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_grouped, "group long, doc_id long, text string"), "groups")
+    asked = rows.select("group", "text").mapInArrow(ask, "group long, code long")
+    found = asked.join(facts, "code").select("group", "code", "v")
+    total = rows.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(answer, "doc_id long, n_tokens long, n_known long, base double, score double")
     scale = float(np.log10(tree.n + 0.1 * (tree.v + 1)))
     return total.select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score")
 
@@ -265,8 +431,8 @@ def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     docs = common.read(spark, sf_dir, "documents")
     held = common.crc_mod(F.col("doc_id"), 10) == 0
-    tree, vocab = train(docs.where(~held).select("text"))
-    return score(docs, tree, vocab).withColumn("held_out", held)
+    tree, facts = train(docs.where(~held).select("text"))
+    return score(docs, tree, facts).withColumn("held_out", held)
 
 
 QUERIES = {"op3_suffix_tree_lm": op3_suffix_tree_lm}

@@ -127,6 +127,48 @@ def test_nothing_to_learn_from(table):
     assert suffix_tree_lm.score(docs.limit(0), tree, suffix_tree_lm.train(docs.select("text"))[1]).collect() == []
 
 
+def test_contexts_by_count_whatever_the_corpus(table):
+    """A context met some dozen times says what follows, however much else there is, and to a depth of three."""
+    rng = random.Random(5)
+    phrase = lambda k: rng.choice(["left red stone gate", "right red stone wall"]) + f" f{k}a f{k}b f{k}c f{k}d"
+    filler = [(k, " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(500))) for k in range(200)]
+    rows = filler + [(1000 + k, phrase(k)) for k in range(40)] + [(5000, "left red stone gate"), (5001, "left red stone wall")]
+    docs = table(rows)
+    tree, out = scored(docs, "doc_id < 5000")
+    got = {r["doc_id"]: r["score"] for r in out}
+    assert tree.depth >= 3
+    assert got[5000] > got[5001] + 0.5
+    assert got[5000] > -9  # the root alone gives about -16
+
+
+def test_whole_tree_sums_to_one(table):
+    """Over all known words and the unknown ones, after contexts of the table."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join(rng.choice(words[j % 5 :: 5]) for j in range(20))) for k in range(100)]
+    docs = table(rows)
+    tree, facts = suffix_tree_lm.train(docs.select("text"))
+    ask = table([(k, f"{rows[0][1]} {w}") for k, w in enumerate([*words, "unseen"])] + [(99, rows[0][1])])
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(ask, tree, facts).collect()}
+    root = dict(zip(tree.ids, tree.root))
+    table_of = {r["code"]: r["v"] for r in facts.collect()}
+    codes = np.array(sorted(x % 2**64 for x in table_of), np.uint64)
+    values = np.array([table_of[int(x) - 2**64 if x >= 2**63 else int(x)] for x in codes])
+    last = lambda w: 10 ** (tree.score(f"{rows[0][1]} {w}", codes, values)[3] - got[99])
+    assert tree.depth and len(root) == 31 and all(math.isclose(last(w), 10 ** (got[k] - got[99])) for k, w in enumerate(words))
+    before = rows[0][1].split()
+    p = []
+    for w in [*words, None]:  # the chance of each next word: what the text with it has over the text before it, by place
+        ids, s, ws = tree.sequence(" ".join([*before, w]) if w else rows[0][1])
+        h = tree.codes(ids, ws)
+        q = 10 ** tree.dense(ids, s, np.empty(0))
+        for at, c, t in tree.lookups(h):
+            for i, x, y in zip(at.tolist(), c.view(np.int64).tolist(), t.view(np.int64).tolist()):
+                q[i] = q[i] * table_of.get(x, 1.0) + (table_of.get(y, 0.0) if y else 0.0)
+        p.append(q[len(before)])
+    assert 0.97 < sum(p) <= 1 + 1e-9
+
+
 # ---- quality --------------------------------------------------------------------------------------------------------
 def brute_repeats(words):
     grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
