@@ -214,6 +214,28 @@ def test_aggregation_agrees_with_unanimous_voters(spark):
     assert [r["ident"] for r in G.copeland(v, 3).orderBy(F.desc("score")).collect()] == [3, 1, 2, 0]
 
 
+def test_aggregation_ranks_every_item(spark):
+    """More items than a pool, the best of them with the greatest ids."""
+    n = 3100
+    order = spark.range(n).selectExpr("id AS ident", f"cast({n} - id AS int) AS rank")
+    v = order.crossJoin(spark.createDataFrame([("a",), ("b",), ("c",)], "voter string"))
+    for scores in (G.mc4(v, ["a", "b", "c"], 5), G.plackett_luce(v, ["a", "b", "c"], 5), G.local_kemeny(v, ["a", "b", "c"])):
+        got = {r["ident"]: r["score"] for r in scores.collect()}
+        assert len(got) == n and max(got, key=got.get) == n - 1
+
+
+def test_walk_by_blocks_is_the_dense_walk():
+    rng = np.random.default_rng(3)
+    ranks = np.array([rng.permutation(50) for _ in range(3)], float).T
+    step = (sum((r[None, :] < r[:, None]).astype(int) for r in ranks.T) >= 2) / 50
+    np.fill_diagonal(step, 1 - step.sum(1))
+    p = np.full(50, 1 / 50)
+    for _ in range(60):
+        p = p @ step
+    for block in (7, 50, 256):
+        assert np.allclose(G.walk(ranks, 2, 60, 0.0, block), p, atol=1e-13)
+
+
 def test_assignment_is_the_best(spark):
     rng = np.random.default_rng(1)
     w = rng.random((3, 4))
