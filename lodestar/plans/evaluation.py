@@ -440,6 +440,14 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("vec_id").agg(SIX(0.6 * F.first("s") + 0.4 * F.avg("t")).alias("score"))
 
 
+def all_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's label smoothed by the mean of its ten nearest among all others, as in the reference's graph reranking."""
+    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("ident"), F.col("embedding").alias("vector"), F.col("label").cast("double").alias("s"))
+    near = G.nearest(e.select("ident", "vector")).join(e.select(F.col("ident").alias("other"), F.col("s").alias("t")), "other")
+    mean = near.groupBy("ident").agg(F.avg("t").alias("t"))
+    return e.join(mean, "ident").select(F.col("ident").alias("vec_id"), SIX(0.6 * F.col("s") + 0.4 * F.col("t")).alias("score"))
+
+
 _DOT = lambda a, b: f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
 NEIGHBOUR_SQL = f"""
 WITH n AS (SELECT x.vec_id, x.label AS s, y.label AS t, row_number() OVER (PARTITION BY x.vec_id ORDER BY round({_DOT("x.embedding", "y.embedding")} / (sqrt({_DOT("x.embedding", "x.embedding")}) * sqrt({_DOT("y.embedding", "y.embedding")})), 9) DESC, y.vec_id) AS k FROM embeddings x JOIN embeddings y ON x.vec_id % 10 = y.vec_id % 10 AND x.vec_id <> y.vec_id)
@@ -501,6 +509,7 @@ QUERIES = {
     "j12_interval_overlap": overlaps,
     "n12_cosine_topk": cosine_topk,
     "g11_neighbour_scores": neighbours,
+    "g11_neighbour_scores_whole": all_neighbours,
     "a20_thread_pivot": threads,
     "n02_normalised": normalised,
 }

@@ -236,6 +236,36 @@ def test_walk_by_blocks_is_the_dense_walk():
         assert np.allclose(G.walk(ranks, 2, 60, 0.0, block), p, atol=1e-13)
 
 
+def test_nearest_of_the_whole_pool(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 5))
+    v[7] = v[31] = v[50]  # ties go by id
+    items = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "ident long, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    want = {k: sorted((j for j in range(60) if j != k), key=lambda j: (-c[k, j], j))[:10] for k in range(60)}
+    for block in (9, 2000):
+        got = {}
+        for r in G.nearest(items, 10, block).orderBy("ident", "place").collect():
+            got.setdefault(r["ident"], []).append(r["other"])
+        assert got == want
+
+
+def test_neighbour_scores_of_the_whole_pool(spark):
+    from lodestar.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    v, s = np.array([r["embedding"] for r in e], float), np.array([r["label"] for r in e], float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    np.fill_diagonal(c, -2)
+    near = np.argsort(-c, axis=1, kind="stable")[:, :10]
+    got = {r["vec_id"]: r["score"] for r in registry.QUERIES["g11_neighbour_scores_whole"](spark, d).collect()}
+    assert len(got) == len(e)
+    assert all(abs(got[r["vec_id"]] - 0.6 * s[k] - 0.4 * s[near[k]].mean()) < 2e-6 for k, r in enumerate(e))
+
+
 def test_assignment_is_the_best(spark):
     rng = np.random.default_rng(1)
     w = rng.random((3, 4))
