@@ -190,12 +190,16 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
                 first, many = bins[room].pop()
                 if not bins[room]:
                     tree.set(room, False)
-                if many > left:
-                    bins.setdefault(room, []).append((first + left, many - left))
+                # A bin just filled is now the tightest, and takes items of this length while they fit.
+                per = min(room // length, left)
+                rest = many - min(many, left // per)
+                many -= rest
+                if rest:
+                    bins.setdefault(room, []).append((first + many, rest))
                     tree.set(room, True)
-                    many = left
-                placed.append((length, ordinal, many, first, capacity - room))
-                used, taken = capacity - room + length, many
+                for k in range(per):
+                    placed.append((length, ordinal + k * many, many, first, capacity - room + k * length))
+                used, taken = capacity - room + per * length, many * per
             ordinal, left = ordinal + taken, left - taken
             if used < capacity:
                 bins.setdefault(capacity - used, []).append((first, many))

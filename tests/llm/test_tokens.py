@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -117,3 +118,29 @@ def test_pack(table, monkeypatch, capacity):
         assert at <= capacity
     assert len(bins) == naive([w[3] for w in want], capacity)
     assert packing.pack(table(rows).limit(0), WORDS, capacity).collect() == []
+
+
+def test_rooms_are_those_of_best_fit():
+    """Bins' rooms don't depend on how ties between bins of equal room are broken."""
+    rng = random.Random(8)
+    for _ in range(300):
+        capacity = rng.randint(5, 40)
+        counts = {rng.randint(1, capacity): rng.randint(1, 9) for _ in range(rng.randint(1, 6))}
+        rooms: list[int] = []
+        for length in sorted(counts, reverse=True):
+            for _ in range(counts[length]):
+                fits = [r for r in rooms if r >= length]
+                if fits:
+                    rooms.remove(min(fits))
+                rooms.append((min(fits) if fits else capacity) - length)
+        filled: dict[int, list[tuple[int, int]]] = {}
+        seen = Counter()
+        for length, ordinal, many, first, offset in packing.best_fit_decreasing(counts, capacity):
+            for k in range(many):
+                filled.setdefault(first + k, []).append((offset, length))
+                seen[length, ordinal + k] += 1
+        assert len(seen) == sum(counts.values()) and set(seen.values()) == {1}
+        for items in filled.values():
+            items.sort()
+            assert all(a + n <= b for (a, n), (b, _) in zip(items, items[1:])) and items[-1][0] + items[-1][1] <= capacity
+        assert sorted(capacity - sum(n for _, n in items) for items in filled.values()) == sorted(rooms)
