@@ -31,12 +31,12 @@ from .bpe import byte_symbols
 CAPACITY = 2048
 #: Pieces that share a bucket are ordered together; the number of buckets grows with the input.
 BUCKET_ROWS = 20_000
-#: Words whose ids a worker remembers; as many again stay until the next that many are met.
-CACHE = 400_000
+#: Words whose ids a worker remembers, of at most LONG characters; as many again stay until the next that many are met.
+CACHE, LONG = 400_000, 256
 #: Signs after a word that are split from it.
 _TAIL = ".,!?;:"
 #: A comma or full stop that other signs stand before belongs to them.
-_SIGNS = re.compile(r"[^\w\s][,.]\s")
+_SIGNS = re.compile(r"(?:[^\w\s]|_)[,.]\s")
 #: Texts of these characters alone are split at white space and looked up word by word; others go to the library whole.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7EÀ-ɏß¡¿«»]*")
 
@@ -110,7 +110,11 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     missing = set().union(*filter(None, words)).difference(cache)
     if missing:
         _learn(list(missing), tokenizer, cache, _state["old"])
-    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else _joined(ws, cache) for t, ws in zip(texts, words)]
+    out = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else _joined(ws, cache) for t, ws in zip(texts, words)]
+    for w in [w for w in missing if len(w) > LONG]:
+        cache.pop(w)
+        cache.pop(w.rstrip(_TAIL), None)
+    return out
 
 
 def _pieces(path: str, capacity: int):

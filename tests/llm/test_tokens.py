@@ -1,7 +1,8 @@
 import hashlib
 import random
-from collections import Counter
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +32,32 @@ def test_encodings_equal_the_library(texts):
         assert np.frombuffer(other, "<u4").tolist() == ids_of(WORDS, t)
 
 
+def test_signs_before_commas_and_full_stops():
+    signs = [chr(k) for k in range(33, 127)] + list("À¡¿«»ß")
+    texts = ["for _, x in y", "a_, b", "(_, b)", "hello __,\nworld"]
+    for a in signs:
+        for end in (", b", ".\nb", ",\tb", ". b"):
+            texts += [f"{a}{end}", f"w{a}{end}", f"{a}w{end}", f"_{a}{end}", f"{a}_{end}"]
+    for t, mine in zip(texts, packing.encode_texts(texts, WORDS)):
+        assert np.frombuffer(mine, "<u4").tolist() == ids_of(WORDS, t), t
+
+
+def test_long_words():
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("etaoinshrdlcumwfgypbvk") for _ in range(n))
+    coder = bpe.SpeculativeBpe(BYTES)
+    for n in (257, 1000, 5000):
+        for word in (letters(n), "ab" * n, "a" * n):
+            short = coder._merge_long(word.encode())
+            assert short == ids_of(BYTES, word)
+    start = time.monotonic()
+    for word in (letters(300_000), "a" * 300_000, "=" * 100_000):
+        assert np.frombuffer(coder.encode_texts([word])[0], "<u4").tolist() == ids_of(BYTES, word)
+        assert np.frombuffer(packing.encode_texts([word], WORDS)[0], "<u4").tolist() == ids_of(WORDS, word)
+    assert time.monotonic() - start < 90
+    assert not any(len(w) > bpe.LONG for w in coder.cache)
+
+
 def test_round_trip(table):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(None, "x"), (1, "again"), (1, "again")]
     sha = lambda b: hashlib.sha256(b).hexdigest()
