@@ -14,6 +14,7 @@ than id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose ids a worker remembers; as many again stay until the next that many are met.
-CACHE = 500_000
+#: Words whose ids a worker remembers, of at most LONG characters; as many again stay until the next that many are met.
+CACHE, LONG = 500_000, 256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of these characters are split here; the library's own splitter takes the others, whose classes may differ by Unicode version.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-ɏ‐-‧€]*")
@@ -63,6 +64,8 @@ class SpeculativeBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """The exact encoding of one word: the pair of least rank is joined, leftmost first, until none is left."""
+        if len(word) > LONG:
+            return self._merge_long(word)
         get, none = self.ranks.get, (1 << 60, 0)
         parts = [self.single[b] for b in word]
         ranks = [get(p, none) for p in zip(parts, parts[1:])]
@@ -79,6 +82,31 @@ class SpeculativeBpe:
                 ranks[i] = get((parts[i], parts[i + 1]), none)
         return parts
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for a word of any length: pairs wait in a heap by rank and place, and parts know their neighbours."""
+        get, n = self.ranks.get, len(word)
+        parts: list[int | None] = [self.single[b] for b in word]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = [(found[0], i) for i, pair in enumerate(zip(parts, parts[1:])) if (found := get(pair))]
+        heapq.heapify(waiting)
+        while waiting:
+            rank, i = heapq.heappop(waiting)
+            j = after[i]
+            if parts[i] is None or j >= n:
+                continue
+            found = get((parts[i], parts[j]))
+            if found is None or found[0] != rank:  # one of the two was joined to another since
+                continue
+            parts[i], parts[j] = found[1], None
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if found := get((parts[i], parts[j])):
+                    heapq.heappush(waiting, (found[0], i))
+            if (h := before[i]) >= 0 and (found := get((parts[h], parts[i]))):
+                heapq.heappush(waiting, (found[0], h))
+        return [p for p in parts if p is not None]
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         out, at, ids, longest = [], 0, self.ids, self.longest
@@ -136,7 +164,10 @@ class SpeculativeBpe:
             for w, ids in zip(part, self.encode_words([w.encode() for w in part])):
                 cache[w] = np.array(ids, "<u4").tobytes()
         get = cache.__getitem__
-        return [b"".join(b"".join(map(get, ws)) if ws is not None else np.array([self.added[p]], "<u4").tobytes() for p, ws in ps) for ps in split]
+        out = [b"".join(b"".join(map(get, ws)) if ws is not None else np.array([self.added[p]], "<u4").tobytes() for p, ws in ps) for ps in split]
+        for w in [w for w in missing if len(w) > LONG]:
+            del cache[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
