@@ -52,7 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     common.tenant("simhash")
     for batch in batches:
         fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["ident", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["ident", "content", "fp"])
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -177,22 +177,22 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fingerprint, component_id (the smallest id reachable)."""
+    """Per row: doc_id, fingerprint, component_id (the smallest id reachable); also component, the same for all rows linked, and content, a hash of the text."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    prints = common.materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_fingerprints, "ident long, fp long"), "prints")
+    prints = common.materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).mapInArrow(_fingerprints, "ident long, content long, fp long"), "prints")
     nodes = prints.groupBy("fp").agg(F.min("ident").alias("least"))
     common.small_batches(spark, 10_000)
     edges = nodes.select("fp").mapInArrow(_spread, "bucket long, fp long").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link, "a long, b long")
     roots = common.components(edges)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = prints.join(rooted.join(heads, "root").select("fp", "component_id"), "fp")
-    return found.select(F.col("ident").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = prints.join(rooted.join(heads, "root").select("fp", "component_id", F.col("root").alias("component")), "fp")
+    return found.select(F.col("ident").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", "content")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.read(spark, sf_dir, "documents"))
+    return near_duplicates(common.read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {"op2_simhash": op2_simhash}

@@ -31,7 +31,7 @@ def test_stages_match_their_operators(spark):
     a = docs.join(quality.judge(docs).where("kept").select("doc_id"), "doc_id")
     b = a.join(exact_dedup.owners(a).where("kept").select("doc_id"), "doc_id")
     c = b.join(simhash.near_duplicates(b).where("doc_id = component_id").select("doc_id"), "doc_id")
-    bytes_left = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in repeats.measure(c).collect()}
+    bytes_left = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in repeats.measure(c, length=corpus_pipeline.WINDOW).collect()}
     last = docs
     for _, stage in corpus_pipeline.STAGES[:4]:
         last = stage(spark, last, d)
@@ -39,3 +39,27 @@ def test_stages_match_their_operators(spark):
     assert got.keys() == bytes_left.keys()
     assert all(0 <= bytes_left[k] - n <= 6 * 8 for k, n in got.items())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == got.keys()
+
+
+def test_one_of_rows_that_share_an_id_stays(spark, table):
+    base = " ".join(f"w{k * k % 977}" for k in range(300))
+    rows = [(3, base), (3, base + " word"), (5, base + " more"), (3, " ".join(f"u{k}" for k in range(100))), (None, " ".join(f"v{k}" for k in range(100)))]
+    got = corpus_pipeline.near(spark, table(rows), "").collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "3", "None"]
+    assert sum(r["text"].startswith("w") for r in got) == 1
+
+
+def test_passages_of_over_fifty_words_go(spark, table):
+    """Passages planted in documents of their own words, by length; those of over 50 words go whatever they hold."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda low, high: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
+    planted = {n: " ".join(word(1, 6) for _ in range(n)) for n in (20, 51, 60, 100)}
+    rows = [(10 * n + k, " ".join(word(3, 9) for _ in range(80)) + f" {passage} " + " ".join(word(3, 9) for _ in range(80))) for n, passage in planted.items() for k in range(3)]
+    rows += [(k, " ".join(word(3, 9) for _ in range(120))) for k in range(5)]
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.passages(spark, table(rows), "").collect()}
+    for n, passage in planted.items():
+        for k in range(3):
+            assert (passage in texts[10 * n + k]) == (n == 20)
+    assert all(texts[i] == t for i, t in rows if i < 5)

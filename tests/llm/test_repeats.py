@@ -8,9 +8,8 @@ import pytest
 from lodestar.llm import repeats
 
 
-def brute(texts):
+def brute(texts, n=repeats.LENGTH):
     bodies = [(t or "").encode() for t in texts]
-    n = repeats.LENGTH
     seen = Counter(b[i : i + n] for b in bodies for i in range(len(b) - n + 1))
     out = []
     for b in bodies:
@@ -48,6 +47,14 @@ def test_brute_force(spark, table, monkeypatch, seed, hot, chunk):
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
+@pytest.mark.parametrize(("length", "hot"), [(200, 1 << 20), (200, 3000), (80, 1 << 20)])
+def test_other_lengths(table, monkeypatch, length, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    texts = corpus(9, 40)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.measure(table(list(enumerate(texts))), length=length).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, length)
+
+
 def test_repeated_windows_over_shards(monkeypatch):
     monkeypatch.setattr(repeats, "SHARD", 3000)
     bodies = [t.encode() for t in corpus(4, 20) if t and len(t.encode()) >= repeats.LENGTH]
