@@ -27,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
+#: Bytes of a window unless a caller gives another length (a multiple of STEP, over K), of a hash, and of a symbol.
 LENGTH, K, STEP = 400, 32, 40
 SPAN = LENGTH - K + 1
 #: Bytes of segments merged at once, in one shard, and of one anchor before its windows are halved.
@@ -40,7 +42,6 @@ BATCH, SHARD, HOT = 1 << 18, 1 << 17, 1 << 20
 CHUNK = 1 << 19
 #: Places of windows, relative to their anchor, that are looked at together before the merge.
 CELL = 24
-_PASSES = LENGTH // STEP
 _NONE = -(1 << 63)
 
 _u = np.uint64
@@ -81,44 +82,48 @@ class Hasher:
         return _mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k])
 
 
-def segments(s: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per segment of a text of LENGTH bytes or more: first window, windows, anchor's place after it, anchor hash, content hash."""
+def segments(s: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Per segment of a text of length bytes or more: first window, windows, anchor's place after it, anchor hash, content hash."""
     hasher = Hasher(s)
     value = hasher.grams(K)
-    n = len(s) - LENGTH + 1
+    n, span = len(s) - length + 1, length - K + 1
     place = np.arange(len(value))
     width = 1
-    while 2 * width <= SPAN:
+    while 2 * width <= span:
         left = value[:-width] <= value[width:]
         place = np.where(left, place[:-width], place[width:])
         value = np.where(left, value[:-width], value[width:])
         width *= 2
-    rest = SPAN - width
+    rest = span - width
     if rest:
         left = value[:-rest] <= value[rest:]
         place = np.where(left, place[:-rest], place[rest:])
         value = np.where(left, value[:-rest], value[rest:])
     start = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
     end = np.append(start[1:], n)
-    return start, end - start, place[start] - start, value[start].view(np.int64), hasher(start, end + LENGTH - 1).view(np.int64)
+    return start, end - start, place[start] - start, value[start].view(np.int64), hasher(start, end + length - 1).view(np.int64)
 
 
 _SEGMENT = "ident long, hash long, start int, windows int, offset int, anchor long, content long"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(length: int):
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64()]
-    common.tenant("repeats")
-    for batch in batches:
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in names]
-        for ident, key, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for at in range(0, max(0, len(body) - LENGTH + 1), CHUNK):
-                found = segments(np.frombuffer(body, np.uint8)[at : at + CHUNK + LENGTH - 1])
-                size = len(found[0])
-                for column, values in zip(out, (np.full(size, ident), np.full(size, key), found[0] + at, *found[1:])):
-                    column.append(values)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("repeats")
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in names]
+            for ident, key, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for at in range(0, max(0, len(body) - length + 1), CHUNK):
+                    found = segments(np.frombuffer(body, np.uint8)[at : at + CHUNK + length - 1], length)
+                    size = len(found[0])
+                    for column, values in zip(out, (np.full(size, ident), np.full(size, key), found[0] + at, *found[1:])):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, types)], names=names)
+
+    return run
 
 
 def _order(codes: np.ndarray) -> np.ndarray:
@@ -156,7 +161,7 @@ class Transform:
         self.ends = int(ends.sum())
 
 
-def merge(transforms: list[Transform], passes: int = _PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(transforms: list[Transform], passes: int = LENGTH // STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleaves transforms in order of their suffixes' first symbols: the shard and the row of each place, and the common prefix, in symbols, with the place before."""
     sizes = [len(t.rows) for t in transforms]
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
@@ -179,7 +184,7 @@ def merge(transforms: list[Transform], passes: int = _PASSES) -> tuple[np.ndarra
     return shard, rows, common_prefix
 
 
-def repeated_windows(bodies: list[bytes]) -> list[np.ndarray]:
+def repeated_windows(bodies: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Per segment, for each of its windows, whether it is also elsewhere in the segments."""
     sizes = np.array([len(b) for b in bodies])
     s = np.frombuffer(b"".join(bodies), np.uint8)
@@ -200,29 +205,29 @@ def repeated_windows(bodies: list[bytes]) -> list[np.ndarray]:
         shards[-1].append(k)
     bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
     transforms = [Transform(sizes[x[0] : x[-1] + 1] + 1, codes[bounds[x[0]] : bounds[x[-1] + 1]]) for x in shards]
-    shard, rows, prefix = merge(transforms)
-    again = prefix == _PASSES
+    shard, rows, prefix = merge(transforms, length // STEP)
+    again = prefix == length // STEP
     again[:-1] |= again[1:]  # a block is a run of places of which each but the first shares all symbols with the one before
     flat = np.zeros(len(owner), bool)
     flat[np.array([bounds[x[0]] for x in shards])[shard] + rows] = again
-    return [flat[bounds[k] : bounds[k] + sizes[k] - LENGTH + 1] for k in range(len(bodies))]
+    return [flat[bounds[k] : bounds[k] + sizes[k] - length + 1] for k in range(len(bodies))]
 
 
-def likely_parts(keys: np.ndarray, lows: np.ndarray, bodies: list[bytes]) -> list[tuple[int, int, bytes]]:
+def likely_parts(keys: np.ndarray, lows: np.ndarray, bodies: list[bytes], length: int = LENGTH) -> list[tuple[int, int, bytes]]:
     """Of segments, those runs of windows that can have an equal: (segment, first window, bytes).
 
     Windows are parted by their place relative to the anchor into cells of CELL places. All windows of a cell share a
     middle, so equal ones are in segments of equal key that agree in it; cells alone in theirs are left out.
     """
     sizes = np.array([len(b) for b in bodies])
-    n = sizes - LENGTH + 1
+    n = sizes - length + 1
     s = np.frombuffer(b"".join(bodies), np.uint8)
     first = lows // CELL
     cells = (lows + n - 1) // CELL - first + 1
     owner = np.repeat(np.arange(len(bodies)), cells)
     cell = np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells) + first[owner]
     anchor = (np.cumsum(sizes) - sizes + lows + n - 1)[owner]
-    middle = Hasher(s)(anchor - cell * CELL, anchor - (cell + 1) * CELL + 1 + LENGTH)
+    middle = Hasher(s)(anchor - cell * CELL, anchor - (cell + 1) * CELL + 1 + length)
     name = _mix(keys.astype(np.int64).view(np.uint64)[owner] * _u(3) + cell.astype(np.uint64)) ^ middle
     place, count = np.unique(name, return_inverse=True, return_counts=True)[1:]
     width = np.minimum((lows + n)[owner], (cell + 1) * CELL) - np.maximum(lows[owner], cell * CELL)
@@ -231,7 +236,7 @@ def likely_parts(keys: np.ndarray, lows: np.ndarray, bodies: list[bytes]) -> lis
     for k, body in enumerate(bodies):
         for i, j in _runs(flags[bounds[k] : bounds[k + 1]]):
             skip = int(n[k]) - j
-            out.append((k, skip, body if j - i == n[k] else body[skip : skip + j - i + LENGTH - 1]))
+            out.append((k, skip, body if j - i == n[k] else body[skip : skip + j - i + length - 1]))
     return out
 
 
@@ -248,94 +253,104 @@ def _spans(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types)], names=["ident", "hash", "first", "last"])
 
 
-def _merge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_groups(length: int):
     """Rows (key, ident, hash, start, known, body, low) come in order of key; a key's rows are judged together."""
-    common.tenant("repeats")
-    held, size, group, key = [], 0, [], None
-
-    def judged(rows: list) -> list[tuple[int, int, int, int]]:
-        if len(rows) < 2:
-            return []
-        parts = likely_parts(np.array([r[0] for r in rows]), np.array([r[6] for r in rows]), [r[5] for r in rows])
-        out = []
-        for (k, skip, _), flags in zip(parts, repeated_windows([p[2] for p in parts]) if parts else []):
-            _, ident, h, start, known, _, _ = rows[k]
-            if not known:
-                out += [(ident, h, start + skip + i, start + skip + j + LENGTH - 1) for i, j in _runs(flags)]
-        return out
-
-    for batch in batches:
-        found = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            if row[0] != key:
-                if size > BATCH:
-                    found += judged(held + group)
-                    held, group, size = [], [], 0
-                held.extend(group)
-                group, key = [], row[0]
-            group.append(row)
-            size += len(row[5])
-        if found:
-            yield _spans(found)
-    yield _spans(judged(held + group))
-
-
-def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("repeats")
+        held, size, group, key = [], 0, [], None
+
+        def judged(rows: list) -> list[tuple[int, int, int, int]]:
+            if len(rows) < 2:
+                return []
+            parts = likely_parts(np.array([r[0] for r in rows]), np.array([r[6] for r in rows]), [r[5] for r in rows], length)
+            out = []
+            for (k, skip, _), flags in zip(parts, repeated_windows([p[2] for p in parts], length) if parts else []):
+                _, ident, h, start, known, _, _ = rows[k]
+                if not known:
+                    out += [(ident, h, start + skip + i, start + skip + j + length - 1) for i, j in _runs(flags)]
+            return out
+
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if row[0] != key:
+                    if size > BATCH:
+                        found += judged(held + group)
+                        held, group, size = [], [], 0
+                    held.extend(group)
+                    group, key = [], row[0]
+                group.append(row)
+                size += len(row[5])
+            if found:
+                yield _spans(found)
+        yield _spans(judged(held + group))
+
+    return run
+
+
+def _cut_segments(length: int):
     """Rows (ident, hash, body, list of (anchor, start, windows, offset, known)): the segments' bytes."""
     names = ["key", "ident", "hash", "start", "low", "windows", "known", "body"]
     types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.binary()]
-    for batch in batches:
-        out = []
-        for ident, key, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for w in wanted:
-                first, n = w["start"], w["windows"]
-                out.append((w["anchor"], ident, key, first, w["offset"] - n + 1, n, w["known"], body[first : first + n + LENGTH - 1]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ident, key, body, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for w in wanted:
+                    first, n = w["start"], w["windows"]
+                    out.append((w["anchor"], ident, key, first, w["offset"] - n + 1, n, w["known"], body[first : first + n + length - 1]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+
+    return run
 
 
 _PART = "key long, ident long, hash long, start int, low int, windows int, known boolean, body binary"
 
 
-def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halve(length: int):
     """Cuts parts into those of windows by a grid of places relative to the anchor, half as wide as before.
 
     A window whose first byte lies d before the anchor has place d; a part holds places low .. low + windows - 1. The
     key of a part is hashed from its cell and the bytes that all windows of that cell share with it.
     """
-    import xxhash
-
     names = ["key", "ident", "hash", "start", "low", "windows", "known", "body", "content", "width"]
     types = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.binary(), pa.int64(), pa.int32()]
-    for batch in batches:
-        out = []
-        for key, ident, h, start, low, windows, known, body, width in zip(*(batch.column(i).to_pylist() for i in range(9))):
-            width //= 2
-            for cell in range(low // width, (low + windows - 1) // width + 1):
-                a, b = max(low, cell * width), min(low + windows, (cell + 1) * width)
-                skip = low + windows - b  # larger places come first in the text
-                part = body[skip : skip + b - a + LENGTH - 1]
-                at = b - 1  # the anchor's place in the part
-                middle = part[at - cell * width : at - ((cell + 1) * width - 1) + LENGTH]  # of which any window of the cell has all
-                whole = xxhash.xxh64_intdigest(part, 11)
-                name = xxhash.xxh64_intdigest(b"%d %d %d " % (key, cell, width) + middle, 12)
-                out.append((name - (1 << 63), ident, h, start + skip, a, b - a, known, part, whole - (1 << 63), width))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
-
-
-def _halved(parts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, ident, h, start, low, windows, known, body, width in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                width //= 2
+                for cell in range(low // width, (low + windows - 1) // width + 1):
+                    a, b = max(low, cell * width), min(low + windows, (cell + 1) * width)
+                    skip = low + windows - b  # larger places come first in the text
+                    part = body[skip : skip + b - a + length - 1]
+                    at = b - 1  # the anchor's place in the part
+                    middle = part[at - cell * width : at - ((cell + 1) * width - 1) + length]  # of which any window of the cell has all
+                    whole = xxhash.xxh64_intdigest(part, 11)
+                    name = xxhash.xxh64_intdigest(b"%d %d %d " % (key, cell, width) + middle, 12)
+                    out.append((name - (1 << 63), ident, h, start + skip, a, b - a, known, part, whole - (1 << 63), width))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+
+    return run
+
+
+def _halved(parts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Of parts with hot keys: spans known to be repeated, and parts small enough to merge."""
-    spans, small, width = [], [], 512
+    spans, small, width = [], [], 1 << (length - K + 1).bit_length()  # the first cells' windows share K bytes at least
     parts = parts.withColumn("width", F.lit(width))
     while True:
-        parts = common.materialize(parts.mapInArrow(_halve, _PART + ", content long, width int"), "halves")
+        parts = common.materialize(parts.mapInArrow(_halve(length), _PART + ", content long, width int"), "halves")
         width //= 2
         alike = parts.groupBy("key", "content", "low", "windows").agg(F.count("*").alias("copies"), F.bool_or("known").alias("any_known"))
-        keys = alike.groupBy("key").agg(F.sum("copies").alias("rows"), F.sum(F.col("windows") + LENGTH - 1).alias("bytes"))
+        keys = alike.groupBy("key").agg(F.sum("copies").alias("rows"), F.sum(F.col("windows") + length - 1).alias("bytes"))
         rows = parts.join(alike, ["key", "content", "low", "windows"]).join(keys.where("rows > 1"), "key")
         rows = common.materialize(rows, "judged")
-        spans.append(rows.where("NOT known AND copies > 1").select("ident", "hash", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("last")))
+        spans.append(rows.where("NOT known AND copies > 1").select("ident", "hash", F.col("start").alias("first"), (F.col("start") + F.col("windows") + length - 1).alias("last")))
         # One of each content goes on, as known if it is known or has copies.
         one = rows.where("copies = 1 OR known OR NOT any_known").withColumn("known", F.expr("known OR copies > 1"))
         one = one.dropDuplicates(["key", "content", "low", "windows"])
@@ -348,28 +363,28 @@ def _halved(parts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
             return spans, small
 
 
-def repeated_spans(bodies: DataFrame) -> DataFrame:
+def repeated_spans(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
     """From (ident, hash, body): spans (ident, hash, first, last) of bytes that windows found elsewhere too cover."""
-    found = common.materialize(bodies.mapInArrow(_anchors, _SEGMENT), "segments")
+    found = common.materialize(bodies.mapInArrow(_anchors(length), _SEGMENT), "segments")
     same = ["anchor", "content", "windows", "offset"]
     alike = found.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct("ident", "hash", "start")).alias("one"))
     alike = common.materialize(alike, "alike")
-    anchors = alike.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.sum(F.col("windows") + LENGTH - 1).alias("bytes"))
-    known = found.join(alike.where("copies > 1").select(*same), same).select("ident", "hash", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("last"))
+    anchors = alike.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.sum(F.col("windows") + length - 1).alias("bytes"))
+    known = found.join(alike.where("copies > 1").select(*same), same).select("ident", "hash", F.col("start").alias("first"), (F.col("start") + F.col("windows") + length - 1).alias("last"))
     # An anchor all of whose segments have copies, or with one alone, is settled.
     open_ = alike.join(anchors.where("kinds > 1 AND least = 1"), "anchor")
     wanted = open_.select(F.col("one.ident").alias("ident"), F.col("one.hash").alias("hash"), F.struct("anchor", F.col("one.start").alias("start"), "windows", "offset", (F.col("copies") > 1).alias("known")).alias("w"))
     wanted = wanted.groupBy("ident", "hash").agg(F.collect_list("w").alias("wanted"))  # no more than a document has
-    parts = bodies.join(wanted, ["ident", "hash"]).select("ident", "hash", "body", "wanted").mapInArrow(_cut_segments, _PART)
+    parts = bodies.join(wanted, ["ident", "hash"]).select("ident", "hash", "body", "wanted").mapInArrow(_cut_segments(length), _PART)
     hot = anchors.where((F.col("kinds") > 1) & (F.col("least") == 1) & (F.col("bytes") > HOT)).select(F.col("anchor").alias("key"))
     spans = [known]
     if not (hot := common.materialize(hot, "hot")).isEmpty():
         parts = common.materialize(parts, "parts")
-        more, small = _halved(parts.join(hot, "key", "left_semi"))
+        more, small = _halved(parts.join(hot, "key", "left_semi"), length)
         spans += more
         parts = common.union_all([parts.join(hot, "key", "left_anti"), *small])
     dealt = parts.select("key", "ident", "hash", "start", "known", "body", "low").repartition("key").sortWithinPartitions("key")
-    spans.append(dealt.mapInArrow(_merge_groups, _SPAN))
+    spans.append(dealt.mapInArrow(_merge_groups(length), _SPAN))
     return common.union_all(spans)
 
 
@@ -392,16 +407,16 @@ def _keep(body: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, runs
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """docs with __body and __spans."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.withColumns({"__body": body, "__ident": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "__hash": F.xxhash64(body)})
     bodies = keyed.select(F.col("__ident").alias("ident"), F.col("__hash").alias("hash"), F.col("__body").alias("body"))
-    spans = repeated_spans(bodies).groupBy(F.col("ident").alias("__ident"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
+    spans = repeated_spans(bodies, length).groupBy(F.col("ident").alias("__ident"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
     return keyed.join(spans, ["__ident", "__hash"], "left")
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     common.small_batches(docs.sparkSession)
 
@@ -414,11 +429,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    rows = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    rows = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", length)
     return rows.select("doc_id", "__body", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with the repeated passages taken out of the text; a character cut in part goes whole. Null texts stay null."""
     common.small_batches(docs.sparkSession)
 
@@ -434,7 +449,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = _with_spans(docs, id_col, text_col)
+    rows = _with_spans(docs, id_col, text_col, length)
     return rows.select(*docs.columns, "__body", "__spans").mapInArrow(run, docs.schema)
 
 
