@@ -54,6 +54,22 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Bits of a bitmap that spares rows a join.
+SPARED = 1 << 23
+
+
+def parted(df: DataFrame, code: str, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose code (a column of longs) may be among codes (a column named code), and those that surely have no match.
+
+    A bitmap of at most SPARED bits is broadcast. It only spares rows a join: where it is full, all rows go the first way.
+    """
+    at = lambda c: F.shiftright(F.expr(f"{c} & {SPARED - 1}"), 6)
+    bits = codes.groupBy(at("code").alias("__at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 AS int))")).alias("__bits"))
+    marked = df.join(F.broadcast(bits), at(code) == F.col("__at"), "left")
+    hit = F.expr(f"coalesce(shiftright(__bits, cast({code} & 63 AS int)) & 1, 0) = 1")
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+
 #: Parts that a node's neighbours are dealt into.
 SALT = 64
 

@@ -374,8 +374,9 @@ def repeated_spans(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
     # An anchor all of whose segments have copies, or with one alone, is settled.
     open_ = alike.join(anchors.where("kinds > 1 AND least = 1"), "anchor")
     wanted = open_.select(F.col("one.ident").alias("ident"), F.col("one.hash").alias("hash"), F.struct("anchor", F.col("one.start").alias("start"), "windows", "offset", (F.col("copies") > 1).alias("known")).alias("w"))
-    wanted = wanted.groupBy("ident", "hash").agg(F.collect_list("w").alias("wanted"))  # no more than a document has
-    parts = bodies.join(wanted, ["ident", "hash"]).select("ident", "hash", "body", "wanted").mapInArrow(_cut_segments(length), _PART)
+    wanted = common.materialize(wanted.groupBy("ident", "hash").agg(F.collect_list("w").alias("wanted")), "wanted")  # no more than a document has
+    asked, _ = common.parted(bodies, "hash", wanted.select(F.col("hash").alias("code")))
+    parts = asked.join(wanted, ["ident", "hash"]).select("ident", "hash", "body", "wanted").mapInArrow(_cut_segments(length), _PART)
     hot = anchors.where((F.col("kinds") > 1) & (F.col("least") == 1) & (F.col("bytes") > HOT)).select(F.col("anchor").alias("key"))
     spans = [known]
     if not (hot := common.materialize(hot, "hot")).isEmpty():
@@ -413,7 +414,11 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> Dat
     keyed = docs.withColumns({"__body": body, "__ident": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "__hash": F.xxhash64(body)})
     bodies = keyed.select(F.col("__ident").alias("ident"), F.col("__hash").alias("hash"), F.col("__body").alias("body"))
     spans = repeated_spans(bodies, length).groupBy(F.col("ident").alias("__ident"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
-    return keyed.join(spans, ["__ident", "__hash"], "left")
+    spans = common.materialize(spans, "spans")
+    met, whole = common.parted(keyed, "__hash", spans.select(F.col("__hash").alias("code")))
+    columns = [*keyed.columns, "__spans"]
+    none = F.lit(None).cast(spans.schema["__spans"].dataType)
+    return met.join(spans, ["__ident", "__hash"], "left").select(*columns).union(whole.withColumn("__spans", none).select(*columns))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
