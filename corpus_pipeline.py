@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lodestar.llm import common, exact_dedup, packing, quality, repeats, simhash
 
 _KEYS = ["__id", "__text"]
+#: Bytes that a repeated passage has at least. Fifty words with a space after each have 200 if they have three letters on
+#: average, so a longer passage that repeats doesn't stay.
+WINDOW = 200
 
 
 def _id(column: str = "doc_id") -> Column:
@@ -35,14 +38,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_id().alias("__id"))
-    return docs.withColumn("__id", _id()).join(kept, "__id", "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group of linked fingerprints, of equal ids that with the least hash of its text."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("first")
+    kept = simhash.near_duplicates(docs).groupBy("component").agg(first).select(_id("first.doc_id").alias("__id"), F.col("first.content").alias("__text"))
+    return docs.withColumns({"__id": _id(), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}).join(kept, _KEYS, "left_semi").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without repeated passages, n_chars counted anew."""
-    out = repeats.remove(docs)
+    out = repeats.remove(docs, length=WINDOW)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
