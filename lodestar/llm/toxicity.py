@@ -8,7 +8,8 @@ count. The weights' sum, alone and per word, gives the score by a logistic funct
 The lexicon is learned: word-initial stems of 3 to 10 letters whose presence differs between labels by a likelihood
 ratio beyond what the number of stems tried would give by chance; each weighs its log odds. Exception phrases are
 learned likewise: a hit with its neighbour word that is found mostly in rows with label 0. Training takes a bounded
-sample of about SAMPLE labelled rows, chosen by a hash of the id, of whole texts; scoring reads every row.
+sample of about SAMPLE labelled rows, chosen by a hash of the id, of whole texts; scoring reads every row. All stems and
+phrases that pass their tests are taken: what the sample holds bounds them, no count does.
 
 Defined results: null and empty texts get the score of a text without hits. Several labels of one id: the largest
 counts; null labels don't. Without labels of both kinds nothing is learned and all scores are 0. Rows that repeat an id
@@ -32,8 +33,6 @@ from . import common
 
 SAMPLE = 20_000
 STEM_LETTERS = (3, 10)
-#: The largest lexicon; stems beyond it in weight don't fit any bounded broadcast and are never met in practice.
-LEXICON = 5000
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -90,15 +89,18 @@ def choose(counts: list[tuple[str, int, int]], all0: int, all1: int, tried: int)
     """The lexicon: of stems that continue each other, the longest that loses no more than a tenth of the documents."""
     odds = lambda n0, n1: log((n1 + 0.5) / (all1 + 1)) - log((n0 + 0.5) / (all0 + 1))
     strong = {s: (n0, n1) for s, n0, n1 in counts if odds(n0, n1) > 1.5 and n1 > n0 and _gain(n0, n1, all0, all1) > 2 * (log(max(2, tried)) + 3)}
+    longer: dict[str, list[str]] = defaultdict(list)
+    for t in strong:
+        longer[t[:-1]].append(t)
     taken: dict[str, float] = {}
     for s in sorted(strong, key=lambda s: (len(s), s)):
         if any(s[:k] in taken for k in range(1, len(s))):
             continue
         best = s
-        while grown := [t for t in strong if len(t) == len(best) + 1 and t.startswith(best) and strong[t][1] >= 0.9 * strong[s][1]]:
+        while grown := [t for t in longer[best] if strong[t][1] >= 0.9 * strong[s][1]]:
             best = max(grown, key=lambda t: strong[t][1])
         taken[best] = odds(*strong[best])
-    return dict(sorted(taken.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
+    return dict(sorted(taken.items(), key=lambda x: (-x[1], x[0])))
 
 
 class Scorer:
@@ -178,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         return Scorer({})
     tried = counts.count()
     prior = whole["n1"] / (whole["n0"] + whole["n1"])
-    likely = counts.where(F.col("stem") != "").where(F.col("n1") >= 3).where(F.col("n1") > F.col("n0") * (prior / (1 - prior)) * 4).orderBy(F.desc(F.col("n1") / (F.col("n0") + 1)), "stem").limit(20 * LEXICON)
+    likely = counts.where(F.col("stem") != "").where(F.col("n1") >= 3).where(F.col("n1") > F.col("n0") * (prior / (1 - prior)) * 4)
     lexicon = choose([(r["stem"], r["n0"], r["n1"]) for r in likely.collect()], whole["n0"], whole["n1"], tried)
     scorer = Scorer(lexicon)
 
@@ -190,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["phrase", "n0", "n1"])
 
     seen = rows.mapInArrow(phrases, "phrase string, n0 long, n1 long").groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    scorer.exceptions = frozenset(r["phrase"] for r in seen.where("n0 >= 5 AND n0 > 4 * n1").orderBy(F.desc("n0"), "phrase").limit(LEXICON).collect())
+    scorer.exceptions = frozenset(r["phrase"] for r in seen.where("n0 >= 5 AND n0 > 4 * n1").collect())
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

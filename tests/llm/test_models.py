@@ -78,6 +78,34 @@ def test_lexicon_and_exceptions(spark, table):
     assert toxicity.score(docs.limit(0), none).collect() == []
 
 
+def test_hits_and_measure_by_brute_force():
+    """All stems at word starts, the longest of those that start together, less those in exception phrases."""
+    rng = random.Random(8)
+    stems = ["ab", "abc", "abcd", "b", "ca", "cab"]
+    lexicon = {s: 1.0 + k for k, s in enumerate(stems)}
+    exceptions = frozenset({"x ab", "cab y", "b x"})
+    scorer = toxicity.Scorer(lexicon, exceptions, (-2.0, 1.5, 0.5))
+    for _ in range(500):
+        words = [rng.choice(["ab", "abcde", "abce", "xab", "cabby", "cab", "x", "y", "b", "ca"]) for _ in range(rng.randint(0, 12))]
+        total = 0.0
+        for i, w in enumerate(words):
+            met = [s for s in stems if w.startswith(s)]
+            if met:
+                s = max(met, key=len)
+                before = f"{words[i - 1]} {s}" if i else ""
+                after = f"{s} {words[i + 1]}" if i + 1 < len(words) else ""
+                total += 0.0 if before in exceptions or after in exceptions else lexicon[s]
+        got = scorer.measure(" ".join(words).upper())
+        assert math.isclose(got[0], total) and math.isclose(got[1], total / max(1, len(words)))
+        a, b, c = scorer.weights
+        assert math.isclose(scorer.score(*got), 1 / (1 + math.exp(-(a + b * math.log1p(total) + c * math.log1p(100 * got[1])))))
+
+
+def test_lexicon_has_no_cap():
+    counts = [(f"st{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}", 0, 60) for k in range(7000)]
+    assert len(toxicity.choose(counts, 5000, 1000, 50_000)) == 7000
+
+
 # ---- language model -------------------------------------------------------------------------------------------------
 def scored(docs, where):
     tree, vocab = suffix_tree_lm.train(docs.where(where).select("text"))
