@@ -21,7 +21,35 @@ def test_trie():
         trie.insert(s, i, 1)
         old = want.get(s, (None, 0))
         want[s] = (i if old[0] is None else old[0] if i is None else min(i, old[0]), old[1] + 1)
-    assert {k: (i, n) for k, i, n in trie.terminals()} == want
+    assert {k: (own[0], own[1]) for k, own in trie.terminals()} == want
+    assert any(children and own for _, children, own in trie.root[1].values())  # strings that others begin with
+
+
+def test_subtrees_are_spilled_in_order():
+    rng = random.Random(2)
+    keys = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    trie, got = exact_dedup.Patricia(), []
+    for k, s in enumerate(sorted(keys)):
+        if k % 7 == 0:
+            got += trie.before(s)
+            held = list(trie.terminals())
+            assert all(s.startswith(x) or x.startswith(s) for x, _ in held)
+            assert trie.held == sum(len(x) + exact_dedup._NODE for x, _ in held)
+        trie.insert(s, k, 1, s)
+    got += trie.rest()
+    assert {own[3]: own[1] for own in got} == Counter(keys) and len(got) == len(set(keys))
+
+
+@pytest.mark.parametrize("budget", [0, 3000])
+def test_spilled_groups(table, monkeypatch, budget):
+    monkeypatch.setattr(exact_dedup, "BUDGET", budget)
+    rng = random.Random(3)
+    rows = [(k % 97, "".join(rng.choice("ab \t") for _ in range(rng.choice([3, 4, 600])))) for k in range(600)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t)].append(i)
+    got = Counter((r["text_sha256"], r["keep_id"], r["group_size"]) for r in exact_dedup.owners(table(rows)).collect())
+    assert got == {(hashlib.sha256(t.encode()).hexdigest(), min(ids), len(ids)): len(ids) for t, ids in groups.items()}
 
 
 @pytest.mark.parametrize("rows", [ODD, []])
