@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _written: list[str] = []
@@ -30,29 +31,53 @@ def ship(context: SparkContext) -> None:
     _shipped.add(context.applicationId)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below spark.checkpoint.dir; where that is unset, in a temporary folder, but only if all runs on this machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestar-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/lodestar/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below spark.checkpoint.dir (a temporary folder only where that is unset, as in tests) and reads it back.
+    """Writes df below the shared path and reads it back.
 
     What follows starts from a plain scan: lost executors recompute it from there, and the optimizer doesn't carry wide
     projections' constraints through joins.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/lodestar/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _delete(context: SparkContext, name: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    _written.remove(df.staged_path)
+    _delete(df.sparkSession.sparkContext, df.staged_path)
+
+
+def released(spark: SparkSession) -> None:
+    """Collects the driver's garbage, so that Spark deletes the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def forget(context: SparkContext) -> None:
     """Deletes the tables that this process has staged; call it when no result that reads them is needed any more."""
-    jvm = context._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(context, _written.pop())
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -224,16 +224,76 @@ def test_aggregation_ranks_every_item(spark):
         assert len(got) == n and max(got, key=got.get) == n - 1
 
 
-def test_walk_by_blocks_is_the_dense_walk():
+def test_majorities_by_blocks_walk_as_the_dense_matrix():
     rng = np.random.default_rng(3)
     ranks = np.array([rng.permutation(50) for _ in range(3)], float).T
     step = (sum((r[None, :] < r[:, None]).astype(int) for r in ranks.T) >= 2) / 50
     np.fill_diagonal(step, 1 - step.sum(1))
-    p = np.full(50, 1 / 50)
-    for _ in range(60):
-        p = p @ step
     for block in (7, 50, 256):
-        assert np.allclose(G.walk(ranks, 2, 60, 0.0, block), p, atol=1e-13)
+        better, p, q = G.Majorities(ranks, block), np.full(50, 1 / 50), np.full(50, 1 / 50)
+        for _ in range(60):
+            p, q = p @ step, better.pushed(q)
+        assert np.allclose(p, q, atol=1e-8)
+    with pytest.raises(ValueError, match="at most"):
+        G.Majorities(np.zeros((G.Majorities.MOST + 1, 1)))
+
+
+def test_iterated_aggregations_recomputed(spark):
+    """Every score against plain loops over small dictionaries."""
+    rng = np.random.default_rng(5)
+    names, n = ["a", "b", "c", "d"], 9
+    orders = {v: rng.permutation(n).tolist() for v in names}
+    v = votes(spark, orders)
+    place = {v: {i: k for k, i in enumerate(o)} for v, o in orders.items()}
+    ahead = lambda x, y: sum(place[v][x] < place[v][y] for v in names) > len(names) / 2
+
+    mass = dict.fromkeys(range(n), 1 / n)
+    for _ in range(400):
+        new = dict.fromkeys(range(n), 0.0)
+        for i in range(n):
+            to = [j for j in range(n) if j != i and ahead(j, i)]
+            for j in to:
+                new[j] += mass[i] / n
+            new[i] += mass[i] * (1 - len(to) / n)
+        mass = new
+    got = {r["ident"]: r["score"] for r in G.mc4(v, names).collect()}
+    assert got.keys() == mass.keys() and all(abs(got[i] - mass[i]) < 1e-6 for i in mass)
+
+    worth = dict.fromkeys(range(n), 1 / n)
+    for _ in range(300):
+        new = {}
+        for i in range(n):
+            wins = sum(place[v][i] < n - 1 for v in names)
+            cost = sum(1 / sum(worth[j] for j in orders[v][k:]) for v in names for k in range(place[v][i] + 1))
+            new[i] = wins / cost
+        worth = {i: x / sum(new.values()) for i, x in new.items()}
+    got = {r["ident"]: r["score"] for r in G.plackett_luce(v, names).collect()}
+    assert all(abs(got[i] - worth[i]) < 1e-6 for i in worth)
+
+    order = sorted(range(n), key=lambda i: sum(place[v][i] for v in names))
+    for _ in range(40):
+        for k in range(n - 1):
+            if ahead(order[k + 1], order[k]):
+                order[k : k + 2] = order[k + 1], order[k]
+    got = {r["ident"]: r["score"] for r in G.local_kemeny(v, names).collect()}
+    assert got == {i: float(n - k) for k, i in enumerate(order)}
+
+
+def test_diverse_items_by_determinants(spark):
+    """Each item taken is the one that makes the determinant of the kernel of those taken greatest."""
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(25, 4)), rng.random(25) + 0.5
+    x[9] = x[3]
+    q[9] = q[3]
+    items = spark.createDataFrame([(k, float(q[k]), x[k].tolist()) for k in range(25)], "ident long, quality double, vector array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    kernel = q[:, None] * (u @ u.T) * q[None, :]
+    taken = []
+    while len(taken) < 4:
+        free = [i for i in range(25) if i not in taken]
+        taken.append(max(free, key=lambda i: (round(np.linalg.det(kernel[np.ix_([*taken, i], [*taken, i])]), 9), -i)))
+    got = [r["ident"] for r in G.dpp(items, 8).orderBy(F.desc("score")).collect()]
+    assert got == taken  # four numbers a vector: nothing is left to add after four
 
 
 def test_nearest_of_the_whole_pool(spark):
