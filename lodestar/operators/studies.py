@@ -98,12 +98,16 @@ def effective_judges(scores: DataFrame, judges: list[str]) -> float:
     return float(values.sum() ** 2 / (values**2).sum())
 
 
-def bootstrap(rows: DataFrame, value: str, resamples: int, seed: int = 7) -> DataFrame:
-    """Mean and 2.5 and 97.5 percentiles of the mean over resamples: each row gets a Poisson weight in each, so rows stay where they are."""
-    u = F.rand(seed)
-    poisson = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    each = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", poisson)
-    means = each.groupBy("resample").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+#: Chances that a Poisson weight of mean 1 is at most 0, 1, 2, 3, 4.
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340)
+
+
+def bootstrap(rows: DataFrame, ident: str, value: str, resamples: int, seed: str = "") -> DataFrame:
+    """Mean and 2.5 and 97.5 percentiles of the mean over resamples: each row has a Poisson weight in each, drawn by a digest of its id and the resample, so any partitioning gives the same."""
+    each = rows.select(ident, value).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    u = T.digest_mod(F.concat_ws("|", F.lit(seed), F.col(ident).cast("string"), F.col("resample").cast("string")), 1 << 20) / float(1 << 20)
+    weight = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
+    means = each.groupBy("resample").agg(F.try_divide(F.sum(weight * F.col(value)), F.sum(weight)).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

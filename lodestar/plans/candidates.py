@@ -243,6 +243,14 @@ def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
     return every[0].union(every[1]).groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.abs("delta") > 1e-9).alias("n_changed"), N.six(F.max(F.abs("delta"))).alias("largest"))
 
 
+_PLACE = FEATURES.replace(f"{_at(CITIES, 'c_custkey')} AS city, {_at(COUNTRIES, 'c_custkey')} AS country", "'Pune' AS city, 'India' AS country").replace("WHEN city IN ('Pune, Maharashtra', 'Greater Noida')", "WHEN city IN ('Pune', 'Pune, Maharashtra', 'Greater Noida')")
+_BEHAVIOUR = FEATURES.replace("(k % 3 <> 0) AS otw, (k % 11) / 10.0::DOUBLE AS rr", "TRUE AS otw, 0.5::DOUBLE AS rr")
+_SCORE = f"SELECT candidate_id, {_score_sql('main')} AS s FROM f5"
+COUNTERFACTUAL_SQL = f"""
+SELECT variant, count(*) AS n, count(*) FILTER (abs(o.s - b.s) > 1e-9) AS n_changed, round(max(abs(o.s - b.s)), 6) AS largest
+FROM (SELECT 'place' AS variant, * FROM (WITH {_PLACE} {_SCORE}) UNION ALL SELECT 'behaviour', * FROM (WITH {_BEHAVIOUR} {_SCORE})) o JOIN (WITH {FEATURES} {_SCORE}) b USING (candidate_id) GROUP BY variant"""
+
+
 def importance(spark: SparkSession, d: str) -> DataFrame:
     """Mean contribution of each feature to relevance, and how far leaving it out would lower the mean."""
     rows = scored(spark, d).withColumn("retrieval", F.lit(0.5))
@@ -281,5 +289,6 @@ ORACLE = {
     "r20_ranking": RANKING_SQL,
     "r42_floor_sweep": FLOOR_SQL,
     "a19_importance": IMPORTANCE_SQL,
+    "p10_counterfactuals": COUNTERFACTUAL_SQL,
     "r33_anachronism": ANACHRONISM_SQL,
 }

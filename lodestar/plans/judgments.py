@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from lodestar.operators import bm25, fusion, rerank
 from lodestar.operators import candidates as C
 from lodestar.operators import judges as J
 from lodestar.plans import candidates as P
-from lodestar.sources.staging import staged
+from lodestar.sources.staging import shared_path, staged
 from lodestar.streaming import jobs
 
 SIX = N.six
@@ -136,10 +135,13 @@ def stream_rates(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user by day, through a stream over the table."""
     source = spark.read.parquet(f"{d}/events.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "lodestar_rates"
-    query = jobs.windowed_rates(stream, width="1 day").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp()).start()
+    target = shared_path(spark, "rates")
+    # Each batch's state of the windows it touched is written; the last one of a window counts.
+    write = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/table/batch={number}")
+    query = jobs.windowed_rates(stream, width="1 day").writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{target}/checkpoint").start()
     query.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n")
+    rows = spark.read.parquet(f"{target}/table/batch=*")
+    return rows.groupBy("start", "user_id").agg(F.max_by("n", "batch").alias("n")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n")
 
 
 STREAM_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS n FROM events GROUP BY ALL"

@@ -182,6 +182,13 @@ def greedy_swaps(spark: SparkSession, d: str) -> DataFrame:
     return S.greedy_disjoint(swaps.select(F.col("doc_id").alias("a"), "b", ((F.col("doc_id") * 31 + F.col("b") * 17) % 101).cast("double").alias("gain")))
 
 
+SWAPS_SQL = """
+WITH RECURSIVE r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 40),
+s AS (SELECT *, row_number() OVER (ORDER BY gain DESC, a, b) AS place FROM (SELECT doc_id AS a, lead(doc_id) OVER (ORDER BY rank) AS b, ((doc_id * 31 + lead(doc_id) OVER (ORDER BY rank) * 17) % 101)::DOUBLE AS gain FROM r) WHERE b IS NOT NULL),
+t AS (SELECT a, b, gain, place, TRUE AS kept, [a, b] AS used FROM s WHERE place = 1 UNION ALL SELECT s.a, s.b, s.gain, s.place, NOT list_has_any(used, [s.a, s.b]), CASE WHEN list_has_any(used, [s.a, s.b]) THEN used ELSE list_concat(used, [s.a, s.b]) END FROM t JOIN s ON s.place = t.place + 1)
+SELECT a, b, gain FROM t WHERE kept"""
+
+
 def strengths(spark: SparkSession, d: str) -> DataFrame:
     """Strengths of event types from who comes first in a user's day."""
     e = _read(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "ts")
@@ -195,7 +202,13 @@ def strengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resampled(spark: SparkSession, d: str) -> DataFrame:
-    return S.bootstrap(_read(spark, d, "labels").select("quality"), "quality", 50).select(SIX(F.col("mean")).alias("mean"), SIX(F.col("low")).alias("low"), SIX(F.col("high")).alias("high"))
+    """The share of good documents with its interval over fifty resamples."""
+    return S.bootstrap(_read(spark, d, "labels"), "doc_id", "quality", 50).select(SIX(F.col("mean")).alias("mean"), SIX(F.col("low")).alias("low"), SIX(F.col("high")).alias("high"))
+
+
+RESAMPLED_SQL = f"""
+WITH u AS (SELECT quality, r, {Q._md5_mod("'|' || doc_id || '|' || r", 1 << 20)} / {float(1 << 20)}::DOUBLE AS u FROM labels, range(1, 51) t(r)), w AS (SELECT quality, r, {" + ".join(f"(u >= {p})::INT" for p in S.POISSON)} AS w FROM u), m AS (SELECT r, sum(w * quality) / sum(w) AS m FROM w GROUP BY r)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
 
 
 QUERIES = {
@@ -226,4 +239,6 @@ ORACLE = {
     "t18_evidence_sentences": SENTENCE_SQL,
     "l01_rule_labels": LABEL_SQL,
     "a23_term_mining": MINING_SQL,
+    "w12_greedy_swaps": SWAPS_SQL,
+    "a14_bootstrap": RESAMPLED_SQL,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.audits import human_tiers
+
 SCHEMA = """candidate_id STRING,
 profile STRUCT<anonymized_name: STRING, headline: STRING, summary: STRING, current_title: STRING, current_company: STRING,
   current_company_size: STRING, current_industry: STRING, location: STRING, country: STRING, years_of_experience: DOUBLE>,
@@ -49,14 +51,64 @@ def read_candidates(spark: SparkSession, path: str, max_candidates: int | None =
         rows = _lines(spark, path)
     if max_candidates:
         rows = rows.where(F.col("ordinal") < max_candidates)
+    return parsed(rows)
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Candidates of rows (ordinal, value), checked as `read_candidates` says."""
     # Any key that ends in _signals holds the signals.
     named = rows.withColumn("value", F.regexp_replace("value", '"[a-z]+_signals"\\s*:', '"signals":'))
     shape = F.when(F.trim("value").startswith("{"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("row "), F.col("ordinal").cast("string"), F.lit(" must be a JSON object"))))
     named = named.withColumn("value", shape)
     bad_id = F.get_json_object("value", "$.candidate_id").isNotNull() & F.col("value").rlike('"candidate_id"\\s*:\\s*[^"\\sn]')
-    parsed = named.select("ordinal", bad_id.alias("bad"), F.from_json("value", SCHEMA).alias("c")).select("ordinal", "bad", "c.*")
+    out = named.select("ordinal", bad_id.alias("bad"), F.from_json("value", SCHEMA).alias("c")).select("ordinal", "bad", "c.*")
     ident = F.when(F.col("bad"), F.raise_error(F.concat(F.lit("row "), F.col("ordinal").cast("string"), F.lit(": candidate_id must be a string")))).otherwise(F.coalesce(F.nullif("candidate_id", F.lit("")), F.concat(F.lit("UNKNOWN_ROW_"), F.col("ordinal").cast("string"))))
-    return parsed.withColumn("candidate_id", ident).drop("bad")
+    return out.withColumn("candidate_id", ident).drop("bad")
+
+
+def checked_upload(spark: SparkSession, path: str, max_bytes: int = 64 << 20, max_expanded: int = 512 << 20, max_record: int = 2 << 20) -> DataFrame:
+    """Candidates of an upload whose name, size, size when expanded and longest record are within limits; else the read fails."""
+    name = path.rsplit("/", 1)[-1].lower()
+    if not name.endswith((".jsonl", ".json", ".jsonl.gz", ".gz")):
+        raise ValueError("an upload must be .jsonl, .json, .jsonl.gz or .gz")
+    whole = name.endswith(".json")
+    lines = spark.read.text(path, wholetext=whole).select(F.octet_length("value").alias("n"), F.col("_metadata.file_size").alias("size"))
+    facts = lines.agg(F.max("size").alias("size"), F.sum(F.col("n") + 1).alias("expanded"), F.max("n").alias("record")).first()  # one row
+    for what, limit in (("size", max_bytes), ("expanded", max_expanded), ("record", max_expanded if whole else max_record)):
+        if (facts[what] or 0) > limit:
+            raise ValueError(f"{what} of the upload is over {limit} bytes")
+    rows = read_candidates(spark, path)
+    if whole:  # an array's records are seen once it is taken apart
+        longest = rows.select(F.max(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0]
+        if (longest or 0) > max_record:
+            raise ValueError(f"record of the upload is over {max_record} bytes")
+    return rows
+
+
+def read_submissions(spark: SparkSession, path: str) -> DataFrame:
+    """(submission, candidate_id, rank), all texts, of CSV files: the file's path, and two columns by names in any case."""
+    rows = spark.read.option("enforceSchema", False).csv(path, header=True, multiLine=True, escape='"').withColumn("submission", F.col("_metadata.file_path"))
+    by = {c.lstrip("\ufeff").strip().lower(): c for c in rows.columns}
+    if not {"candidate_id", "rank"} <= by.keys():
+        raise ValueError("a submission needs the columns candidate_id and rank")
+    return rows.select("submission", F.col(by["candidate_id"]).alias("candidate_id"), F.col(by["rank"]).alias("rank"))
+
+
+def pool_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct ids of a file of candidates."""
+    return read_candidates(spark, path).select("candidate_id").distinct()
+
+
+def read_human_labels(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(candidate_id, tier, gain) of a CSV file whose column holds strong_fit, maybe or not_fit; other rows have no label."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    rows = rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
+    return human_tiers(rows, "candidate_id", column)
+
+
+def read_role(spark: SparkSession, path: str) -> str:
+    """A role's text of a plain text file, which the driver compiles."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "")).first()[0]
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

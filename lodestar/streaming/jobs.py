@@ -13,14 +13,15 @@ from lodestar.sources import candidates as sources
 def watch_folder(spark: SparkSession, folder: str, target: str, checkpoint: str, top_k: int = 100, files_per_batch: int = 1) -> StreamingQuery:
     """Ranks each batch of new JSON-lines files and appends its report with the batch's number.
 
-    The batch number makes a repeated batch recognisable: it replaces its own rows.
+    The batch number makes a repeated batch recognisable: it replaces its own rows. Lines are checked as those of a file
+    are: one that isn't an object fails the batch, a missing id is filled with the line's number within the batch.
     """
     lines = spark.readStream.schema("value STRING").option("maxFilesPerTrigger", files_per_batch).text(folder)
 
     def rank(batch: DataFrame, number: int) -> None:
-        named = batch.where(F.length(F.trim("value")) > 0).withColumn("value", F.regexp_replace("value", '"[a-z]+_signals"\\s*:', '"signals":'))
-        rows = named.select(F.from_json("value", sources.SCHEMA).alias("c")).select("c.*").where("candidate_id IS NOT NULL")
-        out = ranker.report(ranker.rank_candidates(rows), top_k)
+        lines = batch.select(F.regexp_replace("value", "^\\uFEFF", "").alias("value")).where(F.length(F.trim("value")) > 0)
+        numbered = lines.select(F.monotonically_increasing_id().alias("ordinal"), "value")
+        out = ranker.report(ranker.rank_candidates(sources.parsed(numbered).drop("ordinal")), top_k)
         out.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return lines.writeStream.foreachBatch(rank).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
