@@ -1,18 +1,20 @@
 """LM scoring with probabilistic suffix trees.
 
 Symbols are the tokens of a text. Contexts of one to DEPTH tokens grow level by level: a context is counted if it was
-met LEAST times, whatever the size of the corpus, and any word may be what it predicts. It is retained if its smoothed
-next-symbol distribution, each use left out in turn, predicts the uses better than that of its suffix, by a least gain
-for each use. The probability of a token is interpolated along the retained suffixes of what comes before it, from
-the root up. The root gives each known token its share less an absolute discount; what is discounted is divided evenly
-among as many unknown words as the counts of words seen once and twice lead to expect (Chao's estimate). Between the
-root and the contexts stands a small dense tree over the most frequent tokens, which every worker holds.
+met LEAST times, whatever the size of the corpus, and any word may be what it predicts; next words met fewer than SEEN
+times after it are counted together and left to its suffix. A context is retained if its smoothed next-symbol
+distribution, each use left out in turn, predicts the uses better than that of its suffix, by a least gain for each
+use. The probability of a token is interpolated along the retained suffixes of what comes before it, from the root up
+to the longest. The root gives each known token its share less an absolute discount; what is discounted is divided
+evenly among as many unknown words as the counts of words seen once and twice lead to expect (Chao's estimate).
 
 Counts cover all training rows. States and next-symbol counts are a table by 64-bit code, partitioned like any other.
-To score, rows are dealt into groups of GROUP characters; a group asks once for each code it needs, the codes meet the
-table in a join, and the answers meet the group's rows. What a worker holds besides is bounded: tokens with at least
-HEAVY of all tokens, the dense tree (SYMBOL, PAIR), and bitmaps of BITS that only spare questions: they let some
-through in vain but hide no state.
+Tasks send the counts of contexts as packed arrays, dealt into buckets by context, or by context and next word for
+contexts met so often that one bucket would hold too much (`_hot`). To score, rows are dealt into groups of about
+GROUP characters; a group asks once for each code it needs, questions and table meet in buckets of codes, a bucket's
+part of the table is held while its questions stream by, and the answers meet the group's rows. What a worker holds
+besides is bounded: tokens with at least HEAVY of all tokens, and bitmaps of BITS that only spare questions: they let
+some through in vain but hide no state.
 
 Defined results: a null text counts as empty and is its end alone. With no training rows, no token is known, the end
 and any word have probability 1/2. Null ids fall in the same remainder as the empty id. Rows
@@ -28,21 +30,26 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.staging import discard, released
+
 from . import common
 
-HEAVY, SYMBOL, PAIR = 1e-6, 5e-4, 2e-4
+HEAVY = 1e-6
 #: A context is retained if it gains at least so many nats for each use.
 GAIN = 0.002
 END = b"\n"  # no word has white space
 FLUSH = 300_000
-#: Uses that a context has at least, and its tokens at most.
-LEAST, DEPTH = 10, 4
-#: Bits of a bitmap (a power of two), and characters of a group of rows.
-BITS, GROUP = 1 << 27, 8 << 20
+#: Uses that a context has at least, that a next word after it has to be told apart, and tokens of a context at most.
+LEAST, SEEN, DEPTH = 10, 2, 4
+#: Bits of a bitmap (a power of two), characters of a group of rows, tokens counted and codes answered in a bucket.
+BITS, GROUP, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 22, 1 << 20
+#: Bytes of a next word's hash that tell it from the others after its context.
+WIDTH = 5
+_LOW = np.uint64((1 << 8 * WIDTH) - 1)
+_u = np.uint64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,19 +74,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) ^ b * np.uint64(0x94D049BB133111EB)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(32)
+    x = (a + _u(0x9E3779B97F4A7C15)) * _u(0xBF58476D1CE4E5B9) ^ b * _u(0x94D049BB133111EB)
+    x = (x ^ x >> _u(29)) * _u(0xD6E8FEB86659FD93)
+    return x ^ x >> _u(32)
+
+
+def _followed_by(context: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The code of a context with its next word."""
+    return _mix(~context, h & _LOW)
 
 
-def _grams(h: np.ndarray, end: np.uint64, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By depth: codes of the contexts, and of them with their next token. Places before depth - 1 have no context so long."""
-    before = np.concatenate(([end], h[:-1]))
-    out, c = [], np.full(len(h), 0x51ED27, np.uint64)
-    for j in range(depth):
-        c = _mix(c, np.concatenate((np.zeros(min(j, len(h)), np.uint64), before[: max(0, len(h) - j)])))
-        out.append((c, _mix(~c, h)))
-    return out
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).cast(pa.float64())], names=["code", "v"])
 
 
 class Bits:
@@ -91,48 +99,42 @@ class Bits:
         t = codes.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 AS int))")).alias("bits")).toArrow()
         self.words = np.zeros(BITS >> 6, np.uint64)
         self.words[t.column("at").to_numpy()] = t.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-        self.any = t.num_rows > 0
+        self.any, self.mask = t.num_rows > 0, _u(BITS - 1)
 
     def has(self, codes: np.ndarray) -> np.ndarray:
-        at = codes & np.uint64(BITS - 1)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).cast(pa.float64())], names=["code", "v"])
-
-
-class _Codes:
-    """Sums of counts by code."""
+        at = codes & self.mask
+        return (self.words[(at >> _u(6)).astype(np.int64)] >> (at & _u(63)) & _u(1)).astype(bool)
 
-    def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.held, self.base = 0, (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def add(self, codes: np.ndarray) -> None:
-        self.parts.append(codes)
-        self.held += len(codes)
-        if self.held > 4_000_000:
-            self.pack()
+class Codes:
+    """Values by code: codes are hashes, so their first bits say where to look."""
 
-    def pack(self) -> None:
-        codes, n = np.unique(np.concatenate(self.parts) if self.parts else np.empty(0, np.int64), return_counts=True)
-        codes, n = np.concatenate((self.base[0], codes)), np.concatenate((self.base[1], n))
-        codes, place = np.unique(codes, return_inverse=True)
-        self.base = codes, np.bincount(place, n, len(codes)).astype(np.int64)
-        self.parts, self.held = [], 0
-
-    def rows(self) -> pa.RecordBatch:
-        self.pack()
-        out = pa.RecordBatch.from_arrays([pa.array(self.base[0]), pa.array(self.base[1])], names=["code", "n"])
-        self.base = (np.empty(0, np.int64), np.empty(0, np.int64))
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(codes)
+        self.codes, self.values = np.append(codes[order], _u(0)), np.append(values[order], 0.0)
+        self.shift = _u(64 - max(1, len(codes).bit_length()))
+        self.first = np.searchsorted(codes[order], np.arange(1 << max(1, len(codes).bit_length()), dtype=np.uint64) << self.shift)
+        self.size = len(codes)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each, -1 for those not held."""
+        at, out = self.first[(asked >> self.shift).astype(np.int64)], np.full(len(asked), -1)
+        left = np.arange(len(asked))
+        while len(left := left[at[left] < self.size]):
+            here, want = self.codes[at[left]], asked[left]
+            met = here == want
+            out[left[met]] = at[left[met]]
+            left = left[here < want]
+            at[left] += 1
         return out
 
+    def get(self, asked: np.ndarray, otherwise: float) -> np.ndarray:
+        at = self.find(asked)
+        return np.where(at >= 0, self.values[at], otherwise)
+
 
 class Tree:
-    """What scoring needs; bounded by the shares above."""
+    """What every worker holds of the model; bounded by HEAVY and BITS."""
 
     def __init__(self, words: list[tuple[bytes, int]], n: int, v: int, once: int, twice: int) -> None:
         """words: the heavy ones with their counts, the end among them; once, twice: how many words occur so often."""
@@ -141,288 +143,316 @@ class Tree:
         self.unknown = self.discount * v / n / max(1, v, once * once / (2 * twice + 1)) if n else 0.5
         words = sorted(words, key=lambda x: (-x[1], x[0]))
         self.ids = {w: k for k, (w, _) in enumerate(words)}
-        c = np.array([k for _, k in words], float)
+        self.counts = np.array([k for _, k in words], float)
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in words), np.uint64, len(words))
+        self.base = np.log10(self.counts + 0.1)
+        self.root = (self.counts - self.discount) / n if n else np.full(len(words), 0.5)
+        self.end = self.hashes[self.ids[END]]
         self.depth, self.states, self.nexts = 0, None, None  # of the contexts in the table: levels and bitmaps
-        self.base = np.log10(c + 0.1)
-        self.root = np.log10((c - self.discount) / n if n else np.full(len(words), 0.5))
-        self.symbol = np.full(len(words), -1)
-        taken = [k for k, (w, x) in enumerate(words) if w == END or x >= SYMBOL * n]
-        self.symbol[taken] = np.arange(len(taken))
-        self.kinds = len(taken)  # the code of all other tokens
-        self.count = c[taken]
-        self.end = self.ids[END]
-        self.chance0 = np.append(10 ** self.root[taken], 0.0)
-        self.chance0[-1] = max(1e-12, 1 - self.chance0.sum())
-        self.state1 = np.full(self.kinds + 1, -1)  # by symbol
-        self.pairs = np.empty(0, np.int64)  # codes of contexts of two that are counted or retained, sorted
-        self.state2 = np.empty(0, np.int64)
-        self.table = np.empty((0, self.kinds + 1))  # log10 by state and symbol; for the others a factor on the root's
-
-    def sequence(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Places in words (-1: not heavy), symbols, and words."""
-        words = tokens(text)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts' tokens, one after the other: places among the heavy words (-1: not heavy), hashes, place in the text; and where texts start."""
+        words: list[bytes] = []
+        starts = np.empty(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            starts[k] = len(words)
+            words += tokens(text)
+            words.append(END)
         ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
-        ids = np.append(ids, self.end)
-        s = np.where(ids >= 0, self.symbol[ids], -1)
-        return ids, np.where(s < 0, self.kinds, s), words
-
-    def before(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The last symbol and the code of the last two at each place; ends stand before a text."""
-        end = self.symbol[self.end]
-        one = np.concatenate(([end], s[:-1]))
-        two = np.concatenate(([end], one[:-1])) * (self.kinds + 1) + one
-        return one, two
-
-    def _retain(self, counts: np.ndarray, parent: np.ndarray) -> np.ndarray | None:
-        """The smoothed distribution of a state, or None if it doesn't diverge from its suffix's."""
-        total, kinds = counts.sum(), (counts > 0).sum()
-        own = counts > 0
-        gain = (counts[own] * np.log(counts[own] / total / parent[own])).sum() if total else 0.0
-        if gain <= GAIN * total or 2 * gain <= kinds + 3 * (2 * kinds) ** 0.5:
-            return None
-        return (counts + kinds * parent) / (total + kinds)
-
-    def grow(self, codes: np.ndarray, n: np.ndarray) -> None:
-        """From counts of (context, next) codes: first of one symbol, then, once pairs are set, of two."""
-        width = self.kinds + 1
-        new, second = [], len(self.pairs) > 0
-        if second:
-            self.state2 = np.full(len(self.pairs), -1)
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], n[order]
-        contexts, starts = np.unique(codes // width, return_index=True)
-        for c, i, j in zip(contexts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(codes)]):
-            counts = np.zeros(width)
-            counts[codes[i:j] % width] = n[i:j]
-            k = self.state1[self.pairs[c] % width] if second else -1
-            parent = self.chance0 if k < 0 else self.chance[k]
-            found = self._retain(counts, parent)
-            if found is not None:
-                (self.state2 if second else self.state1)[c] = len(self.table) + len(new)
-                new.append(found)
-        self.chance = np.vstack((*([self.chance] if second else []), np.array(new).reshape(-1, width)))
-        self.table = np.log10(self.chance)
-        self.table[:, -1] -= np.log10(self.chance0[-1])
-
-    def codes(self, ids: np.ndarray, words: list[bytes]) -> np.ndarray:
         h = self.hashes[ids]
-        for i in np.flatnonzero(ids < 0).tolist():
-            h[i] = xxhash.xxh64_intdigest(words[i])
-        return h
-
-    def dense(self, ids: np.ndarray, s: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """log10 by the dense tree at each place; rare: that of the root for the places that aren't heavy."""
-        one, two = self.before(s)
-        state = self.state1[one]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, two), len(self.pairs) - 1)
-            longer = np.where(self.pairs[at] == two, self.state2[at], -1)
-            state = np.where(longer >= 0, longer, state)
-        root = self.root[ids]
-        root[ids < 0] = rare
-        part = np.where((s == self.kinds) | (state < 0), root, 0.0)
-        if len(self.table):
-            part += np.where(state >= 0, self.table[state, s], 0.0)
-        return part
-
-    def lookups(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rare = np.flatnonzero(ids < 0)
+        h[rare] = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in rare.tolist()), np.uint64, len(rare))
+        return ids, h, np.arange(len(words)) - np.repeat(starts, np.diff(np.append(starts, len(words)))), starts
+
+    def grams(self, h: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By depth: codes of the contexts, and of them with their next token. A text's first token comes after an end; places before depth - 1 have no context so long."""
+        before = np.concatenate(([self.end], h[:-1]))  # the end of the text before stands there for any
+        c = np.full(len(h), 0x51ED27, np.uint64)
+        for j in range(depth):
+            c = _mix(c, np.concatenate((np.zeros(min(j, len(h)), np.uint64), before[: max(0, len(h) - j)])))
+            yield c, _followed_by(c, h)
+
+    def lookups(self, h: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By depth: places whose context the bitmaps let through, the codes of context and of it with its next (0: surely unseen)."""
-        for j, (c, t) in enumerate(_grams(h, self.hashes[self.end], self.depth)):
-            at = np.flatnonzero(self.states.has(c))
-            at = at[at >= j]
+        for j, (c, t) in enumerate(self.grams(h, self.depth)):
+            at = np.flatnonzero(self.states.has(c) & (pos >= j))
             t = t[at]
-            yield at, c[at], np.where(self.nexts.has(t), t, np.uint64(0))
+            yield at, c[at], np.where(self.nexts.has(t), t, _u(0))
 
-    def asks(self, text: str | None) -> np.ndarray:
+    def asks(self, texts: list[str | None]) -> np.ndarray:
         """Codes that scoring needs from the table."""
-        ids, _, words = self.sequence(text)
-        h = self.codes(ids, words)
+        ids, h, pos, _ = self.read(texts)
         found = [h[ids < 0]]
-        for _, c, t in self.lookups(h):
+        for _, c, t in self.lookups(h, pos):
             found += [c, t[t != 0]]
         return np.unique(np.concatenate(found))
 
-    def score(self, text: str | None, codes: np.ndarray, values: np.ndarray) -> tuple[int, int, float, float]:
-        """Tokens, known tokens, their base, and the score; codes of the table, sorted, and their values."""
-
-        def value(asked: np.ndarray, otherwise: float) -> np.ndarray:
-            if not len(codes):
-                return np.full(len(asked), otherwise)
-            at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
-            return np.where(codes[at] == asked, values[at], otherwise)
-
-        ids, s, words = self.sequence(text)
-        h, heavy = self.codes(ids, words), ids >= 0
-        c = value(h[~heavy], 0.0)
-        root = np.where(c > 0, np.maximum(c - self.discount, 1e-300) / max(1, self.n), self.unknown)
-        p = 10 ** self.dense(ids, s, np.log10(root))
-        for at, context, t in self.lookups(h):
-            p[at] = p[at] * value(context, 1.0) + np.where(t != 0, value(t, 0.0), 0.0)
-        known = (int(heavy.sum()) if self.n else 0) + int((c > 0).sum())
-        return len(ids), known, float(self.base[ids[heavy]].sum() + np.log10(c + 0.1).sum()), float(np.log10(p).sum())
+    def chances(self, texts: list[str | None], known: Codes) -> tuple[np.ndarray, ...]:
+        """Of each token its probability, count and log10 of count + 0.1; and where texts start."""
+        ids, h, pos, starts = self.read(texts)
+        rare = np.flatnonzero(ids < 0)
+        c = known.get(h[rare], 0.0)
+        p, base, count = self.root[ids], self.base[ids], self.counts[ids]
+        p[rare] = np.where(c > 0, np.maximum(c - self.discount, 1e-300) / max(1, self.n), self.unknown)
+        base[rare], count[rare] = np.log10(c + 0.1), c
+        for at, context, t in self.lookups(h, pos):
+            p[at] = p[at] * known.get(context, 1.0) + np.where(t != 0, known.get(t, 0.0), 0.0)
+        return p, count, base, starts
 
 
-def _contexts(tree_of, level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, sums = tree_of.value, _Codes()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                _, s, _ = tree.sequence(text)
-                one, two = tree.before(s)
-                if level == 1:
-                    ok = one < tree.kinds
-                    sums.add(one[ok] * (tree.kinds + 1) + s[ok])
-                else:
-                    at = np.minimum(np.searchsorted(tree.pairs, two), len(tree.pairs) - 1)
-                    ok = tree.pairs[at] == two
-                    sums.add(at[ok] * (tree.kinds + 1) + s[ok])
-            if len(sums.base[0]) > 4 * FLUSH:
-                yield sums.rows()
-        yield sums.rows()
+_PACKED = pa.schema([("bucket", pa.int64()), ("c", pa.binary()), ("s", pa.binary()), ("k", pa.binary()), ("x", pa.binary()), ("n", pa.binary())])
 
-    return run
 
+def _slices(keys: np.ndarray) -> list[tuple[int, int]]:
+    cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(keys)])) if len(keys) else []
 
-def _summed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Collects counts by code; their number is bounded by the shares."""
-    t = df.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return t.column("code").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64)
 
-
-def _followed(tree_of, bits_of, level: int):
-    """Counts of contexts of a level with their next token: t and c, their codes, s that of the suffix with it, n, and p, the sum of the dense tree's chances."""
+def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
+    """By bucket, packed: contexts of a level, those of their suffixes, numbers of next words (the top bit set if hot), and the next words and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, bits, held, size = tree_of.value, bits_of.value, [], 0
+        tree, bits, hot, held, size = tree_of.value, bits_of.value, hot_of.value, [], 0
 
-        def rows() -> pa.RecordBatch:
-            t, c, s, p = (np.concatenate(x) for x in zip(*held)) if held else [np.empty(0, np.uint64)] * 3 + [np.empty(0)]
-            t, first, place, n = np.unique(t, return_index=True, return_inverse=True, return_counts=True)
+        def rows() -> Iterator[pa.RecordBatch]:
+            t, c, s, h, often = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            columns = [t.view(np.int64), c[first].view(np.int64), s[first].view(np.int64), n, np.bincount(place, p, len(t)).astype(float)]
-            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["t", "c", "s", "n", "p"])
+            t, first, n = np.unique(t, return_index=True, return_counts=True)
+            c, s, h, often = c[first], s[first], h[first], often[first]
+            bucket = np.where(often, t, _mix(c, _u(level))) % _u(buckets)
+            order = np.lexsort((c, bucket))
+            bucket, c, s, h, n, often = bucket[order], c[order], s[order], h[order], n[order], often[order]
+            out = []
+            for i, j in _slices(bucket):
+                first = np.flatnonzero(np.concatenate(([True], c[i + 1 : j] != c[i : j - 1])))
+                k = np.diff(np.append(first, j - i)).astype("<u4") | often[i:j][first].astype("<u4") << np.uint32(31)
+                words = np.ascontiguousarray(h[i:j].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+                out.append((int(bucket[i]), c[i:j][first].tobytes(), s[i:j][first].tobytes(), k.tobytes(), words.tobytes(), n[i:j].astype("<u4").tobytes()))
+            for i in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[i : i + 64]), _PACKED)], schema=_PACKED)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids, symbols, words = tree.sequence(text)
-                h, end = tree.codes(ids, words), tree.hashes[tree.end]
-                grams = _grams(h, end, level)
-                # A context is what its last token followed, one level up.
-                last = np.concatenate(([end], h[:-1])) if level == 1 else np.concatenate(([np.uint64(0)], grams[level - 2][1][:-1]))
-                at = np.flatnonzero(bits.has(last))
-                at = at[at >= level - 1]
-                if len(at):
-                    c, t = grams[level - 1]
-                    p = 10 ** tree.dense(ids, symbols, np.log10(HEAVY))  # at least the chance of a rare word
-                    held.append((t[at], c[at], grams[level - 2][1][at] if level > 1 else np.zeros(len(at), np.uint64), p[at]))
-                    size += len(at)
-                if size > 8 * FLUSH:
-                    yield rows()
-                    size = 0
-        yield rows()
+            if not batch.num_rows:
+                continue
+            _, h, pos, _ = tree.read(batch.column(0).to_pylist())
+            grams = list(tree.grams(h, level))
+            # A context is what its last token followed, one level up.
+            last = np.concatenate(([tree.end], h[:-1])) if level == 1 else np.concatenate(([_u(0)], grams[level - 2][1][:-1]))
+            at = np.flatnonzero(bits.has(last) & (pos >= level - 1))
+            if len(at):
+                c, t = grams[level - 1]
+                often = hot[np.minimum(np.searchsorted(hot, last[at]), len(hot) - 1)] == last[at] if len(hot) else np.zeros(len(at), bool)
+                held.append((t[at], c[at], grams[level - 2][0][at] if level > 1 else np.zeros(len(at), np.uint64), h[at], often))
+                size += len(at)
+            if size > 6 * FLUSH:
+                yield from rows()
+                size = 0
+        if held:
+            yield from rows()
+
+    return run
+
+
+_COUNTED = "c long, t long, s long, n long, kinds long, low long, r double"
+
+
+def _counted(tree_of, level: int):
+    """A bucket's counts, as rows of two kinds: contexts with their uses (n), next words (kinds) and uses by rare ones (low), t null; and next words met SEEN times: t, its suffix's s, n, r."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        tree = tree_of.value
+        take = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+        k = take("k", "<u4")
+        often, k = k >> np.uint32(31) == 1, (k & np.uint32((1 << 31) - 1)).astype(np.int64)
+        x = np.zeros((int(k.sum()), 8), np.uint8)
+        x[:, :WIDTH] = take("x", np.uint8).reshape(-1, WIDTH)
+        x = x.reshape(-1).view("<u8")
+        c = np.repeat(take("c", np.uint64), k)
+        t, first, place = np.unique(_followed_by(c, x), return_index=True, return_inverse=True)
+        n = np.bincount(place, take("n", "<u4"), len(t)).astype(np.int64)
+        owner = np.repeat(np.arange(len(k)), k)[first]
+        c = c[first]
+        order = np.argsort(c, kind="stable")
+        t, n, c, owner, x = t[order], n[order], c[order], owner[order], x[first][order]
+        starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        total, low = np.add.reduceat(n, starts), np.add.reduceat(np.where(n < SEEN, n, 0), starts)
+        kinds = np.diff(np.append(starts, len(c)))
+        live = (total >= LEAST) | often[owner[starts]]
+        told = np.flatnonzero((n >= SEEN) & np.repeat(live, kinds))
+        heavy = tree.hashes & _LOW
+        by = np.argsort(heavy)
+        near = by[np.minimum(np.searchsorted(heavy[by], x[told]), len(by) - 1)]
+        r = np.where(heavy[near] == x[told], np.maximum(tree.root[near], 1e-300), HEAVY)  # of a rare word, at least its chance
+        s = _followed_by(take("s", np.uint64)[owner[told]], x[told]) if level > 1 else np.zeros(len(told), np.uint64)
+        one, two = int(live.sum()), len(told)
+        nulls = lambda a, b: np.concatenate((np.full(one, a), np.full(two, b)))
+        columns = [
+            pa.array(np.concatenate((c[starts][live], c[told])).view(np.int64)),
+            pa.array(np.concatenate((np.zeros(one, np.uint64), t[told])).view(np.int64), mask=nulls(True, False)),
+            pa.array(np.concatenate((np.zeros(one, np.uint64), s)).view(np.int64), mask=nulls(True, False)),
+            pa.array(np.concatenate((total[live], n[told]))),
+            *(pa.array(np.concatenate((v[live], np.zeros(two, np.int64))), mask=nulls(False, True)) for v in (kinds, low)),
+            pa.array(np.concatenate((np.zeros(one), r)), mask=nulls(True, False)),
+        ]
+        return pa.Table.from_arrays(columns, names=["c", "t", "s", "n", "kinds", "low", "r"])
 
     return run
 
 
-def _level(texts: DataFrame, tree: Tree, bits: Bits, level: int, below: DataFrame | None) -> DataFrame:
-    """Contexts of a level with their next tokens: t, c, n; kept; keep and gain, what a retained context leaves to its suffix and adds; a and b, from which a + b * (chance by the dense tree) is the chance."""
-    context = texts.sparkSession.sparkContext
-    run = _followed(context.broadcast(tree), context.broadcast(bits), level)
-    rows = texts.mapInArrow(run, "t long, c long, s long, n long, p double").groupBy("t").agg(F.first("c").alias("c"), F.first("s").alias("s"), F.sum("n").alias("n"), F.sum("p").alias("p"))
-    rows = rows.selectExpr("*", "0D AS a", "1D AS b") if below is None else rows.join(below.selectExpr("t AS s", "a", "b"), "s")
-    w = Window.partitionBy("c")
-    rows = rows.withColumn("total", F.sum("n").over(w)).withColumn("kinds", F.count("*").over(w)).where(F.col("total") >= LEAST)
-    rows = rows.withColumn("q", F.expr("a + b * p / n"))
-    out = F.expr("CASE WHEN n > 1 THEN (n - 1 + kinds * q) / (total - 1 + kinds) ELSE (kinds - 1) * q / (total + kinds - 2) END")
-    rows = rows.withColumn("kept", F.sum(F.col("n") * F.log(F.greatest(out, F.lit(1e-300)) / F.col("q"))).over(w) > GAIN * F.col("total"))
-    rows = rows.withColumn("keep", F.expr("kinds / (total + kinds)")).withColumn("gain", F.expr("n / (total + kinds)"))
-    return common.materialize(rows.selectExpr("t", "c", "n", "kept", "keep", "gain", "if(kept, gain + keep * a, a) AS a", "if(kept, keep * b, b) AS b"), f"level{level}")
+def _level(texts: DataFrame, tree: Tree, bits: Bits, hot: np.ndarray, level: int, below: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Contexts of a level: c, keep, what a context leaves to its suffix, for those retained; and their next words: t, n, p, the chance there, and gain, what a retained context adds (null: not retained)."""
+    spark = texts.sparkSession
+    shared = [spark.sparkContext.broadcast(x) for x in (tree, bits, hot)]
+    packed = texts.mapInArrow(_followed(*shared, level, tree.n // BUCKET + 1), "bucket long, c binary, s binary, k binary, x binary, n binary")
+    counted = common.materialize(packed.groupBy("bucket").applyInArrow(_counted(shared[0], level), _COUNTED), f"counted{level}")
+    for x in shared:
+        x.unpersist()
+    contexts = counted.where("t IS NULL").groupBy("c").agg(F.sum("n").alias("total"), F.sum("kinds").alias("kinds"), F.sum("low").alias("low")).where(F.col("total") >= LEAST)
+    nexts = counted.where("t IS NOT NULL").select("c", "t", "s", "n", "r")
+    nexts = nexts.withColumn("q", F.col("r")) if below is None else nexts.join(below.select(F.col("t").alias("s"), F.col("p").alias("q")), "s")
+    nexts = nexts.select("c", "t", "n", "q")
+    out = F.expr("(n - 1 + (kinds + low) * q) / (total - 1 + kinds)")  # of a use, itself left out
+    seen = F.sum(F.col("n") * F.log(F.greatest(out, F.lit(1e-300)) / F.col("q")))
+    uses = nexts.join(contexts, "c").groupBy("c", "total", "kinds", "low").agg(seen.alias("seen"))
+    rest = F.expr("if(low = 0, 0D, low * ln(greatest(kinds + low - 2, 1e-300) / (total + kinds - 2)))")
+    states = uses.select("c", (F.col("total") + F.col("kinds")).alias("whole"), F.expr("(kinds + low) / (total + kinds)").alias("keep"), (F.col("seen") + rest > GAIN * F.col("total")).alias("kept"))
+    states = common.materialize(states, f"states{level}")
+    chance = F.expr("if(kept, n / whole + keep * q, q)")
+    told = nexts.join(states, "c").select("t", "n", chance.alias("p"), F.expr("if(kept, n / whole, NULL)").alias("gain"))
+    told = common.materialize(told, f"nexts{level}")
+    discard(counted)
+    return states.where("kept").select("c", "keep"), told
+
+
+def _hot(codes: DataFrame, n: int) -> np.ndarray:
+    """Sorted codes of what was met so often that contexts after it are dealt by next word too: at most a million, whatever the size of the corpus."""
+    least = max(BUCKET >> 4, n >> 20)
+    return np.sort(codes.where(F.col("n") >= least).select("code").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     """From a column of training texts: the tree, and the table (code, v) of counts of words and of what contexts keep and gain."""
-    spark = texts.sparkSession
     vocab = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     vocab = common.materialize(vocab.where("c > 0"), "vocab")
     n, v, n1, n2 = vocab.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n = n or 0
     heavy = vocab.where((F.col("c") >= HEAVY * n) | (F.col("word") == F.lit(END))).collect() if n else []
     tree = Tree([(bytes(r["word"]), r["c"]) for r in heavy] or [(END, 0)], n, v, n1, n2)
-    facts = vocab.mapInArrow(_word_codes, "code long, v double")
+    facts = common.materialize(vocab.mapInArrow(_word_codes, "code long, v double"), "words")
     if not n:
         return tree, facts
-    for level in (1, 2):
-        shared = spark.sparkContext.broadcast(tree)
-        found, k = _summed(texts.mapInArrow(_contexts(shared, level), "code long, n long"))
-        tree.grow(found, k)
-        shared.unpersist()
-        if level == 1:
-            keep = (k >= PAIR * n) & (found % (tree.kinds + 1) < tree.kinds)
-            tree.pairs = np.sort(found[keep])
-            if not len(tree.pairs):
-                break
-    levels: list[DataFrame] = []
-    bits = Bits(facts.where(F.col("v") >= LEAST).select("code"))
-    while bits.any and len(levels) < DEPTH:
-        levels.append(_level(texts, tree, bits, len(levels) + 1, levels[-1] if levels else None))
-        bits = Bits(levels[-1].where(F.col("n") >= LEAST).selectExpr("t AS code"))
-    if levels:
-        kept = common.union_all([x.where("kept") for x in levels])
-        states, nexts = kept.groupBy(F.col("c").alias("code")).agg(F.first("keep").alias("v")), kept.selectExpr("t AS code", "gain AS v")
-        tree.depth, tree.states, tree.nexts = len(levels), Bits(states), Bits(nexts)
-        facts = common.union_all([facts, states, nexts])
+    states: list[DataFrame] = []
+    nexts: list[DataFrame] = []
+    counts = facts.select("code", F.col("v").alias("n"))
+    while len(nexts) < DEPTH:
+        bits = Bits(counts.where(F.col("n") >= LEAST).select("code"))
+        if not bits.any:
+            break
+        kept, told = _level(texts, tree, bits, _hot(counts, n), len(nexts) + 1, nexts[-1] if nexts else None)
+        states.append(kept.select(F.col("c").alias("code"), F.col("keep").alias("v")))
+        nexts.append(told)
+        counts = told.select(F.col("t").alias("code"), "n")
+        released(texts.sparkSession)
+    if nexts:
+        gains = common.union_all([x.where("gain IS NOT NULL").select(F.col("t").alias("code"), F.col("gain").alias("v")) for x in nexts])
+        keeps = common.union_all(states)
+        tree.depth, tree.states, tree.nexts = len(nexts), Bits(keeps), Bits(gains)
+        facts = common.union_all([facts, keeps, gains])
     return tree, facts
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    group, size = TaskContext.get().partitionId() << 32, 0
+_MEETING = "bucket long, kind int, number long, codes binary, v binary"
+_MET = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("number", pa.int64()), ("codes", pa.binary()), ("v", pa.binary())])
+
+
+def _dealt(codes: np.ndarray, values: np.ndarray | None, buckets: int, kind: int, number: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets that codes fall to."""
+    bucket = _mix(codes, _u(3)) % _u(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, codes = bucket[order], codes[order]
+    values = values[order] if values is not None else None
+    out = [(int(bucket[i]), kind, number, codes[i:j].tobytes(), values[i:j].tobytes() if values is not None else None) for i, j in _slices(bucket)]
+    for i in range(0, len(out), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[i : i + 64]), _MET)], schema=_MET)
+
+
+def _facts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size > 4 * FLUSH:
+                yield from _dealt(*(np.concatenate(x) for x in zip(*held)), buckets, 0, 0)
+                held, size = [], 0
+        if size:
+            yield from _dealt(*(np.concatenate(x) for x in zip(*held)), buckets, 0, 0)
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by bucket, its part of the table first: answers questions one by one."""
+    bucket, parts, known = None, [], None
+    schema = pa.schema([("number", pa.int64()), ("codes", pa.binary()), ("v", pa.binary())])
     for batch in batches:
-        groups = []
-        for text in batch.column(1).to_pylist():
-            if size > GROUP:
-                group, size = group + 1, 0
-            groups.append(group)
-            size += len(text or "") + 64
-        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), batch.column(0), batch.column(1)], names=["group", "doc_id", "text"])
+        out = []
+        for own, kind, number, codes, v in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if own != bucket:
+                bucket, parts, known = own, [], None
+            codes = np.frombuffer(codes, np.uint64)
+            if kind == 0:
+                parts.append((codes, np.frombuffer(v, np.float64)))
+                continue
+            if known is None:
+                known = Codes(*(np.concatenate(x) for x in zip(*parts))) if parts else Codes(np.empty(0, np.uint64), np.empty(0))
+                parts = []
+            at = known.find(codes)
+            met = at >= 0
+            out.append((number, codes[met].tobytes(), known.values[at[met]].tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
 
 
 def score(docs: DataFrame, tree: Tree, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
+    buckets = facts.count() // ANSWERS + 1
+    groups = (docs.agg(F.sum(F.length(text_col) + 64)).first()[0] or 0) // GROUP + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, held, size, group = shared.value, [], 0, None
-
-        def done() -> pa.RecordBatch:
-            codes = np.unique(np.concatenate(held)).view(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), group, np.int64)), pa.array(codes)], names=["group", "code"])
-
+        tree, held, size, number = shared.value, [], 0, None
         for batch in batches:
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held and (own != group or size > 8 * FLUSH):
-                    yield done()
-                    size = 0
-                group = own
-                held.append(tree.asks(text))
+            own, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            for i, j in _slices(own):
+                if held and (own[i] != number or size > 8 * FLUSH):
+                    yield from _dealt(np.unique(np.concatenate(held)), None, buckets, 1, number)
+                    held, size = [], 0
+                number = int(own[i])
+                held.append(tree.asks(texts[i:j]))
                 size += len(held[-1])
         if held:
-            yield done()
-
-    def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
-        tree = shared.value
-        codes = found.column("code").to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        codes, values = codes[order], found.column("v").to_numpy()[order]
-        scores = [tree.score(text, codes, values) for text in rows.column("text").to_pylist()]
-        columns = [pa.array(x, k) for x, k in zip(zip(*scores), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))] if scores else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.Table.from_arrays([rows.column("doc_id").combine_chunks(), *columns], names=["doc_id", "n_tokens", "n_known", "base", "score"])
-
-    rows = common.materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_grouped, "group long, doc_id long, text string"), "groups")
-    asked = rows.select("group", "text").mapInArrow(ask, "group long, code long")
-    found = asked.join(facts, "code").select("group", "code", "v")
-    total = rows.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(answer, "doc_id long, n_tokens long, n_known long, base double, score double")
+            yield from _dealt(np.unique(np.concatenate(held)), None, buckets, 1, number)
+
+    def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
+        tree, out = shared.value, []
+        codes, values = (np.frombuffer(b"".join(found.column(c).to_pylist()), k) for c, k in (("codes", np.uint64), ("v", np.float64)))
+        codes, first = np.unique(codes, return_index=True)
+        known, texts = Codes(codes, values[first]), rows.column("text").to_pylist()
+        for i in range(0, len(texts), 256):
+            p, count, base, starts = tree.chances(texts[i : i + 256], known)
+            sizes = np.diff(np.append(starts, len(p)))
+            out.append((sizes, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
+        return pa.Table.from_arrays([rows.column("doc_id").combine_chunks(), *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+
+    # Rows are dealt by their number, so copies and repeated ids are spread; questions and judgment share the exchange.
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("number")
+    rows = docs.select(number, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartition("number")
+    asked = rows.sortWithinPartitions("number").mapInArrow(ask, _MEETING)
+    both = facts.mapInArrow(_facts(buckets), _MEETING).union(asked)
+    found = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "number long, codes binary, v binary")
+    total = rows.groupBy("number").cogroup(found.groupBy("number")).applyInArrow(judge, "doc_id long, n_tokens long, n_known long, base double, score double")
     scale = float(np.log10(tree.n + 0.1 * (tree.v + 1)))
     return total.select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score")
 

@@ -131,20 +131,103 @@ def test_model_counts_and_contexts(table):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in c for w in words), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), abs_tol=1e-9)
-    assert len(tree.table) >= 3  # "new" and "old" say what follows
+    assert tree.depth >= 1  # "new" and "old" say what follows
     held = [got[k] for k in range(50, 60)]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 0.8
     assert len([r for r in out if r["doc_id"] == 0]) == 2
 
 
-def test_probabilities_sum_to_one(table):
+def brute_model(train):
+    """By plain dictionaries: what gives each token of a text its probability."""
+    read = lambda t: [*(t or "").lower().split(), "\n"]
+    c = Counter(w for t in train for w in read(t))
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+    unknown = discount * v / n / max(1, v, once * once / (2 * twice + 1))
+    root = lambda w: (c[w] - discount) / n if w in c else unknown
+    often, levels, chance = {(w,): k for w, k in c.items()}, [], None
+    for level in range(1, suffix_tree_lm.DEPTH + 1):
+        seen = {}
+        for t in train:
+            seq = ["\n", *read(t)]
+            for i in range(level - 1, len(seq) - 1):
+                context = tuple(seq[i + 1 - level : i + 1])
+                if often.get(context, 0) >= suffix_tree_lm.LEAST:
+                    seen.setdefault(context, Counter())[seq[i + 1]] += 1
+        new, often, state = {}, {}, {}
+        for context, counts in seen.items():
+            total, kinds = sum(counts.values()), len(counts)
+            told = {w: k for w, k in counts.items() if k >= suffix_tree_lm.SEEN}
+            if total < suffix_tree_lm.LEAST or not told:
+                continue
+            low = total - sum(told.values())
+            q = {w: chance[(*context[1:], w)] if chance is not None else root(w) for w in told}
+            gain = sum(k * math.log((k - 1 + (kinds + low) * q[w]) / (total - 1 + kinds) / q[w]) for w, k in told.items())
+            gain += low * math.log(max(kinds + low - 2, 1e-300) / (total + kinds - 2)) if low else 0
+            kept, keep = gain > suffix_tree_lm.GAIN * total, (kinds + low) / (total + kinds)
+            if kept:
+                state[context] = (keep, {w: k / (total + kinds) for w, k in told.items()})
+            for w, k in told.items():
+                new[(*context, w)] = k / (total + kinds) + keep * q[w] if kept else q[w]
+                often[(*context, w)] = k
+        chance = new
+        levels.append(state)
+        if not any(k >= suffix_tree_lm.LEAST for k in often.values()):
+            break
+
+    def chances(text):
+        seq, out = ["\n", *read(text)], []
+        for i in range(len(seq) - 1):
+            p = root(seq[i + 1])
+            for level, state in enumerate(levels[: i + 1], 1):
+                found = state.get(tuple(seq[i + 1 - level : i + 1]))
+                if found:
+                    p = p * found[0] + found[1].get(seq[i + 1], 0.0)
+            out.append(p)
+        return out
+
+    return chances, levels, c
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_score_by_brute_force(table, monkeypatch, small):
+    if small:  # small parts of everything: buckets, flushes, groups, hot contexts
+        for name, value in (("FLUSH", 20), ("BUCKET", 300), ("ANSWERS", 50), ("GROUP", 700), ("BITS", 1 << 10)):
+            monkeypatch.setattr(suffix_tree_lm, name, value)
     rng = random.Random(3)
-    rows = [(k, " ".join(rng.choice("abcd") + rng.choice("xy") * rng.randint(0, 1) for _ in range(12))) for k in range(80)]
-    tree, _ = scored(table(rows), "true")
-    for state in range(len(tree.table)):
-        p = 10 ** tree.table[state]
-        assert math.isclose(p[:-1].sum() + p[-1] * tree.chance0[-1], 1.0, rel_tol=1e-6)
-    assert 0.8 < (10**tree.root).sum() <= 1.0
+    text = lambda: " ".join(rng.choice(["a b c", "a b d", "x y", "x z b", "q"]) + rng.choice(["", f" r{rng.randint(0, 300)}"]) for _ in range(rng.randint(0, 25)))
+    rows = [(k, text()) for k in range(150)] + [(150, None), (151, "a b unseen c"), (152, "a b " * 4000)]
+    rows += [(160, rows[3][1])] * 2
+    tree, out = scored(table(rows), "doc_id < 120 OR doc_id = 152")
+    chances, levels, _ = brute_model([t for k, t in rows if k < 120 or k == 152])
+    assert tree.depth == len(levels) and sum(map(len, levels)) > 5 and len(levels[2]) > 0
+    want = [(k, sum(map(math.log10, chances(t)))) for k, t in rows]
+    got = sorted((r["doc_id"], r["score"]) for r in out)
+    assert len(got) == len(want)
+    assert all(i == j and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for (i, a), (j, b) in zip(got, sorted(want)))
+
+
+def test_probabilities_sum_to_one():
+    """Over all known words; the unknown ones have the rest."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    train = [" ".join(rng.choice(words[j % 5 :: 5]) for j in range(20)) for _ in range(100)]
+    chances, levels, c = brute_model(train)
+    assert len(levels) > 1
+    for text in (train[0], "w1 w7", ""):
+        p = sum(chances(f"{text} {w}".strip())[len(text.split())] for w in c if w != "\n") + chances(text)[-1]
+        assert 0.9 < p <= 1 + 1e-9
+
+
+def test_codes_are_found():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 1000):
+        codes = np.unique(np.concatenate((rng.integers(0, 1 << 64, n, dtype=np.uint64), np.array([0, (1 << 64) - 1][: min(n, 2)], np.uint64))))
+        held = suffix_tree_lm.Codes(codes, np.arange(len(codes), dtype=float))
+        asked = np.concatenate((codes, rng.integers(0, 1 << 64, 500, dtype=np.uint64)))
+        at = {x: k for k, x in enumerate(codes.tolist())}
+        assert held.get(asked, -1.0).tolist() == [float(at.get(x, -1)) for x in asked.tolist()]
 
 
 def test_nothing_to_learn_from(table):
@@ -169,34 +252,6 @@ def test_contexts_by_count_whatever_the_corpus(table):
     assert got[5000] > -9  # the root alone gives about -16
 
 
-def test_whole_tree_sums_to_one(table):
-    """Over all known words and the unknown ones, after contexts of the table."""
-    rng = random.Random(6)
-    words = [f"w{k}" for k in range(30)]
-    rows = [(k, " ".join(rng.choice(words[j % 5 :: 5]) for j in range(20))) for k in range(100)]
-    docs = table(rows)
-    tree, facts = suffix_tree_lm.train(docs.select("text"))
-    ask = table([(k, f"{rows[0][1]} {w}") for k, w in enumerate([*words, "unseen"])] + [(99, rows[0][1])])
-    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(ask, tree, facts).collect()}
-    root = dict(zip(tree.ids, tree.root))
-    table_of = {r["code"]: r["v"] for r in facts.collect()}
-    codes = np.array(sorted(x % 2**64 for x in table_of), np.uint64)
-    values = np.array([table_of[int(x) - 2**64 if x >= 2**63 else int(x)] for x in codes])
-    last = lambda w: 10 ** (tree.score(f"{rows[0][1]} {w}", codes, values)[3] - got[99])
-    assert tree.depth and len(root) == 31 and all(math.isclose(last(w), 10 ** (got[k] - got[99])) for k, w in enumerate(words))
-    before = rows[0][1].split()
-    p = []
-    for w in [*words, None]:  # the chance of each next word: what the text with it has over the text before it, by place
-        ids, s, ws = tree.sequence(" ".join([*before, w]) if w else rows[0][1])
-        h = tree.codes(ids, ws)
-        q = 10 ** tree.dense(ids, s, np.empty(0))
-        for at, c, t in tree.lookups(h):
-            for i, x, y in zip(at.tolist(), c.view(np.int64).tolist(), t.view(np.int64).tolist()):
-                q[i] = q[i] * table_of.get(x, 1.0) + (table_of.get(y, 0.0) if y else 0.0)
-        p.append(q[len(before)])
-    assert 0.97 < sum(p) <= 1 + 1e-9
-
-
 # ---- quality --------------------------------------------------------------------------------------------------------
 def brute_repeats(words):
     grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
