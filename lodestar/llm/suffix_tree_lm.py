@@ -9,8 +9,9 @@ to the longest. The root gives each known token its share less an absolute disco
 evenly among as many unknown words as the counts of words seen once and twice lead to expect (Chao's estimate).
 
 Counts cover all training rows. States and next-symbol counts are a table by 64-bit code, partitioned like any other.
-Tasks send the counts of contexts as packed arrays, dealt into buckets by context, or by context and next word for
-contexts met so often that one bucket would hold too much (`_hot`). To score, rows are dealt into groups of about
+Tasks send the counts of contexts as packed arrays, dealt into buckets by the context's last word, so that a bucket has
+a context's counts and what its suffix predicts, and settles it. Contexts whose last word is so frequent that one bucket
+would hold too much (`_hot`) are dealt by next word as well; their sums meet in joins. To score, rows are dealt into groups of about
 GROUP characters; a group asks once for each code it needs, questions and table meet in buckets of codes, a bucket's
 part of the table is held while its questions stream by, and the answers meet the group's rows. What a worker holds
 besides is bounded: tokens with at least HEAVY of all tokens, and bitmaps of BITS that only spare questions: they let
@@ -43,7 +44,7 @@ GAIN = 0.002
 END = b"\n"  # no word has white space
 FLUSH = 300_000
 #: Uses that a context has at least, that a next word after it has to be told apart, and tokens of a context at most.
-LEAST, SEEN, DEPTH = 10, 2, 4
+LEAST, SEEN, DEPTH = 10, 3, 4
 #: Bits of a bitmap (a power of two), characters of a group of rows, tokens counted and codes answered in a bucket.
 BITS, GROUP, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 22, 1 << 20
 #: Bytes of a next word's hash that tell it from the others after its context.
@@ -215,11 +216,12 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
         tree, bits, hot, held, size = tree_of.value, bits_of.value, hot_of.value, [], 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            t, c, s, h, often = (np.concatenate(x) for x in zip(*held))
+            t, c, s, h, w = (np.concatenate(x) for x in zip(*held))
             held.clear()
             t, first, n = np.unique(t, return_index=True, return_counts=True)
-            c, s, h, often = c[first], s[first], h[first], often[first]
-            bucket = np.where(often, t, _mix(c, _u(level))) % _u(buckets)
+            c, s, h, w = c[first], s[first], h[first], w[first]
+            often = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w if len(hot) else np.zeros(len(w), bool)
+            bucket = np.where(often, t, _mix(w, _u(1))) % _u(buckets)
             order = np.lexsort((c, bucket))
             bucket, c, s, h, n, often = bucket[order], c[order], s[order], h[order], n[order], often[order]
             out = []
@@ -237,12 +239,12 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
             _, h, pos, _ = tree.read(batch.column(0).to_pylist())
             grams = list(tree.grams(h, level))
             # A context is what its last token followed, one level up.
-            last = np.concatenate(([tree.end], h[:-1])) if level == 1 else np.concatenate(([_u(0)], grams[level - 2][1][:-1]))
+            word = np.concatenate(([tree.end], h[:-1]))
+            last = word if level == 1 else np.concatenate(([_u(0)], grams[level - 2][1][:-1]))
             at = np.flatnonzero(bits.has(last) & (pos >= level - 1))
             if len(at):
                 c, t = grams[level - 1]
-                often = hot[np.minimum(np.searchsorted(hot, last[at]), len(hot) - 1)] == last[at] if len(hot) else np.zeros(len(at), bool)
-                held.append((t[at], c[at], grams[level - 2][0][at] if level > 1 else np.zeros(len(at), np.uint64), h[at], often))
+                held.append((t[at], c[at], grams[level - 2][0][at] if level > 1 else np.zeros(len(at), np.uint64), h[at], word[at]))
                 size += len(at)
             if size > 6 * FLUSH:
                 yield from rows()
@@ -253,14 +255,37 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
     return run
 
 
-_COUNTED = "c long, t long, s long, n long, kinds long, low long, r double"
+_COUNTED = "kind int, bucket long, c long, t long, s long, n long, kinds long, low long, v double, p double"
+_FIELDS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("bucket", "c", "t", "s", "n", "kinds", "low")), ("v", pa.float64()), ("p", pa.float64())])
+#: Kinds of rows: parts of hot contexts (n uses, kinds of next words, low uses by rare ones), their next words (v: the
+#: root's chance), next words of settled contexts (v: what a retained one adds, p: the chance), and what these keep (v).
+PART, HOT_NEXT, NEXT, KEEP = range(4)
+
+
+def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+    def one(field: pa.Field) -> pa.Array:
+        x = columns.get(field.name)
+        if x is None:
+            return pa.nulls(size, field.type)
+        x = x.view(np.int64) if x.dtype == np.uint64 else x
+        return pa.array(x, field.type, mask=np.isnan(x) if x.dtype == np.float64 else None)
+
+    columns["kind"] = np.full(size, kind, np.int32)
+    return pa.RecordBatch.from_arrays([one(f) for f in _FIELDS], schema=_FIELDS)
+
+
+def _rest(kinds: np.ndarray, low: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What the uses by rare next words gain, each left out in turn."""
+    return np.where(low > 0, low * np.log(np.maximum(kinds + low - 2, 1e-300) / np.maximum(total + kinds - 2, 1)), 0.0)
 
 
 def _counted(tree_of, level: int):
-    """A bucket's counts, as rows of two kinds: contexts with their uses (n), next words (kinds) and uses by rare ones (low), t null; and next words met SEEN times: t, its suffix's s, n, r."""
+    """A bucket's counts, with the chances that it settled one level below."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, below: pa.Table) -> pa.Table:
         tree = tree_of.value
+        if not rows.num_rows:
+            return pa.Table.from_batches([], _FIELDS)
         take = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
         k = take("k", "<u4")
         often, k = k >> np.uint32(31) == 1, (k & np.uint32((1 << 31) - 1)).astype(np.int64)
@@ -277,57 +302,85 @@ def _counted(tree_of, level: int):
         starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         total, low = np.add.reduceat(n, starts), np.add.reduceat(np.where(n < SEEN, n, 0), starts)
         kinds = np.diff(np.append(starts, len(c)))
-        live = (total >= LEAST) | often[owner[starts]]
+        hot = often[owner[starts]]
+        live = (total >= LEAST) | hot
         told = np.flatnonzero((n >= SEEN) & np.repeat(live, kinds))
         heavy = tree.hashes & _LOW
         by = np.argsort(heavy)
         near = by[np.minimum(np.searchsorted(heavy[by], x[told]), len(by) - 1)]
-        r = np.where(heavy[near] == x[told], np.maximum(tree.root[near], 1e-300), HEAVY)  # of a rare word, at least its chance
+        q = np.where(heavy[near] == x[told], np.maximum(tree.root[near], 1e-300), HEAVY)  # of a rare word, at least its chance
         s = _followed_by(take("s", np.uint64)[owner[told]], x[told]) if level > 1 else np.zeros(len(told), np.uint64)
-        one, two = int(live.sum()), len(told)
-        nulls = lambda a, b: np.concatenate((np.full(one, a), np.full(two, b)))
-        columns = [
-            pa.array(np.concatenate((c[starts][live], c[told])).view(np.int64)),
-            pa.array(np.concatenate((np.zeros(one, np.uint64), t[told])).view(np.int64), mask=nulls(True, False)),
-            pa.array(np.concatenate((np.zeros(one, np.uint64), s)).view(np.int64), mask=nulls(True, False)),
-            pa.array(np.concatenate((total[live], n[told]))),
-            *(pa.array(np.concatenate((v[live], np.zeros(two, np.int64))), mask=nulls(False, True)) for v in (kinds, low)),
-            pa.array(np.concatenate((np.zeros(one), r)), mask=nulls(True, False)),
-        ]
-        return pa.Table.from_arrays(columns, names=["c", "t", "s", "n", "kinds", "low", "r"])
+        of = np.repeat(np.arange(len(starts)), kinds)[told]  # each one's context
+        out = []
+        if hot.any():
+            w = hot[of]
+            out += [_rows(PART, int(hot.sum()), c=c[starts][hot], n=total[hot], kinds=kinds[hot], low=low[hot]), _rows(HOT_NEXT, int(w.sum()), c=c[told][w], t=t[told][w], s=s[w], n=n[told][w], v=q[w])]
+        cold = ~hot[of]
+        told, of, q, s = told[cold], of[cold], q[cold], s[cold]
+        if len(told):
+            if level > 1:
+                known = Codes(below.column("t").to_numpy().astype(np.int64).view(np.uint64), below.column("p").to_numpy())
+                q = known.get(s, np.nan)
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            mine = of[first]  # contexts that something is told of
+            whole, keep = (total + kinds)[mine], ((kinds + low) / (total + kinds))[mine]
+            at = np.repeat(np.arange(len(mine)), np.diff(np.append(first, len(of))))
+            without = (n[told] - 1 + (kinds + low)[of] * q) / (total + kinds - 1)[of]  # of a use, itself left out
+            gained = np.add.reduceat(n[told] * np.log(np.maximum(without, 1e-300) / q), first) + _rest(kinds, low, total)[mine]
+            kept = gained > GAIN * total[mine]
+            gain = np.where(kept[at], n[told] / whole[at], np.nan)
+            p = np.where(kept[at], gain + keep[at] * q, q)
+            bucket = np.full(len(told), rows.column("bucket")[0].as_py(), np.int64)
+            out += [_rows(NEXT, len(told), bucket=bucket, t=t[told], n=n[told], v=gain, p=p), _rows(KEEP, int(kept.sum()), c=c[starts][mine][kept], v=keep[kept])]
+        return pa.Table.from_batches(out, _FIELDS)
 
     return run
 
 
-def _level(texts: DataFrame, tree: Tree, bits: Bits, hot: np.ndarray, level: int, below: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Contexts of a level: c, keep, what a context leaves to its suffix, for those retained; and their next words: t, n, p, the chance there, and gain, what a retained context adds (null: not retained)."""
-    spark = texts.sparkSession
-    shared = [spark.sparkContext.broadcast(x) for x in (tree, bits, hot)]
-    packed = texts.mapInArrow(_followed(*shared, level, tree.n // BUCKET + 1), "bucket long, c binary, s binary, k binary, x binary, n binary")
-    counted = common.materialize(packed.groupBy("bucket").applyInArrow(_counted(shared[0], level), _COUNTED), f"counted{level}")
-    for x in shared:
-        x.unpersist()
-    contexts = counted.where("t IS NULL").groupBy("c").agg(F.sum("n").alias("total"), F.sum("kinds").alias("kinds"), F.sum("low").alias("low")).where(F.col("total") >= LEAST)
-    nexts = counted.where("t IS NOT NULL").select("c", "t", "s", "n", "r")
-    nexts = nexts.withColumn("q", F.col("r")) if below is None else nexts.join(below.select(F.col("t").alias("s"), F.col("p").alias("q")), "s")
-    nexts = nexts.select("c", "t", "n", "q")
-    out = F.expr("(n - 1 + (kinds + low) * q) / (total - 1 + kinds)")  # of a use, itself left out
-    seen = F.sum(F.col("n") * F.log(F.greatest(out, F.lit(1e-300)) / F.col("q")))
-    uses = nexts.join(contexts, "c").groupBy("c", "total", "kinds", "low").agg(seen.alias("seen"))
-    rest = F.expr("if(low = 0, 0D, low * ln(greatest(kinds + low - 2, 1e-300) / (total + kinds - 2)))")
-    states = uses.select("c", (F.col("total") + F.col("kinds")).alias("whole"), F.expr("(kinds + low) / (total + kinds)").alias("keep"), (F.col("seen") + rest > GAIN * F.col("total")).alias("kept"))
-    states = common.materialize(states, f"states{level}")
-    chance = F.expr("if(kept, n / whole + keep * q, q)")
-    told = nexts.join(states, "c").select("t", "n", chance.alias("p"), F.expr("if(kept, n / whole, NULL)").alias("gain"))
-    told = common.materialize(told, f"nexts{level}")
-    discard(counted)
-    return states.where("kept").select("c", "keep"), told
-
-
-def _hot(codes: DataFrame, n: int) -> np.ndarray:
-    """Sorted codes of what was met so often that contexts after it are dealt by next word too: at most a million, whatever the size of the corpus."""
+class Level:
+    """Contexts of a level and their next words: keeps (code, v), nexts (code, n, v; v null if the context isn't retained), and chances for the level above, settled (bucket, t, p) and hot (t, p)."""
+
+    def __init__(self, texts: DataFrame, tree: Tree, bits: Bits, hot: np.ndarray, level: int, below: Level | None) -> None:
+        spark = texts.sparkSession
+        shared = [spark.sparkContext.broadcast(x) for x in (tree, bits, hot)]
+        packed = texts.mapInArrow(_followed(*shared, level, tree.n // BUCKET + 1), "bucket long, c binary, s binary, k binary, x binary, n binary")
+        under = below.settled if below else spark.createDataFrame([], "bucket long, t long, p double")
+        counted = packed.groupBy("bucket").cogroup(under.groupBy("bucket")).applyInArrow(_counted(shared[0], level), _COUNTED)
+        counted = common.materialize(counted, f"counted{level}")
+        for x in shared:
+            x.unpersist()
+        self.settled = counted.where(F.col("kind") == NEXT).select("bucket", "t", "p")
+        self.nexts = counted.where(F.col("kind") == NEXT).select(F.col("t").alias("code"), "n", "v")
+        self.keeps = counted.where(F.col("kind") == KEEP).select(F.col("c").alias("code"), "v")
+        self.hot = None
+        if len(hot) and not counted.where(F.col("kind") == PART).isEmpty():
+            self._add_hot(counted, below, level)
+
+    def _add_hot(self, counted: DataFrame, below: Level | None, level: int) -> None:
+        """The same for contexts of which each bucket has a part."""
+        parts = counted.where(F.col("kind") == PART).groupBy("c").agg(F.sum("n").alias("total"), F.sum("kinds").alias("kinds"), F.sum("low").alias("low")).where(F.col("total") >= LEAST)
+        nexts = counted.where(F.col("kind") == HOT_NEXT).select("c", "t", "s", "n", F.col("v").alias("q"))
+        if below is not None:
+            nexts = nexts.drop("q").join(below.hot.select(F.col("t").alias("s"), F.col("p").alias("q")), "s")
+        nexts = common.materialize(nexts.select("c", "t", "n", "q").join(parts, "c"), f"hot{level}")
+        without = F.expr("(n - 1 + (kinds + low) * q) / (total - 1 + kinds)")
+        seen = F.sum(F.col("n") * F.log(F.greatest(without, F.lit(1e-300)) / F.col("q")))
+        rest = F.expr("if(low = 0, 0D, low * ln(greatest(kinds + low - 2, 1e-300) / (total + kinds - 2)))")
+        states = nexts.groupBy("c", "total", "kinds", "low").agg(seen.alias("seen"))
+        states = common.materialize(states.select("c", F.expr("(kinds + low) / (total + kinds)").alias("keep"), (F.col("seen") + rest > GAIN * F.col("total")).alias("kept")), f"states{level}")
+        told = nexts.join(states.select("c", "kept", "keep"), "c")
+        told = told.select("t", "n", F.expr("if(kept, n / (total + kinds) + keep * q, q)").alias("p"), F.expr("if(kept, n / (total + kinds), NULL)").alias("v"))
+        told = common.materialize(told, f"nexts{level}")
+        discard(nexts)
+        self.hot = told.select("t", "p")
+        self.nexts = self.nexts.union(told.select("t", "n", "v"))
+        self.keeps = self.keeps.union(states.where("kept").select("c", "keep"))
+
+
+def _hot(words: DataFrame, n: int) -> np.ndarray:
+    """Sorted codes of words met so often that contexts which end in one are dealt by next word: at most a million, whatever the size of the corpus."""
     least = max(BUCKET >> 4, n >> 20)
-    return np.sort(codes.where(F.col("n") >= least).select("code").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    return np.sort(words.where(F.col("v") >= least).select("code").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
@@ -341,23 +394,21 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     facts = common.materialize(vocab.mapInArrow(_word_codes, "code long, v double"), "words")
     if not n:
         return tree, facts
-    states: list[DataFrame] = []
-    nexts: list[DataFrame] = []
+    hot, levels = _hot(facts, n), []
     counts = facts.select("code", F.col("v").alias("n"))
-    while len(nexts) < DEPTH:
+    while len(levels) < DEPTH:
         bits = Bits(counts.where(F.col("n") >= LEAST).select("code"))
         if not bits.any:
             break
-        kept, told = _level(texts, tree, bits, _hot(counts, n), len(nexts) + 1, nexts[-1] if nexts else None)
-        states.append(kept.select(F.col("c").alias("code"), F.col("keep").alias("v")))
-        nexts.append(told)
-        counts = told.select(F.col("t").alias("code"), "n")
+        levels.append(Level(texts, tree, bits, hot, len(levels) + 1, levels[-1] if levels else None))
+        counts = levels[-1].nexts
         released(texts.sparkSession)
-    if nexts:
-        gains = common.union_all([x.where("gain IS NOT NULL").select(F.col("t").alias("code"), F.col("gain").alias("v")) for x in nexts])
-        keeps = common.union_all(states)
-        tree.depth, tree.states, tree.nexts = len(nexts), Bits(keeps), Bits(gains)
+    if levels:
+        gains = common.union_all([x.nexts.where("v IS NOT NULL").select("code", "v") for x in levels])
+        keeps = common.union_all([x.keeps for x in levels])
+        tree.depth, tree.states, tree.nexts = len(levels), Bits(keeps), Bits(gains)
         facts = common.union_all([facts, keeps, gains])
+        released(texts.sparkSession)
     return tree, facts
 
 
