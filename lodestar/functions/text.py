@@ -16,8 +16,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+def quoted(value: str) -> str:
+    """A string as SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let_sql(value: Column, body: str) -> Column:
+    """Like let, with body an SQL expression of p: one call to the JVM for many terms."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"p -> {body}")), 1)
+
+
+def contains_any(terms: Iterable[str], text: Column) -> Column:
+    """Whether the text holds any of the terms as they stand."""
+    return let_sql(text, " OR ".join(["FALSE", *[f"contains(p, {quoted(t)})" for t in terms]]))
+
+
 def words(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    values = list(values)
+    return F.expr(f"array({', '.join(map(quoted, values))})") if values else F.array()
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -34,17 +50,19 @@ def tokens(text: Column, stopwords: Iterable[str] = V.STOPWORDS, phrases: Iterab
 
     def split(low: Column) -> Column:
         found = F.regexp_extract_all(low, F.lit(V.TOKEN), F.lit(0))
-        plain = F.filter(found, lambda w: ~w.isin(stop)) if stop else found
+        plain = F.call_function("filter", found, F.expr(f"w -> NOT w IN ({', '.join(map(quoted, stop))})")) if stop else found
         if not phrases:
             return plain
-        return F.concat(plain, F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p.replace("/", "_").replace(" ", "_"))) for p in phrases])))
+        markers = ", ".join(f"CASE WHEN contains(p, {quoted(x)}) THEN {quoted(x.replace('/', '_').replace(' ', '_'))} END" for x in phrases)
+        return F.concat(plain, let_sql(low, f"array_compact(array({markers}))"))
 
     return let(F.lower(F.coalesce(text, F.lit(""))), split)
 
 
 def concepts(text: Column) -> Column:
     """Names of the concepts of which an alias is in the text."""
-    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(any_of(low.contains(a) for a in aliases), F.lit(f"concept_{name}")) for name, aliases in V.CONCEPTS.items()])))
+    named = ", ".join(f"CASE WHEN {' OR '.join(f'contains(p, {quoted(a)})' for a in aliases)} THEN {quoted(f'concept_{name}')} END" for name, aliases in V.CONCEPTS.items())
+    return let_sql(F.lower(text), f"array_compact(array({named}))")
 
 
 def join_nonempty(parts: Iterable[Column], separator: str = " ") -> Column:
@@ -77,7 +95,7 @@ def pad(text: Column) -> Column:
 
 
 def has_term(terms: Iterable[str], padded_text: Column) -> Column:
-    return let(padded_text, lambda p: any_of(p.contains(t) for t in padded(terms)))
+    return contains_any(padded(terms), padded_text)
 
 
 def count_terms(terms: Iterable[str], padded_text: Column, token_set: Column | None = None) -> Column:
@@ -87,7 +105,7 @@ def count_terms(terms: Iterable[str], padded_text: Column, token_set: Column | N
     phrases = [t for t in all_terms if " " in t.strip()]
     found = token_set if token_set is not None else F.split(padded_text, " ")
     single = F.size(F.array_intersect(words(singles), found)) if singles else F.lit(0)
-    return single + let(padded_text, lambda p: total(p.contains(t).cast("int") for t in phrases)) if phrases else single
+    return single + let_sql(padded_text, " + ".join(f"int(contains(p, {quoted(t)}))" for t in phrases)) if phrases else single
 
 
 def alias_match(aliases: Iterable[str], skill_terms: Column, padded_text: Column, token_set: Column) -> Column:

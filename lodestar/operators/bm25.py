@@ -42,14 +42,13 @@ def score(tokens: DataFrame, query: list[str]) -> DataFrame:
     known = {t: q for t, q in terms.items() if df.get(t)}
     if not known:
         return tokens.withColumn("bm25", F.lit(0.0))
-    hits = F.filter("tokens", lambda w: w.isin(list(known)))
+    asked = ", ".join(map(T.quoted, known))
     length = K1 * (1 - B + B * F.size("tokens") / max(mean, 1e-12))
-    rows = tokens.withColumn("__hits", hits).withColumn("__length", length)
-    parts = []
-    for t, q in known.items():
-        tf = F.size(F.filter("__hits", _is(t)))
-        parts.append(F.lit(q * idf(n, df[t])) * tf / (F.col("__length") + tf))
-    return rows.withColumn("bm25", T.total(parts, F.lit(0.0))).drop("__hits", "__length")
+    rows = tokens.withColumn("__hits", F.call_function("filter", "tokens", F.expr(f"w -> w IN ({asked})"))).withColumn("__length", length)
+    weights = ", ".join(f"{q * idf(n, df[t])!r}D" for t, q in known.items())
+    counts = f"transform(array({asked}), t -> size(filter(__hits, w -> w = t)))"
+    total = F.expr(f"aggregate(zip_with({counts}, array({weights}), (tf, k) -> k * tf / (__length + tf)), 0D, (a, x) -> a + x)")
+    return rows.withColumn("bm25", total).drop("__hits", "__length")
 
 
 def okapi(tokens: DataFrame, query: list[str], epsilon: float = 0.25) -> DataFrame:

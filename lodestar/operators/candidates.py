@@ -72,7 +72,7 @@ def _has(terms, text: Column) -> Column:
 def _product_job(j: Column) -> Column:
     """Of a normalised job."""
     company, industry = j["company"], j["industry"]
-    has = lambda terms, p: T.any_of(p.contains(t) for t in T.padded(terms))
+    has = T.has_term
     return has(V.PRODUCT_COMPANIES, company) | (~has(V.SERVICES, company) & (has(V.PRODUCT_INDUSTRIES, industry) | (j["size"].isin(V.PRODUCT_SIZES) & has(V.TECH_INDUSTRIES, industry))))
 
 
@@ -97,7 +97,7 @@ def counts(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     zero = F.lit(0.0)
     both = T.pad(F.concat_ws(" ", "x_title", F.expr("substring(x_career, 2, length(x_career) - 2)")))
     done = F.array_sort(F.transform(F.filter("career_history", lambda j: ~F.coalesce(j["is_current"], F.lit(False))), _months))
-    has = lambda terms, p: T.any_of(p.contains(t) for t in T.padded(terms))
+    has = T.has_term
     months = lambda f: _sum(F.filter("x_jobs", f), lambda j: j["months"])
     out = {
         "c_retrieval": T.count_terms(V.RETRIEVAL_TERMS, career, career_tokens),
@@ -138,7 +138,8 @@ def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     rows = counts(texts(rows), plan)
     title_text = T.pad(F.concat_ws(" ", "x_title", "x_headline", "x_titles"))
-    best_title = lambda text: T.let(text, lambda p: F.greatest(F.lit(0.08), *[F.when(p.contains(t), w).otherwise(0.08) for term, w in plan.titles.items() for t in T.padded([term])]))
+    weighed = ", ".join(f"CASE WHEN contains(p, {T.quoted(t)}) THEN {float(w)!r}D ELSE 0.08D END" for term, w in plan.titles.items() for t in T.padded([term]))
+    best_title = lambda text: T.let_sql(text, f"greatest(0.08D, 0.08D, {weighed})")
     title = best_title(title_text)
     if not plan.default:  # a past title counts less if the present one is far from the role
         present = best_title(T.pad(F.concat_ws(" ", "x_title", "x_headline")))
