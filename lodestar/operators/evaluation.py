@@ -100,6 +100,20 @@ def tie_ranks(rows: DataFrame, column: str) -> DataFrame:
     return counts.select(column, (F.sum("__n").over(w) - F.col("__n") + (F.col("__n") + 1) / 2).alias("average_rank"))
 
 
+def quantile_groups(rows: DataFrame, value: str, ident: str, groups: int, name: str) -> DataFrame:
+    """rows with the number, from 1, of the equal part that they fall in by value, largest first, ties by id; the first parts have one row more.
+
+    Places come from counts of values: rows meet those of their own value only.
+    """
+    counts = rows.groupBy(value).agg(F.count("*").alias("__n"))
+    w = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select(value, (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(value).orderBy(ident)) - 1
+    small, more = F.floor(F.col("__all") / groups), F.col("__all") % groups
+    cut = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return rows.join(before, value).withColumn(name, (cut + 1).cast("long")).drop("__before", "__all")
+
+
 def weighted_kappa(pairs: DataFrame, a: str, b: str, levels: int) -> DataFrame:
     """Quadratic-weighted kappa, exact and within-one agreement of two raters, from their contingency table."""
     cells = pairs.groupBy(a, b).agg(F.count("*").cast("double").alias("o"))

@@ -9,13 +9,17 @@ from lodestar.functions import numeric as N
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import audits as A
+from lodestar.operators import bm25
 from lodestar.operators import candidates as C
 from lodestar.operators import evaluation as E
 from lodestar.operators import fusion as G
+from lodestar.operators import learning as L
 from lodestar.operators import studies as S
 from lodestar.plans import candidates as P
 from lodestar.plans import evaluation as Q
+from lodestar.plans import studies
 from lodestar.sources.staging import staged
+from lodestar.streaming import jobs
 
 SIX = N.six
 _read, _ranking, _labels, _votes = Q._read, Q._ranking, Q._labels, Q._votes
@@ -451,6 +455,148 @@ b AS (SELECT x.k, max(x.w0 + y.w1 + z.w2) AS total FROM o x JOIN o y ON x.k = y.
 m AS (SELECT k, max(w0) AS a, max(w1) AS b, max(w2) AS c FROM w GROUP BY k)
 SELECT candidate_id, round(total, 6) AS total, round(((a > 0)::INT + (m.b > 0)::INT + (m.c > 0)::INT) / 3, 6) AS coverage, round(least(a, m.b, m.c), 6) AS weakest FROM b JOIN m USING (k) JOIN c USING (k)"""
 
+
+# ---- channels, dense scores, baselines --------------------------------------------------------------------------------
+CHANNEL_QUERY = ["retrieval", "ranking", "python", "production", "engineer", "ndcg", "senior", "flipkart"]
+
+
+def _channels(rows: DataFrame) -> DataFrame:
+    """The texts of a record's eight channels."""
+    joined = lambda array, *fields: F.concat_ws(" ", F.transform(array, lambda x: F.concat_ws(" ", *[x[f] for f in fields])))
+    texts = {
+        "career_descriptions": joined("career_history", "description"), "career_titles": joined("career_history", "title"), "verified_skills": joined("skills", "name"), "assessments": F.concat_ws(" ", F.map_keys("signals.skill_assessment_scores")),
+        "current_title": F.col("profile.current_title"), "companies": F.concat_ws(" ", joined("career_history", "company"), F.col("profile.current_company") if "current_company" in rows.schema["profile"].dataType.names else F.lit("")), "summary": F.col("profile.summary"), "headline": F.col("profile.headline"),
+    }
+    return rows.select("candidate_id", *[F.coalesce(t, F.lit("")).alias(c) for c, t in texts.items()])
+
+
+def channel_scores(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over eight weighted channels."""
+    rows = _channels(C.complete(P.records(spark, d)))
+    out = bm25.fields(rows, "candidate_id", {c: (F.col(c), w) for c, w in A.FIELD_WEIGHTS.items()}, CHANNEL_QUERY)
+    return out.select("candidate_id", SIX(F.col("bm25f")).alias("score"))
+
+
+_CHANNEL_SQL = {
+    "career_descriptions": "(SELECT string_agg(story, ' ') FROM jobs WHERE jobs.k = c.k)", "career_titles": "(SELECT string_agg(title, ' ') FROM jobs WHERE jobs.k = c.k)", "verified_skills": "(SELECT string_agg(name, ' ') FROM skills WHERE skills.k = c.k)", "assessments": "CASE WHEN k % 4 = 0 THEN 'Python NDCG' ELSE '' END",
+    "current_title": "title", "companies": "(SELECT string_agg(company, ' ') FROM jobs WHERE jobs.k = c.k)", "summary": "summary", "headline": "headline",
+}
+CHANNEL_SQL = f"""
+WITH {P.RECORDS}, f AS ({" UNION ALL ".join(f"SELECT candidate_id, '{f}' AS f, {A.FIELD_WEIGHTS[f]}::DOUBLE AS w, regexp_extract_all(lower(coalesce({x}, '')), '{V.TOKEN}') AS t FROM c" for f, x in _CHANNEL_SQL.items())}),
+m AS (SELECT f, avg(len(t)) AS mean FROM f GROUP BY f), q AS (SELECT unnest({P._sql_list(CHANNEL_QUERY)}) AS term), df AS (SELECT term, count(DISTINCT candidate_id) AS df FROM f, q WHERE list_contains(t, term) GROUP BY term),
+x AS (SELECT candidate_id, term, df, sum(w * len(list_filter(t, lambda a: a = term)) / (0.25 + 0.75 * len(t) / greatest(mean, 1e-12))) AS tf FROM f JOIN m USING (f), df GROUP BY ALL)
+SELECT candidate_id, round(sum(ln(1 + ((SELECT count(*) FROM c) - df + 0.5) / (df + 0.5)) * tf / (1.2 + tf)), 6) + 0.0::DOUBLE AS score FROM x GROUP BY candidate_id"""
+
+
+def dense_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The main score with the likeness of a record's vector to a query's beside the features; a record without one has 0."""
+    e = _read(spark, d, "embeddings")
+    q = F.array(*[F.lit(float(x)) for x in e.orderBy("vec_id").first()["embedding"]])  # one row: the query
+    rows = P.scored(spark, d).withColumn("retrieval", F.lit(0.5)).withColumn("vec_id", F.regexp_extract("candidate_id", "[0-9]+", 0).cast("long"))
+    rows = rows.join(e.select("vec_id", ((N.cosine(F.col("embedding"), q) + 1) / 2).alias("likeness")), "vec_id", "left").withColumn("semantic", F.coalesce("likeness", F.lit(0.0)))
+    return rows.select("candidate_id", SIX(C.score("main", semantic="semantic")).alias("score"))
+
+
+_MAIN = {k: w * V.PROFILES["main"][0].get(k, 1.0) for k, w in V.WEIGHTS.items()}
+DENSE_SQL = f"""
+WITH {P.FEATURES}, v AS (SELECT vec_id, ({_FIRST_COSINE} + 1) / 2 AS likeness FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1))
+SELECT candidate_id, round(({" + ".join(f"{w!r}::DOUBLE * {'0.5' if k == 'bm25_score' else P.SHOWN[k]}" for k, w in _MAIN.items())} + {V.SEMANTIC_WEIGHT!r}::DOUBLE * coalesce(likeness, 0)) / {sum(_MAIN.values()) + V.SEMANTIC_WEIGHT!r}::DOUBLE * behaviour ^ {V.PROFILES["main"][1]}::DOUBLE * honeypot * disqualifier, 6) + 0.0::DOUBLE AS score
+FROM f5 LEFT JOIN v ON vec_id = k"""
+
+
+def keyword_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty first records by counts of a role's words alone."""
+    rows = C.texts(C.with_text(P.records(spark, d)))
+    role = S_ROLES["search"]
+    names = T.pad(F.concat_ws(" ", F.col("x_names")))
+    title = T.pad(F.concat_ws(" ", "x_title", "x_headline"))
+    points = 2.0 * T.count_terms(role["titles"], title) + 1.0 * T.count_terms(role["skills"], names) + 0.35 * T.count_terms(role["skills"], F.col("x_full"), F.col("x_tokens")) + 0.40 * T.count_terms(role["evidence"], F.col("x_career"), F.col("x_career_tokens"))
+    top = rows.select("candidate_id", SIX(points).alias("score")).orderBy(F.desc("score"), "candidate_id").limit(20)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "candidate_id")).cast("long"))
+
+
+S_ROLES = studies.ROLES
+BASELINE_SQL = f"""
+WITH {P.FEATURES}, nm AS (SELECT k, ' ' || string_agg({P._N("name")}, ' ' ORDER BY s) || ' ' AS names FROM skills GROUP BY k),
+p AS (SELECT candidate_id, round(2.0::DOUBLE * ({P._count(S_ROLES["search"]["titles"], "(' ' || " + P._N("title") + " || ' ' || " + P._N("headline") + " || ' ')")}) + ({P._count(S_ROLES["search"]["skills"], "names")}) + 0.35::DOUBLE * ({P._count(S_ROLES["search"]["skills"], "xf")}) + 0.40::DOUBLE * ({P._count(S_ROLES["search"]["evidence"], "xc")}), 6) AS score FROM f0 JOIN nm USING (k))
+SELECT candidate_id, score, row_number() OVER (ORDER BY score DESC, candidate_id) AS rank FROM p QUALIFY rank <= 20"""
+
+
+def precisions(spark: SparkSession, d: str) -> DataFrame:
+    """Precision of short rankings by both denominators: the place looked at, and no more than the ranking has."""
+    lists = _ranking(spark, d).join(_labels(spark, d).select("doc_id", "tier"), "doc_id", "left").withColumn("size", F.explode(F.array(*map(F.lit, (4, 7, 10, 30))))).where(F.col("rank") <= F.col("size"))
+    hits = lambda least: F.count_if((F.col("rank") <= 10) & (F.coalesce("tier", F.lit(0.0)) >= least))
+    out = lists.groupBy("size").agg(hits(3).alias("good"), hits(4).alias("best"), F.count("*").alias("n"))
+    return out.select(F.col("size").cast("long").alias("size"), SIX(F.col("good") / 10.0).alias("by_place"), SIX(F.col("best") / F.least(F.lit(10), F.greatest(F.lit(1), F.col("n")))).alias("by_size"))
+
+
+PRECISION_SQL = f"WITH {LABELS}, {RANKING} SELECT size::BIGINT AS size, round(count(*) FILTER (rank <= 10 AND coalesce(tier, 0) >= 3) / 10, 6) AS by_place, round(count(*) FILTER (rank <= 10 AND coalesce(tier, 0) >= 4) / least(10, greatest(1, count(*))), 6) AS by_size FROM ranking_ LEFT JOIN labels_ USING (doc_id), (SELECT unnest([4, 7, 10, 30]) AS size) WHERE rank <= size GROUP BY size"
+
+
+def swaps(spark: SparkSession, d: str) -> DataFrame:
+    """What each swap of two of a ranking's first twenty changes in its gain."""
+    r = _ranking(spark, d, 20).join(_labels(spark, d).select("doc_id", "gain"), "doc_id", "left").select("doc_id", "rank", (F.pow(F.lit(2.0), F.coalesce("gain", F.lit(0.0))) - 1).alias("g"), (1 / F.log2(F.col("rank") + 1)).alias("w"))
+    x, y = r.alias("x"), r.alias("y")
+    pairs = x.join(y, F.col("x.rank") < F.col("y.rank"))  # twenty rows by twenty
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), SIX((F.col("y.g") - F.col("x.g")) * (F.col("x.w") - F.col("y.w"))).alias("change"))
+
+
+SWAPS_SQL = f"WITH {LABELS}, {RANKING}, r AS (SELECT doc_id, rank, 2 ^ coalesce(gain, 0) - 1 AS g, 1 / log2(rank + 1) AS w FROM ranking_ LEFT JOIN labels_ USING (doc_id) WHERE rank <= 20) SELECT x.doc_id AS a, y.doc_id AS b, round((y.g - x.g) * (x.w - y.w), 6) + 0.0::DOUBLE AS change FROM r x JOIN r y ON x.rank < y.rank"
+
+
+def left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Mean relevance with each feature left out and the other weights scaled up."""
+    rows = P.scored(spark, d).withColumn("retrieval", F.lit(0.5))
+    parts, total = C.contributions("main"), sum(_MAIN.values())
+    wide = rows.select("candidate_id", *[c.alias(k) for k, c in parts.items()])
+    whole = sum((F.col(k) for k in parts), F.lit(0.0))
+    means = wide.agg(*[F.avg((whole - F.col(k)) * total / (total - _MAIN[k])).alias(k) for k in parts])
+    return means.unpivot([], list(parts), "feature", "relevance").select("feature", SIX(F.col("relevance")).alias("relevance"))
+
+
+_PART = lambda k: f"{_MAIN[k]!r}::DOUBLE * {'0.5' if k == 'bm25_score' else P.SHOWN[k]}"
+LEFT_SQL = f"WITH {P.FEATURES}, w AS (SELECT " + ", ".join(f"avg(({' + '.join(_PART(j) for j in _MAIN if j != k)}) / {sum(_MAIN.values()) - _MAIN[k]!r}::DOUBLE) AS {k}" for k in _MAIN) + " FROM f5) SELECT feature, round(relevance, 6) AS relevance FROM (UNPIVOT w ON " + ", ".join(_MAIN) + " INTO NAME feature VALUE relevance)"
+
+
+def job_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Present states of jobs whose states are appended rows, and how many have each."""
+    rows = _read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("ts"), F.col("event_type").alias("status"))
+    now = jobs.states(rows)
+    return now.groupBy("status").agg(F.count("*").alias("n_jobs"), F.sum("n_events").cast("long").alias("n_events"), F.count_if(F.col("status").isin("error", "purchase")).alias("n_ended"))
+
+
+JOBS_SQL = "WITH j AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id) SELECT status, count(*) AS n_jobs, sum(n)::BIGINT AS n_events, count(*) FILTER (status IN ('error', 'purchase')) AS n_ended FROM j GROUP BY status"
+
+
+def route_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Requests by route and status class, with the total of each route."""
+    e = _read(spark, d, "events").select("event_type", F.floor(F.col("event_id") % 5 + 1).cast("long").alias("class"), "value")
+    each = e.groupBy("event_type", "class").agg(F.count("*").alias("n"), SIX(F.avg("value")).alias("mean"))
+    return each.withColumn("route_total", F.sum("n").over(Window.partitionBy("event_type")))
+
+
+ROUTES_SQL = "SELECT *, sum(n) OVER (PARTITION BY event_type)::BIGINT AS route_total FROM (SELECT event_type, event_id % 5 + 1 AS class, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)"
+
+
+def _documents_measured(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") / 1000.0).alias("size"), (F.length(F.regexp_replace("text", "[^\\n]", "")) / 10.0).alias("lines"))
+    return docs.join(_read(spark, d, "labels"), "doc_id", "left")
+
+
+def forest_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """How good documents are by forests learned from the labelled ones."""
+    rows = staged(_documents_measured(spark, d), "measured")
+    models = L.forests(rows.where("quality IS NOT NULL"), ["size", "lines"], "quality", seeds=2)
+    return L.predicted(rows, ["size", "lines"], models).select("doc_id", SIX(F.col("prediction")).alias("prediction"))
+
+
+def ordered_by_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Documents ordered within their language by trees boosted for the order of labelled ones."""
+    rows = staged(_documents_measured(spark, d), "measured")
+    model = L.LambdaTrees().fit(rows.where("quality IS NOT NULL"), "lang", "doc_id", ["size", "lines"], "quality", rounds=3)
+    return model.score(rows).select("doc_id", SIX(F.col("prediction")).alias("score"))
+
+
 _NAMES = {
     "s10_strict_submissions": (submissions, SUBMISSIONS_SQL),
     "s11_outside_pool": (outside_pool, OUTSIDE_SQL),
@@ -484,6 +630,16 @@ _NAMES = {
     "j13_nearest_free": (matched, MATCHED_SQL),
     "w15_progress": (progress, PROGRESS_SQL),
     "r07_requirement_evidence": (requirement_evidence, EVIDENCE_SQL),
+    "r05_channel_scores": (channel_scores, CHANNEL_SQL),
+    "r08_dense_scores": (dense_scores, DENSE_SQL),
+    "l02_keyword_baseline": (keyword_baseline, BASELINE_SQL),
+    "a03_precisions": (precisions, PRECISION_SQL),
+    "j18_swaps": (swaps, SWAPS_SQL),
+    "g24_left_out": (left_out, LEFT_SQL),
+    "a28_job_counts": (job_counts, JOBS_SQL),
+    "a29_route_counters": (route_counters, ROUTES_SQL),
+    "g14_forest_predictions": (forest_predictions, None),
+    "g15_ordered_by_trees": (ordered_by_trees, None),
 }
 QUERIES = {k: q for k, (q, _) in _NAMES.items()}
 ORACLE = {k: s for k, (_, s) in _NAMES.items() if s}

@@ -123,10 +123,9 @@ SELECT round(corr(a, n), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, coun
 def decile_lift(spark: SparkSession, d: str) -> DataFrame:
     """Share of good documents in each tenth by length over the share in all."""
     rows = _read(spark, d, "labels").join(_read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    tenth = F.ntile(10).over(Window.orderBy(F.desc("n_chars"), "doc_id"))
-    cut = rows.select("quality", tenth.alias("decile"))
-    overall = F.sum("s").over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
-    return cut.groupBy("decile").agg(F.count("*").alias("n"), F.sum("quality").alias("s")).select(F.col("decile").cast("long").alias("decile"), "n", SIX(F.col("s") / F.col("n")).alias("share"), SIX(F.col("s") / F.col("n") / overall).alias("lift"))
+    cut = E.quantile_groups(rows, "n_chars", "doc_id", 10, "decile")
+    overall = F.sum("s").over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())  # ten rows
+    return cut.groupBy("decile").agg(F.count("*").alias("n"), F.sum("quality").alias("s")).select("decile", "n", SIX(F.col("s") / F.col("n")).alias("share"), SIX(F.col("s") / F.col("n") / overall).alias("lift"))
 
 
 DECILE_SQL = "WITH c AS (SELECT quality, ntile(10) OVER (ORDER BY n_chars DESC, doc_id) AS decile FROM labels JOIN documents USING (doc_id)) SELECT decile, count(*) AS n, round(avg(quality), 6) AS share, round(avg(quality) / (SELECT avg(quality) FROM c), 6) AS lift FROM c GROUP BY decile"
@@ -432,16 +431,7 @@ COSINE_SQL = "WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id L
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector's label smoothed by the mean of its five nearest among vectors of the same tenth by id."""
-    e = _read(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 10).alias("block"), F.col("embedding").alias("v"), F.col("label").cast("double").alias("s"))
-    x, y = e.alias("x"), e.alias("y")
-    near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.vec_id") != F.col("y.vec_id"))).select(F.col("x.vec_id").alias("vec_id"), F.col("x.s").alias("s"), F.col("y.s").alias("t"), F.col("y.vec_id").alias("other"), F.round(N.cosine(F.col("x.v"), F.col("y.v")), 9).alias("c"))
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("c"), "other"))).where("k <= 5")
-    return near.groupBy("vec_id").agg(SIX(0.6 * F.first("s") + 0.4 * F.avg("t")).alias("score"))
-
-
-def all_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector's label smoothed by the mean of its ten nearest among all others, as in the reference's graph reranking."""
+    """Each vector's label smoothed by the mean of its ten nearest among all others."""
     e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("ident"), F.col("embedding").alias("vector"), F.col("label").cast("double").alias("s"))
     near = G.nearest(e.select("ident", "vector")).join(e.select(F.col("ident").alias("other"), F.col("s").alias("t")), "other")
     mean = near.groupBy("ident").agg(F.avg("t").alias("t"))
@@ -450,8 +440,8 @@ def all_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 _DOT = lambda a, b: f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
 NEIGHBOUR_SQL = f"""
-WITH n AS (SELECT x.vec_id, x.label AS s, y.label AS t, row_number() OVER (PARTITION BY x.vec_id ORDER BY round({_DOT("x.embedding", "y.embedding")} / (sqrt({_DOT("x.embedding", "x.embedding")}) * sqrt({_DOT("y.embedding", "y.embedding")})), 9) DESC, y.vec_id) AS k FROM embeddings x JOIN embeddings y ON x.vec_id % 10 = y.vec_id % 10 AND x.vec_id <> y.vec_id)
-SELECT vec_id, round(0.6::DOUBLE * any_value(s) + 0.4::DOUBLE * avg(t), 6) AS score FROM n WHERE k <= 5 GROUP BY vec_id"""
+WITH n AS (SELECT x.vec_id, x.label AS s, y.label AS t, row_number() OVER (PARTITION BY x.vec_id ORDER BY round({_DOT("x.embedding", "y.embedding")} / (sqrt({_DOT("x.embedding", "x.embedding")}) * sqrt({_DOT("y.embedding", "y.embedding")})), 9) DESC, y.vec_id) AS k FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id)
+SELECT vec_id, round(0.6::DOUBLE * any_value(s) + 0.4::DOUBLE * avg(t), 6) AS score FROM n WHERE k <= 10 GROUP BY vec_id"""
 
 
 def threads(spark: SparkSession, d: str) -> DataFrame:
@@ -509,7 +499,6 @@ QUERIES = {
     "j12_interval_overlap": overlaps,
     "n12_cosine_topk": cosine_topk,
     "g11_neighbour_scores": neighbours,
-    "g11_neighbour_scores_whole": all_neighbours,
     "a20_thread_pivot": threads,
     "n02_normalised": normalised,
 }

@@ -168,3 +168,52 @@ def test_discarded_tables_are_gone(spark):
     assert path.exists()
     staging.discard(df)
     assert not path.exists()
+
+
+def test_quantile_groups_are_ntiles(spark):
+    from pyspark.sql import Window
+
+    from lodestar.operators import evaluation as E
+
+    for n in (3, 10, 47):
+        rows = spark.createDataFrame([(k, k * 7 % 5) for k in range(n)], "k long, v long")
+        want = {r["k"]: r["t"] for r in rows.withColumn("t", F.ntile(10).over(Window.orderBy(F.desc("v"), "k"))).collect()}
+        assert {r["k"]: r["q"] for r in E.quantile_groups(rows, "v", "k", 10, "q").collect()} == want
+
+
+def test_pulls_by_brute_force(spark):
+    from lodestar.operators import learning as L
+
+    rng = np.random.default_rng(9)
+    rows = [(g, 100 * g + i, float(rng.integers(0, 4)), float(rng.normal())) for g in range(2) for i in range(8)]
+    df = spark.createDataFrame(rows, "g long, i long, y double, s double")
+    for top in (3, 100):
+        want = {}
+        for g in range(2):
+            mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1]))
+            best = sorted((r[2] for r in mine), reverse=True)[:top]
+            ideal = sum((2**y - 1) / np.log2(k + 2) for k, y in enumerate(best))
+            for a in range(8):
+                for b in range(8):
+                    x, y = mine[a], mine[b]
+                    if x[2] > y[2] and min(a, b) < top:
+                        swap = abs((2 ** x[2] - 2 ** y[2]) * (1 / np.log2(a + 2) - 1 / np.log2(b + 2))) / ideal
+                        rho = 1 / (1 + np.exp(x[3] - y[3]))
+                        want[x[1]] = want.get(x[1], 0) + rho * swap
+                        want[y[1]] = want.get(y[1], 0) - rho * swap
+        got = {r["i"]: r["pull"] for r in L.lambdas(df, "g", "i", "y", "s", top).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_models_learn(spark):
+    from lodestar.operators import learning as L
+
+    rng = np.random.default_rng(10)
+    x = rng.random((200, 2))
+    rows = spark.createDataFrame([(k % 4, k, float(a), float(b), float(round(3 * a))) for k, (a, b) in enumerate(x)], "g long, i long, a double, b double, y double")
+    score = {r["i"]: r["prediction"] for r in L.LambdaTrees(0.3, 3).fit(rows, "g", "i", ["a", "b"], "y", rounds=3, top=20).score(rows).collect()}
+    right = [score[i] > score[j] for i in range(200) for j in range(200) if i % 4 == j % 4 and x[i, 0] > x[j, 0] + 0.35]
+    assert np.mean(right) > 0.85
+    models = L.forests(rows, ["a", "b"], "y", seeds=2, trees=5)
+    error = [r["prediction"] - r["y"] for r in L.predicted(rows, ["a", "b"], models).collect()]
+    assert np.mean(np.square(error)) < 0.5

@@ -321,7 +321,7 @@ def test_neighbour_scores_of_the_whole_pool(spark):
     c = np.round(u @ u.T, 9)
     np.fill_diagonal(c, -2)
     near = np.argsort(-c, axis=1, kind="stable")[:, :10]
-    got = {r["vec_id"]: r["score"] for r in registry.QUERIES["g11_neighbour_scores_whole"](spark, d).collect()}
+    got = {r["vec_id"]: r["score"] for r in registry.QUERIES["g11_neighbour_scores"](spark, d).collect()}
     assert len(got) == len(e)
     assert all(abs(got[r["vec_id"]] - 0.6 * s[k] - 0.4 * s[near[k]].mean()) < 2e-6 for k, r in enumerate(e))
 
