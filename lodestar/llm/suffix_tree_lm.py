@@ -11,11 +11,13 @@ evenly among as many unknown words as the counts of words seen once and twice le
 Counts cover all training rows. States and next-symbol counts are a table by 64-bit code, partitioned like any other.
 Tasks send the counts of contexts as packed arrays, dealt into buckets by the context's last word, so that a bucket has
 a context's counts and what its suffix predicts, and settles it. Contexts whose last word is so frequent that one bucket
-would hold too much (`_hot`) are dealt by next word as well; their sums meet in joins. To score, rows are dealt into groups of about
-GROUP characters; a group asks once for each code it needs, questions and table meet in buckets of codes, a bucket's
-part of the table is held while its questions stream by, and the answers meet the group's rows. What a worker holds
-besides is bounded: tokens with at least HEAVY of all tokens, and bitmaps of BITS that only spare questions: they let
-some through in vain but hide no state.
+would hold too much (`_hot`) are dealt by next word as well; their sums meet in joins. To score, rows are dealt in
+compressed chunks into groups of about GROUP characters; a group asks once for each code it needs, questions and table
+meet in buckets of codes, a bucket's part of the table is held while its questions stream by, and the answers, a bit
+for each question and the values found, meet the group's rows. Questions name a code by 48 of its bits within a bucket
+of some ANSWERS codes, and values travel in single precision, in which counts of words below HEAVY of all are exact up to
+16 million. What a worker holds besides is bounded: tokens with at least HEAVY of all tokens, and bitmaps of BITS that
+only spare questions: they let some through in vain but hide no state.
 
 Defined results: a null text counts as empty and is its end alone. With no training rows, no token is known, the end
 and any word have probability 1/2. Null ids fall in the same remainder as the empty id. Rows
@@ -31,6 +33,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +47,9 @@ GAIN = 0.002
 END = b"\n"  # no word has white space
 FLUSH = 300_000
 #: Uses that a context has at least, that a next word after it has to be told apart, and tokens of a context at most.
-LEAST, SEEN, DEPTH = 10, 3, 4
-#: Bits of a bitmap (a power of two), characters of a group of rows, tokens counted and codes answered in a bucket.
-BITS, GROUP, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 22, 1 << 20
+LEAST, SEEN, DEPTH = 10, 3, 3
+#: Bits of a bitmap (a power of two), characters of a group of rows and of a chunk, tokens counted and codes answered in a bucket.
+BITS, GROUP, CHUNK, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 20, 1 << 22, 1 << 20
 #: Bytes of a next word's hash that tell it from the others after its context.
 WIDTH = 5
 _LOW = np.uint64((1 << 8 * WIDTH) - 1)
@@ -91,6 +94,18 @@ def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).cast(pa.float64())], names=["code", "v"])
 
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of codes, and where in it each distinct one starts."""
+    order = np.argsort(codes)
+    ordered = codes[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), ordered[1:] != ordered[:-1])))
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """A stable order by bucket; few buckets are sorted by radix."""
+    return np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")
+
+
 class Bits:
     """A bitmap of codes."""
 
@@ -218,11 +233,13 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
         def rows() -> Iterator[pa.RecordBatch]:
             t, c, s, h, w = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            t, first, n = np.unique(t, return_index=True, return_counts=True)
-            c, s, h, w = c[first], s[first], h[first], w[first]
+            order, first = _distinct(t)
+            n, order = np.diff(np.append(first, len(t))), order[first]
+            t, c, s, h, w = t[order], c[order], s[order], h[order], w[order]
             often = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w if len(hot) else np.zeros(len(w), bool)
             bucket = np.where(often, t, _mix(w, _u(1))) % _u(buckets)
-            order = np.lexsort((c, bucket))
+            order = np.argsort(c)
+            order = order[_by_bucket(bucket[order], buckets)]
             bucket, c, s, h, n, often = bucket[order], c[order], s[order], h[order], n[order], often[order]
             out = []
             for i, j in _slices(bucket):
@@ -293,12 +310,13 @@ def _counted(tree_of, level: int):
         x[:, :WIDTH] = take("x", np.uint8).reshape(-1, WIDTH)
         x = x.reshape(-1).view("<u8")
         c = np.repeat(take("c", np.uint64), k)
-        t, first, place = np.unique(_followed_by(c, x), return_index=True, return_inverse=True)
-        n = np.bincount(place, take("n", "<u4"), len(t)).astype(np.int64)
-        owner = np.repeat(np.arange(len(k)), k)[first]
-        c = c[first]
-        order = np.argsort(c, kind="stable")
-        t, n, c, owner, x = t[order], n[order], c[order], owner[order], x[first][order]
+        t = _followed_by(c, x)
+        order, first = _distinct(t)
+        n = np.add.reduceat(take("n", "<u4").astype(np.int64)[order], first)
+        at = order[first]
+        order = np.argsort(c[at])
+        n, at = n[order], at[order]
+        t, c, x, owner = t[at], c[at], x[at], np.repeat(np.arange(len(k)), k)[at]
         starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         total, low = np.add.reduceat(n, starts), np.add.reduceat(np.where(n < SEEN, n, 0), starts)
         kinds = np.diff(np.append(starts, len(c)))
@@ -392,6 +410,7 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     heavy = vocab.where((F.col("c") >= HEAVY * n) | (F.col("word") == F.lit(END))).collect() if n else []
     tree = Tree([(bytes(r["word"]), r["c"]) for r in heavy] or [(END, 0)], n, v, n1, n2)
     facts = common.materialize(vocab.mapInArrow(_word_codes, "code long, v double"), "words")
+    discard(vocab)
     if not n:
         return tree, facts
     hot, levels = _hot(facts, n), []
@@ -412,32 +431,91 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     return tree, facts
 
 
+_CHUNKS = pa.schema([("number", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary())])
 _MEETING = "bucket long, kind int, number long, codes binary, v binary"
 _MET = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("number", pa.int64()), ("codes", pa.binary()), ("v", pa.binary())])
+_FOUND = pa.schema([("number", pa.int64()), ("bucket", pa.int64()), ("met", pa.binary()), ("v", pa.binary())])
+
+
+def _chunked(groups: int):
+    """Rows (id, text) in compressed chunks, each of one group. Chunks follow a partition's order, so a lost one is made again as it was."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size, made = [], [], 0, TaskContext.get().partitionId() << 32
+
+        def chunk() -> pa.RecordBatch:
+            whole = b"".join(texts)
+            number = int(_mix(np.array([made], np.uint64), _u(9))[0] % _u(groups))
+            body = pa.compress(whole, codec="zstd", asbytes=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(([number], [ids], [list(map(len, texts))], [body]), _CHUNKS)], schema=_CHUNKS)
+
+        for batch in batches:
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(ident)
+                texts.append((text or "").encode())
+                size += len(texts[-1]) + 64
+                if size > CHUNK:
+                    yield chunk()
+                    ids, texts, size, made = [], [], 0, made + 1
+        if ids:
+            yield chunk()
+
+    return run
 
 
-def _dealt(codes: np.ndarray, values: np.ndarray | None, buckets: int, kind: int, number: int) -> Iterator[pa.RecordBatch]:
-    """Rows for the buckets that codes fall to."""
+def _unpacked(sizes: list[int], body: bytes) -> list[str]:
+    whole = pa.decompress(body, sum(sizes), codec="zstd", asbytes=True) if sum(sizes) else b""
+    ends = np.cumsum(sizes).tolist()
+    return [whole[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+def _asked(tree: Tree, chunks: list[tuple[list[int], bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A group's codes in order of their buckets, and these."""
+    held = [np.empty(0, np.uint64)]
+    for sizes, body in chunks:
+        held.append(tree.asks(_unpacked(sizes, body)))
+    codes = np.unique(np.concatenate(held))
     bucket = _mix(codes, _u(3)) % _u(buckets)
-    order = np.argsort(bucket, kind="stable")
-    bucket, codes = bucket[order], codes[order]
-    values = values[order] if values is not None else None
-    out = [(int(bucket[i]), kind, number, codes[i:j].tobytes(), values[i:j].tobytes() if values is not None else None) for i, j in _slices(bucket)]
-    for i in range(0, len(out), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[i : i + 64]), _MET)], schema=_MET)
+    order = _by_bucket(bucket, buckets)
+    return codes[order], bucket[order]
+
+
+def _short(codes: np.ndarray) -> bytes:
+    """The last 48 bits of each."""
+    return np.ascontiguousarray(codes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    """These bits as the first ones of 64."""
+    out = np.zeros((len(short) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def _met(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[i : i + 64]), _MET)], schema=_MET)
 
 
 def _facts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            codes, values = (np.concatenate(x) for x in zip(*held))
+            bucket = _mix(codes, _u(3)) % _u(buckets)
+            order = _by_bucket(bucket, buckets)
+            bucket, codes, values = bucket[order], codes[order], values[order].astype("<f4")
+            return _met([(int(bucket[i]), 0, 0, _short(codes[i:j]), values[i:j].tobytes()) for i, j in _slices(bucket)])
+
         for batch in batches:
             held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
             size += batch.num_rows
             if size > 4 * FLUSH:
-                yield from _dealt(*(np.concatenate(x) for x in zip(*held)), buckets, 0, 0)
+                yield from dealt()
                 held, size = [], 0
         if size:
-            yield from _dealt(*(np.concatenate(x) for x in zip(*held)), buckets, 0, 0)
+            yield from dealt()
 
     return run
 
@@ -445,24 +523,22 @@ def _facts(buckets: int):
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket, its part of the table first: answers questions one by one."""
     bucket, parts, known = None, [], None
-    schema = pa.schema([("number", pa.int64()), ("codes", pa.binary()), ("v", pa.binary())])
     for batch in batches:
         out = []
         for own, kind, number, codes, v in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if own != bucket:
                 bucket, parts, known = own, [], None
-            codes = np.frombuffer(codes, np.uint64)
             if kind == 0:
-                parts.append((codes, np.frombuffer(v, np.float64)))
+                parts.append((_long(codes), np.frombuffer(v, "<f4")))
                 continue
             if known is None:
-                known = Codes(*(np.concatenate(x) for x in zip(*parts))) if parts else Codes(np.empty(0, np.uint64), np.empty(0))
+                known = Codes(*(np.concatenate(x) for x in zip(*parts))) if parts else Codes(np.empty(0, np.uint64), np.empty(0, np.float32))
                 parts = []
-            at = known.find(codes)
+            at = known.find(_long(codes))
             met = at >= 0
-            out.append((number, codes[met].tobytes(), known.values[at[met]].tobytes()))
+            out.append((number, own, np.packbits(met).tobytes(), known.values[at[met]].astype("<f4").tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _FOUND)], schema=_FOUND)
 
 
 def score(docs: DataFrame, tree: Tree, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -472,37 +548,48 @@ def score(docs: DataFrame, tree: Tree, facts: DataFrame, id_col: str = "doc_id",
     groups = (docs.agg(F.sum(F.length(text_col) + 64)).first()[0] or 0) // GROUP + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, held, size, number = shared.value, [], 0, None
+        tree, held, number = shared.value, [], None
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            codes, bucket = _asked(tree, held, buckets)
+            return _met([(int(bucket[i]), 1, number, _short(codes[i:j]), None) for i, j in _slices(bucket)])
+
         for batch in batches:
-            own, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for i, j in _slices(own):
-                if held and (own[i] != number or size > 8 * FLUSH):
-                    yield from _dealt(np.unique(np.concatenate(held)), None, buckets, 1, number)
-                    held, size = [], 0
-                number = int(own[i])
-                held.append(tree.asks(texts[i:j]))
-                size += len(held[-1])
+            for own, sizes, body in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if held and own != number:
+                    yield from asked()
+                    held = []
+                number = own
+                held.append((sizes, body))
         if held:
-            yield from _dealt(np.unique(np.concatenate(held)), None, buckets, 1, number)
+            yield from asked()
 
     def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
         tree, out = shared.value, []
-        codes, values = (np.frombuffer(b"".join(found.column(c).to_pylist()), k) for c, k in (("codes", np.uint64), ("v", np.float64)))
-        codes, first = np.unique(codes, return_index=True)
-        known, texts = Codes(codes, values[first]), rows.column("text").to_pylist()
-        for i in range(0, len(texts), 256):
-            p, count, base, starts = tree.chances(texts[i : i + 256], known)
-            sizes = np.diff(np.append(starts, len(p)))
-            out.append((sizes, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))
+        chunks = list(zip(rows.column("sizes").to_pylist(), rows.column("body").to_pylist()))
+        codes, bucket = _asked(tree, chunks, buckets)  # as it was asked
+        met, values = np.zeros(len(codes), bool), np.zeros(len(codes))
+        place = {int(bucket[i]): (i, j) for i, j in _slices(bucket)}
+        for own, bits, v in zip(*(found.column(c).to_pylist() for c in ("bucket", "met", "v"))):
+            i, j = place[own]
+            met[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i)
+            values[i:j][met[i:j]] = np.frombuffer(v, "<f4")
+        known = Codes(codes[met], values[met])
+        for sizes, body in chunks:
+            texts = _unpacked(sizes, body)
+            for i in range(0, len(texts), 256):
+                p, count, base, starts = tree.chances(texts[i : i + 256], known)
+                out.append((np.diff(np.append(starts, len(p))), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
-        return pa.Table.from_arrays([rows.column("doc_id").combine_chunks(), *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+        ids = [i for x in rows.column("ids").to_pylist() for i in x]
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
 
-    # Rows are dealt by their number, so copies and repeated ids are spread; questions and judgment share the exchange.
-    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("number")
-    rows = docs.select(number, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartition("number")
+    # Questions and judgment share the exchange of chunks.
+    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = texts.mapInArrow(_chunked(groups), "number long, ids array<long>, sizes array<long>, body binary").repartition("number")
     asked = rows.sortWithinPartitions("number").mapInArrow(ask, _MEETING)
     both = facts.mapInArrow(_facts(buckets), _MEETING).union(asked)
-    found = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "number long, codes binary, v binary")
+    found = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "number long, bucket long, met binary, v binary")
     total = rows.groupBy("number").cogroup(found.groupBy("number")).applyInArrow(judge, "doc_id long, n_tokens long, n_known long, base double, score double")
     scale = float(np.log10(tree.n + 0.1 * (tree.v + 1)))
     return total.select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score")
