@@ -34,6 +34,17 @@ def strict_submissions(rows: DataFrame, size: int = 100, least_valid: int = 90)
     return facts.select("submission", F.coalesce(whole, F.lit(False)).alias("accepted"), "n_rows", "n_ids", "n_valid")
 
 
+def ranking_faults(rows: DataFrame, size: int) -> DataFrame:
+    """(rank, fault) of a ranking's rows (candidate_id, rank, score, reasoning) that keep it from being published; size is the most it may have."""
+    score, w = F.col("score").try_cast("double"), Window.orderBy("rank")  # a report of bounded size
+    rows = rows.withColumns({"n": F.row_number().over(w), "before": F.lag(score).over(w), "last": F.lag("candidate_id").over(w), "same": F.count("*").over(Window.partitionBy("candidate_id"))})
+    faults = {
+        "blank_id": F.coalesce(F.trim("candidate_id") == "", F.lit(True)), "duplicate_id": F.col("same") > 1, "rank_position": ~F.col("rank").eqNullSafe(F.col("n")) | (F.col("n") > size), "score_range": F.coalesce(~score.between(0, 1), F.lit(True)),
+        "score_increases": F.coalesce(score > F.col("before"), F.lit(False)), "tie_order": F.coalesce((score == F.col("before")) & (F.col("candidate_id") < F.col("last")), F.lit(False)), "blank_reasoning": F.coalesce(F.trim("reasoning") == "", F.lit(True)),
+    }
+    return rows.select("rank", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in faults.items()]))).alias("fault"))
+
+
 def complete_join(rows: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """rows with their records; a row without one fails the job."""
     joined = rows.join(records.withColumn("__met", F.lit(True)), key, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -87,12 +88,12 @@ def report(ranked: DataFrame, top_k: int) -> DataFrame:
     return top.select("candidate_id", "rank", score.alias("score"), reason().alias("reasoning"))
 
 
-def run_ranking(spark: SparkSession, source: str, target: str, config: RankerConfig = RankerConfig()) -> dict:
-    """Reads, ranks and writes; returns how many rows were read, ranked, and have a gate below one, in all and in the report."""
+def run_ranking(spark: SparkSession, source: str, target: str, config: RankerConfig = RankerConfig(), check: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """Reads, ranks and writes, if a check finds no rows at fault; returns how many rows were read, ranked, and have a gate below one, in all and in the report."""
     rows = rank_candidates(sources.read_candidates(spark, source, config.max_candidates), config).cache()
     try:
         out = report(rows, config.top_k).cache()
-        sinks.write_ranking(out, target)
+        sinks.write_ranking(out, target, check)
         gated = F.count_if(F.col("honeypot_multiplier") < 1)
         n, k = rows.agg(F.count("*"), gated).first()
         inside = rows.join(F.broadcast(out.select("candidate_id")), "candidate_id", "left_semi").agg(gated).first()[0]

@@ -217,3 +217,40 @@ def test_models_learn(spark):
     models = L.forests(rows, ["a", "b"], "y", seeds=2, trees=5)
     error = [r["prediction"] - r["y"] for r in L.predicted(rows, ["a", "b"], models).collect()]
     assert np.mean(np.square(error)) < 0.5
+
+
+def _people(path, n):
+    path.write_text("\n".join(json.dumps({"candidate_id": f"CAND_{k:07d}", "profile": {"current_title": "ML Engineer", "years_of_experience": float(k)}, "skills": [{"name": "Python", "proficiency": "expert"}]}) for k in range(n)))
+    return path
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestar.__main__ import main
+
+    out = tmp_path / "out.csv"
+    assert main(["rank", "--candidates", str(_people(tmp_path / "a.jsonl", 6)), "--out", str(out), "--top-k", "4", "--release"], spark) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["ranked"] == 4
+    assert len(out.read_text().splitlines()) == 5
+    rows = spark.createDataFrame([("a", 1, "0.5", "x"), ("a", 3, "0.7", " ")], "candidate_id string, rank int, score string, reasoning string")
+    assert {(r["rank"], r["fault"]) for r in A.ranking_faults(rows, 5).collect()} == {(1, "duplicate_id"), (3, "duplicate_id"), (3, "rank_position"), (3, "score_increases"), (3, "blank_reasoning")}
+
+
+def test_service(spark, tmp_path):
+    from lodestar.service import Service
+
+    service = Service(spark, str(tmp_path / "shared"))
+    body = _people(tmp_path / "a.jsonl", 5).read_bytes()
+    assert service.answer("GET", "/api/health")[0] == 200 and service.answer("GET", "/nothing")[0] == 404
+    status, _, out = service.answer("POST", "/api/rank", {"top_k": "3"}, body)
+    assert status == 200 and [r["rank"] for r in json.loads(out)["rows"]] == [1, 2, 3]
+    for query, wrong, code in (({"name": "x.txt"}, body, 415), ({"top_k": "0"}, body, 422), ({}, b"42\n", 422)):
+        assert service.answer("POST", "/api/rank", query, wrong)[0] == code
+    job = json.loads(service.answer("POST", "/api/batch", {"top_k": "2"}, body)[2])["job_id"]
+    events = list(service.answer("GET", f"/api/stream/{job}")[2])
+    assert json.loads(events[-1][6:])["status"] == "done"
+    assert json.loads(service.answer("GET", f"/api/batch/{job}")[2])["status"] == "done"
+    assert len(json.loads(service.answer("GET", f"/api/batch/{job}/results")[2])["rows"]) == 2
+    assert len(service.answer("GET", f"/api/batch/{job}/download")[2].strip().splitlines()) == 3
+    assert service.answer("GET", "/api/batch/" + "0" * 32)[0] == 404
+    text = service.answer("GET", "/metrics")[2]
+    assert 'requests_total{route="api/rank",status="200"} 1' in text and 'jobs{status="done"} 1' in text
