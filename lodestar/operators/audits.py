@@ -249,10 +249,10 @@ def nearest_free(drivers: DataFrame, pool: DataFrame, ident: str, score: str, mo
 
 
 def frontier(utilities: DataFrame, at: float) -> DataFrame:
-    """(lambda, ranking, utility): the rows of the lambda nearest to one, with the ranking preferred there."""
-    near = utilities.select("lambda").distinct().orderBy(F.abs(F.col("lambda") - at), "lambda").limit(1)
-    rows = utilities.join(F.broadcast(near), "lambda")  # one row
-    best = F.min_by("ranking", F.struct(-F.col("utility"), F.col("ranking"))).over(Window.partitionBy("lambda"))
+    """(mix, ranking, utility): the rows of the mix nearest to one, with the ranking preferred there."""
+    near = utilities.select("mix").distinct().orderBy(F.abs(F.col("mix") - at), "mix").limit(1)
+    rows = utilities.join(F.broadcast(near), "mix")  # one row
+    best = F.min_by("ranking", F.struct(-F.col("utility"), F.col("ranking"))).over(Window.partitionBy("mix"))
     return rows.withColumn("preferred", F.col("ranking") == best)
 
 

@@ -358,15 +358,15 @@ SELECT strength, round(whole, 6) AS whole, round(train, 6) AS train, round(test,
 def preferred(spark: SparkSession, d: str) -> DataFrame:
     """Utilities of the voters' first twenty at the mix nearest to 0.6, and the ranking preferred there."""
     v = _votes(spark, d).where("rank <= 20").join(_read(spark, d, "supplier"), F.col("ident") == F.col("s_suppkey"))
-    mixed = v.withColumn("lambda", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))
-    worth = (F.col("lambda") * F.col("s_acctbal") / 1000 + (1 - F.col("lambda")) * (F.col("ident") % 10)) / F.log2(F.col("rank") + 1)
-    utilities = mixed.groupBy("lambda", F.col("voter").alias("ranking")).agg(F.round(F.sum(worth), 9).alias("utility"))
-    return A.frontier(utilities, 0.6).select("lambda", "ranking", SIX(F.col("utility")).alias("utility"), "preferred")
+    mixed = v.withColumn("mix", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))
+    worth = (F.col("mix") * F.col("s_acctbal") / 1000 + (1 - F.col("mix")) * (F.col("ident") % 10)) / F.log2(F.col("rank") + 1)
+    utilities = mixed.groupBy("mix", F.col("voter").alias("ranking")).agg(F.round(F.sum(worth), 9).alias("utility"))
+    return A.frontier(utilities, 0.6).select("mix", "ranking", SIX(F.col("utility")).alias("utility"), "preferred")
 
 
 PREFERRED_SQL = f"""
-WITH {VOTES}, u AS (SELECT 0.5::DOUBLE AS "lambda", voter AS ranking, round(sum((0.5::DOUBLE * s_acctbal / 1000 + 0.5::DOUBLE * (ident % 10)) / log2(rank + 1)), 9) AS utility FROM votes JOIN supplier ON ident = s_suppkey WHERE rank <= 20 GROUP BY voter)
-SELECT "lambda", ranking, round(utility, 6) AS utility, row_number() OVER (ORDER BY utility DESC, ranking) = 1 AS preferred FROM u"""
+WITH {VOTES}, u AS (SELECT 0.5::DOUBLE AS mix, voter AS ranking, round(sum((0.5::DOUBLE * s_acctbal / 1000 + 0.5::DOUBLE * (ident % 10)) / log2(rank + 1)), 9) AS utility FROM votes JOIN supplier ON ident = s_suppkey WHERE rank <= 20 GROUP BY voter)
+SELECT mix, ranking, round(utility, 6) AS utility, row_number() OVER (ORDER BY utility DESC, ranking) = 1 AS preferred FROM u"""
 
 
 def gain_parts(spark: SparkSession, d: str) -> DataFrame:
