@@ -366,7 +366,7 @@ class Level:
         counted = packed.groupBy("bucket").cogroup(under.groupBy("bucket")).applyInArrow(_counted(shared[0], level), _COUNTED)
         counted = common.materialize(counted, f"counted{level}")
         for x in shared:
-            x.unpersist()
+            x.destroy()  # of copies on disks too: the level is written
         self.settled = counted.where(F.col("kind") == NEXT).select("bucket", "t", "p")
         self.nexts = counted.where(F.col("kind") == NEXT).select(F.col("t").alias("code"), "n", "v")
         self.keeps = counted.where(F.col("kind") == KEEP).select(F.col("c").alias("code"), "v")
