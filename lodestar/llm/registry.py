@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, langid, packing, quality, repeats, simhash, suffix_tree_lm, toxicity
+from . import bpe, exact_dedup, html_text, langid, merkle, packing, quality, repeats, simhash, suffix_tree_lm, toxicity
 
-MODULES = (html_text, simhash, suffix_tree_lm, repeats, toxicity, quality, exact_dedup, langid, bpe, packing)
+MODULES = (html_text, simhash, suffix_tree_lm, repeats, toxicity, quality, exact_dedup, langid, bpe, packing, merkle)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
