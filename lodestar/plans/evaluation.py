@@ -444,6 +444,13 @@ WITH n AS (SELECT x.vec_id, x.label AS s, y.label AS t, row_number() OVER (PARTI
 SELECT vec_id, round(0.6::DOUBLE * any_value(s) + 0.4::DOUBLE * avg(t), 6) AS score FROM n WHERE k <= 10 GROUP BY vec_id"""
 
 
+def indexed_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of each vector as an index of cells finds them."""
+    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("ident"), F.col("embedding").alias("vector"))
+    near = G.nearest(e, recall=0.95)
+    return near.select(F.col("ident").alias("vec_id"), "other", SIX(F.col("likeness")).alias("likeness"), F.col("place").cast("long").alias("place"))
+
+
 def threads(spark: SparkSession, d: str) -> DataFrame:
     """Turns and characters by conversation and role, one column for each role."""
     c = _read(spark, d, "conversations")
@@ -499,6 +506,7 @@ QUERIES = {
     "j12_interval_overlap": overlaps,
     "n12_cosine_topk": cosine_topk,
     "g11_neighbour_scores": neighbours,
+    "j10_indexed_neighbours": indexed_neighbours,
     "a20_thread_pivot": threads,
     "n02_normalised": normalised,
 }
