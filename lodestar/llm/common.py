@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of an Arrow batch, and so a Python worker's memory when texts are long; sends the package to executors."""
+def small_batches(spark: SparkSession, rows: int = 256, size: int | None = None) -> None:
+    """Bounds the rows of an Arrow batch, and its bytes where size is given, and so a Python worker's memory when texts are long; sends the package to executors."""
     ship(spark.sparkContext)
+    if size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

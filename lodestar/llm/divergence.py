@@ -27,6 +27,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from . import common
 #: the ranks reported for terms.
 MIN_DOCS, ADDED, THOUSANDS, RANKS = 30, 5, 3, 50
 #: Entries that a task counts before it emits segments, numbers that a scan holds for pairs, and rows of a bucket at least.
-HELD, PAIRS, BUCKET = 400_000, 1 << 22, 8192
+HELD, PAIRS, BUCKET = 800_000, 1 << 22, 8192
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _SEGMENTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("document", pa.int64()), ("docs", pa.int64()), ("count", pa.int64())])
@@ -65,55 +66,87 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
+def _counted(lang: str, source: str, document: int, docs: Counter, counts: Counter) -> Iterator[pa.RecordBatch]:
+    """The segments of one source in a stretch of documents; the empty term tells that the source is there."""
+    names = pa.array([b"", *counts], pa.binary()).cast(pa.string())
+    seen = np.fromiter(map(docs.__getitem__, counts), np.int64, len(counts))
+    columns = [names, pa.array(np.append(0, seen)), pa.array(np.append(0, np.fromiter(counts.values(), np.int64, len(counts))))]
+    for at in range(0, len(names), 1 << 15):
+        term, held, count = (c.slice(at, 1 << 15) for c in columns)
+        same = [pa.repeat(pa.scalar(x, t), len(term)) for x, t in ((lang, pa.string()), (source, pa.string()), (document, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([same[0], term, same[1], same[2], held, count], schema=_SEGMENTS)
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (lang, source, text) by stretches of documents; the empty term tells that a source is there."""
+    """Counts of (lang, source, text) by stretches of documents."""
     common.tenant("divergence")
     task = TaskContext.get().partitionId() << 33
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    first = read = 0
+    for lang, source, text in _columns(batches):
+        own = held.get((lang, source))
+        if own is None:
+            own = held[lang, source] = Counter(), Counter()
+        words = terms(text)
+        own[0].update(set(words))
+        own[1].update(words)
+        read += 1
+        if not read & 63 and sum(len(c) for _, c in held.values()) > HELD:
+            for of, own in held.items():
+                yield from _counted(*of, task + first, *own)
+            held, first = {}, read
+    for of, own in held.items():
+        yield from _counted(*of, task + first, *own)
+
+
+def _starts(table: pa.RecordBatch, columns: tuple[int, ...]) -> np.ndarray:
+    """Which rows differ from the row before in one of the columns; the first does."""
+    new = np.ones(table.num_rows, bool)
+    if table.num_rows > 1:
+        apart = [pc.not_equal(table.column(k).slice(1), table.column(k).slice(0, table.num_rows - 1)) for k in columns]
+        new[1:] = np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in apart])
+    return new
+
+
+def _scanned(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """Whole runs of (lang, term), sorted by source in them."""
+    run = np.flatnonzero(_starts(rows, (0, 1)))
+    own = np.flatnonzero(_starts(rows, (0, 1, 2)))
+    seen = np.add.reduceat(rows.column(4).to_numpy(), run)
+    told = (seen >= least) | (pc.binary_length(rows.column(1)).to_numpy(zero_copy_only=False)[run] == 0)
+    kept = told[np.searchsorted(run, own, "right") - 1]
+    count = np.add.reduceat(rows.column(5).to_numpy(), own)[kept]
+    lead = np.isin(own, run)[kept]
+    out = rows.take(pa.array(own[kept]))
+    lead &= pc.binary_length(out.column(1)).to_numpy(zero_copy_only=False) > 0
+    return pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(2), pa.array(count), pa.array(lead.astype(np.int64))], schema=_RUNS)
 
-    def rows() -> Iterator[tuple]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        first, read = 0, 0
-
-        def told() -> Iterator[tuple]:
-            for (lang, source), (docs, counts) in held.items():
-                yield lang, "", source, task + first, 0, 0
-                for term, n in counts.items():
-                    yield lang, term.decode(), source, task + first, docs[term], n
 
-        for lang, source, text in _columns(batches):
-            own = held.get((lang, source))
-            if own is None:
-                own = held[lang, source] = Counter(), Counter()
-            words = terms(text)
-            own[0].update(set(words))
-            own[1].update(words)
-            read += 1
-            if not read & 63 and sum(len(c) for _, c in held.values()) > HELD:
-                yield from told()
-                held, first = {}, read
-        yield from told()
-
-    return _batches(rows(), _SEGMENTS)
+def _runs(least: int):
+    """From sorted segments: each source's count of each term in at least so many documents of its language.
 
+    The last run of a batch waits for the next one; of a run that goes on, what has come is summed up by source.
+    """
 
-def _runs(least: int):
-    """From sorted segments: each source's count of each term in at least so many documents of its language."""
+    def summed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        own = np.flatnonzero(_starts(rows, (0, 1, 2)))
+        out = rows.take(pa.array(own))
+        sums = [pa.array(np.add.reduceat(rows.column(k).to_numpy(), own)) for k in (4, 5)]
+        return pa.RecordBatch.from_arrays([*out.columns[:4], *sums], schema=_SEGMENTS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for (lang, term), run in groupby(_columns(batches), itemgetter(0, 1)):
-                seen, counts = 0, []
-                for source, stretch in groupby(run, itemgetter(2)):
-                    count = 0
-                    for *_, docs, n in stretch:
-                        seen += docs
-                        count += n
-                    counts.append((source, count))
-                if not term or seen >= least:
-                    for k, (source, count) in enumerate(counts):
-                        yield lang, term, source, count, int(k == 0 and term != "")
-
-        return _batches(rows(), _RUNS)
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, _SEGMENTS)], schema=_SEGMENTS)
+            rows = batch if waiting is None else pa.concat_batches([waiting, batch])
+            last = int(np.flatnonzero(_starts(rows, (0, 1)))[-1])
+            waiting = summed(rows.slice(last))
+            if last:
+                yield _scanned(rows.slice(0, last), least)
+        if waiting is not None:
+            yield _scanned(waiting, least)
 
     return scan
 
@@ -185,13 +218,13 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = MIN_DOCS, ranks: int = RANKS) -> DataFrame:
     """lang, source, part, item, value, rank: each other source of the language (part pair), and the terms that a source uses more than its language, up to so many ranks (part term)."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 20_000, 4 << 20)
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col)], F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     segments = read.mapInArrow(_segments, "lang string, term string, source string, document long, docs long, count long")
-    order = ["lang", "term", "source", "document"]
+    # Rows are told apart by a number before their strings are compared; equal terms stay together.
+    order = [F.xxhash64("lang", "term"), "lang", "term", "source", "document"]
     runs = segments.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(_runs(least), "lang string, term string, source string, count long, lead long")
     runs = common.materialize(runs, "runs")
-    common.small_batches(spark, 10_000)  # no texts from here on
     sources = runs.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("rows"))
     langs = runs.groupBy("lang").agg(F.sum("lead").alias("v"), F.sum("count").alias("total"))
     size = sources.groupBy("lang").agg(F.sum("rows").alias("rows"), F.count("*").alias("sources")).agg(F.sum("rows"), F.max("sources")).first()
