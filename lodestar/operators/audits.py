@@ -191,11 +191,12 @@ def worst_case(values: DataFrame) -> DataFrame:
 
 def severity_hedge(rows: DataFrame, ident: str, lock: int = 30, size: int = 100, limit: float = 1.0) -> DataFrame:
     """Rows (ident, base, tail, severity): the first by base keep their places; the others follow by tail, without those whose severity is over a limit."""
-    base = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("base"), ident)))
-    kept = base.where((F.col("place") <= lock) | (F.col("severity") <= limit))
-    locked = F.col("place") <= lock
-    order = Window.orderBy(F.when(locked, F.col("place")).otherwise(lock + 1), F.when(locked, 0.0).otherwise(-F.col("tail")), ident)
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    by_base, by_tail = [F.desc("base"), F.col(ident).asc()], [F.desc("tail"), F.col(ident).asc()]
+    head = rows.orderBy(*by_base).limit(lock).withColumn("place", F.row_number().over(Window.orderBy(*by_base)).cast("long")).withColumn("rank", F.col("place"))
+    free = rows.where(F.col("severity") <= limit).orderBy(*by_tail).limit(size + lock)  # what the head takes of these is lock rows at most
+    tail = free.join(head.select(ident), ident, "left_anti").select(*rows.columns, F.lit(None).cast("long").alias("place"))
+    tail = tail.withColumn("rank", (head.count() + F.row_number().over(Window.orderBy(*by_tail))).cast("long"))
+    return head.unionByName(tail).where(F.col("rank") <= size)
 
 
 def adverse_labels(labels: DataFrame, severity: str, factor: float, tier_floor: float) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import ranks
+
 RELEVANT = 3.0
 COMPOSITE = {"ndcg10": 0.50, "ndcg50": 0.30, "map": 0.15, "p10": 0.05}
 
@@ -75,9 +77,8 @@ def evaluate(ranking: DataFrame, labels: DataFrame, ident: str, policy: str, set
 
 def average_precision(ranking: DataFrame, labels: DataFrame, ident: str, relevant: float = 4.0) -> DataFrame:
     """The other definition: precisions at hits over all relevant labels, found or not."""
-    by_rank = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = ranking.join(labels, ident, "left").withColumn("hit", F.when(F.col("tier") >= relevant, 1).otherwise(0))
-    sums = joined.withColumn("hits", F.sum("hit").over(by_rank)).agg(F.sum(F.col("hit") * F.col("hits") / F.col("rank")).alias("s"))
+    sums = ranks.running(joined.select("rank", "hit"), [F.col("rank").asc()], {"hits": F.col("hit")}).agg(F.sum(F.col("hit") * F.col("hits") / F.col("rank")).alias("s"))
     return sums.crossJoin(labels.agg(F.count_if(F.col("tier") >= relevant).alias("n"))).select(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("average_precision"))
 
 
@@ -87,8 +88,7 @@ def auc(rows: DataFrame, score: str, positive: Column, *keys: str) -> DataFrame:
     Only distinct scores are ordered, with their two counts, not rows.
     """
     counts = rows.groupBy(*keys, score).agg(F.count_if(positive).cast("double").alias("p"), F.count_if(~positive).cast("double").alias("q"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("below", F.sum("q").over(w) - F.col("q"))
+    counts = ranks.running(counts, [F.col(score).asc()], {"upto": F.col("q")}, keys).withColumn("below", F.col("upto") - F.col("q"))
     out = counts.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return out.select(*keys, F.try_divide("u", F.col("p") * F.col("q")).alias("auc"), F.col("p").cast("long").alias("n_positive"), F.col("q").cast("long").alias("n_negative"))
 
@@ -96,22 +96,20 @@ def auc(rows: DataFrame, score: str, positive: Column, *keys: str) -> DataFrame:
 def tie_ranks(rows: DataFrame, column: str) -> DataFrame:
     """(column, average rank) of each distinct value: ranks come from counts of values."""
     counts = rows.groupBy(column).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(column, (F.sum("__n").over(w) - F.col("__n") + (F.col("__n") + 1) / 2).alias("average_rank"))
+    counts = ranks.running(counts, [F.col(column).asc()], {"upto": F.col("__n")})
+    return counts.select(column, (F.col("upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias("average_rank"))
 
 
 def quantile_groups(rows: DataFrame, value: str, ident: str, groups: int, name: str) -> DataFrame:
     """rows with the number, from 1, of the equal part that they fall in by value, largest first, ties by id; the first parts have one row more.
 
-    Places come from counts of values: rows meet those of their own value only.
+    Places are counted by ranges of the order, so that a value which many rows share is dealt over tasks.
     """
-    counts = rows.groupBy(value).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.select(value, (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy(value).orderBy(ident)) - 1
+    placed = ranks.numbered(rows, [F.desc(value), F.col(ident).asc()], name="__place", size="__all")
+    place = F.col("__place") - 1
     small, more = F.floor(F.col("__all") / groups), F.col("__all") % groups
     cut = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / F.greatest(small, F.lit(1))))
-    return rows.join(before, value).withColumn(name, (cut + 1).cast("long")).drop("__before", "__all")
+    return placed.withColumn(name, (cut + 1).cast("long")).drop("__place", "__all")
 
 
 def weighted_kappa(pairs: DataFrame, a: str, b: str, levels: int) -> DataFrame:

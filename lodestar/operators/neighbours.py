@@ -4,7 +4,7 @@ Centres are fitted (spherical k-means) on at most about SAMPLE rows, chosen by h
 nearest centre, and a row asks the cells whose centres are nearest to it. How many it asks is measured: for ASKED rows
 the true neighbours among all rows are found in one pass, and the least number of cells that holds `recall` of them is
 taken. Cells that lie together form blocks of BLOCK rows (a larger cell is split by hash), and a row goes once to each
-block that holds a cell it asks, in groups of BLOCK rows. So rows that ask few cells travel little, and no group grows
+block that holds a cell it asks, in groups of GROUP rows. So rows that ask few cells travel little, and no group grows
 with the table. Scores are products in single precision; those that can be among the best are worked out again in double.
 
 How much that saves depends on the vectors: where they cluster, a row asks a few cells however many rows there are; where
@@ -24,8 +24,8 @@ from lodestar.sources.staging import ship, staged
 
 #: Rows that centres are fitted on, rows of a cell, cells at most, rows whose neighbours are looked up to find how many cells to ask.
 SAMPLE, CELL, CELLS, ASKED = 20_000, 50, 4096, 256
-#: Rows of a block, and what a group keeps beyond k for rounding.
-BLOCK, SPARE = 8192, 8
+#: Rows of a block, rows of a group that asks it, and what a group keeps beyond k for rounding.
+BLOCK, GROUP, SPARE = 32_768, 8192, 8
 
 
 def unit(column: pa.Array, dtype: type = np.float32) -> np.ndarray:
@@ -79,7 +79,7 @@ def _binary(v: np.ndarray) -> pa.Array:
 
 def _best(row: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
     """Places of the keep best scores of each row, rows in order, best first."""
-    order = np.lexsort((-score, row))
+    order = np.argsort(row * 4.0 - score, kind="stable")
     ordered = row[order]
     first = np.searchsorted(ordered, ordered)
     return order[np.arange(len(order)) - first < keep]
@@ -232,7 +232,9 @@ def _met(k: int, cells: int, kind: pa.DataType):
         one, two = asking["ident"].combine_chunks().take(pa.array(row)), held["ident"].combine_chunks().take(pa.array(other))
         likeness = np.round(np.einsum("ij,ij->i", q[row].astype(float), m[other].astype(float)), 9)
         apart = np.array([a != b for a, b in zip(one.to_pylist(), two.to_pylist())], bool)
-        return pa.table([one, two, pa.array(likeness)], names=names).filter(pa.array(apart))
+        row, likeness = row[apart], likeness[apart]
+        best = _best(row, likeness, k)
+        return pa.table([one, two], names=names[:2]).filter(pa.array(apart)).append_column(names[2], pa.array(likeness)).take(pa.array(best))
 
     return run
 
@@ -274,7 +276,7 @@ def nearest_indexed(items: DataFrame, k: int = 10, recall: float = 0.95, probes:
     reached = index.mapInArrow(_counted(middle, probes, where, made), "block int, n long").groupBy("block").agg(F.sum("n").alias("n"))
     parts = np.ones(made, np.int64)
     for r in reached.collect():
-        parts[r["block"]] = max(1, -(-r["n"] // BLOCK))
+        parts[r["block"]] = max(1, -(-r["n"] // GROUP))
     salted = index.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(1 << 30)))
     asking = salted.mapInArrow(_asking(middle, probes, where, made, parts), f"block int, part int, ident {kind}, v binary, asks binary")
     held = salted.mapInArrow(_held(where, parts), f"block int, part int, ident {kind}, cell int, v binary")

@@ -58,8 +58,8 @@ def numbered(df: DataFrame, order: list[Column], by: list[str] = (), name: str =
     return out.select(*df.columns, name, *[size] * bool(size))
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] = ()) -> DataFrame:
-    """df with running sums up to and including each row, in each group of by: a column for each name in sums, and row_number."""
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] = (), whole: bool = False) -> DataFrame:
+    """df with running sums up to and including each row, in each group of by: a column for each name in sums, and row_number; with whole, also the group's sums as all_<name>."""
     by = list(by)
     rows = ranged(df.withColumns({f"__{k}": v for k, v in sums.items()}), order, by)
     values = {f"__{k}": F.col(f"__{k}") for k in sums}
@@ -68,4 +68,6 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: lis
     local = rows.withColumns({f"__upto_{k}": F.coalesce(F.sum(f"__{k}").over(upto), F.lit(0)) for k in sums})
     out = _joined(local, parts, by).withColumn("row_number", F.col("before___n") + F.col("__place") - F.col("__first") + 1)
     out = out.withColumns({k: F.col(f"before___{k}") + F.col(f"__upto_{k}") for k in sums})
-    return out.select(*df.columns, "row_number", *sums)
+    if whole:
+        out = out.withColumns({f"all_{k}": F.col(f"all___{k}") for k in sums})
+    return out.select(*df.columns, "row_number", *sums, *[f"all_{k}" for k in sums] * whole)

@@ -66,12 +66,15 @@ def final_bands(top: DataFrame, ident: str = "candidate_id") -> DataFrame:
 
 
 def lambdamart_rerank(rows: DataFrame, model: str, share: float = 0.75, top: int = 300, ident: str = "candidate_id") -> DataFrame:
-    """The first rows by (share of a model's score and the rest of their own) times behaviour; honeypots go to zero, the tail follows."""
+    """The first rows by (share of a model's score and the rest of their own) times behaviour; honeypots go to zero, the tail follows.
+
+    Ranks are 1, 2, ... of all rows; only the first top of them change places.
+    """
     head = F.col("rank") <= top
     mixed = F.when(F.col("honeypot_multiplier") <= 0, 0.0).otherwise((share * F.col(model) + (1 - share) * F.col("score")) * F.col("behavioral_multiplier"))
-    scored = rows.withColumn("mixed", F.when(head, F.round(mixed, 9)))
-    order = Window.orderBy(F.when(head, 0).otherwise(1), F.desc("mixed"), F.when(head, F.col(ident)), "rank")
-    return scored.withColumn("rank", F.row_number().over(order)).drop("mixed")
+    order = Window.orderBy(F.desc(F.round(mixed, 9)), ident, "rank")
+    first = rows.where(head).withColumn("rank", F.row_number().over(order))
+    return first.unionByName(rows.where(~head).withColumn("rank", F.col("rank").cast("int")))
 
 
 def parse_trees(text: str) -> list[dict[str, list]]:

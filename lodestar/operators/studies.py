@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators import ranks
 from lodestar.sources.staging import ship
 
 
@@ -34,7 +35,7 @@ def ordered_union(first: DataFrame, second: DataFrame, ident: str) -> DataFrame:
     """Rows of the first ranking, then those of the second that it lacks, ranked anew."""
     both = first.select(ident, F.lit(0).alias("part"), "rank").unionByName(second.select(ident, F.lit(1).alias("part"), "rank"))
     once = both.groupBy(ident).agg(F.min(F.struct("part", "rank")).alias("at"))
-    return once.select(ident, F.row_number().over(Window.orderBy("at.part", "at.rank", ident)).alias("rank"))
+    return ranks.numbered(once, [F.col("at.part").asc(), F.col("at.rank").asc(), F.col(ident).asc()], name="rank").select(ident, "rank")
 
 
 def bands(orders: list[tuple[DataFrame, int]], ident: str) -> DataFrame:
@@ -42,7 +43,8 @@ def bands(orders: list[tuple[DataFrame, int]], ident: str) -> DataFrame:
     taken, place = None, 0
     for ranking, upto in orders:
         free = ranking if taken is None else ranking.join(taken.select(ident), ident, "left_anti")
-        next_ = free.select(ident, (place + F.row_number().over(Window.orderBy("rank", ident))).alias("rank")).where(F.col("rank") <= upto)
+        first = free.select(ident, "rank").orderBy("rank", ident).limit(max(0, upto - place))  # a band's rows
+        next_ = first.select(ident, (place + F.row_number().over(Window.orderBy("rank", ident))).alias("rank"))
         taken = next_ if taken is None else taken.unionByName(next_)
         place = upto
     return taken

@@ -244,7 +244,7 @@ SELECT ident, round(sum((w + n / 10) / (30 + rank)), 6) AS score FROM n JOIN w U
 
 
 def copeland(spark: SparkSession, d: str) -> DataFrame:
-    return G.copeland(_votes(spark, d), len(VOTERS))
+    return G.copeland(_votes(spark, d), VOTERS)
 
 
 COPELAND_SQL = f"""

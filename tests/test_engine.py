@@ -208,10 +208,10 @@ def votes(spark, ranks):
 def test_aggregation_agrees_with_unanimous_voters(spark):
     v = votes(spark, {"a": [3, 1, 2, 0], "b": [3, 1, 2, 0], "c": [3, 1, 2, 0]})
     names = ["a", "b", "c"]
-    for scores in (G.rrf(v), G.borda(v, 4), G.rank_average(v), G.copeland(v, 3), G.mc4(v, names), G.plackett_luce(v, names), G.local_kemeny(v, names)):
+    for scores in (G.rrf(v), G.borda(v, 4), G.rank_average(v), G.copeland(v, names), G.mc4(v, names), G.plackett_luce(v, names), G.local_kemeny(v, names)):
         got = [r["ident"] for r in scores.orderBy(F.desc("score")).collect()]
         assert got[0] == 3 and len(got) == 4
-    assert [r["ident"] for r in G.copeland(v, 3).orderBy(F.desc("score")).collect()] == [3, 1, 2, 0]
+    assert [r["ident"] for r in G.copeland(v, names).orderBy(F.desc("score")).collect()] == [3, 1, 2, 0]
 
 
 def test_aggregation_ranks_every_item(spark):

@@ -51,6 +51,7 @@ def clustered():
 @pytest.mark.parametrize("block", [8192, 150])
 def test_clusters_need_few_cells(spark, monkeypatch, clustered, block):
     monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "GROUP", block)
     ids = list(range(3000))
     want, got = true(ids, clustered, 5), found(neighbours.nearest_indexed(frame(spark, ids, clustered), 5, probes=6))
     assert sum(len(set(want[i]) & set(got[i])) for i in ids) >= 0.95 * 5 * len(ids)
@@ -58,6 +59,7 @@ def test_clusters_need_few_cells(spark, monkeypatch, clustered, block):
 
 def test_all_cells_give_all_neighbours(spark, monkeypatch, clustered):
     monkeypatch.setattr(neighbours, "BLOCK", 90)
+    monkeypatch.setattr(neighbours, "GROUP", 70)
     monkeypatch.setattr(neighbours, "CELL", 20)
     ids, vectors = [k * 3 - 50 for k in range(400)], clustered[:400]
     assert found(neighbours.nearest_indexed(frame(spark, ids, vectors), 4, probes=1 << 20)) == true(ids, vectors, 4)
