@@ -3,7 +3,9 @@
 A page is read into blocks. What its elements, roles, classes and ids name as menu, header, footer, sidebar, notice,
 advert, form, script, style or comments isn't text. If there is an article or main element, the blocks in it are the
 candidates; else all blocks are but those made of links. In an article or main element structure alone decides: what
-its text shares with other pages (passages, copied articles) stays.
+its text shares with other pages (passages, copied articles) stays. A name is a whole word of a class or id. Where such a
+name is only a part of one (`ad-hoc`, `notice-of-meeting`) it is a doubt: text under it in an article stays but for what
+other pages of the host share.
 
 Outside of one, tokens covered by a run of RUN tokens that two pages of the host share are boilerplate, as are short
 blocks met on two; copies of a whole page count once. Runs are found in shards, sets of pages of one input partition:
@@ -47,8 +49,9 @@ _CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _NAMED = re.compile(r"/?[a-zA-Z][\w:-]*")
 #: What a tag is read up to: its end, another tag, or a value in quotes.
 _STOP = re.compile(r"[<>\"']")
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+#: One attribute: its name, then its value in quotes or without.
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_PART = re.compile(r"[a-z0-9]+")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -60,29 +63,34 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog toolbar".split())
 
-DROPPED, OPEN, ARTICLE = 0, 1, 2
+DROPPED, OPEN, ARTICLE, DOUBTFUL = 0, 1, 2, 3
+
+
+def attributes_of(source: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name, read one after the other, so that nothing inside a value is taken for a name; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        out.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+    return out
 
 
 def _kind(tag: str, attributes: str, above: int) -> int:
     """The kind of what an element holds, given that of what holds it."""
-    if above == DROPPED or tag in NOT_TEXT or (tag == "header" and above != ARTICLE):
+    inside = above in (ARTICLE, DOUBTFUL)
+    if above == DROPPED or tag in NOT_TEXT or (tag == "header" and not inside):
+        return DROPPED
+    given = {k: html.unescape(v).lower() for k, v in attributes_of(attributes).items()} if attributes else {}
+    role, names = given.get("role", "").strip(), {*given.get("class", "").split(), *given.get("id", "").split()}
+    if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
         return DROPPED
-    role, names = "", set()
-    if attributes:
-        for m in _ATTR.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "role":
-                role = value
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                return DROPPED
-            elif key in ("class", "id"):
-                names.update(_NAME.findall(value))
     if role in ROLES:
         return DROPPED
     if tag == "article" or tag == "main" or role in ("main", "article"):
         return DROPPED if names & {"comment", "comments", "related", "ad", "sponsored", "promo"} else ARTICLE
-    if tag not in ("body", "html") and (names & NAMES or (above != ARTICLE and "header" in names)):
+    if tag not in ("body", "html") and (names & NAMES or (not inside and "header" in names)):
         return DROPPED
+    if above == ARTICLE and any(NAMES.intersection(_PART.findall(x)) for x in names):
+        return DOUBTFUL
     return above
 
 
@@ -160,7 +168,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             words = html.unescape("".join(text)).split()
             if words and kind != DROPPED:
                 whole = " ".join(words)
-                if kind == ARTICLE or linked < 0.7 * len(whole):
+                if kind in (ARTICLE, DOUBTFUL) or linked < 0.7 * len(whole):
                     out.append((whole, kind))
             text.clear()
         linked = 0
@@ -218,7 +226,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         kind = new
         any_article |= new == ARTICLE
     end()
-    return [b for b in out if b[1] == ARTICLE] if any_article else out
+    return [b for b in out if b[1] != OPEN] if any_article else out
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +269,7 @@ def _short_code(text: str, host: str) -> int:
 
 
 def _is_short(text: str, kind: int) -> bool:
-    return kind == OPEN and text.count(" ") < RUN - 1
+    return kind != ARTICLE and text.count(" ") < RUN - 1
 
 
 def runs(pages: list[Page], hosts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

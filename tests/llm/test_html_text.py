@@ -22,6 +22,110 @@ def test_blocks():
     assert html_text.blocks("plain &amp; text") == [("plain & text", html_text.OPEN)]
 
 
+@pytest.mark.parametrize(
+    "tag",
+    ['p title="a hidden gem"', 'p data-id="notice-7"', 'p data-role="dialog"', 'p onclick="role=menu"', "p onclick='class=\"ad\"'", 'p class="ad-hoc"', 'p id="social-contract"', 'p class="share-price"', 'section id="notice-of-meeting"', 'ul class="menu-items"', "p class=admin", 'p data-hidden', 'p title=hidden'],
+)
+def test_names_within_other_names_and_values_dont_count(spark, tag):
+    name = tag.split()[0]
+    page = f"<article><{tag}><p>Body A</p></{name}><p>B</p></article>"
+    assert [t for t, _ in html_text.blocks(page)] == ["Body A", "B"]
+    assert html_text.unique_text([html_text.blocks(page)]) == ["Body A\nB"]
+
+
+@pytest.mark.parametrize("tag", ["p hidden", 'p HIDDEN=""', "p role=dialog", "p class='x ad'", 'p class="x\nNotice"', "p id=comments", 'p style="display : none"', "p aria-hidden=true", 'p title="a" class="ad"', "p/class=ad", 'p class="&#97;d"'])
+def test_names_that_count(tag):
+    assert [t for t, _ in html_text.blocks(f"<article><{tag}>Body A</p><p>B</p></article>")] == ["B"]
+
+
+def slow_attributes(source):
+    """Sign by sign."""
+    out, i, n = {}, 0, len(source)
+    space = lambda c: c.isspace()
+    while i < n:
+        if space(source[i]) or source[i] in "/>":
+            i += 1
+            continue
+        start = i
+        i += 1
+        while i < n and not space(source[i]) and source[i] not in "/>=":
+            i += 1
+        name, j, value = source[start:i], i, ""
+        while j < n and space(source[j]):
+            j += 1
+        if j < n and source[j] == "=":
+            j += 1
+            while j < n and space(source[j]):
+                j += 1
+            quote = source[j] if j < n and source[j] in "\"'" and source.find(source[j], j + 1) > 0 else ""
+            if quote:
+                end = source.index(quote, j + 1)
+                value, i = source[j + 1 : end], end + 1
+            else:
+                end = j
+                while end < n and not space(source[end]) and source[end] != ">":
+                    end += 1
+                value, i = source[j:end], end
+        out.setdefault(name.lower(), value)
+    return out
+
+
+def test_attributes_sign_by_sign():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(20_000):
+        source = "".join(rng.choice(["a", "b", "class", "=", "=", '"', "'", " ", "/", ">", "\n"]) for _ in range(rng.randint(0, 14)))
+        assert html_text.attributes_of(source) == slow_attributes(source), source
+    assert html_text.attributes_of("a='" + "x " * 500_000 + "' class=b") == {"a": "x " * 500_000, "class": "b"}
+
+
+def test_doubtful_names_need_other_pages(spark):
+    story = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    same = "Sign up to our weekly letter and never miss one of them again"
+    page = lambda k, text: f'<article><p>{story(k)}</p><div class="letter-signup"><p>{text}</p></div></article>'
+    rows = [(k, f"http://a/{k}", page(k, same)) for k in range(3)] + [(3, "http://b/3", page(3, same)), (4, "http://a/4", page(4, story(44)))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: story(0), 1: story(1), 2: story(2), 3: f"{story(3)}\n{same}", 4: f"{story(4)}\n{story(44)}"}
+
+
+def brute_shared(pages):
+    """Runs of RUN tokens of a block, and short blocks, that two unlike pages have; each page's text without them where no article has them."""
+    n, has = html_text.RUN, {}
+    for p in pages:
+        for t, k in p:
+            w = t.split(" ")
+            for i in range(len(w) - n + 1):
+                has.setdefault(tuple(w[i : i + n]), set()).add(str(p))
+            if k != html_text.ARTICLE and len(w) < n:
+                has.setdefault(t, set()).add(str(p))
+    out = []
+    for p in pages:
+        lines = []
+        for t, k in p:
+            w = t.split(" ")
+            gone = set()
+            for i in range(len(w) - n + 1):
+                if len(has[tuple(w[i : i + n])]) > 1:
+                    gone |= set(range(i, i + n))
+            if k != html_text.ARTICLE and (len(has.get(t, ())) > 1 if len(w) < n else gone):
+                t = "" if len(w) < n else " ".join(x for i, x in enumerate(w) if i not in gone)
+            if t:
+                lines.append(t)
+        out.append("\n".join(lines))
+    return out
+
+
+def test_shared_runs_by_brute_force():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(60):
+        pages = [[(" ".join(rng.choice("ab") for _ in range(rng.randint(1, 24))), rng.choice([1, 1, 2, 3])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+        pages += [pages[0]] * rng.randint(0, 2)  # copies of a page and ties between runs
+        assert html_text.unique_text(pages) == brute_shared(pages)
+
+
 def test_tags():
     read = lambda page: [(name, text) for text, name, _ in html_text.tags(page)]
     assert read('a<b title="x > <i>">c</b>d') == [("b", "a"), ("/b", "c"), ("", "d")]
