@@ -9,6 +9,7 @@ from lodestar.functions import numeric as N
 from lodestar.functions import text as T
 from lodestar.operators import evaluation as E
 from lodestar.operators import fusion as G
+from lodestar.streaming.limits import Rate, limited
 
 SIX = N.six
 
@@ -402,6 +403,19 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
 RATE_SQL = "SELECT event_id, user_id, n FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 3"
 
 
+def retry_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user that a limit of three in a day lets through, and when to try again with the others."""
+    return limited(_read(spark, d, "events"), Rate(3, 86400.0), ["user_id"]).select("event_id", "user_id", "allowed", "retry_after")
+
+
+RETRY_SQL = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, k, event_id, true AS allowed, 0::BIGINT AS retry_after, [s] AS held FROM e WHERE k = 1
+UNION ALL SELECT user_id, k, event_id, len(l) < 3, CASE WHEN len(l) < 3 THEN 0 ELSE greatest(1, floor(l[1] + 86400 - s)::BIGINT) END, CASE WHEN len(l) < 3 THEN list_append(l, s) ELSE l END
+ FROM (SELECT e.user_id, e.k, e.event_id, e.s, list_filter(r.held, lambda t: t >= e.s - 86400) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT event_id, user_id, allowed, retry_after FROM r"""
+
+
 def overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Days that orders of one customer, each of sixty days, overlap: intervals met by the months they touch."""
     o = _read(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("a")).withColumn("b", F.date_add("a", 60))
@@ -503,6 +517,7 @@ QUERIES = {
     "w11_pair_generation": pair_generation,
     "w05_validation": validation,
     "w14_rate_limit": rate_limit,
+    "w14_retry_hints": retry_hints,
     "j12_interval_overlap": overlaps,
     "n12_cosine_topk": cosine_topk,
     "g11_neighbour_scores": neighbours,
@@ -535,6 +550,7 @@ ORACLE = {
     "w11_pair_generation": PAIR_SQL,
     "w05_validation": VALIDATION_SQL,
     "w14_rate_limit": RATE_SQL,
+    "w14_retry_hints": RETRY_SQL,
     "j12_interval_overlap": OVERLAP_SQL,
     "n12_cosine_topk": COSINE_SQL,
     "g11_neighbour_scores": NEIGHBOUR_SQL,

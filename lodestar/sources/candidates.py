@@ -66,6 +66,10 @@ def parsed(rows: DataFrame) -> DataFrame:
     return out.withColumn("candidate_id", ident).drop("bad")
 
 
+class TooLarge(ValueError):
+    """An upload is over a limit of size."""
+
+
 def checked_upload(spark: SparkSession, path: str, max_bytes: int = 64 << 20, max_expanded: int = 512 << 20, max_record: int = 2 << 20) -> DataFrame:
     """Candidates of an upload whose name, size, size when expanded and longest record are within limits; else the read fails."""
     name = path.rsplit("/", 1)[-1].lower()
@@ -76,12 +80,12 @@ def checked_upload(spark: SparkSession, path: str, max_bytes: int = 64 << 20, ma
     facts = lines.agg(F.max("size").alias("size"), F.sum(F.col("n") + 1).alias("expanded"), F.max("n").alias("record")).first()  # one row
     for what, limit in (("size", max_bytes), ("expanded", max_expanded), ("record", max_expanded if whole else max_record)):
         if (facts[what] or 0) > limit:
-            raise ValueError(f"{what} of the upload is over {limit} bytes")
+            raise TooLarge(f"{what} of the upload is over {limit} bytes")
     rows = read_candidates(spark, path)
     if whole:  # an array's records are seen once it is taken apart
         longest = rows.select(F.max(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0]
         if (longest or 0) > max_record:
-            raise ValueError(f"record of the upload is over {max_record} bytes")
+            raise TooLarge(f"record of the upload is over {max_record} bytes")
     return rows
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators import ranks
+
 
 class _Store:
     """The file system that a path lives on, through Hadoop."""
@@ -103,4 +105,4 @@ def latest(states: DataFrame, key: str, time: str) -> DataFrame:
 
 def oldest(states: DataFrame, order: str, n: int) -> DataFrame:
     """All rows but the n oldest."""
-    return states.withColumn("__n", F.row_number().over(Window.orderBy(order))).where(F.col("__n") > n).drop("__n")
+    return ranks.numbered(states, [F.col(order).asc()], name="__n").where(F.col("__n") > n).drop("__n")
