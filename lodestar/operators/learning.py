@@ -1,9 +1,9 @@
-"""Models learned from rows on the cluster: forests of random trees and boosted trees that order the rows of a group."""
+"""Boosted trees that order the rows of a group, learned on the cluster."""
 
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +14,6 @@ def _vectors(rows: DataFrame, inputs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs}))
 
 
-def forests(rows: DataFrame, inputs: list[str], target: str, seeds: int = 7, trees: int = 30, depth: int = 6) -> list:
-    """Forests by seed, each of trees that see random parts of rows and inputs; the mean of all is the prediction."""
-    table = staged(_vectors(rows, inputs).select("features", F.col(target).cast("double").alias("label")), "training")
-    return [RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed).fit(table) for seed in range(seeds)]
-
-
-def predicted(rows: DataFrame, inputs: list[str], models: list, name: str = "prediction") -> DataFrame:
-    """rows with the models' mean prediction."""
-    out = _vectors(rows, inputs)
-    for k, model in enumerate(models):
-        out = model.setPredictionCol(f"__p{k}").transform(out)
-    mean = sum((F.col(f"__p{k}") for k in range(len(models))), F.lit(0.0)) / max(1, len(models))
-    return out.withColumn(name, mean).drop("features", *[f"__p{k}" for k in range(len(models))])
-
-
 def lambdas(rows: DataFrame, group: str, ident: str, target: str, score: str, top: int) -> DataFrame:
     """(ident, pull, weight): how far pairs of a group's rows that a swap would put right pull each row, by what the swap changes in the normalised gain.
 

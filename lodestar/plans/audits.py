@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lodestar.functions import numeric as N
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
+from lodestar.operators import assignment as H
 from lodestar.operators import audits as A
 from lodestar.operators import bm25
 from lodestar.operators import candidates as C
 from lodestar.operators import evaluation as E
+from lodestar.operators import extra_trees as X
 from lodestar.operators import fusion as G
 from lodestar.operators import learning as L
 from lodestar.operators import studies as S
@@ -447,6 +449,41 @@ def requirement_evidence(spark: SparkSession, d: str) -> DataFrame:
     return G.assignment(weights).select(F.col("ident").alias("candidate_id"), SIX(F.col("total")).alias("total"), SIX(F.col("coverage")).alias("coverage"), SIX(F.col("weakest")).alias("weakest"))
 
 
+def requirement_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Seven requirements over jobs, skills and profile."""
+    found = H.evidence(C.complete(P.records(spark, d)))
+    whole = ("n_covered", "diversity", "unsupported", "undated_only")
+    return found.select("candidate_id", *[F.col(c) if c in whole else SIX(F.col(c)).alias(c) for c in found.columns[1:]])
+
+
+def _assignment_sql() -> str:
+    """By sets of requirements, a unit at a time: the best whole number of each set, from which the units are read."""
+    names, n = list(H.REQUIREMENTS), len(H.REQUIREMENTS)
+    base, whole = 16, 2520
+    hits = ["(" + " + ".join(f"contains(t, '{p}')::INT" for p in H.REQUIREMENTS[r]) + ")" for r in names]
+    gains = [f"h[{i + 1}] * {whole // len(H.REQUIREMENTS[r]) * base**n} + {base ** (n - 1 - i)} * (15 - u)" for i, r in enumerate(names)]
+    step = "list_transform(range(128), lambda m: greatest(best[m + 1], " + ", ".join(f"CASE WHEN (m >> {i}) & 1 = 1 THEN best[m - {1 << i} + 1] + g[{i + 1}] ELSE -1 END" for i in range(n)) + "))"
+    digit = lambda i: f"((rest // {base ** (n - 1 - i)}) % {base})"  # noqa: E731 (15 less the unit's place; 0: none)
+    share = lambda i, u: f"hs[{u}][{i + 1}] / {len(H.REQUIREMENTS[names[i]])}.0::DOUBLE"
+    met = [f"CASE WHEN {digit(i)} = 0 THEN 0.0::DOUBLE ELSE {share(i, f'(16 - {digit(i)})::INT')} END" for i in range(n)]
+    must = [names.index(m) for m in H.MANDATORY]
+    best_share = lambda i: f"list_max(list_transform(hs, lambda x: x[{i + 1}])) / {len(H.REQUIREMENTS[names[i]])}.0::DOUBLE"
+    spare = lambda i: f"len(list_filter(hs, lambda x: x[{i + 1}] / {len(H.REQUIREMENTS[names[i]])}.0::DOUBLE >= {H.COVERED}))"
+    covered = [f"(m{i} >= {H.COVERED})::INT" for i in range(n)]
+    return f"""
+WITH RECURSIVE {P.RECORDS}, every AS (SELECT k, j AS o, lower(concat_ws(' ', title, story, company)) AS t, true AS dated FROM jobs
+UNION ALL SELECT k, 100 + s, lower(name), months > 0 FROM skills WHERE s < {H.SKILLS} AND level IN ('expert', 'advanced') UNION ALL SELECT k, 1000, lower(concat_ws(' ', title, summary)), false FROM c),
+unit AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS u, dated, [{", ".join(hits)}] AS h FROM every),
+gain AS (SELECT k, u, [{", ".join(f"({g})::BIGINT" for g in gains)}] AS g FROM unit),
+dp AS (SELECT k, 0::BIGINT AS u, list_transform(range(128), lambda m: CASE WHEN m = 0 THEN 0::BIGINT ELSE -4000000000000000000 END) AS best FROM c
+UNION ALL SELECT k, u, {step} FROM (SELECT dp.k, dp.u + 1 AS u, best, g FROM dp JOIN gain ON dp.k = gain.k AND dp.u = gain.u)),
+last AS (SELECT k, list_max(best) % {base**n} AS rest FROM dp QUALIFY row_number() OVER (PARTITION BY k ORDER BY u DESC) = 1),
+met AS (SELECT k, rest, hs, ds, {", ".join(f"{m} AS m{i}" for i, m in enumerate(met))} FROM last JOIN (SELECT k, list(h ORDER BY u) AS hs, list(dated ORDER BY u) AS ds FROM unit GROUP BY k) USING (k)),
+n AS (SELECT *, {" + ".join(f"({digit(i)} > 0)::INT" for i in range(n))} AS used, {" + ".join(f"m{i}" for i in range(n))} AS total, {" + ".join(covered)} AS cov FROM met)
+SELECT candidate_id, round(total, 6) AS coverage, cov::BIGINT AS n_covered, round(least({", ".join(best_share(i) for i in must)}), 6) AS weakest_mandatory, used::BIGINT AS diversity, ({n} - cov)::BIGINT AS unsupported, round(total / used, 6) AS confidence,
+ ({" + ".join(f"(m{i} >= {H.COVERED} AND NOT ds[(16 - {digit(i)})::INT])::INT" for i in must)})::BIGINT AS undated_only, round(({" + ".join(f"{spare(i)} - {covered[i]}" for i in range(n))}) / {n}.0::DOUBLE, 6) AS redundancy FROM n JOIN c USING (k)"""
+
+
 _MET = lambda r: "(" + " + ".join(f"contains(t, '{x}')::INT" for x in REQUIREMENTS[r]) + f") / {len(REQUIREMENTS[r])}.0::DOUBLE"
 EVIDENCE_SQL = f"""
 WITH {P.RECORDS}, w AS (SELECT k, j, {", ".join(f"{_MET(r)} AS w{i}" for i, r in enumerate(REQUIREMENTS))} FROM (SELECT k, j, lower(title || ' ' || story || ' ' || company) AS t FROM jobs)),
@@ -578,23 +615,33 @@ def route_counters(spark: SparkSession, d: str) -> DataFrame:
 ROUTES_SQL = "SELECT *, sum(n) OVER (PARTITION BY event_type)::BIGINT AS route_total FROM (SELECT event_type, event_id % 5 + 1 AS class, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)"
 
 
-def _documents_measured(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", "lang", (F.col("n_chars") / 1000.0).alias("size"), (F.length(F.regexp_replace("text", "[^\\n]", "")) / 10.0).alias("lines"))
-    return docs.join(_read(spark, d, "labels"), "doc_id", "left")
+def _learning_table(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Records with all features but those that are their labels' parts, and seven label sets, each of which covers some."""
+    rows = P.scored(spark, d).withColumn("retrieval", F.lit(0.5))
+    heads = {f"head_{k}": C.score(p) for k, p in enumerate(V.PROFILES)}
+    more = ("production_evidence", "ir_ranking_experience", "core_skill_match", "behavioral_multiplier", "responsiveness_score", "education_score", "title_alignment")
+    heads |= {f"head_{len(heads) + k}": F.col(c) * F.col("honeypot_multiplier") for k, c in enumerate([c for c in more if c in rows.columns][: 7 - len(heads)])}
+    inputs = [f for f in V.FEATURES if f in rows.columns]
+    labelled = lambda name, v: F.when(T.digest_mod(F.concat_ws("|", F.lit(name), "candidate_id"), 10) < 6, F.floor(v * 5))
+    table = rows.select("candidate_id", *inputs, *[labelled(k, v).cast("double").alias(k) for k, v in heads.items()])
+    return staged(table, "measured"), inputs, list(heads)
 
 
 def forest_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """How good documents are by forests learned from the labelled ones."""
-    rows = staged(_documents_measured(spark, d), "measured")
-    models = L.forests(rows.where("quality IS NOT NULL"), ["size", "lines"], "quality", seeds=2)
-    return L.predicted(rows, ["size", "lines"], models).select("doc_id", SIX(F.col("prediction")).alias("prediction"))
+    """What seven heads of thirty extremely randomised trees say of each record, learned from seven label sets."""
+    rows, inputs, heads = _learning_table(spark, d)
+    grown = X.fit(rows, inputs, heads, trees=30, depth=6, least=5, features=max(1, len(inputs) // 3))
+    names = [f"p{k}" for k in range(len(heads))]
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+    return X.predicted(rows, inputs, grown, names).select("candidate_id", *[SIX(F.col(n)).alias(n) for n in names], SIX(mean).alias("mean"))
 
 
 def ordered_by_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Documents ordered within their language by trees boosted for the order of labelled ones."""
-    rows = staged(_documents_measured(spark, d), "measured")
-    model = L.LambdaTrees().fit(rows.where("quality IS NOT NULL"), "lang", "doc_id", ["size", "lines"], "quality", rounds=3)
-    return model.score(rows).select("doc_id", SIX(F.col("prediction")).alias("score"))
+    """Records ordered within twenty pools by trees boosted for the order of the labelled ones."""
+    rows, inputs, heads = _learning_table(spark, d)
+    pools = rows.withColumn("pool", T.digest_mod(F.concat_ws("|", F.lit("pool"), "candidate_id"), 20))
+    model = L.LambdaTrees().fit(pools.where(F.col(heads[0]).isNotNull()), "pool", "candidate_id", inputs, heads[0], rounds=10)
+    return model.score(rows).select("candidate_id", SIX(F.col("prediction")).alias("score"))
 
 
 _NAMES = {
@@ -630,6 +677,7 @@ _NAMES = {
     "j13_nearest_free": (matched, MATCHED_SQL),
     "w15_progress": (progress, PROGRESS_SQL),
     "r07_requirement_evidence": (requirement_evidence, EVIDENCE_SQL),
+    "r07_requirement_assignment": (requirement_assignment, _assignment_sql()),
     "r05_channel_scores": (channel_scores, CHANNEL_SQL),
     "r08_dense_scores": (dense_scores, DENSE_SQL),
     "l02_keyword_baseline": (keyword_baseline, BASELINE_SQL),
