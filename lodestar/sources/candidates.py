@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.audits import human_tiers
+from lodestar.sources import arrays
 
 SCHEMA = """candidate_id STRING,
 profile STRUCT<anonymized_name: STRING, headline: STRING, summary: STRING, current_title: STRING, current_company: STRING,
@@ -44,9 +45,7 @@ def read_candidates(spark: SparkSession, path: str, max_candidates: int | None =
     if max_candidates is not None and (type(max_candidates) is not int or max_candidates < 1):
         raise ValueError("max_candidates must be a positive integer when provided")
     if path.lower().endswith(".json"):
-        whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
-        checked = whole.select(F.when(F.trim("value").startswith("["), F.col("value")).otherwise(F.raise_error(F.lit("the file must hold a JSON array of objects"))).alias("value"))
-        rows = checked.select(F.posexplode(F.from_json("value", "array<string>")).alias("ordinal", "value"))
+        rows = arrays.elements(spark, path)
     else:
         rows = _lines(spark, path)
     if max_candidates:
