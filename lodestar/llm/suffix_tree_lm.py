@@ -47,7 +47,7 @@ GAIN = 0.002
 END = b"\n"  # no word has white space
 FLUSH = 300_000
 #: Uses that a context has at least, that a next word after it has to be told apart, and tokens of a context at most.
-LEAST, SEEN, DEPTH = 10, 3, 3
+LEAST, SEEN, DEPTH = 10, 1, 3
 #: Bits of a bitmap (a power of two), characters of a group of rows and of a chunk, tokens counted and codes answered in a bucket.
 BITS, GROUP, CHUNK, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 20, 1 << 22, 1 << 20
 #: Bytes of a next word's hash that tell it from the others after its context.
@@ -272,8 +272,8 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
     return run
 
 
-_COUNTED = "kind int, bucket long, c long, t long, s long, n long, kinds long, low long, v double, p double"
-_FIELDS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("bucket", "c", "t", "s", "n", "kinds", "low")), ("v", pa.float64()), ("p", pa.float64())])
+_COUNTED = "kind int, bucket long, c long, t long, s long, n long, kinds long, low long, v float, p float"
+_FIELDS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("bucket", "c", "t", "s", "n", "kinds", "low")), ("v", pa.float32()), ("p", pa.float32())])
 #: Kinds of rows: parts of hot contexts (n uses, kinds of next words, low uses by rare ones), their next words (v: the
 #: root's chance), next words of settled contexts (v: what a retained one adds, p: the chance), and what these keep (v).
 PART, HOT_NEXT, NEXT, KEEP = range(4)
@@ -285,7 +285,7 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
         if x is None:
             return pa.nulls(size, field.type)
         x = x.view(np.int64) if x.dtype == np.uint64 else x
-        return pa.array(x, field.type, mask=np.isnan(x) if x.dtype == np.float64 else None)
+        return pa.array(x.astype(np.float32), field.type, mask=np.isnan(x)) if x.dtype == np.float64 else pa.array(x, field.type)
 
     columns["kind"] = np.full(size, kind, np.int32)
     return pa.RecordBatch.from_arrays([one(f) for f in _FIELDS], schema=_FIELDS)
@@ -362,7 +362,7 @@ class Level:
         spark = texts.sparkSession
         shared = [spark.sparkContext.broadcast(x) for x in (tree, bits, hot)]
         packed = texts.mapInArrow(_followed(*shared, level, tree.n // BUCKET + 1), "bucket long, c binary, s binary, k binary, x binary, n binary")
-        under = below.settled if below else spark.createDataFrame([], "bucket long, t long, p double")
+        under = below.settled if below else spark.createDataFrame([], "bucket long, t long, p float")
         counted = packed.groupBy("bucket").cogroup(under.groupBy("bucket")).applyInArrow(_counted(shared[0], level), _COUNTED)
         counted = common.materialize(counted, f"counted{level}")
         for x in shared:
@@ -370,7 +370,7 @@ class Level:
         self.settled = counted.where(F.col("kind") == NEXT).select("bucket", "t", "p")
         self.nexts = counted.where(F.col("kind") == NEXT).select(F.col("t").alias("code"), "n", "v")
         self.keeps = counted.where(F.col("kind") == KEEP).select(F.col("c").alias("code"), "v")
-        self.hot = None
+        self.hot, self.tables = None, [counted]
         if len(hot) and not counted.where(F.col("kind") == PART).isEmpty():
             self._add_hot(counted, below, level)
 
@@ -391,10 +391,22 @@ class Level:
         told = common.materialize(told, f"nexts{level}")
         discard(nexts)
         self.hot = told.select("t", "p")
+        self.tables += [states, told]
         self.nexts = self.nexts.union(told.select("t", "n", "v"))
         self.keeps = self.keeps.union(states.where("kept").select("c", "keep"))
 
 
+    def slim(self) -> None:
+        """Once the level above is settled: what scoring needs stays, the rest is deleted."""
+        gains = self.nexts.where("v IS NOT NULL").select("code", F.col("v").cast("float"), F.lit(False).alias("context"))
+        keeps = self.keeps.select("code", F.col("v").cast("float"), F.lit(True).alias("context"))
+        kept = common.materialize(gains.union(keeps), "level")
+        for table in self.tables:
+            discard(table)
+        self.tables, self.settled, self.hot = [kept], None, None
+        self.nexts, self.keeps = (kept.where("context" if x else "NOT context").select("code", F.col("v").cast("double").alias("v")) for x in (False, True))
+
+
 def _hot(words: DataFrame, n: int) -> np.ndarray:
     """Sorted codes of words met so often that contexts which end in one are dealt by next word: at most a million, whatever the size of the corpus."""
     least = max(BUCKET >> 4, n >> 20)
@@ -421,9 +433,12 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
             break
         levels.append(Level(texts, tree, bits, hot, len(levels) + 1, levels[-1] if levels else None))
         counts = levels[-1].nexts
+        if len(levels) > 1:
+            levels[-2].slim()
         released(texts.sparkSession)
     if levels:
-        gains = common.union_all([x.nexts.where("v IS NOT NULL").select("code", "v") for x in levels])
+        levels[-1].slim()
+        gains = common.union_all([x.nexts for x in levels])
         keeps = common.union_all([x.keeps for x in levels])
         tree.depth, tree.states, tree.nexts = len(levels), Bits(keeps), Bits(gains)
         facts = common.union_all([facts, keeps, gains])
