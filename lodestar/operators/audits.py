@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.sources.staging import ship, staged
 
 # ---- Fixed values: hints that titles and skills are inferred from, years of technologies, months in a year ----------
 TITLE_HINTS = ["senior software engineer", "software engineer", "software developer", "full stack developer", "backend engineer", "java developer", "frontend engineer", "web developer", "business intelligence developer", "bi developer", "data analyst", "data engineer", "analytics engineer", "devops engineer", "site reliability engineer", "cloud engineer", "machine learning engineer", "ml engineer", "ai engineer"]
@@ -268,28 +271,41 @@ def waterfall(influence: DataFrame, top: int = 5) -> DataFrame:
 def logistic_folds(rows: DataFrame, inputs: list[str], target: str, fold: str, folds: int = 5, c: float = 1.0, rounds: int = 12) -> dict[int, list[float]]:
     """For each fold the weights (first the intercept) of a balanced, ridged logistic regression fitted to the other folds.
 
-    Newton's steps of all folds at once: a round is one aggregation to a row for each fold of sums of products.
+    Newton's steps of all folds at once. In a round each task tells one vector of sums for each fold, gradient and products
+    of inputs, whatever the number of inputs; these are added up by place in the vector.
     """
-    columns = ["1", *inputs]
-    value = [F.lit(1.0) if x == "1" else F.col(x).cast("double") for x in columns]
-    rows = rows.select(*[v.alias(f"v{i}") for i, v in enumerate(value)], F.col(target).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"))
-    sizes = {r["fold"]: (r["n1"], r["n0"]) for r in rows.groupBy("fold").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")).collect()}  # a row for each fold
-    n = len(columns)
+    spark = rows.sparkSession
+    ship(spark.sparkContext)
+    n = len(inputs) + 1
+    table = staged(rows.select(*[F.col(x).cast("double").alias(f"v{i}") for i, x in enumerate(inputs, 1)], F.col(target).cast("double").alias("y"), F.col(fold).cast("int").alias("fold")), "logistic")
+    sizes = {r["fold"]: (r["n1"], r["n0"]) for r in table.groupBy("fold").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")).collect()}  # a row for each fold
+    counts = {k: tuple(sum(s[i] for f, s in sizes.items() if f != k) for i in (0, 1)) for k in range(folds)}
     w = {k: np.zeros(n) for k in range(folds)}
+
+    def sums(weights: dict[int, np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((folds, n + n * n))
+            for b in batches:
+                x = np.column_stack([np.ones(b.num_rows), *[b.column(i).to_numpy(zero_copy_only=False) for i in range(n - 1)]]).astype(float)
+                y, own = b.column(n - 1).to_numpy(zero_copy_only=False).astype(float), b.column(n).to_numpy(zero_copy_only=False)
+                there = ~(np.isnan(x).any(1) | np.isnan(y))  # a row without all its numbers takes no part
+                for k, (n1, n0) in counts.items():
+                    p = 1 / (1 + np.exp(-(x @ weights[k])))
+                    balance = np.where(y == 1, (n1 + n0) / 2 / max(n1, 1), (n1 + n0) / 2 / max(n0, 1)) * ((own != k) & there)
+                    seen = np.where(there[:, None], x, 0.0)
+                    total[k, :n] += np.nan_to_num(balance * (y - p)) @ seen
+                    total[k, n:] += ((np.nan_to_num(balance * p * (1 - p))[:, None] * seen).T @ seen).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(folds), n + n * n), pa.int32()), pa.array(np.tile(np.arange(n + n * n), folds), pa.int32()), pa.array(total.ravel())], names=["fold", "at", "s"])
+
+        return run
+
     for _ in range(rounds):
-        parts = []
-        for k in range(folds):  # the rows of all folds but k
-            n1, n0 = (sum(s[i] for f, s in sizes.items() if f != k) for i in (0, 1))
-            weight = F.when(F.col("y") == 1, (n1 + n0) / 2 / max(n1, 1)).otherwise((n1 + n0) / 2 / max(n0, 1)) * (F.col("fold") != k).cast("double")
-            p = 1 / (1 + F.exp(-sum((F.col(f"v{i}") * float(w[k][i]) for i in range(1, n)), F.lit(float(w[k][0])))))
-            parts += [F.sum(weight * (F.col("y") - p) * F.col(f"v{i}")).alias(f"g{k}_{i}") for i in range(n)]
-            parts += [F.sum(weight * p * (1 - p) * F.col(f"v{i}") * F.col(f"v{j}")).alias(f"h{k}_{i}_{j}") for i in range(n) for j in range(i, n)]
-        sums = rows.agg(*parts).first()
+        found = np.zeros((folds, n + n * n))
+        for r in table.mapInArrow(sums(w), "fold int, at int, s double").groupBy("fold", "at").agg(F.sum("s").alias("s")).collect():  # a number for each fold and product
+            found[r["fold"], r["at"]] = r["s"]
         for k in range(folds):
             ridge = np.diag([1e-9] + [1 / c] * (n - 1))
-            g = np.array([sums[f"g{k}_{i}"] or 0.0 for i in range(n)]) - ridge @ w[k]
-            h = np.array([[sums[f"h{k}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) + ridge
-            w[k] = w[k] + np.linalg.solve(h, g)
+            w[k] = w[k] + np.linalg.solve(found[k, n:].reshape(n, n) + ridge, found[k, :n] - ridge @ w[k])
     return {k: v.tolist() for k, v in w.items()}
 
 

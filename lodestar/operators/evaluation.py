@@ -125,9 +125,14 @@ def weighted_kappa(pairs: DataFrame, a: str, b: str, levels: int) -> DataFrame:
 
 
 def summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Counts, moments and nearest-rank percentiles of a group's values."""
+    """Counts, moments and nearest-rank percentiles of a group's values; exact for groups of any size, as places are counted by ranges."""
     v = F.col(value)
-    ordered = F.array_sort(F.collect_list(v))  # groups of report size
-    pick = lambda p: F.element_at("__values", (F.bround(F.lit(p) * (F.size("__values") - 1), 0) + 1).cast("int"))
-    out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.count_if(v != 0).alias("nonzero"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.max(F.abs(v)).alias("max_abs"), ordered.alias("__values"))
-    return out.withColumns({"p05": pick(0.05), "median": pick(0.5), "p95": pick(0.95)}).drop("__values")
+    out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.count_if(v != 0).alias("nonzero"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.max(F.abs(v)).alias("max_abs"))
+    placed = ranks.numbered(rows.where(v.isNotNull()).select(*keys, v.alias("__v")), [F.col("__v").asc()], keys, "__place", "__size")
+    at = lambda p: F.col("__place") == F.bround(F.lit(p) * (F.col("__size") - 1), 0) + 1
+    points = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    met = placed.where(at(0.05) | at(0.5) | at(0.95)).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[F.max(F.when(at(p), F.col("__v"))).alias(name) for name, p in points.items()])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return out.join(met, same, "left").drop(*[f"__{k}" for k in keys])  # a row for each group

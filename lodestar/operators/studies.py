@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.operators import ranks
-from lodestar.sources.staging import ship
+from lodestar.sources.staging import bounded, ship
+
+#: Rows that a task takes in order, one after the other.
+MOST = 1_000_000
 
 
 def draw(rows: DataFrame, ident: str, seed: str, n: int, *strata: str) -> DataFrame:
@@ -51,7 +54,8 @@ def bands(orders: list[tuple[DataFrame, int]], ident: str) -> DataFrame:
 
 
 def greedy_disjoint(swaps: DataFrame) -> DataFrame:
-    """Of swaps (a, b, gain), best first, those that touch no id twice. Sequential over a report of bounded size: one group."""
+    """Of swaps (a, b, gain), best first, those that touch no id twice. Sequential over a report: one task, which refuses over MOST rows."""
+    swaps = bounded(swaps, MOST, "swaps")
     ship(swaps.sparkSession.sparkContext)
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +72,8 @@ def greedy_disjoint(swaps: DataFrame) -> DataFrame:
 
 
 def claim_quotes(rows: DataFrame) -> DataFrame:
-    """Rows (rank, quotes) of a report: each rank takes its first quote that no better rank took. Sequential: one group."""
+    """Rows (rank, quotes) of a report: each rank takes its first quote that no better rank took. Sequential over a report: one task, which refuses over MOST rows."""
+    rows = bounded(rows, MOST, "quotes")
     ship(rows.sparkSession.sparkContext)
 
     def claim(frame: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +130,8 @@ def stack(rows: DataFrame, voters: list[str], target: str) -> dict[str, float]:
 
 
 def bradley_terry(pairs: DataFrame, ident: str = "long", rounds: int = 100, ridge: float = 1.0) -> DataFrame:
-    """Strengths of a pool from judged pairs (a, b, wins_a, wins_b), drawn to 0 by a ridge; the pool's pairs are one group."""
+    """Strengths of a pool from judged pairs (a, b, wins_a, wins_b), drawn to 0 by a ridge; the pool's pairs are one task's, which refuses over MOST of them."""
+    pairs = bounded(pairs, MOST, "pairs")
     ship(pairs.sparkSession.sparkContext)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:

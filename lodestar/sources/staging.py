@@ -80,6 +80,13 @@ def forget(context: SparkContext) -> None:
         _delete(context, _written.pop())
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, if it has at most so many rows; more are refused, none are left out."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what} are worked on in one task, at most {most} rows")
+    return df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows of an input with fewer partitions than the cluster has cores over all cores; others are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
