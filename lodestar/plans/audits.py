@@ -17,6 +17,7 @@ from lodestar.operators import extra_trees as X
 from lodestar.operators import fusion as G
 from lodestar.operators import learning as L
 from lodestar.operators import studies as S
+from lodestar.operators import variants as B
 from lodestar.plans import candidates as P
 from lodestar.plans import evaluation as Q
 from lodestar.plans import studies
@@ -334,6 +335,52 @@ g AS (SELECT l.size AS variant, count(*) FILTER (l.t < 3 AND l.v - a.v < -1e-12)
 SELECT variant, component_losses, composite_losses, champion_losses, round(mc, 6) AS mean_composite, component_losses = 0 AND composite_losses = 0 AS main_safe, component_losses = 0 AND composite_losses = 0 AND champion_losses = 0 AS fully_safe FROM g"""
 
 
+def _three_label_sets(spark: SparkSession, d: str) -> DataFrame:
+    s = _read(spark, d, "supplier").withColumn("evaluator", F.explode(F.array(*map(F.lit, range(3)))))
+    tier = (F.col("s_suppkey") * (7 + 3 * F.col("evaluator")) % 5).cast("double")
+    return s.where((F.col("s_suppkey") + F.col("evaluator")) % 3 != 0).select("evaluator", F.col("s_suppkey").alias("ident"), tier.alias("tier"), (tier / 2).alias("gain"))
+
+
+def variant_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid of orders between two rankings against three label sets."""
+    v = _votes(spark, d)
+    one, two = (v.where(F.col("voter") == name).select("ident", "rank") for name in ("balance", "lines"))
+    found = B.search(one, two, _three_label_sets(spark, d), B.grid())
+    return found.select(F.col("variant").cast("long").alias("variant"), "kind", SIX(F.col("a")).alias("a"), SIX(F.col("b")).alias("b"), "component_losses", "composite_losses", "champion_losses", "changed", SIX(F.col("mean_composite")).alias("mean_composite"), SIX(F.col("least_delta")).alias("least_delta"), "main_safe", "fully_safe")
+
+
+def _variants_sql() -> str:
+    n, w = B.SIZE, B.WEIGHTS - 1
+    share = lambda x, y: f"coalesce({x} / nullif({y}, 0), 0)"
+    dcg = lambda k: f"coalesce(sum((2 ^ gain - 1) / log2(p + 1)) FILTER (p <= {k}), 0)"
+    return f"""
+WITH {VOTES}, pool AS (SELECT * FROM (SELECT ident, max(rank) FILTER (voter = 'balance' AND rank <= {n})::DOUBLE AS m, max(rank) FILTER (voter = 'lines' AND rank <= {n})::DOUBLE AS c FROM votes GROUP BY ident) WHERE m IS NOT NULL OR c IS NOT NULL),
+far AS (SELECT ident, m, c, coalesce(m, (SELECT count(*) FROM pool) + 100)::DOUBLE AS fm, coalesce(c, (SELECT count(*) FROM pool) + 100)::DOUBLE AS fc FROM pool),
+rules AS (SELECT row_number() OVER (ORDER BY g, i, j) - 1 AS variant, kind, a, b FROM (
+ SELECT 0 AS g, 0 AS i, 0 AS j, 'main' AS kind, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT 1, 0, 0, 'champion', 0, 0
+ UNION ALL SELECT 2, i, 0, 'main_prefix', i, 0 FROM range(1, {n + 1}) x(i) UNION ALL SELECT 2, i, 1, 'champion_prefix', i, 0 FROM range(1, {n + 1}) x(i)
+ UNION ALL SELECT 3, i, j, 'rrf', i / {w}.0::DOUBLE, [{", ".join(map(str, B.SMOOTH))}][j + 1]::DOUBLE FROM range({w + 1}) x(i), range({len(B.SMOOTH)}) y(j) UNION ALL SELECT 3, i, {len(B.SMOOTH)}, 'linear', i / {w}.0::DOUBLE, 0 FROM range({w + 1}) x(i)
+ UNION ALL SELECT 4, i, j, 'main_order_band', i, j FROM range(0, {n}, {B.STEP}) x(i), range({B.STEP}, {n + 1}, {B.STEP}) y(j) WHERE j > i)),
+keyed AS (SELECT variant, ident, CASE kind WHEN 'main' THEN m WHEN 'champion' THEN c WHEN 'main_prefix' THEN CASE WHEN m <= a THEN 0 ELSE 1 END WHEN 'champion_prefix' THEN CASE WHEN c <= a THEN 0 ELSE 1 END
+ WHEN 'rrf' THEN -((1.0::DOUBLE - a) / (b + fm) + a / (b + fc)) WHEN 'linear' THEN (1.0::DOUBLE - a) * fm + a * fc ELSE CASE WHEN c > a AND c <= b THEN a + 1 ELSE c END END AS x,
+ CASE kind WHEN 'main_prefix' THEN CASE WHEN m <= a THEN m ELSE c END WHEN 'champion_prefix' THEN CASE WHEN c <= a THEN c ELSE m END WHEN 'main_order_band' THEN CASE WHEN c > a AND c <= b THEN coalesce(m, {B.LAST}) ELSE 0 END ELSE 0 END AS y
+ FROM rules, far WHERE CASE kind WHEN 'main' THEN m IS NOT NULL WHEN 'champion' THEN c IS NOT NULL WHEN 'main_order_band' THEN c IS NOT NULL WHEN 'main_prefix' THEN coalesce(m <= a, false) OR c IS NOT NULL WHEN 'champion_prefix' THEN coalesce(c <= a, false) OR m IS NOT NULL ELSE true END),
+every AS (SELECT variant, ident, row_number() OVER (PARTITION BY variant ORDER BY x, y, ident) AS rank FROM keyed QUALIFY rank <= {n}),
+firsts AS (SELECT min(variant) AS variant FROM (SELECT variant, list(ident ORDER BY rank) AS o FROM every GROUP BY variant) GROUP BY o),
+placed AS (SELECT every.* FROM every JOIN firsts USING (variant)),
+labels_ AS (SELECT e AS evaluator, s_suppkey AS ident, (s_suppkey * (7 + 3 * e) % 5)::DOUBLE AS tier, (s_suppkey * (7 + 3 * e) % 5) / 2.0::DOUBLE AS gain FROM supplier, range(3) u(e) WHERE (s_suppkey + e) % 3 <> 0),
+ideal AS (SELECT evaluator, {dcg(10)} AS i10, {dcg(50)} AS i50, any_value(relevant) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY evaluator ORDER BY gain DESC) AS p, count(*) FILTER (tier >= 3) OVER (PARTITION BY evaluator) AS relevant FROM labels_) GROUP BY evaluator),
+judged AS (SELECT variant, i.evaluator, policy, rank, coalesce(gain, 0) AS gain, coalesce(tier >= 3, false)::INT AS hit FROM placed CROSS JOIN ideal i CROSS JOIN (SELECT unnest(['exclude', 'zero']) AS policy) LEFT JOIN labels_ l ON l.evaluator = i.evaluator AND l.ident = placed.ident WHERE policy = 'zero' OR l.ident IS NOT NULL),
+ranked_ AS (SELECT *, row_number() OVER (PARTITION BY variant, evaluator, policy ORDER BY rank) AS p, sum(hit) OVER (PARTITION BY variant, evaluator, policy ORDER BY rank) AS hits FROM judged),
+sums AS (SELECT variant, evaluator, policy, {dcg(10)} AS d10, {dcg(50)} AS d50, sum(hit * hits / p) AS ps, coalesce(sum(hit) FILTER (p <= 10), 0) AS h10, count(*) AS scored FROM ranked_ GROUP BY ALL),
+vals AS (SELECT variant, evaluator, policy, {share("d10", "i10")} AS m1, {share("d50", "i50")} AS m2, {share("ps", "least(relevant, scored)")} AS m3, h10 / 10.0::DOUBLE AS m4 FROM sums JOIN ideal USING (evaluator)),
+long_ AS (SELECT variant, evaluator, policy, t, round(CASE t WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 WHEN 4 THEN m4 ELSE 0.5::DOUBLE * m1 + 0.3::DOUBLE * m2 + 0.15::DOUBLE * m3 + 0.05::DOUBLE * m4 END, 9) AS v FROM vals, range(1, 6) z(t)),
+g AS (SELECT l.variant, count(*) FILTER (l.t < 5 AND l.v - a.v < -1e-12) AS component_losses, count(*) FILTER (l.t = 5 AND l.v - a.v < -1e-12) AS composite_losses, count(*) FILTER (l.t = 5 AND l.v - b.v < -1e-12) AS champion_losses, avg(l.v) FILTER (l.t = 5) AS mc, min(l.v - a.v) AS ld
+ FROM long_ l JOIN long_ a ON a.variant = 0 AND a.evaluator = l.evaluator AND a.policy = l.policy AND a.t = l.t JOIN long_ b ON b.variant = 1 AND b.evaluator = l.evaluator AND b.policy = l.policy AND b.t = l.t GROUP BY l.variant),
+ch AS (SELECT p.variant, count(*) FILTER (p.rank IS DISTINCT FROM q.rank) AS changed FROM placed p LEFT JOIN placed q ON q.variant = 1 AND q.ident = p.ident GROUP BY p.variant)
+SELECT g.variant, kind, round(a, 6) AS a, round(b, 6) AS b, component_losses, composite_losses, champion_losses, changed, round(mc, 6) AS mean_composite, round(ld, 6) + 0.0::DOUBLE AS least_delta, component_losses = 0 AND composite_losses = 0 AS main_safe, component_losses = 0 AND composite_losses = 0 AND champion_losses = 0 AS fully_safe FROM g JOIN ch USING (variant) JOIN rules USING (variant)"""
+
+
 def gate_strengths(spark: SparkSession, d: str) -> DataFrame:
     """A base score blended with the product of two signals at several strengths: worth of the first fifty on all, on one half, on the other; the strength that the first half prefers."""
     s = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("ident"), "s_acctbal", ((F.col("s_suppkey") % 10) * (F.col("s_suppkey") % 7)).cast("double").alias("signal"))
@@ -667,6 +714,7 @@ _NAMES = {
     "g22_reviewers": (reviewers, REVIEWERS_SQL),
     "g25_hard_negatives": (mined, MINED_SQL),
     "g26_safe_fusion": (safe_fusion, SAFE_SQL),
+    "g26_variant_search": (variant_search, _variants_sql()),
     "g27_gate_strengths": (gate_strengths, STRENGTHS_SQL),
     "g28_frontier": (preferred, PREFERRED_SQL),
     "g28_waterfall": (gain_parts, PARTS_SQL),
