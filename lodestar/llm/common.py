@@ -51,6 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return staged(df, name)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of docs: as given, with as many underscores before them as it takes."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
@@ -65,10 +76,11 @@ def parted(df: DataFrame, code: str, codes: DataFrame) -> tuple[DataFrame, DataF
 
     A bitmap of at most SPARED bits is broadcast. It only spares rows a join: where it is full, all rows go the first way.
     """
+    place, held = free(df, "__at", "__bits")
     at = lambda c: F.shiftright(F.expr(f"{c} & {SPARED - 1}"), 6)
-    bits = codes.groupBy(at("code").alias("__at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 AS int))")).alias("__bits"))
-    marked = df.join(F.broadcast(bits), at(code) == F.col("__at"), "left")
-    hit = F.expr(f"coalesce(shiftright(__bits, cast({code} & 63 AS int)) & 1, 0) = 1")
+    bits = codes.groupBy(at("code").alias(place)).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 AS int))")).alias(held))
+    marked = df.join(F.broadcast(bits), at(code) == F.col(place), "left")
+    hit = F.expr(f"coalesce(shiftright({held}, cast({code} & 63 AS int)) & 1, 0) = 1")
     return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
 
 

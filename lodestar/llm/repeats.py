@@ -409,16 +409,17 @@ def _keep(body: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """docs with __body and __spans."""
+    """docs and two columns more, the text's bytes and its spans."""
+    ident, key, held, found = common.free(docs, "__ident", "__hash", "__body", "__spans")
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.withColumns({"__body": body, "__ident": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "__hash": F.xxhash64(body)})
-    bodies = keyed.select(F.col("__ident").alias("ident"), F.col("__hash").alias("hash"), F.col("__body").alias("body"))
-    spans = repeated_spans(bodies, length).groupBy(F.col("ident").alias("__ident"), F.col("hash").alias("__hash")).agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
+    keyed = docs.withColumns({held: body, ident: F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), key: F.xxhash64(body)})
+    bodies = keyed.select(F.col(ident).alias("ident"), F.col(key).alias("hash"), F.col(held).alias("body"))
+    spans = repeated_spans(bodies, length).groupBy(F.col("ident").alias(ident), F.col("hash").alias(key)).agg(F.collect_set(F.struct("first", "last")).alias(found))
     spans = common.materialize(spans, "spans")
-    met, whole = common.parted(keyed, "__hash", spans.select(F.col("__hash").alias("code")))
-    columns = [*keyed.columns, "__spans"]
-    none = F.lit(None).cast(spans.schema["__spans"].dataType)
-    return met.join(spans, ["__ident", "__hash"], "left").select(*columns).union(whole.withColumn("__spans", none).select(*columns))
+    met, whole = common.parted(keyed, key, spans.select(F.col(key).alias("code")))
+    columns = [*docs.columns, held, found]
+    none = F.lit(None).cast(spans.schema[found].dataType)
+    return met.join(spans, [ident, key], "left").select(*columns).union(whole.withColumn(found, none).select(*columns))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -435,7 +436,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             )
 
     rows = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", length)
-    return rows.select("doc_id", "__body", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", *rows.columns[-2:]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -455,7 +456,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = _with_spans(docs, id_col, text_col, length)
-    return rows.select(*docs.columns, "__body", "__spans").mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

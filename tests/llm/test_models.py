@@ -34,6 +34,43 @@ def test_language_odd_rows(table):
     assert langid.predict(docs.limit(0), None).collect() == []
 
 
+def test_languages_that_tie_and_very_long_texts(table):
+    """Two languages with the same texts: the one that sorts first is told, everywhere alike; a text of two million letters is told as its sentence is."""
+    rows = [(k, "the cat and the dog of this", "en" if k % 2 else "zz", None) for k in range(20)] + [(50 + k, "le chat et le chien dans la maison", "fr", None) for k in range(6)]
+    model = langid.train(table(rows), F.lit(True))
+    asked = table([(1, "the cat and the dog of this"), (2, "the cat and the dog of this"), (3, "le chat et le chien dans la maison " * 60_000)])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked.repartition(3), model).collect()}
+    assert got[1] == got[2] and got[1][0] in ("en", "zz") and got[3][0] == "fr"
+
+
+def plain_prediction(model, v):
+    """Family, votes and score again, in plain loops."""
+    dot = lambda w: sum(float(a) * float(b) for a, b in zip(w[:-1], v)) + float(w[-1])
+    sure = lambda m: 1 / (1 + math.exp(-3 * m))
+    score, family = 1.0, 0
+    if model.rest is not None:
+        margins = [dot(w) for w in model.rest]
+        family = margins.index(max(margins))
+        score = sure(margins[family])
+    won, least = {}, {}
+    for a in model.families[family]:
+        duels = [dot(model.pairs[a, b]) if (a, b) in model.pairs else -dot(model.pairs[b, a]) for b in model.families[family] if b != a]
+        won[a], least[a] = sum(d >= 0 if (a, b) in model.pairs else d > 0 for d, b in zip(duels, [b for b in model.families[family] if b != a])), min(duels, default=math.inf)
+    best = max(model.families[family], key=lambda n: (won[n], least[n]))
+    return best, score * (sure(least[best]) if len(won) > 1 else 1.0)
+
+
+def test_predictions_in_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs, F.col("doc_id") % 4 != 2)
+    assert sorted(x for f in model.families for x in f) == sorted({r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"]})
+    for r in docs.limit(80).collect():
+        v = langid.features(r["text"])
+        if v is not None:
+            (lang, score), (want, sure) = model.predict(v), plain_prediction(model, v)
+            assert lang == want and abs(score - sure) < 1e-5
+
+
 def test_svm_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
@@ -55,6 +92,40 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_labels_that_tie_and_very_long_texts(spark, table):
+    """Words that toxic and other documents hold alike say nothing; labels that a document has twice count as the worse; two megabytes are scored."""
+    rows = [(k, "same words in each of them " + ("vile" if k % 2 else "kind") + f" w{k % 7}") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 0), (2, 0)], "doc_id long, toxic int")
+    scorer = toxicity.train(table(rows), labels, F.lit(True))
+    asked = table([(1, "same words in each of them"), (2, "vile " * 400_000), (3, "kind " * 400_000), (4, None), (5, "")])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(asked, scorer).collect()}
+    assert got[1] == got[3] == got[4] == got[5] < 0.5 < got[2] <= 1
+    even = spark.createDataFrame([(k, k // 2 % 2) for k in range(60)], "doc_id long, toxic int")
+    assert not toxicity.train(table([(k, "all alike") for k in range(60)]), even, F.lit(True)).lexicon
+
+
+def plain_score(scorer, total, density):
+    b, x, y = scorer.weights
+    return 1 / (1 + math.exp(-(b + x * math.log(1 + total) + y * math.log(1 + 100 * density))))
+
+
+def test_logistic_score_in_plain_arithmetic():
+    scorer = toxicity.Scorer({"vile": 2.0})
+    scorer.weights = (-2.0, 1.5, 0.25)
+    for total, density in ((0.0, 0.0), (3.0, 0.2), (40.0, 1.0)):
+        assert abs(scorer.score(total, density) - plain_score(scorer, total, density)) < 1e-12
+
+
+def test_fit_is_at_the_optimum():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 2)) * [5, 0.3]
+    y = (rng.random(300) < 1 / (1 + np.exp(3 - 2 * np.log1p(x[:, 0]) - np.log1p(100 * x[:, 1]) / 3))).astype(float)
+    w = np.array(toxicity.fit(x, y))
+    z = np.column_stack((np.ones(300), np.log1p(x[:, 0]), np.log1p(100 * x[:, 1])))
+    slope = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - np.array([1e-6, 0.05, 0.05]) * w
+    assert (np.abs(slope[w > 0]) < 1e-6).all() and abs(slope[0]) < 1e-6
+
+
 def test_lexicon_and_exceptions(spark, table):
     rng = random.Random(1)
     prose = lambda n: " ".join(rng.choice(["one", "two", "three", "four"]) + str(rng.choice("abcdef")) for _ in range(n))
@@ -276,3 +347,24 @@ def test_depleted_documents_go(table):
     assert all(kept[k] for k in range(30)) and not kept[50] and kept[51] and kept[52] and kept[None] and kept[60]
     assert not kept[54] and not kept[55] and not kept[56]
     assert quality.judge(table(rows).limit(0)).collect() == []
+
+
+def test_very_long_texts_and_lines(table):
+    """A text of 300,000 words, two of its lines a megabyte long, measured as by hand."""
+    line = " ".join(f"w{k}" for k in range(150_000))
+    rows = [(1, line + "\n" + "one two\n" * 5 + line), (2, None), (3, "x" * 1_000_000)]
+    got = {r["doc_id"]: r for r in quality.judge(table(rows)).collect()}
+    assert (got[1]["n_words"], got[1]["n_dup_lines"]) == (300_010, 5) and got[1]["n_repeat_words"] == 300_010 and not got[1]["kept"]
+    assert (got[2]["n_words"], got[2]["kept"]) == (0, False) and (got[3]["n_words"], got[3]["word_chars"]) == (1, 1_000_000)
+
+
+def test_a_very_long_text_is_scored_as_its_parts(table):
+    """A text of 300,000 words: rows with the same words have the same score."""
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 50)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, "w1 w2")]
+    docs = table(rows)
+    tree, facts = suffix_tree_lm.train(docs.where("doc_id = 1").select("text"))
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, tree, facts).collect()}
+    assert got[1]["n_tokens"] == got[2]["n_tokens"] == 300_001 and got[1]["score"] == got[2]["score"] and math.isfinite(got[1]["score"])
+    assert got[1]["score"] > got[1]["base_score"] * 1.05 and got[3]["n_tokens"] == 3

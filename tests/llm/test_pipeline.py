@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestar.llm import exact_dedup, quality, repeats, simhash
 
@@ -41,6 +43,23 @@ def test_stages_match_their_operators(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == got.keys()
 
 
+def test_clashing_names_and_very_long_texts(spark, table):
+    long = " ".join(f"w{k}" for k in range(250_000))
+    rows = [(1, long), (2, long + " more"), (3, " ".join(f"v{k}" for k in range(100))), (4, None)]
+    names = ("__id", "__text", "__body", "__ident", "__hash", "__spans", "__at", "__bits", "u", "v", "m")
+    docs = table(rows)
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    last = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        last = stage(spark, last, "")
+        assert last.columns == docs.columns
+    got = {r["doc_id"]: r for r in last.collect()}
+    assert set(got) == {1, 3} and got[1]["text"] == long and got[3]["text"] == rows[2][1]
+    assert all(r[n] == f"{n}{i}" for i, r in got.items() for n in names)
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, last, "").collect()
+    assert {r["doc_id"] for r in pieces} == {1, 3}
+
+
 def test_one_of_rows_that_share_an_id_stays(spark, table):
     base = " ".join(f"w{k * k % 977}" for k in range(300))
     rows = [(3, base), (3, base + " word"), (5, base + " more"), (3, " ".join(f"u{k}" for k in range(100))), (None, " ".join(f"v{k}" for k in range(100)))]
