@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import common, exact_dedup, packing, quality, repeats, simhash
 
-_KEYS = ["__id", "__text"]
 #: Bytes that a repeated passage has at least. Fifty words with a space after each have 200 if they have three letters on
 #: average, so a longer passage that repeats doesn't stay.
 WINDOW = 200
@@ -22,26 +21,31 @@ def _id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
 
 
+def _kept(docs: DataFrame, kept: DataFrame, ident: Column, text: Column, one: bool = False) -> DataFrame:
+    """The rows of docs whose id and text are among kept (id, text); of equal ones the first alone if one is asked for."""
+    keys = common.free(docs, "__id", "__text")
+    met = docs.withColumns(dict(zip(keys, (ident, text)))).join(kept.toDF(*keys), keys, "left_semi")
+    return (met.dropDuplicates(keys) if one else met).select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     # Of equal id and text but unlike hosts, one host's verdict holds for all rows.
-    kept = quality.judge(docs).where("kept").select(_id().alias("__id"), F.col("content").alias("__text"))
-    return docs.withColumns({"__id": _id(), "__text": quality.content_hash(F.col("text"))}).join(kept, _KEYS, "left_semi").select(*docs.columns)
+    return _kept(docs, quality.judge(docs).where("kept").select(_id(), "content"), _id(), quality.content_hash(F.col("text")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the smallest id."""
-    kept = exact_dedup.owners(docs).where("kept").select(_id().alias("__id"), F.unhex("text_sha256").alias("__text"))
+    kept = exact_dedup.owners(docs).where("kept").select(_id(), F.unhex("text_sha256"))
     body = F.regexp_replace(F.coalesce("text", F.lit("")), common.SPACE_CLASS, " ").cast("binary")
-    keyed = docs.withColumns({"__id": _id(), "__text": F.unhex(F.sha2(body, 256))})
-    return keyed.join(kept, _KEYS, "left_semi").dropDuplicates(_KEYS).select(*docs.columns)
+    return _kept(docs, kept, _id(), F.unhex(F.sha2(body, 256)), one=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked fingerprints, of equal ids that with the least hash of its text."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("first")
-    kept = simhash.near_duplicates(docs).groupBy("component").agg(first).select(_id("first.doc_id").alias("__id"), F.col("first.content").alias("__text"))
-    return docs.withColumns({"__id": _id(), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}).join(kept, _KEYS, "left_semi").select(*docs.columns)
+    kept = simhash.near_duplicates(docs).groupBy("component").agg(first).select(_id("first.doc_id"), "first.content")
+    return _kept(docs, kept, _id(), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
