@@ -28,11 +28,32 @@ def pessimistic() -> Column:
     return F.when((g_title >= 0.8) & (g_depth >= 0.8) & (g_production >= 0.8) & (g_core >= 0.8), F.least(product * 1.15, F.lit(1.0))).otherwise(product)
 
 
+def _silver_points() -> dict[str, Column]:
+    """Points of evidence by name, with their thresholds."""
+    c = F.col
+    return {
+        "strong_production": c("production_evidence") >= 0.75,
+        "strong_ir_ranking": c("ir_ranking_experience") >= 0.70,
+        "deep_core_skills": (c("core_skill_match") >= 0.70) & (c("skill_depth_score") >= 0.65),
+        "product_company": c("product_company_ratio") >= 0.45,
+        "senior_experience": (c("yoe_fit_score") >= 0.85) & (c("senior_title_held") >= 0.5),
+        "reachable_logistics": (c("location_score") >= 0.65) & (c("responsiveness_score") >= 0.45),
+    }
+
+
+def silver_reasons() -> Column:
+    """Why a record has its silver tier: what decides alone, else points, then what takes from them; `adjacent_fit` if nothing does."""
+    c = F.col
+    less = [F.when(c("disqualifier_multiplier") < 0.7, "soft_disqualifier").when(c("disqualifier_multiplier") < 1.0, "minor_disqualifier"), F.when(c("behavioral_multiplier") < 0.65, "weak_behavior")]
+    found = F.array_compact(F.array(*[F.when(p, F.lit(name)) for name, p in _silver_points().items()], *less))
+    found = F.when(F.size(found) == 0, F.array(F.lit("adjacent_fit"))).otherwise(found)
+    return F.when(c("honeypot_multiplier") <= 0, F.array(F.lit("hard_honeypot"))).when(c("keyword_stuffer_flag") >= 0.75, F.array(F.lit("keyword_stuffer"))).otherwise(found)
+
+
 def silver_tier() -> Column:
     """Six points of evidence, less for flags and behaviour, at most five."""
     c = F.col
-    points = [c("production_evidence") >= 0.75, c("ir_ranking_experience") >= 0.70, (c("core_skill_match") >= 0.70) & (c("skill_depth_score") >= 0.65), c("product_company_ratio") >= 0.45, (c("yoe_fit_score") >= 0.85) & (c("senior_title_held") >= 0.5), (c("location_score") >= 0.65) & (c("responsiveness_score") >= 0.45)]
-    score = reduce(lambda a, b: a + b, [p.cast("int") for p in points])
+    score = reduce(lambda a, b: a + b, [p.cast("int") for p in _silver_points().values()])
     score = F.greatest(F.lit(0), score - F.when(c("disqualifier_multiplier") < 0.7, 2).when(c("disqualifier_multiplier") < 1.0, 1).otherwise(0))
     score = F.greatest(F.lit(0), score - F.when(c("behavioral_multiplier") < 0.65, 1).otherwise(0))
     return F.when(c("honeypot_multiplier") <= 0, 0).when(c("keyword_stuffer_flag") >= 0.75, 1).otherwise(F.least(F.lit(5), score))

@@ -118,6 +118,26 @@ def bootstrap(rows: DataFrame, ident: str, value: str, resamples: int, seed: str
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def bootstrap_ndcg(rows: DataFrame, ident: str, score: str, gain: str, k: int, resamples: int, seed: str = "") -> DataFrame:
+    """Mean and 2.5 and 97.5 percentiles of the normalised gain at k over resamples of rows ordered by score.
+
+    A row stands in a resample as often as its Poisson weight says, its copies next to each other; what a resample would
+    gain at best is the same sum in the order of gains. Places are counted by ranges, ties go by id; a resample without
+    any gain counts as 0.
+    """
+    each = rows.select(F.col(ident).alias("i"), F.col(score).alias("s"), F.col(gain).cast("double").alias("g")).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    u = T.digest_mod(F.concat_ws("|", F.lit(seed), F.col("i").cast("string"), F.col("resample").cast("string")), 1 << 20) / float(1 << 20)
+    drawn = each.withColumn("w", sum(((u >= p).cast("int") for p in POISSON), F.lit(0))).where("w > 0")
+    worth = F.aggregate(F.sequence(F.col("upto") - F.col("w") + 1, F.least("upto", F.lit(k).cast("long"))), F.lit(0.0), lambda t, p: t + 1 / F.log2(p + 1))
+
+    def total(order: str, name: str) -> DataFrame:
+        placed = ranks.running(drawn, [F.desc(order), F.col("i").asc()], {"upto": F.col("w").cast("long")}, ["resample"])
+        return placed.where(F.col("upto") - F.col("w") < k).groupBy("resample").agg(F.sum((F.pow(F.lit(2.0), F.col("g")) - 1) * worth).alias(name))
+
+    means = total("s", "got").join(total("g", "best"), "resample").select(F.coalesce(F.try_divide("got", F.nullif("best", F.lit(0.0))), F.lit(0.0)).alias("m"))
+    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
 def stack(rows: DataFrame, voters: list[str], target: str) -> dict[str, float]:
     """Least-squares weights of voters: their products are summed in one pass, a small system is solved."""
     columns = ["1", *voters]

@@ -35,6 +35,17 @@ SELECT candidate_id, round(CASE WHEN gt >= 0.8 AND gd >= 0.8 AND gp >= 0.8 AND g
  round(m, 6) + 0.0::DOUBLE AS consensus, round(sqrt(((j1 - m) ^ 2 + (j2 - m) ^ 2 + (j3 - m) ^ 2) / 3), 6) + 0.0::DOUBLE AS disagreement FROM i"""
 
 
+def silver_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers by rule, with their reasons."""
+    return P.scored(spark, d).select("candidate_id", J.silver_tier().cast("long").alias("tier"), F.array_join(J.silver_reasons(), ",").alias("reasons"))
+
+
+_POINTS = {"strong_production": "production_evidence >= 0.75", "strong_ir_ranking": "ir_ranking_experience >= 0.7", "deep_core_skills": "core_skill_match >= 0.7 AND depth >= 0.65", "product_company": "product_company_ratio >= 0.45", "senior_experience": "yoe_fit_score >= 0.85 AND senior_title_held >= 0.5", "reachable_logistics": "location_score >= 0.65 AND responsiveness_score >= 0.45"}
+SILVER_SQL = f"""WITH {P.FEATURES}, s AS (SELECT *, {" + ".join(f"({p})::INT" for p in _POINTS.values())} AS pts, concat_ws(',', {", ".join(f"CASE WHEN {p} THEN '{n}' END" for n, p in _POINTS.items())}, CASE WHEN disqualifier < 0.7 THEN 'soft_disqualifier' WHEN disqualifier < 1 THEN 'minor_disqualifier' END, CASE WHEN behaviour < 0.65 THEN 'weak_behavior' END) AS why FROM f5)
+SELECT candidate_id, CASE WHEN honeypot <= 0 THEN 0 WHEN keyword_stuffer_flag >= 0.75 THEN 1 ELSE least(5, greatest(0, greatest(0, pts - CASE WHEN disqualifier < 0.7 THEN 2 WHEN disqualifier < 1 THEN 1 ELSE 0 END) - CASE WHEN behaviour < 0.65 THEN 1 ELSE 0 END)) END::BIGINT AS tier,
+ CASE WHEN honeypot <= 0 THEN 'hard_honeypot' WHEN keyword_stuffer_flag >= 0.75 THEN 'keyword_stuffer' WHEN why = '' THEN 'adjacent_fit' ELSE why END AS reasons FROM s"""
+
+
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     rows = P.scored(spark, d).withColumn("severity", C.anachronisms())
     status = J.evidence_status()
@@ -147,6 +158,7 @@ def stream_rates(spark: SparkSession, d: str) -> DataFrame:
 STREAM_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS n FROM events GROUP BY ALL"
 
 QUERIES = {
+    "l03_silver_labels": silver_labels,
     "r32_judgments": judgments,
     "r36_evidence": evidence,
     "r38_near_misses": near_misses,
@@ -157,6 +169,7 @@ QUERIES = {
     "s01_stream_rates": stream_rates,
 }
 ORACLE = {
+    "l03_silver_labels": SILVER_SQL,
     "r32_judgments": JUDGMENTS_SQL,
     "r36_evidence": EVIDENCE_SQL,
     "r38_near_misses": NEAR_SQL,

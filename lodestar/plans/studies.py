@@ -211,6 +211,21 @@ WITH u AS (SELECT quality, r, {Q._md5_mod("'|' || doc_id || '|' || r", 1 << 20)}
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
 
 
+def resampled_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    """How well length orders documents by quality, with its interval over thirty resamples."""
+    rows = _read(spark, d, "labels").join(_read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return S.bootstrap_ndcg(rows, "doc_id", "n_chars", "quality", 10, 30).select(*[SIX(F.col(c)).alias(c) for c in ("mean", "low", "high")])
+
+
+_WORTH = lambda place: f"coalesce(sum((2 ^ quality - 1) / log2({place} + 1)) FILTER ({place} <= 10), 0)"
+RESAMPLED_NDCG_SQL = f"""
+WITH u AS (SELECT doc_id, n_chars, quality, r, {Q._md5_mod("'|' || doc_id || '|' || r", 1 << 20)} / {float(1 << 20)}::DOUBLE AS u FROM labels JOIN documents USING (doc_id), range(1, 31) t(r)),
+e AS (SELECT doc_id, n_chars, quality, r, unnest(range({" + ".join(f"(u >= {p})::INT" for p in S.POISSON)})) AS copy FROM u),
+p AS (SELECT r, quality, row_number() OVER (PARTITION BY r ORDER BY n_chars DESC, doc_id, copy) AS a, row_number() OVER (PARTITION BY r ORDER BY quality DESC, doc_id, copy) AS b FROM e),
+m AS (SELECT r, coalesce({_WORTH("a")} / nullif({_WORTH("b")}, 0), 0) AS m FROM p GROUP BY r)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+
+
 QUERIES = {
     "u06_drawn_and_split": drawn,
     "u02_unions_and_bands": unions,
@@ -226,6 +241,7 @@ QUERIES = {
     "w12_greedy_swaps": greedy_swaps,
     "g16_strengths": strengths,
     "a14_bootstrap": resampled,
+    "a14_bootstrap_ndcg": resampled_ndcg,
 }
 ORACLE = {
     "u06_drawn_and_split": DRAWN_SQL,
@@ -241,4 +257,5 @@ ORACLE = {
     "a23_term_mining": MINING_SQL,
     "w12_greedy_swaps": SWAPS_SQL,
     "a14_bootstrap": RESAMPLED_SQL,
+    "a14_bootstrap_ndcg": RESAMPLED_NDCG_SQL,
 }
