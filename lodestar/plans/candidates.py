@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import bm25
 from lodestar.operators import candidates as C
-from lodestar.sources.staging import spread
+from lodestar.sources.staging import spread, staged
 
 TITLES = ["Senior Machine Learning Engineer", "Data Scientist", "Backend Engineer", "Marketing Manager", "Junior ML Engineer", "Search Engineer", "Accountant", "Lead AI Engineer", "Java Developer"]
 COMPANIES = ["Flipkart", "TCS", "Acme Corp", "Infosys", "Tiny Labs", "Swiggy", "Wipro"]
@@ -251,6 +253,37 @@ SELECT variant, count(*) AS n, count(*) FILTER (abs(o.s - b.s) > 1e-9) AS n_chan
 FROM (SELECT 'place' AS variant, * FROM (WITH {_PLACE} {_SCORE}) UNION ALL SELECT 'behaviour', * FROM (WITH {_BEHAVIOUR} {_SCORE})) o JOIN (WITH {FEATURES} {_SCORE}) b USING (candidate_id) GROUP BY variant"""
 
 
+def counterfactual_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Change of score when the name, the place or the behaviour, or place and behaviour together, are neutral: spread by variant."""
+    rows = records(spark, d)
+    rows = rows.withColumn("profile", F.col("profile").withField("anonymized_name", F.concat(F.lit("Person "), "candidate_id")))
+    named = lambda r, **fields: r.withColumn("profile", reduce(lambda p, f: p.withField(f[0], F.lit(f[1])), fields.items(), F.col("profile")))
+    neutral = lambda r: r.withColumn("signals", reduce(lambda s, f: s.withField(f[0], F.lit(f[1])), NEUTRAL.items(), F.col("signals")))
+    variants = {
+        "name_neutralized": named(rows, anonymized_name="Neutral Candidate"),
+        "location_undisclosed": named(rows, location="Undisclosed", country=""),
+        "preferred_location": named(rows, location="Pune, Maharashtra", country="India"),
+        "behavioral_neutral": neutral(rows),
+        "location_and_behavior": neutral(named(rows, location="Undisclosed", country="")),
+    }
+    one = lambda r, c: C.gates(C.features(C.with_text(r))).withColumn("retrieval", F.lit(0.5)).select("candidate_id", C.score("main").alias(c))
+    base = staged(one(rows, "base"), "base")
+    every = [one(r, "other").select("candidate_id", "other", F.lit(v).alias("variant")) for v, r in variants.items()]
+    delta = reduce(DataFrame.unionByName, every).join(base, "candidate_id").withColumn("delta", F.col("other") - F.col("base"))
+    return delta.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.abs("delta") > 1e-9).alias("n_changed"), N.six(F.avg("delta")).alias("mean"), N.six(F.max(F.abs("delta"))).alias("largest"))
+
+
+#: Behaviour that says nothing.
+NEUTRAL = {"recruiter_response_rate": 0.50, "avg_response_time_hours": 48.0, "profile_views_received_30d": 20, "applications_submitted_30d": 2, "saved_by_recruiters_30d": 2, "search_appearance_30d": 80, "interview_completion_rate": 0.70, "offer_acceptance_rate": 0.60}
+_CITY = f"{_at(CITIES, 'c_custkey')} AS city, {_at(COUNTRIES, 'c_custkey')} AS country"
+_QUIET = lambda sql: sql.replace("(k % 11) / 10.0::DOUBLE AS rr, (k * 3 % 200)::DOUBLE AS rt, (k % 9) / 8.0::DOUBLE AS icr, (k % 13 - 1) / 12.0::DOUBLE AS oar", "0.5::DOUBLE AS rr, 48.0::DOUBLE AS rt, 0.7::DOUBLE AS icr, 0.6::DOUBLE AS oar").replace("k % 12 AS saved", "2 AS saved")
+_AWAY = FEATURES.replace(_CITY, "'Undisclosed' AS city, '' AS country")
+_AUDITED = {"name_neutralized": FEATURES, "location_undisclosed": _AWAY, "preferred_location": FEATURES.replace(_CITY, "'Pune, Maharashtra' AS city, 'India' AS country"), "behavioral_neutral": _QUIET(FEATURES), "location_and_behavior": _QUIET(_AWAY)}
+AUDIT_SQL = f"""
+SELECT variant, count(*) AS n, count(*) FILTER (abs(o.s - b.s) > 1e-9) AS n_changed, round(avg(o.s - b.s), 6) + 0.0::DOUBLE AS mean, round(max(abs(o.s - b.s)), 6) AS largest
+FROM ({" UNION ALL ".join(f"SELECT '{v}' AS variant, * FROM (WITH {sql} {_SCORE})" for v, sql in _AUDITED.items())}) o JOIN (WITH {FEATURES} {_SCORE}) b USING (candidate_id) GROUP BY variant"""
+
+
 def importance(spark: SparkSession, d: str) -> DataFrame:
     """Mean contribution of each feature to relevance, and how far leaving it out would lower the mean."""
     rows = scored(spark, d).withColumn("retrieval", F.lit(0.5))
@@ -279,6 +312,7 @@ QUERIES = {
     "r20_ranking": ranking,
     "r42_floor_sweep": floor_sweep,
     "p10_counterfactuals": counterfactuals,
+    "p10_counterfactual_audit": counterfactual_audit,
     "a19_importance": importance,
     "r33_anachronism": anachronism,
 }
@@ -290,5 +324,6 @@ ORACLE = {
     "r42_floor_sweep": FLOOR_SQL,
     "a19_importance": IMPORTANCE_SQL,
     "p10_counterfactuals": COUNTERFACTUAL_SQL,
+    "p10_counterfactual_audit": AUDIT_SQL,
     "r33_anachronism": ANACHRONISM_SQL,
 }
