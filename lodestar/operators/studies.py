@@ -173,8 +173,42 @@ def bradley_terry(pairs: DataFrame, ident: str = "long", rounds: int = 100, ridg
 
 def network(rows: DataFrame, inputs: list[str], w1: list[list[float]], b1: list[float], w2: list[float], b2: float) -> DataFrame:
     """Adds expert: a two-layer network as an expression."""
+    return rows.withColumn("expert", _network(inputs, w1, b1, w2, b2))
+
+
+def _network(inputs: list[str], w1: list[list[float]], b1: list[float], w2: list[float], b2: float) -> Column:
     hidden = [F.greatest(F.lit(0.0), sum((F.col(c) * w1[i][k] for i, c in enumerate(inputs)), F.lit(float(b1[k])))) for k in range(len(b1))]
-    return rows.withColumn("expert", sum((h * w2[k] for k, h in enumerate(hidden)), F.lit(float(b2))))
+    return sum((h * w2[k] for k, h in enumerate(hidden)), F.lit(float(b2)))
+
+
+#: Role families and the phrases that tell of them, and the family of a text that tells of none.
+ROLE_HINTS = {
+    "AI/ML Engineer": ["machine learning", "deep learning", "pytorch", "nlp", "llm", "ai"],
+    "Backend Engineer": ["backend", "django", "fastapi", "microservices", "api"],
+    "DevOps Engineer": ["kubernetes", "docker", "terraform", "ci/cd", "devops", "sre"],
+    "Data/BI Engineer": ["sql", "etl", "snowflake", "redshift", "dbt", "data engineer"],
+    "Search Engineer": ["elasticsearch", "opensearch", "solr", "information retrieval", "ranking"],
+}
+DEFAULT_ROLE = "Backend Engineer"
+
+
+def role_of(text: Column) -> Column:
+    """The role family of which a text has most phrases, of equal ones the first; a null text has the default one."""
+
+    def pick(t: Column) -> Column:
+        counts = F.array(*[sum((t.contains(p).cast("int") for p in phrases), F.lit(0)) for phrases in ROLE_HINTS.values()])
+        most = F.array_max(counts)
+        return F.when(most > 0, F.element_at(T.words(list(ROLE_HINTS)), F.array_position(counts, most).cast("int"))).otherwise(DEFAULT_ROLE)
+
+    return T.let(F.coalesce(F.lower(text), F.lit("")), pick)
+
+
+def routed(rows: DataFrame, role: str, inputs: list[str], experts: dict[str, tuple], otherwise: str) -> DataFrame:
+    """Adds expert: each row's score by the network (w1, b1, w2, b2) of its role, or a feature where its role has none."""
+    value = F.col(otherwise)
+    for name, (w1, b1, w2, b2) in experts.items():
+        value = F.when(F.col(role) == name, _network(inputs, w1, b1, w2, b2)).otherwise(value)
+    return rows.withColumn("expert", value)
 
 
 def role_points(rows: DataFrame, roles: dict[str, dict[str, list[str]]], text: str = "x_full", tokens: str = "x_tokens") -> DataFrame:

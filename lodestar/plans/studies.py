@@ -86,6 +86,28 @@ def expert(spark: SparkSession, d: str) -> DataFrame:
     return out.select("candidate_id", SIX(F.col("expert")).alias("expert"))
 
 
+_EXPERTS = {"AI/ML Engineer": ([[0.5, -1.0], [1.5, 0.25], [-0.5, 2.0]], [0.1, -0.2], [1.0, -0.75], 0.05), "Search Engineer": ([[1.0, 0.5], [-0.25, 1.0], [0.75, -1.5]], [0.0, 0.3], [0.5, 1.25], -0.1)}
+
+
+def routed_experts(spark: SparkSession, d: str) -> DataFrame:
+    """Each record by the network of the role family that its title and jobs tell of."""
+    rows = P.scored(spark, d)
+    text = F.concat_ws(" ", "profile.current_title", F.transform("career_history", lambda j: j["description"]))
+    out = S.routed(rows.withColumn("role", S.role_of(text)), "role", ["core_skill_match", "production_evidence", "yoe_fit_score"], _EXPERTS, "skill_depth_score")
+    return out.select("candidate_id", "role", SIX(F.col("expert")).alias("expert"))
+
+
+def _net_sql(w1, b1, w2, b2) -> str:
+    names = ("core_skill_match", "production_evidence", "yoe_fit_score")
+    hidden = [f"{w2[k]!r}::DOUBLE * greatest(0, {b1[k]!r}::DOUBLE + " + " + ".join(f"{w1[i][k]!r}::DOUBLE * {c}" for i, c in enumerate(names)) + ")" for k in range(len(b1))]
+    return " + ".join([*hidden, f"{b2!r}::DOUBLE"])
+
+
+_TOLD = [(r, " + ".join(f"contains(t, '{p}')::INT" for p in phrases)) for r, phrases in S.ROLE_HINTS.items()]
+ROUTED_SQL = f"""WITH {P.FEATURES}, told AS (SELECT k, lower(any_value(c.title) || ' ' || string_agg(story, ' ' ORDER BY j)) AS t FROM c JOIN jobs USING (k) GROUP BY k),
+n AS (SELECT k, [{", ".join(f"({n})" for _, n in _TOLD)}] AS n FROM told),
+r AS (SELECT k, CASE WHEN list_max(n) > 0 THEN [{", ".join(f"'{r}'" for r, _ in _TOLD)}][list_position(n, list_max(n))] ELSE '{S.DEFAULT_ROLE}' END AS role FROM n)
+SELECT candidate_id, role, round(CASE role {" ".join(f"WHEN '{r}' THEN {_net_sql(*w)}" for r, w in _EXPERTS.items())} ELSE depth END, 6) + 0.0::DOUBLE AS expert FROM f5 JOIN r USING (k)"""
 EXPERT_SQL = f"WITH {P.FEATURES} SELECT candidate_id, round(greatest(0, 0.1::DOUBLE + 0.5 * core_skill_match + 1.5 * production_evidence - 0.5 * yoe_fit_score) - 0.75 * greatest(0, -0.2::DOUBLE - core_skill_match + 0.25 * production_evidence + 2 * yoe_fit_score) + 0.05, 6) + 0.0::DOUBLE AS expert FROM f5"
 
 ROLES = {
@@ -232,6 +254,7 @@ QUERIES = {
     "g12_stacked_weights": stacked,
     "a26_soft_pairs": soft_pairs,
     "r22_expert_network": expert,
+    "r22_routed_experts": routed_experts,
     "r39_roles": roles,
     "p11_record_variants": record_variants,
     "p08_record_summaries": record_summaries,
@@ -244,6 +267,7 @@ QUERIES = {
     "a14_bootstrap_ndcg": resampled_ndcg,
 }
 ORACLE = {
+    "r22_routed_experts": ROUTED_SQL,
     "u06_drawn_and_split": DRAWN_SQL,
     "u02_unions_and_bands": UNION_SQL,
     "g12_stacked_weights": STACK_SQL,
