@@ -395,7 +395,8 @@ MEMBERSHIP_SQL = "WITH l AS (SELECT doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000
 
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Events beyond three of a user within a day."""
-    e = _read(spark, d, "events").withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    # Seconds are rounded to the nearest, halves to even, as the SQL's cast of a double does.
+    e = _read(spark, d, "events").withColumn("s", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-86399, 0)
     return e.withColumn("n", F.count("*").over(w)).where("n > 3").select("event_id", "user_id", "n")
 
