@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable
 from functools import reduce
 
@@ -26,9 +28,22 @@ def let_sql(value: Column, body: str) -> Column:
     return F.element_at(F.call_function("transform", F.array(value), F.expr(f"p -> {body}")), 1)
 
 
+def pattern(terms: Iterable[str]) -> str:
+    """A regular expression that finds any of the terms as they stand: a tree by their characters."""
+    terms = set(terms)
+    if "" in terms:
+        return ""
+    by_first: dict[str, set[str]] = {}
+    for t in terms:
+        by_first.setdefault(t[0], set()).add(t[1:])
+    parts = [re.escape(c) + pattern(rest) for c, rest in sorted(by_first.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def contains_any(terms: Iterable[str], text: Column) -> Column:
-    """Whether the text holds any of the terms as they stand."""
-    return let_sql(text, " OR ".join(["FALSE", *[f"contains(p, {quoted(t)})" for t in terms]]))
+    """Whether the text holds any of the terms as they stand: one search, however many terms there are."""
+    terms = list(terms)
+    return text.rlike(pattern(terms)) if terms else F.lit(False)
 
 
 def words(values: Iterable[str]) -> Column:
@@ -70,13 +85,21 @@ def join_nonempty(parts: Iterable[Column], separator: str = " ") -> Column:
     return F.array_join(F.filter(F.array(*[strip(F.coalesce(p.cast("string"), F.lit(""))) for p in parts]), lambda x: x != ""), separator)
 
 
+#: White space as Unicode has it. In classes, what is below 256 stands in a class of single characters, which is a table,
+#: and comes first; the rest is asked only within its range.
+_NEAR, _FAR = "\t\n\x0b\x0c\r \x85\xa0", "\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = _NEAR + _FAR
+_BEYOND = f"[\u1680-\u3000&&[{_FAR}]]"
+_OTHER = f"[^[abcdefghijklmnopqrstuvwxyz0123456789+#{_NEAR}]{_BEYOND}]"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def norm(text: Column) -> Column:
     """Lower case; what isn't a-z, 0-9, +, # or white space becomes a space; stripped. Inner white space stays."""
-    return strip(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"(?U)[^a-z0-9+#\s]", " "))
+    return strip(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _OTHER, " "))
 
 
 def norm_literal(term: str) -> str:
@@ -108,6 +131,28 @@ def count_terms(terms: Iterable[str], padded_text: Column, token_set: Column | N
     return single + let_sql(padded_text, " + ".join(f"int(contains(p, {quoted(t)}))" for t in phrases)) if phrases else single
 
 
+def hits(terms: Iterable[str], padded_text: Column, token_list: Column) -> Column:
+    """Those of the terms that count_terms finds, each once: one look at the text for all lists of terms that are counted by count_hits."""
+    every = list(dict.fromkeys(padded(terms)))
+    singles = [t.strip() for t in every if " " not in t.strip()]
+    found = [F.array_intersect(words(singles), token_list)] if singles else []
+    # Phrases start anywhere, so each place is looked at anew; of phrases with one start, one is found in a round.
+    left = {t for t in every if " " in t.strip()}
+    while left:
+        longest = {t for t in left if not any(o != t and o.startswith(t) for o in left)}
+        found.append(F.transform(F.array_distinct(F.regexp_extract_all(padded_text, F.lit(f"(?=({pattern(longest)}))"), F.lit(1))), lambda x: F.trim(x)))
+        left -= longest
+    return F.concat(*found) if found else F.array().cast("array<string>")
+
+
+def count_hits(terms: Iterable[str], found: Column) -> Column:
+    """count_terms, from the hits of a list that holds these terms: a phrase that is listed twice counts twice."""
+    times = Counter(padded(terms))
+    rounds = max((n for t, n in times.items() if " " in t.strip()), default=1)
+    listed = [[t.strip() for t, n in times.items() if n > k and (k == 0 or " " in t.strip())] for k in range(rounds)]
+    return total([F.size(F.array_intersect(words(x), found)) for x in listed])
+
+
 def alias_match(aliases: Iterable[str], skill_terms: Column, padded_text: Column, token_set: Column) -> Column:
     """1 if an alias is a listed skill, 0.7 if the text mentions one, else 0."""
     normal = [norm_literal(a) for a in aliases]
@@ -116,12 +161,16 @@ def alias_match(aliases: Iterable[str], skill_terms: Column, padded_text: Column
 
 def loose_tokens(text: Column) -> Column:
     """Distinct tokens parted by white space, commas and full stops."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), "[,.]", " "), r"(?U)\s+"), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), f"[[,.{_NEAR}]{_BEYOND}]+")), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    """Of lists without repeats."""
+
+    def shared(x: Column) -> Column:
+        return let(F.size(F.array_intersect(b, x)), lambda n: F.when(F.size(x) + F.size(b) > 0, n / (F.size(x) + F.size(b) - n)).otherwise(0.0))
+
+    return let(a, shared)
 
 
 def ochiai(a: Column, b: Column) -> Column:

@@ -76,50 +76,84 @@ def _product_job(j: Column) -> Column:
     return has(V.PRODUCT_COMPANIES, company) | (~has(V.SERVICES, company) & (has(V.PRODUCT_INDUSTRIES, industry) | (j["size"].isin(V.PRODUCT_SIZES) & has(V.TECH_INDUSTRIES, industry))))
 
 
-def texts(rows: DataFrame) -> DataFrame:
-    """Normalised texts that features count in."""
+def _absent(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds those of the columns that aren't there."""
+    return rows.withColumns({k: c for k, c in columns.items() if k not in rows.columns})
+
+
+def shared(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
+    """Adds what jobs, skills, studies and titles alone decide, so that variants of a record that differ in place, name or signals find it once."""
+    return counts(texts(complete(rows), whole=False), plan, whole=False)
+
+
+def texts(rows: DataFrame, whole: bool = True) -> DataFrame:
+    """Normalised texts that features count in; that of the whole record only if asked."""
     jobs = F.col("career_history")
     career = F.concat(F.array(F.col("profile.summary")), F.flatten(F.transform(jobs, lambda j: F.array(j["title"], j["description"], j["industry"]))))
     blank = F.transform(career, lambda x: F.coalesce(x, F.lit("")))
     titles = F.array_join(F.transform(jobs, lambda j: T.norm(j["title"])), " ")
     job = lambda j: F.struct(T.pad(T.norm(j["company"])).alias("company"), T.pad(T.norm(j["industry"])).alias("industry"), F.coalesce(j["company_size"], F.lit("")).alias("size"), T.pad(T.norm(F.concat_ws(" ", F.coalesce(j["title"], F.lit("None")), F.coalesce(j["description"], F.lit("None"))))).alias("text"), _months(j).alias("months"))
     skill = lambda s: F.struct(T.norm(s["name"]).alias("name"), T.norm(s["proficiency"]).alias("level"), F.coalesce(s["duration_months"], F.lit(0)).alias("months"), F.coalesce(s["endorsements"], F.lit(0)).alias("endorsements"))
-    rows = rows.withColumns({"x_full": T.pad(T.norm(F.col("doc_text"))), "x_career": T.pad(T.norm(F.array_join(blank, " "))), "x_title": T.norm(F.col("profile.current_title")), "x_headline": T.norm(F.col("profile.headline")), "x_titles": titles, "x_jobs": F.transform("career_history", job), "x_skills": F.transform("skills", skill)})
-    rows = rows.withColumn("x_names", F.col("x_skills.name"))
-    words = F.flatten(F.transform("x_names", lambda n: F.filter(F.split(n, r"\s+"), lambda w: F.length(w) > 2)))
-    return rows.withColumns({"x_tokens": F.array_distinct(F.split(F.expr("substring(x_full, 2, length(x_full) - 2)"), " ")), "x_career_tokens": F.array_distinct(F.split(F.expr("substring(x_career, 2, length(x_career) - 2)"), " ")), "x_terms": F.array_distinct(F.filter(F.concat("x_names", words), lambda w: w != ""))})
+    if whole:
+        rows = rows.withColumn("x_full", T.pad(T.norm(F.col("doc_text"))))
+        rows = rows.withColumn("x_tokens", F.split(F.expr("substring(x_full, 2, length(x_full) - 2)"), " "))
+    rows = _absent(rows, {"x_career": T.pad(T.norm(F.array_join(blank, " "))), "x_title": T.norm(F.col("profile.current_title")), "x_headline": T.norm(F.col("profile.headline")), "x_titles": titles, "x_jobs": F.transform("career_history", job), "x_skills": F.transform("skills", skill)})
+    rows = _absent(rows, {"x_names": F.col("x_skills.name")})
+    words = F.filter(F.split(F.array_join("x_names", " "), r"\s+"), lambda w: F.length(w) > 2)
+    return _absent(rows, {"x_career_tokens": F.split(F.expr("substring(x_career, 2, length(x_career) - 2)"), " "), "x_terms": F.concat("x_names", words)})
 
 
-def counts(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
-    """Evidence counts, and facts of jobs."""
-    full, career, tokens, career_tokens = F.col("x_full"), F.col("x_career"), F.col("x_tokens"), F.col("x_career_tokens")
+def counts(rows: DataFrame, plan: Plan = DEFAULT, whole: bool = True) -> DataFrame:
+    """Evidence counts, and facts of jobs, skills and studies. What a text holds of all lists is found once, then counted by list."""
     normal = [T.norm_literal(a) for g in (*plan.must.values(), *plan.nice.values()) for a in g]
+    in_full = [*V.OPEN_SOURCE_TERMS, *V.VISION_TERMS, *V.WRAPPER_TERMS, *normal]
+    in_career = [*V.RETRIEVAL_TERMS, *V.PRODUCTION_TERMS, *V.SCALE_TERMS, *V.RESEARCH_TERMS, *([] if plan.default else normal)]
+    if whole:
+        rows = rows.withColumn("x_in_full", T.hits(in_full, F.col("x_full"), F.col("x_tokens")))
+    rows = _absent(
+        rows,
+        {
+            "x_in_career": T.hits(in_career, F.col("x_career"), F.col("x_career_tokens")),
+            "x_named": F.array_intersect(T.words(dict.fromkeys(normal)), F.col("x_terms")),
+        },
+    )
+    career, career_tokens, full, held = F.col("x_career"), F.col("x_career_tokens"), F.col("x_in_full"), F.col("x_in_career")
+
+    def alias(aliases: list[str]) -> Column:
+        own = [T.norm_literal(a) for a in aliases]
+        return F.when(F.arrays_overlap(T.words(own), F.col("x_named")), 1.0).when(T.count_hits(own, full) > 0, 0.7).otherwise(0.0)
+
     zero = F.lit(0.0)
     both = T.pad(F.concat_ws(" ", "x_title", F.expr("substring(x_career, 2, length(x_career) - 2)")))
     done = F.array_sort(F.transform(F.filter("career_history", lambda j: ~F.coalesce(j["is_current"], F.lit(False))), _months))
+    study = F.transform("education", lambda e: N.clamp(F.when(e["tier"] == "tier_1", 1.0).when(e["tier"] == "tier_2", 0.8).otherwise(0.5) + F.when(_has(V.STUDY_FIELDS, T.norm(e["field_of_study"])), 0.12).otherwise(0.0) + F.when(_has(V.DEGREES, T.norm(e["degree"])), 0.05).otherwise(0.0)))
     has = T.has_term
     months = lambda f: _sum(F.filter("x_jobs", f), lambda j: j["months"])
     out = {
-        "c_retrieval": T.count_terms(V.RETRIEVAL_TERMS, career, career_tokens),
-        "c_production": T.count_terms(V.PRODUCTION_TERMS, career, career_tokens),
-        "c_scale": T.count_terms(V.SCALE_TERMS, career, career_tokens),
-        "c_code": T.count_terms(V.CODE_TERMS, both, F.array_union(career_tokens, F.split("x_title", " "))),
-        "c_research": T.count_terms(V.RESEARCH_TERMS, career, career_tokens),
-        "c_open_source": T.count_terms(V.OPEN_SOURCE_TERMS, full, tokens),
-        "c_vision": T.count_terms(V.VISION_TERMS, full, tokens),
-        "c_wrapper": T.count_terms(V.WRAPPER_TERMS, full, tokens),
-        "c_relevant": T.count_terms(normal, full, tokens),
-        "c_core": reduce(lambda a, b: a + b, [F.lit(plan.weights[g]) * T.alias_match(al, F.col("x_terms"), full, tokens) for g, al in plan.must.items()]),
-        "c_nice": reduce(lambda a, b: a + b, [T.alias_match(al, F.col("x_terms"), full, tokens) for al in plan.nice.values()], zero) / max(1, len(plan.nice)),
-        "c_role": T.count_terms(normal, career, career_tokens) if not plan.default else F.lit(0),
+        "c_retrieval": T.count_hits(V.RETRIEVAL_TERMS, held),
+        "c_production": T.count_hits(V.PRODUCTION_TERMS, held),
+        "c_scale": T.count_hits(V.SCALE_TERMS, held),
+        "c_code": T.count_terms(V.CODE_TERMS, both, F.concat(career_tokens, F.split("x_title", " "))),
+        "c_research": T.count_hits(V.RESEARCH_TERMS, held),
+        "c_role": T.count_hits(normal, held) if not plan.default else F.lit(0),
         "c_months": _sum(F.col("career_history"), _months),
         "c_product": months(_product_job),
         "c_services": months(lambda j: has(V.SERVICES, j["company"])),
         "c_learning": months(lambda j: has([*V.RETRIEVAL_TERMS, *V.LEARNING_TERMS], j["text"])),
         "c_role_months": months(lambda j: has([*normal, *plan.titles], j["text"])) if not plan.default else zero,
         "c_done": done,
+        "c_depth": _skill_depth(plan),
+        "c_study": F.array_max(study),
     }
-    return rows.withColumns(out)
+    in_whole = {
+        "c_open_source": T.count_hits(V.OPEN_SOURCE_TERMS, full),
+        "c_vision": T.count_hits(V.VISION_TERMS, full),
+        "c_wrapper": T.count_hits(V.WRAPPER_TERMS, full),
+        "c_relevant": T.count_hits(normal, full),
+        "c_core": reduce(lambda a, b: a + b, [F.lit(plan.weights[g]) * alias(al) for g, al in plan.must.items()]),
+        "c_nice": reduce(lambda a, b: a + b, [alias(al) for al in plan.nice.values()], zero) / max(1, len(plan.nice)),
+    }
+    return _absent(rows, out | (in_whole if whole else {}))
 
 
 def _skill_depth(plan: Plan) -> Column:
@@ -148,7 +182,6 @@ def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     trust = F.transform("skills", lambda k: N.clamp(N.saturation(zero(k["endorsements"])) * F.when((zero(k["endorsements"]) > 30) & (zero(k["duration_months"]) < 6), 0.55).otherwise(1.0)))
     tests = F.map_values(F.coalesce(s["skill_assessment_scores"], F.create_map().cast("map<string,double>")))
     github = zero(s["github_activity_score"])
-    study = F.transform("education", lambda e: N.clamp(F.when(e["tier"] == "tier_1", 1.0).when(e["tier"] == "tier_2", 0.8).otherwise(0.5) + F.when(_has(V.STUDY_FIELDS, T.norm(e["field_of_study"])), 0.12).otherwise(0.0) + F.when(_has(V.DEGREES, T.norm(e["degree"])), 0.05).otherwise(0.0)))
     yoe = zero(p["years_of_experience"])
     days = T.days_since(s["last_active_date"])
     flag = lambda f: F.coalesce(s[f], F.lit(False))
@@ -159,7 +192,7 @@ def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
             "core_skill_match": N.clamp(F.col("c_core")),
             "jd_keyword_coverage_score": N.clamp(F.col("c_relevant") / 12.0),
             "nice_skill_match": N.clamp(F.col("c_nice")),
-            "skill_depth_score": _skill_depth(plan),
+            "skill_depth_score": F.col("c_depth"),
             "endorsement_trust": F.when(F.size("skills") > 0, N.clamp(_sum(trust, lambda x: x) / F.size("skills"))).otherwise(0.0),
             "assessment_score_avg": F.when(F.size(tests) > 0, N.clamp(_sum(tests, lambda x: x) / (100 * F.size(tests)))).otherwise(0.0),
             "github_signal": F.when(github < 0, 0.0).otherwise(N.clamp(github / 100.0)),
@@ -170,7 +203,7 @@ def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
             "scale_signal": N.clamp(F.col("c_scale") / 4.0),
             "code_writing_recent": N.clamp(F.col("c_code") / 4.0),
             "yoe_fit_score": F.when(yoe >= plan.years[1], 1.0).otherwise(N.clamp(N.gaussian(yoe, plan.years[1], 2.6))) * F.when(yoe < 3, 0.55).otherwise(1.0),
-            "education_score": N.or_else(F.coalesce(F.array_max(study), F.lit(0.0)), 0.45),
+            "education_score": N.or_else(F.coalesce("c_study", F.lit(0.0)), 0.45),
             "ml_ai_tenure_score": N.clamp(F.greatest("c_learning", "c_role_months") / 60.0),
             "open_source_signal": N.clamp(F.col("c_open_source") / 3.0),
             "availability_score": N.clamp(N.steps(days, [(14, 1.0), (30, 0.9), (60, 0.72), (120, 0.5)], 0.22) * F.when(flag("open_to_work_flag"), 1.0).otherwise(0.68)),
@@ -275,8 +308,8 @@ def _soft_flags() -> Column:
     )
 
 
-def gates(rows: DataFrame, floor: float = 0.25) -> DataFrame:
-    """Adds the behaviour, honeypot and disqualifier multipliers."""
+def behaviour(floor: float = 0.25) -> Column:
+    """The behaviour multiplier."""
     s = F.col("signals")
     saved = F.coalesce(s["saved_by_recruiters_30d"], F.lit(0))
     tests = F.coalesce(s["skill_assessment_scores"], F.create_map().cast("map<string,double>"))
@@ -298,12 +331,16 @@ def gates(rows: DataFrame, floor: float = 0.25) -> DataFrame:
         F.when(F.col("profile_quality") > 0.82, 1.02).otherwise(1.0),
         F.when(F.col("notice_period_score") >= 1, 1.05).when(F.col("notice_period_score") <= 0.2, 0.70).otherwise(1.0),
     ]
-    behaviour = N.clamp(reduce(lambda a, b: a * b, factors), floor, 1.10)
+    return N.clamp(reduce(lambda a, b: a * b, factors), floor, 1.10)
+
+
+def gates(rows: DataFrame, floor: float = 0.25) -> DataFrame:
+    """Adds the behaviour, honeypot and disqualifier multipliers."""
     hard = F.col("hard_flags")
     honeypot = F.when(F.size(hard) == 0, 1.0).when(F.size(F.array_except(hard, T.words(V.SOFT_HONEYPOTS))) == 0, 0.05).otherwise(0.0)
     consulting = F.when(F.array_contains("soft_flags", "consulting_only"), F.when(F.col("production_evidence") > 0.5, 0.80).otherwise(0.35)).otherwise(1.0)
     disqualifier = N.clamp(reduce(lambda a, b: a * b, [F.when(F.array_contains("soft_flags", k), v).otherwise(1.0) for k, v in V.DISQUALIFIERS.items()], consulting), 0.05, 1.0)
-    return rows.withColumns({"behavioral_multiplier": behaviour, "honeypot_multiplier": honeypot, "disqualifier_multiplier": disqualifier})
+    return rows.withColumns({"behavioral_multiplier": behaviour(floor), "honeypot_multiplier": honeypot, "disqualifier_multiplier": disqualifier})
 
 
 def score(profile: str = "main", retrieval: str = "retrieval", semantic: str | None = None) -> Column:

@@ -196,10 +196,14 @@ SCORES_SQL = f"WITH {FEATURES} SELECT candidate_id, {', '.join(f'round({_score_s
 def ranking(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred: retrieval against the default query, scaled to 0..1, then the main profile's score."""
     rows = C.with_text(records(spark, d)).withColumn("tokens", T.tokens(F.col("doc_text")))
+    rows = C.gates(C.features(bm25.matched(rows, bm25_terms())))
+    # Records are rendered and counted once; statistics, scale and order are told from what scores need.
+    gates = ["behavioral_multiplier", "honeypot_multiplier", "disqualifier_multiplier"]
+    rows = staged(rows.select("candidate_id", *bm25.MATCHED, *[k for k in V.WEIGHTS if k != "bm25_score"], *gates), "matched")
     rows = bm25.score(rows, bm25_terms())
     low, high = rows.agg(F.min("bm25"), F.max("bm25")).first()
     rows = rows.withColumn("retrieval", N.minmax(F.col("bm25"), F.lit(low or 0.0), F.lit(high or 0.0)))
-    out = C.gates(C.features(rows)).withColumn("total", C.score("main"))
+    out = rows.withColumn("total", C.score("main"))
     top = bm25.ranked(out.select("candidate_id", "total"), "candidate_id", "total", 100)
     return top.select("candidate_id", F.col("rank").cast("long").alias("rank"), "score")
 
@@ -224,8 +228,10 @@ SELECT candidate_id, row_number() OVER (ORDER BY score DESC, candidate_id) AS ra
 def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Mean score and rows kept above a threshold for floors of the behaviour multiplier."""
     rows = C.features(C.with_text(records(spark, d))).withColumn("retrieval", F.lit(0.5))
-    out = [C.gates(rows, floor).select(F.lit(floor).alias("floor"), C.score("main").alias("s")) for floor in (0.25, 0.55, 0.85)]
-    every = out[0].union(out[1]).union(out[2])
+    # A record's features are found once: floors differ only in the gate, which every record passes with each.
+    floors = (0.25, 0.55, 0.85)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), C.behaviour(f).alias("behavioral_multiplier")) for f in floors]))
+    every = C.gates(rows).withColumn("each", each).withColumns({k: F.col(f"each.{k}") for k in ("floor", "behavioral_multiplier")}).select("floor", C.score("main").alias("s"))
     return every.groupBy("floor").agg(N.six(F.avg("s")).alias("mean"), F.count_if(F.col("s") > 0.2).alias("n_over"))
 
 
@@ -235,14 +241,26 @@ FLOOR_SQL = f"WITH {FEATURES}, fl AS (SELECT unnest([0.25, 0.55, 0.85]::DOUBLE[]
 def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
     """Change of score when the place, or the behaviour, is another: spread by variant."""
     rows = records(spark, d)
+    profile, signals = F.col("profile"), F.col("signals")
     variants = {
-        "place": rows.withColumn("profile", F.col("profile").withField("location", F.lit("Pune")).withField("country", F.lit("India"))),
-        "behaviour": rows.withColumn("signals", F.col("signals").withField("recruiter_response_rate", F.lit(0.5)).withField("open_to_work_flag", F.lit(True))),
+        "place": (profile.withField("location", F.lit("Pune")).withField("country", F.lit("India")), signals),
+        "behaviour": (profile, signals.withField("recruiter_response_rate", F.lit(0.5)).withField("open_to_work_flag", F.lit(True))),
     }
-    one = lambda r, c: C.gates(C.features(C.with_text(r))).withColumn("retrieval", F.lit(0.5)).select("candidate_id", C.score("main").alias(c))
-    base = one(rows, "base")
-    every = [one(r, "other").join(base, "candidate_id").select(F.lit(v).alias("variant"), (F.col("other") - F.col("base")).alias("delta")) for v, r in variants.items()]
-    return every[0].union(every[1]).groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.abs("delta") > 1e-9).alias("n_changed"), N.six(F.max(F.abs("delta"))).alias("largest"))
+    delta = _deltas(rows, variants)
+    return delta.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.abs("delta") > 1e-9).alias("n_changed"), N.six(F.max(F.abs("delta"))).alias("largest"))
+
+
+def _deltas(rows: DataFrame, variants: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(variant, delta): change of a record's score by variant of its profile or signals, each given by a pair of columns.
+
+    What the variants share is found once, before they part; a record's scores meet by its id.
+    """
+    every = {"": (F.col("profile"), F.col("signals"))} | variants
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), p.alias("profile"), s.alias("signals")) for v, (p, s) in every.items()]))
+    apart = C.shared(rows).withColumn("each", each).withColumns({k: F.col(f"each.{k}") for k in ("variant", "profile", "signals")}).drop("each")
+    scores = C.gates(C.features(C.with_text(apart))).withColumn("retrieval", F.lit(0.5)).select("candidate_id", "variant", C.score("main").alias("s"))
+    met = scores.groupBy("candidate_id").agg(F.max(F.when(F.col("variant") == "", F.col("s"))).alias("base"), F.collect_list(F.when(F.col("variant") != "", F.struct("variant", "s"))).alias("others"))
+    return met.select("base", F.inline("others")).select("variant", (F.col("s") - F.col("base")).alias("delta"))
 
 
 _PLACE = FEATURES.replace(f"{_at(CITIES, 'c_custkey')} AS city, {_at(COUNTRIES, 'c_custkey')} AS country", "'Pune' AS city, 'India' AS country").replace("WHEN city IN ('Pune, Maharashtra', 'Greater Noida')", "WHEN city IN ('Pune', 'Pune, Maharashtra', 'Greater Noida')")
@@ -257,19 +275,16 @@ def counterfactual_audit(spark: SparkSession, d: str) -> DataFrame:
     """Change of score when the name, the place or the behaviour, or place and behaviour together, are neutral: spread by variant."""
     rows = records(spark, d)
     rows = rows.withColumn("profile", F.col("profile").withField("anonymized_name", F.concat(F.lit("Person "), "candidate_id")))
-    named = lambda r, **fields: r.withColumn("profile", reduce(lambda p, f: p.withField(f[0], F.lit(f[1])), fields.items(), F.col("profile")))
-    neutral = lambda r: r.withColumn("signals", reduce(lambda s, f: s.withField(f[0], F.lit(f[1])), NEUTRAL.items(), F.col("signals")))
+    named = lambda **fields: reduce(lambda p, f: p.withField(f[0], F.lit(f[1])), fields.items(), F.col("profile"))
+    neutral, own = reduce(lambda s, f: s.withField(f[0], F.lit(f[1])), NEUTRAL.items(), F.col("signals")), F.col("signals")
     variants = {
-        "name_neutralized": named(rows, anonymized_name="Neutral Candidate"),
-        "location_undisclosed": named(rows, location="Undisclosed", country=""),
-        "preferred_location": named(rows, location="Pune, Maharashtra", country="India"),
-        "behavioral_neutral": neutral(rows),
-        "location_and_behavior": neutral(named(rows, location="Undisclosed", country="")),
+        "name_neutralized": (named(anonymized_name="Neutral Candidate"), own),
+        "location_undisclosed": (named(location="Undisclosed", country=""), own),
+        "preferred_location": (named(location="Pune, Maharashtra", country="India"), own),
+        "behavioral_neutral": (F.col("profile"), neutral),
+        "location_and_behavior": (named(location="Undisclosed", country=""), neutral),
     }
-    one = lambda r, c: C.gates(C.features(C.with_text(r))).withColumn("retrieval", F.lit(0.5)).select("candidate_id", C.score("main").alias(c))
-    base = staged(one(rows, "base"), "base")
-    every = [one(r, "other").select("candidate_id", "other", F.lit(v).alias("variant")) for v, r in variants.items()]
-    delta = reduce(DataFrame.unionByName, every).join(base, "candidate_id").withColumn("delta", F.col("other") - F.col("base"))
+    delta = _deltas(rows, variants)
     return delta.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.abs("delta") > 1e-9).alias("n_changed"), N.six(F.avg("delta")).alias("mean"), N.six(F.max(F.abs("delta"))).alias("largest"))
 
 

@@ -389,3 +389,25 @@ def test_staged_tables_can_be_forgotten(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_hits_count_as_terms_do(spark):
+    # Phrases that share a start, overlap at a space, repeat in a list, and white space of all kinds at the ends.
+    terms = ["vector search", "vector search engine", "search engine", "engine", "vector", "a/b test", "open source", "open-source", "c++"]
+    rows = spark.createDataFrame([("a vector search engine with c++",), ("engine vector search",), ("open source a b test",), ("  Vector　search.engine\x85\n",), ("",)], "t string").withColumn("p", T.pad(T.norm(F.col("t"))))
+    tokens = F.split(F.expr("substring(p, 2, length(p) - 2)"), " ")
+    got = rows.select("p", T.count_terms(terms, F.col("p"), tokens).alias("whole"), T.count_hits(terms, T.hits(terms, F.col("p"), tokens)).alias("by_hits"), T.has_term(terms, F.col("p")).alias("any")).collect()
+    assert [r["whole"] for r in got] == [r["by_hits"] for r in got] == [6, 3, 3, got[3]["whole"], 0]
+    assert [r["any"] for r in got] == [True, True, True, got[3]["any"], False]
+    assert got[3]["p"] == " vector　search engine "
+
+
+def test_variants_share_what_jobs_and_skills_decide(spark):
+    from lodestar.plans import candidates as P
+
+    rows = P.records(spark, "/root/testdata/sf0.001").limit(40)
+    names = ["candidate_id", *[f for f in V.FEATURES]]
+    plain, parted = (C.features(C.with_text(x)).select(*names).collect() for x in (rows, C.shared(rows)))
+    assert sorted(plain) == sorted(parted)
+    plan = C.features(C.with_text(C.shared(rows)))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(" AS x_jobs#") == 1  # found once, not again by the features
