@@ -411,3 +411,11 @@ def test_variants_share_what_jobs_and_skills_decide(spark):
     assert sorted(plain) == sorted(parted)
     plan = C.features(C.with_text(C.shared(rows)))._jdf.queryExecution().analyzed().toString()
     assert plan.count(" AS x_jobs#") == 1  # found once, not again by the features
+
+
+def test_mc4_by_many_tasks_walks_as_one(spark):
+    rng = np.random.default_rng(11)
+    names = ["a", "b", "c", "d"]
+    v = votes(spark, {n: rng.permutation(203).tolist() for n in names})
+    one, many = ({r["ident"]: r["score"] for r in G.mc4(v, names, 6, alone=a).collect()} for a in (1000, 10))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-12 for i in one)
