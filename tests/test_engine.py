@@ -419,3 +419,13 @@ def test_mc4_by_many_tasks_walks_as_one(spark):
     v = votes(spark, {n: rng.permutation(203).tolist() for n in names})
     one, many = ({r["ident"]: r["score"] for r in G.mc4(v, names, 6, alone=a).collect()} for a in (1000, 10))
     assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-12 for i in one)
+
+
+def test_nearest_by_rows_of_a_block(spark, monkeypatch):
+    """Blocks of several sizes, compared by few rows at a time, tell the same neighbours."""
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(90)], "ident long, vector array<double>")
+    assert G.nearest.__defaults__[1] >= 8192  # vectors are shuffled twice for each block
+    whole = sorted(map(tuple, G.nearest(items, 3).collect()))
+    monkeypatch.setattr(G, "ROWS", 7)
+    assert sorted(map(tuple, G.nearest(items, 3, 40).collect())) == whole and len(whole) == 270
