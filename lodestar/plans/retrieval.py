@@ -67,7 +67,7 @@ def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
     """The first ten documents for each benchmark text as a query."""
     docs = _read(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), V.STOPWORDS, ()).alias("tokens"))
     queries = _read(spark, d, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"), V.STOPWORDS, ())).alias("term")).groupBy("item_id", "term").agg(F.count("*").cast("double").alias("weight"))
-    out = bm25.ranked(bm25.multi_query(docs, queries, "doc_id", "item_id"), "doc_id", "bm25", 10, "item_id")
+    out = bm25.multi_top(docs, queries, "doc_id", "item_id", 10)
     return out.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
