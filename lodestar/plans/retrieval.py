@@ -9,7 +9,7 @@ from lodestar.functions import numeric as N
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import bm25
-from lodestar.sources.staging import spread
+from lodestar.sources.staging import spread, staged
 
 QUERY = "the ranking of search and retrieval with vector search over documents that hold licensed under the version idiot worthless with from this that"
 LOOKUP = ["are", "and", "released", "license", "version", "erth", "ndnt", "thnt", "under", "erand"]
@@ -87,12 +87,14 @@ def _fields(drop=None):
         docs = _read(spark, d, "documents")
         texts = {"body": (F.col("text"), 1.0), "origin": (F.concat_ws(" ", "source", "lang"), 2.0), "lead": (F.substring_index("text", "\n", 1), 3.0)}
         terms = ["the", "version", "en", "src3", "license"]
-        whole = bm25.fields(docs, "doc_id", texts, terms)
+        rows = staged(bm25.field_hits(docs, texts, terms).select("doc_id", *[f"__{f}" for f in texts]), "fields")
+        known = bm25.field_statistics(rows, texts, terms)
+        whole = bm25.fields(rows, "doc_id", texts, terms, statistics=known)
         if drop is None:
             return whole.select("doc_id", N.six(F.col("bm25f")).alias("score"))
         out = whole.withColumnRenamed("bm25f", "whole")
         for f in texts:
-            out = bm25.fields(out, "doc_id", texts, terms, drop=f).withColumnRenamed("bm25f", f"without_{f}")
+            out = bm25.fields(out, "doc_id", texts, terms, drop=f, statistics=known).withColumnRenamed("bm25f", f"without_{f}")
         drops = F.array(*[F.when(F.col("whole") > 0, (F.col("whole") - F.col(f"without_{f}")) / F.col("whole")).otherwise(0.0) for f in texts])
         mean = F.aggregate(drops, F.lit(0.0), lambda a, x: a + x) / 3
         return out.select("doc_id", N.six(F.array_max(drops)).alias("dependence"), N.six(F.aggregate(drops, F.lit(0.0), lambda a, x: a + F.pow(x - mean, 2)) / 3).alias("variance"))

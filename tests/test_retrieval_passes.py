@@ -14,6 +14,11 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_fields_are_read_once(spark):
+    for name in ("r05_bm25f_fields", "r06_field_dependence"):
+        assert "regexp_extract_all" not in plan(registry.QUERIES[name](spark, SF))
+
+
 def test_first_rows_of_many_queries(spark, monkeypatch):
     """With ties over many copies, small chunks, an id of text, and a query that nothing meets."""
     rng = random.Random(4)
