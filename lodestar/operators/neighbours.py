@@ -24,6 +24,8 @@ from lodestar.sources.staging import ship, staged
 
 #: Rows that centres are fitted on, rows of a cell, cells at most, rows whose neighbours are looked up to find how many cells to ask.
 SAMPLE, CELL, CELLS, ASKED = 20_000, 50, 4096, 256
+#: Rows compared with all centres at once, bytes of a batch that tasks give on, and products held at once.
+ROWS, GIVEN, PRODUCTS = 512, 8 << 20, 1 << 20
 #: Rows of a block, rows of a group that asks it, and what a group keeps beyond k for rounding.
 BLOCK, GROUP, SPARE = 32_768, 8192, 8
 
@@ -68,6 +70,13 @@ def blocks(middle: np.ndarray, sizes: np.ndarray, most: int) -> list[list[int]]:
     return out
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, none empty: what a task makes of one is bounded, however many cells and blocks there are."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, np.float32).reshape(len(column), -1)
@@ -87,8 +96,8 @@ def _best(row: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
 
 def _assigned(middle: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = unit(b.column(1)) if b.num_rows else np.empty((0, 0))
+        for b in _few(batches, ROWS):
+            v = unit(b.column(1))
             there = v.any(1)
             if there.any():
                 v = v[there]
@@ -144,9 +153,8 @@ def _reached(v: np.ndarray, middle: np.ndarray, probes: int, where: list[list[in
 def _counted(middle: np.ndarray, probes: int, where: list[list[int]], made: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(made, np.int64)
-        for b in batches:
-            if b.num_rows:
-                n += _reached(_vectors(b.column(2)), middle, probes, where, made)[1].sum(0)
+        for b in _few(batches, ROWS):
+            n += _reached(_vectors(b.column(2)), middle, probes, where, made)[1].sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(made), pa.int32()), pa.array(n)], names=["block", "n"])
 
     return run
@@ -156,16 +164,17 @@ def _asking(middle: np.ndarray, probes: int, where: list[list[int]], made: int,
     """A row for each block that a row reaches, with the cells it asks there as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _few(batches, ROWS):
             asks, reach = _reached(_vectors(b.column(2)), middle, probes, where, made)
             bits = np.packbits(asks, axis=1)
-            row, block = np.nonzero(reach)
-            part = b.column(3).to_numpy()[row] % parts[block]
-            take = pa.array(row)
-            cols = [pa.array(block, pa.int32()), pa.array(part, pa.int32()), b.column(0).take(take), b.column(2).take(take), pa.array([bits[i].tobytes() for i in row], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "part", "ident", "v", "asks"])
+            every, bits = np.nonzero(reach), pa.array([x.tobytes() for x in bits], pa.binary())
+            step = max(1, GIVEN * len(asks) // (b.nbytes + bits.nbytes + 1))
+            for start in range(0, len(every[0]), step):
+                row, block = (x[start : start + step] for x in every)
+                part = b.column(3).to_numpy()[row] % parts[block]
+                take = pa.array(row)
+                cols = [pa.array(block, pa.int32()), pa.array(part, pa.int32()), b.column(0).take(take), b.column(2).take(take), bits.take(take)]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "part", "ident", "v", "asks"])
 
     return run
 
@@ -175,16 +184,17 @@ def _held(where: list[list[int]], parts: np.ndarray):
     many, first = np.array([len(x) for x in where]), np.array([x[0] for x in where])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _few(batches, ROWS):
             cell = b.column(1).to_numpy()
             block = first[cell] + b.column(3).to_numpy() % many[cell]
-            row = np.repeat(np.arange(len(cell)), parts[block])
-            part = np.concatenate([np.arange(p) for p in parts[block]])
-            take = pa.array(row)
-            cols = [pa.array(block[row], pa.int32()), pa.array(part, pa.int32()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "part", "ident", "cell", "v"])
+            rows = np.repeat(np.arange(len(cell)), parts[block])
+            every = np.arange(len(rows)) - np.repeat(np.cumsum(parts[block]) - parts[block], parts[block])
+            step = max(1, GIVEN * len(cell) // (b.nbytes + 1))
+            for start in range(0, len(rows), step):
+                row, part = rows[start : start + step], every[start : start + step]
+                take = pa.array(row)
+                cols = [pa.array(block[row], pa.int32()), pa.array(part, pa.int32()), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "part", "ident", "cell", "v"])
 
     return run
 
@@ -219,13 +229,15 @@ def _met(k: int, cells: int, kind: pa.DataType):
             who = np.flatnonzero(asks[:, cell[start]])
             if not len(who):
                 continue
-            score = q[who] @ m[start:stop].T
-            i, j = np.nonzero(score > least[who][:, None])  # of equal ones the first, which have the smaller ids
-            rows.append((who[i], start + j, score[i, j]))
-            seen += len(i)
-            if seen > 1 << 20:
-                rows = fewer()
-                seen = len(rows[0][0])
+            step = max(1, PRODUCTS // len(who))
+            for low in range(start, stop, step):  # a cell grows with the table, what is held at once doesn't
+                score = q[who] @ m[low : min(low + step, stop)].T
+                i, j = np.nonzero(score > least[who][:, None])  # of equal ones the first, which have the smaller ids
+                rows.append((who[i], low + j, score[i, j]))
+                seen += len(i)
+                if seen > PRODUCTS + len(q) * (k + SPARE):
+                    rows = fewer()
+                    seen = len(rows[0][0])
         if not rows:
             return pa.table([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names=names)
         row, other, _ = fewer()[0]

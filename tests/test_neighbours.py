@@ -83,3 +83,20 @@ def test_few_rows(spark):
 def test_a_large_cell_is_in_many_blocks():
     where = neighbours.blocks(np.eye(4, dtype=np.float32), np.array([1000, 3, 4, 5]), 100)
     assert len(where[0]) == 10 and not set(where[0]) & {x for w in where[1:] for x in w}
+
+
+def test_what_a_task_gives_on_is_bounded():
+    """With a block for each cell and many groups, in batches of bounded size, and all of it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 32)).astype(np.float32)
+    middle, where = v[:64], [[c] for c in range(64)]
+    cell = (v @ middle.T).argmax(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(cell, pa.int32()), neighbours._binary(v), pa.array(range(3000))], names=["ident", "cell", "v", "salt"])
+    parts = np.full(64, 90)
+    for made, n in ((neighbours._asking(middle, 64, where, 64, parts), 3000 * 64), (neighbours._held(where, parts), 3000 * 90)):
+        out = list(made(iter([batch])))
+        assert sum(b.num_rows for b in out) == n
+        assert max(b.nbytes for b in out) < 2 * neighbours.GIVEN
+        assert len({tuple(x) for b in out for x in zip(*(b.column(i).to_pylist() for i in range(3)))}) == n
