@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from lodestar.sources.staging import ship, spread, staged
 
 #: Numbers from a pass that are held for open nodes: with more, a level is grown by parts of its trees.
 HELD = 1 << 21
-#: Rows that a task looks at together.
-CHUNK = 20_000
+#: Rows that a task looks at together: what a node costs besides its rows is paid for each of its chunks.
+CHUNK = 1 << 17
 _UNIT = float(1 << 30)
 
 
@@ -64,11 +65,13 @@ class Trees:
     def place(self, h: int, t: int, x: np.ndarray) -> np.ndarray:
         """The node that each row of x has come to."""
         feature, threshold = np.array(self.feature[h][t]), np.array(self.threshold[h][t])
-        left, right = np.array(self.left[h][t]), np.array(self.right[h][t])
-        node = np.zeros(len(x), np.int64)
-        while (inner := feature[node] >= 0).any():
-            at = node[inner]
-            node[inner] = np.where(x[inner, feature[at]] <= threshold[at], left[at], right[at])
+        below = np.column_stack((self.right[h][t], self.left[h][t]))
+        leaf = feature < 0
+        below[leaf] = np.flatnonzero(leaf)[:, None]  # a row stays in its leaf
+        feature, below, values = np.where(leaf, 0, feature), below.ravel(), np.ascontiguousarray(x).ravel()
+        node, first = np.zeros(len(x), np.int64), np.arange(len(x)) * x.shape[1]
+        while not leaf.take(node).all():
+            node = below.take(2 * node + (values.take(first + feature.take(node)) <= threshold.take(node)))
         return node
 
 
@@ -94,9 +97,10 @@ def _by_node(grown: Trees, x: np.ndarray, y: np.ndarray, h: int, t: int) -> Iter
     """The rows that take part in a head, by the node that they have come to in a tree."""
     there = np.flatnonzero(~np.isnan(y[:, h]))
     at = grown.place(h, t, x[there])
-    order = np.argsort(at, kind="stable")
-    nodes, starts = np.unique(at[order], return_index=True)
-    yield from zip(nodes.tolist(), np.split(there[order], starts[1:]))
+    order = np.argsort(at.astype(np.uint16) if len(grown.feature[h][t]) <= 1 << 16 else at, kind="stable")  # few nodes are sorted by radix
+    ordered = at[order]
+    starts = np.flatnonzero(np.concatenate((ordered[:1] >= 0, ordered[1:] != ordered[:-1])))
+    yield from zip(ordered[starts].tolist(), np.split(there[order], starts[1:]))
 
 
 def _told(rows: dict[tuple, list], kinds: tuple[pa.DataType, pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -110,13 +114,14 @@ def _stretches(grown: Trees, inputs: int, todo: dict[tuple[int, int], dict[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, list[float]] = {}
         for x, y in _chunks(batches, inputs, grown.heads):
+            columns = np.ascontiguousarray(x.T)
             for (h, t), nodes in todo.items():
                 for node, own in _by_node(grown, x, y, h, t):
-                    if features := nodes.get(node):
-                        values = x[np.ix_(own, features)]
-                        for f, low, high in zip(features, values.min(0).tolist(), values.max(0).tolist()):
-                            held = found.setdefault((h, t, node, f), [low, high])
-                            held[:] = min(held[0], low), max(held[1], high)
+                    for f in nodes.get(node, ()):
+                        values = columns[f].take(own)
+                        low, high = float(values.min()), float(values.max())
+                        held = found.setdefault((h, t, node, f), [low, high])
+                        held[:] = min(held[0], low), max(held[1], high)
         yield _told(found, (pa.float64(), pa.float64()), ["low", "high"])
 
     return run
@@ -128,17 +133,17 @@ def _sides(grown: Trees, inputs: int, cuts: dict[tuple[int, int], dict[int, dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list[int]] = {}
         for x, y in _chunks(batches, inputs, grown.heads):
+            columns = np.ascontiguousarray(x.T)
             for (h, t), nodes in cuts.items():
                 for node, own in _by_node(grown, x, y, h, t):
                     if (by := nodes.get(node)) is None:
                         continue
-                    left = x[np.ix_(own, list(by))] <= np.array(list(by.values()))
-                    left = np.column_stack((np.ones(len(own), bool), left))
                     units = np.rint(y[own, h] * _UNIT).astype(np.int64)
-                    for f, n, total in zip([-1, *by], left.sum(0).tolist(), np.where(left, units[:, None], 0).sum(0).tolist()):
+                    for f in (-1, *by):
+                        left = columns[f].take(own) <= by[f] if f >= 0 else np.ones(len(own), bool)
                         held = sums.setdefault((h, t, node, f), [0, 0])
-                        held[0] += n
-                        held[1] += total
+                        held[0] += int(np.count_nonzero(left))
+                        held[1] += int(units @ left)
         yield _told(sums, (pa.int64(), pa.int64()), ["n", "total"])
 
     return run
@@ -209,19 +214,23 @@ def _level(table: DataFrame, grown: Trees, nodes: dict[tuple[int, int], list[int
 
 def predicted(rows: DataFrame, inputs: list[str], grown: Trees, names: list[str]) -> DataFrame:
     """rows with each head's mean over its trees."""
-    vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs])
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs]
 
-    def mean_of(h: int):
-        @F.pandas_udf("double")
-        def predict(values):
-            import pandas as pd
-
-            x = np.array(values.tolist(), float).reshape(len(values), -1)
-            total = np.zeros(len(x))
+    @F.pandas_udf("array<double>")
+    def predict(*values: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy(float) for v in values])
+        means = np.zeros((len(x), grown.heads))
+        for h in range(grown.heads):
             for t in range(grown.trees):
-                total += np.array(grown.value[h][t])[grown.place(h, t, x)]
-            return pd.Series(total / grown.trees)
+                means[:, h] += np.array(grown.value[h][t])[grown.place(h, t, x)]
+        return pd.Series(list(means / grown.trees))
+
+    told = free(rows, "__told")
+    return rows.withColumn(told, predict(*columns)).withColumns({name: F.col(told)[h] for h, name in enumerate(names)}).drop(told)
 
-        return predict
 
-    return rows.withColumns({name: mean_of(h)(vector) for h, name in enumerate(names)})
+def free(rows: DataFrame, name: str) -> str:
+    """A name for a column beside those of rows."""
+    while name in rows.columns:
+        name = f"_{name}"
+    return name
