@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,10 +75,21 @@ def tokens(text: Column, stopwords: Iterable[str] = V.STOPWORDS, phrases: Iterab
     return let(F.lower(F.coalesce(text, F.lit(""))), split)
 
 
+def looked_up(kind: str, type_: pa.DataType, look):
+    """A function of a column of texts: tasks call look with each text of a batch, null for null."""
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else look(x) for x in texts.to_pylist()], type_)
+
+    return run
+
+
 def concepts(text: Column) -> Column:
     """Names of the concepts of which an alias is in the text."""
-    named = ", ".join(f"CASE WHEN {' OR '.join(f'contains(p, {quoted(a)})' for a in aliases)} THEN {quoted(f'concept_{name}')} END" for name, aliases in V.CONCEPTS.items())
-    return let_sql(F.lower(text), f"array_compact(array({named}))")
+    named = [(f"concept_{name}", aliases) for name, aliases in V.CONCEPTS.items()]
+    look = looked_up("array<string>", pa.list_(pa.string()), lambda low: [name for name, aliases in named if any(a in low for a in aliases)])
+    return look(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def join_nonempty(parts: Iterable[Column], separator: str = " ") -> Column:
@@ -131,18 +143,22 @@ def count_terms(terms: Iterable[str], padded_text: Column, token_set: Column | N
     return single + let_sql(padded_text, " + ".join(f"int(contains(p, {quoted(t)}))" for t in phrases)) if phrases else single
 
 
-def hits(terms: Iterable[str], padded_text: Column, token_list: Column) -> Column:
-    """Those of the terms that count_terms finds, each once: one look at the text for all lists of terms that are counted by count_hits."""
+def hits(terms: Iterable[str], padded_text: Column, token_list: Column | None = None) -> Column:
+    """Those of the terms that count_terms finds, each once: one look at the text for all lists of terms that are counted by count_hits.
+
+    Tokens are the text's own, parted by plain spaces; a list of them is not needed. A task looks for phrases as strings
+    and for words in the set of tokens, which costs a small part of what expressions cost.
+    """
     every = list(dict.fromkeys(padded(terms)))
-    singles = [t.strip() for t in every if " " not in t.strip()]
-    found = [F.array_intersect(words(singles), token_list)] if singles else []
-    # Phrases start anywhere, so each place is looked at anew; of phrases with one start, one is found in a round.
-    left = {t for t in every if " " in t.strip()}
-    while left:
-        longest = {t for t in left if not any(o != t and o.startswith(t) for o in left)}
-        found.append(F.transform(F.array_distinct(F.regexp_extract_all(padded_text, F.lit(f"(?=({pattern(longest)}))"), F.lit(1))), lambda x: F.trim(x)))
-        left -= longest
-    return F.concat(*found) if found else F.array().cast("array<string>")
+    singles = frozenset(t.strip() for t in every if " " not in t.strip())
+    phrases = [(t, t.strip()) for t in every if " " in t.strip()]
+    look = looked_up("array<string>", pa.list_(pa.string()), lambda p: [*singles.intersection(p[1:-1].split(" ")), *(t for x, t in phrases if x in p)])
+    return look(padded_text)
+
+
+def any_hit(terms: Iterable[str], found: Column) -> Column:
+    """Whether count_hits is above 0."""
+    return F.arrays_overlap(words(dict.fromkeys(t.strip() for t in padded(terms))), found)
 
 
 def count_hits(terms: Iterable[str], found: Column) -> Column:
@@ -173,6 +189,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(a, shared)
 
 
+def word_jaccard(normal: Column, values: Iterable[str]) -> Column:
+    """jaccard of the loose tokens of a normalised text and of words without repeats."""
+    wanted = frozenset(values)
+
+    def look(text: str) -> float:
+        own = set(text.split())  # white space is as SPACES has it; norm leaves no commas, full stops and other separators
+        n = len(own & wanted)
+        return n / (len(own) + len(wanted) - n) if own or wanted else 0.0
+
+    return looked_up("double", pa.float64(), look)(normal)
+
+
 def ochiai(a: Column, b: Column) -> Column:
     """Shared elements over the root of the product of sizes."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a).cast("double") * F.size(b))).otherwise(0.0)

@@ -108,23 +108,24 @@ def counts(rows: DataFrame, plan: Plan = DEFAULT, whole: bool = True) -> DataFra
     normal = [T.norm_literal(a) for g in (*plan.must.values(), *plan.nice.values()) for a in g]
     in_full = [*V.OPEN_SOURCE_TERMS, *V.VISION_TERMS, *V.WRAPPER_TERMS, *normal]
     in_career = [*V.RETRIEVAL_TERMS, *V.PRODUCTION_TERMS, *V.SCALE_TERMS, *V.RESEARCH_TERMS, *([] if plan.default else normal)]
+    both = T.pad(F.concat_ws(" ", "x_title", F.expr("substring(x_career, 2, length(x_career) - 2)")))
     if whole:
-        rows = rows.withColumn("x_in_full", T.hits(in_full, F.col("x_full"), F.col("x_tokens")))
+        rows = rows.withColumns({"x_in_full": T.hits(in_full, F.col("x_full")), "x_like": T.word_jaccard(F.col("x_full"), template_tokens(plan.query))})
     rows = _absent(
         rows,
         {
-            "x_in_career": T.hits(in_career, F.col("x_career"), F.col("x_career_tokens")),
+            "x_in_career": T.hits(in_career, F.col("x_career")),
+            "x_in_both": T.hits(V.CODE_TERMS, both),
             "x_named": F.array_intersect(T.words(dict.fromkeys(normal)), F.col("x_terms")),
         },
     )
-    career, career_tokens, full, held = F.col("x_career"), F.col("x_career_tokens"), F.col("x_in_full"), F.col("x_in_career")
+    full, held = F.col("x_in_full"), F.col("x_in_career")
 
     def alias(aliases: list[str]) -> Column:
         own = [T.norm_literal(a) for a in aliases]
-        return F.when(F.arrays_overlap(T.words(own), F.col("x_named")), 1.0).when(T.count_hits(own, full) > 0, 0.7).otherwise(0.0)
+        return F.when(F.arrays_overlap(T.words(own), F.col("x_named")), 1.0).when(T.any_hit(own, full), 0.7).otherwise(0.0)
 
     zero = F.lit(0.0)
-    both = T.pad(F.concat_ws(" ", "x_title", F.expr("substring(x_career, 2, length(x_career) - 2)")))
     done = F.array_sort(F.transform(F.filter("career_history", lambda j: ~F.coalesce(j["is_current"], F.lit(False))), _months))
     study = F.transform("education", lambda e: N.clamp(F.when(e["tier"] == "tier_1", 1.0).when(e["tier"] == "tier_2", 0.8).otherwise(0.5) + F.when(_has(V.STUDY_FIELDS, T.norm(e["field_of_study"])), 0.12).otherwise(0.0) + F.when(_has(V.DEGREES, T.norm(e["degree"])), 0.05).otherwise(0.0)))
     has = T.has_term
@@ -133,7 +134,7 @@ def counts(rows: DataFrame, plan: Plan = DEFAULT, whole: bool = True) -> DataFra
         "c_retrieval": T.count_hits(V.RETRIEVAL_TERMS, held),
         "c_production": T.count_hits(V.PRODUCTION_TERMS, held),
         "c_scale": T.count_hits(V.SCALE_TERMS, held),
-        "c_code": T.count_terms(V.CODE_TERMS, both, F.concat(career_tokens, F.split("x_title", " "))),
+        "c_code": T.count_hits(V.CODE_TERMS, F.col("x_in_both")),
         "c_research": T.count_hits(V.RESEARCH_TERMS, held),
         "c_role": T.count_hits(normal, held) if not plan.default else F.lit(0),
         "c_months": _sum(F.col("career_history"), _months),
@@ -216,7 +217,7 @@ def features(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
             "relocation_willing": one(flag("willing_to_relocate")),
             "backend_depth_score": F.lit(0.0),
             "data_bi_depth_score": F.lit(0.0),
-            "hyre_similarity": T.jaccard(T.loose_tokens(F.col("x_full")), T.words(template_tokens(plan.query))),
+            "hyre_similarity": F.col("x_like"),
             "x_yoe": yoe,
         }
     )
