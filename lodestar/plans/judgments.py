@@ -59,7 +59,9 @@ SELECT candidate_id, status, CASE status WHEN 'CLEAR' THEN 'CONTINUE' WHEN 'AMBI
 
 def near_misses(spark: SparkSession, d: str) -> DataFrame:
     """Records with exactly one hard flag that almost holds, the twenty closest."""
-    rows = P.scored(spark, d).where("honeypot_multiplier > 0").withColumn("m", J.near_misses()).where(F.size("m") == 1)
+    # Staged: conditions pushed below the features would have each record's features found anew for each of them.
+    rows = P.scored(spark, d).select("candidate_id", F.when(F.col("honeypot_multiplier") > 0, J.near_misses()).alias("m"))
+    rows = staged(rows, "misses").where(F.size("m") == 1)
     out = rows.select("candidate_id", F.col("m")[0]["flag"].alias("flag"), SIX(F.col("m")[0]["closeness"]).alias("closeness"))
     return out.orderBy(F.desc("closeness"), "candidate_id").limit(20)
 

@@ -6,6 +6,7 @@ from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import candidates as C
 from lodestar.plans import candidates as P
+from lodestar.plans import judgments as Q
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +29,7 @@ def test_looks_equal_expressions(spark):
     assert [r["c"] for r in got] == [[f"concept_{n}" for n, al in V.CONCEPTS.items() if any(a in (t or "").lower() for a in al)] for t in odd]
     assert [sorted(r["h"]) for r in got] == [["c++"], [], [], [], ["open source"], [], []]
     assert [r["any"] for r in got] == [False] * 4 + [True] + [False] * 2
+
+
+def test_conditions_do_not_repeat_features(spark):
+    assert "ArrowEvalPython" not in plan_of(Q.near_misses(spark, SF))  # staged before its conditions
