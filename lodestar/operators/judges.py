@@ -139,10 +139,14 @@ def rank_stability(rows: DataFrame, top: int, profile: str = "universal-v2", ide
     # The features alone are staged: without it each variant would expand them anew.
     needed = [k for k in weights if k != "bm25_score"] + ["retrieval", "behavioral_multiplier", "honeypot_multiplier", "disqualifier_multiplier"]
     rows = staged(rows.select(ident, *needed), "features")
-    wide = rows.select(ident, F.array(*[F.struct(F.lit(d or "").alias("drop"), F.round(kept(d), 9).alias("s")) for d in drops]).alias("v"))
-    long = wide.select(ident, F.explode("v").alias("x")).select(ident, "x.drop", "x.s")
-    first = long.where("drop = ''").orderBy(F.desc("s"), ident).limit(top).select(ident)
-    targets = long.join(F.broadcast(first), ident, "left_semi").select(F.col(ident).alias("t_id"), F.col("drop").alias("t_drop"), F.col("s").alias("t_s"))
-    ahead = long.join(F.broadcast(targets), (F.col("drop") == F.col("t_drop")) & ((F.col("s") > F.col("t_s")) | ((F.col("s") == F.col("t_s")) & (F.col(ident) < F.col("t_id")))), "inner").groupBy("t_id", "t_drop").agg(F.count("*").alias("n"))
+    shown = lambda d: F.struct(F.lit(d or "").alias("drop"), F.round(kept(d), 9).alias("s"))
+    long = lambda rows, each: rows.select(ident, F.explode(F.array_compact(F.array(*each))).alias("x")).select(ident, "x.drop", "x.s")
+    first = rows.select(ident, F.round(kept(None), 9).alias("s")).orderBy(F.desc("s"), ident).limit(top).select(ident)
+    targets = long(rows.join(F.broadcast(first), ident, "left_semi"), map(shown, drops)).select(F.col(ident).alias("t_id"), F.col("drop").alias("t_drop"), F.col("s").alias("t_s"))
+    targets = staged(targets, "targets")
+    # A variant of a row counts only if it isn't behind all targets: few are, and only these are rounded and compared.
+    floors = {r["t_drop"]: r["s"] for r in targets.groupBy("t_drop").agg(F.min("t_s").alias("s")).collect() if r["s"] is not None}
+    near = long(rows, [F.when(kept(d) >= floors[d or ""] - 1e-6, shown(d)) for d in drops if (d or "") in floors]) if floors else long(rows, map(shown, drops))
+    ahead = near.join(F.broadcast(targets), (F.col("drop") == F.col("t_drop")) & ((F.col("s") > F.col("t_s")) | ((F.col("s") == F.col("t_s")) & (F.col(ident) < F.col("t_id")))), "inner").groupBy("t_id", "t_drop").agg(F.count("*").alias("n"))
     ranks = targets.join(ahead, ["t_id", "t_drop"], "left").select("t_id", "t_drop", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
     return ranks.groupBy(F.col("t_id").alias(ident)).agg(F.max(F.when(F.col("t_drop") == "", F.col("rank"))).alias("rank"), F.min("rank").alias("least"), F.max("rank").alias("most"))
