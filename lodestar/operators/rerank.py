@@ -53,6 +53,17 @@ def cleanup(top: DataFrame, tail: DataFrame, ident: str = "candidate_id") -> Dat
     return kept.unionByName(new.select(*kept.columns))
 
 
+def clean_tail(rows: DataFrame, ident: str = "candidate_id") -> DataFrame:
+    """Of the rows behind the first LOCK by score, the first clean ones, with a rank: all that cleanup takes of them.
+
+    At most LOCK clean rows stand before them, so a report's size of rows is ordered, never all in one task.
+    """
+    best = [F.desc("score"), ident]
+    locked = rows.orderBy(*best).limit(LOCK).select(ident)
+    clean = rows.where(F.col("severity") <= SEVERITY).orderBy(*best).limit(LOCK + CLEANUP).join(F.broadcast(locked), ident, "left_anti")
+    return clean.withColumn("rank", F.row_number().over(Window.orderBy(*best)) + LOCK)
+
+
 def rescore(order: DataFrame, scores: DataFrame) -> DataFrame:
     """Keeps the order; the first place gets the largest of scores, and so on."""
     ranked = scores.select(F.col("score").alias("new_score"), F.row_number().over(Window.orderBy(F.desc("score"))).alias("rank"))

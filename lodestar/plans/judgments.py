@@ -107,10 +107,7 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
     rows = staged(_headed(spark, d), "headed")
     top = rerank.hedge(rows, [F.col("production_evidence"), F.col("ir_ranking_experience")])
     scores = top.select("score")
-    own = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "candidate_id")))  # the fixture's pool
-    tail = own.where(F.col("rank") > rerank.LOCK)
-    columns = top.columns
-    cleaned = rerank.cleanup(rerank.top_band(top), tail.select(*columns))
+    cleaned = rerank.cleanup(rerank.top_band(top), rerank.clean_tail(rows).select(*top.columns))  # the tail is of the fixture's pool
     out = rerank.final_bands(rerank.rescore(cleaned, scores))
     return rerank.rescore(out, scores).select("candidate_id", F.col("rank").cast("long").alias("rank"), SIX(F.col("score")).alias("score"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import candidates as C
+from lodestar.operators import rerank
 from lodestar.plans import candidates as P
 from lodestar.plans import judgments as Q
 
@@ -33,3 +34,12 @@ def test_looks_equal_expressions(spark):
 
 def test_conditions_do_not_repeat_features(spark):
     assert "ArrowEvalPython" not in plan_of(Q.near_misses(spark, SF))  # staged before its conditions
+
+
+def test_the_tail_is_cut_before_it_is_ordered(spark):
+    rows = spark.range(400).select(F.format_string("%03d", "id").alias("candidate_id"), (400 - F.col("id")).cast("double").alias("score"), F.when(F.col("id").isin(100, 102, 5), 2.0).otherwise(0.5).alias("severity"))
+    tail = rerank.clean_tail(rows)
+    got = tail.orderBy("rank").limit(2).collect()
+    assert [r["candidate_id"] for r in got] == ["101", "103"] and tail.count() <= rerank.LOCK + rerank.CLEANUP
+    everything = rows.orderBy(F.desc("score"), "candidate_id").limit(rerank.LOCK)
+    assert not tail.join(everything, "candidate_id").count()
