@@ -49,7 +49,7 @@ FLUSH = 300_000
 #: Uses that a context has at least, that a next word after it has to be told apart, and tokens of a context at most.
 LEAST, SEEN, DEPTH = 10, 1, 3
 #: Bits of a bitmap (a power of two), characters of a group of rows and of a chunk, tokens counted and codes answered in a bucket.
-BITS, GROUP, CHUNK, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 20, 1 << 22, 1 << 20
+BITS, GROUP, CHUNK, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 20, 1 << 20, 1 << 20
 #: Bytes of a next word's hash that tell it from the others after its context.
 WIDTH = 5
 _LOW = np.uint64((1 << 8 * WIDTH) - 1)
@@ -409,7 +409,7 @@ class Level:
 
 def _hot(words: DataFrame, n: int) -> np.ndarray:
     """Sorted codes of words met so often that contexts which end in one are dealt by next word: at most a million, whatever the size of the corpus."""
-    least = max(BUCKET >> 4, n >> 20)
+    least = max(BUCKET >> 2, n >> 20)
     return np.sort(words.where(F.col("v") >= least).select("code").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
