@@ -11,13 +11,15 @@ evenly among as many unknown words as the counts of words seen once and twice le
 Counts cover all training rows. States and next-symbol counts are a table by 64-bit code, partitioned like any other.
 Tasks send the counts of contexts as packed arrays, dealt into buckets by the context's last word, so that a bucket has
 a context's counts and what its suffix predicts, and settles it. Contexts whose last word is so frequent that one bucket
-would hold too much (`_hot`) are dealt by next word as well; their sums meet in joins. To score, rows are dealt in
-compressed chunks into groups of about GROUP characters; a group asks once for each code it needs, questions and table
-meet in buckets of codes, a bucket's part of the table is held while its questions stream by, and the answers, a bit
-for each question and the values found, meet the group's rows. Questions name a code by 48 of its bits within a bucket
-of some ANSWERS codes, and values travel in single precision, in which counts of words below HEAVY of all are exact up to
-16 million. What a worker holds besides is bounded: tokens with at least HEAVY of all tokens, and bitmaps of BITS that
-only spare questions: they let some through in vain but hide no state.
+would hold too much (`_hot`) are dealt by next word as well; their sums meet in joins. A settled bucket leaves packed
+arrays too: chances for the level above, and what scoring needs, dealt into buckets of codes. To score, rows are taken in
+ROUNDS, so that questions and answers of one are gone before the next. Rows are dealt in compressed chunks into groups of
+about GROUP characters; a group asks once for each code it needs, questions and table meet in buckets of codes, a
+bucket's part of the table is held while its questions stream by, and the answers, a bit for each question and the
+values found, meet the group's rows. Questions name a code by 48 of its bits within a bucket of some ANSWERS codes, and
+values travel in single precision, in which counts of words below HEAVY of all are exact up to 16 million. What a worker
+holds besides is bounded: tokens with at least HEAVY of all tokens, and a bitmap of BITS contexts that only spares
+questions: it lets some through in vain but hides no state.
 
 Defined results: a null text counts as empty and is its end alone. With no training rows, no token is known, the end
 and any word have probability 1/2. Null ids fall in the same remainder as the empty id. Rows
@@ -52,6 +54,8 @@ LEAST, SEEN, DEPTH = 10, 1, 3
 BITS, GROUP, CHUNK, BUCKET, ANSWERS = 1 << 27, 16 << 20, 1 << 20, 1 << 20, 1 << 20
 #: Bytes of a next word's hash that tell it from the others after its context.
 WIDTH = 5
+#: Rounds in which rows are scored, codes of a packed row, and parts that a bitmap is made in.
+ROUNDS, SLICE, PARTS = 3, 1 << 16, 64
 _LOW = np.uint64((1 << 8 * WIDTH) - 1)
 _u = np.uint64
 
@@ -91,7 +95,7 @@ def _followed_by(context: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).cast(pa.float64())], names=["code", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), batch.column(1)], names=["word", "code", "c"])
 
 
 def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,20 +105,82 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), ordered[1:] != ordered[:-1])))
 
 
+def _set(codes: np.ndarray) -> np.ndarray:
+    """Distinct codes in order; np.unique hashes them, which takes many times as long for millions."""
+    ordered = np.sort(codes)
+    return ordered[np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))]
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The first bytes of each item, compressed byte by byte."""
+    whole = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T).tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _items(packed: bytes, width: int, kind: str) -> np.ndarray:
+    size = int.from_bytes(packed[:4], "little")
+    out = np.zeros((size, np.dtype(kind).itemsize), np.uint8)
+    if size:
+        out[:, :width] = np.frombuffer(pa.decompress(packed[4:], size * width, codec="zstd"), np.uint8).reshape(width, size).T
+    return out.reshape(-1).view(kind)
+
+
+def _packed(codes: np.ndarray, width: int = 6) -> bytes:
+    """The first bytes of ascending codes, as steps."""
+    return _planes(np.diff(codes >> _u(64 - 8 * width), prepend=_u(0)).astype("<u8"), width)
+
+
+def _codes(packed: bytes, width: int = 6) -> np.ndarray:
+    """The codes again, what was cut off zero."""
+    return np.cumsum(_items(packed, width, "<u8"), dtype=np.uint64) << _u(64 - 8 * width)
+
+
+def _packed_values(values: np.ndarray) -> bytes:
+    return _planes(values.astype("<f4"), 4)
+
+
+def _values(packed: bytes) -> np.ndarray:
+    return _items(packed, 4, "<f4")
+
+
 def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
     """A stable order by bucket; few buckets are sorted by radix."""
     return np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")
 
 
+def _places(codes: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Of a bitmap of codes: its parts that have one, and the places there, packed."""
+    at = _set(codes & _u(BITS - 1))
+    part = at // _u(BITS // PARTS)
+    cut = _slices(part)
+    return [int(part[i]) for i, _ in cut], [_packed(at[i:j], 8) for i, j in cut]
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        part, codes = _places(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(codes, pa.binary())], names=["part", "codes"])
+
+
+def _part(rows: pa.Table) -> pa.Table:
+    """A part of a bitmap."""
+    held = np.zeros(BITS // PARTS, bool)
+    for codes in rows.column("codes").to_pylist():
+        held[(_codes(codes, 8) % _u(BITS // PARTS)).astype(np.int64)] = True
+    bits = np.packbits(held, bitorder="little").tobytes()
+    return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+
 class Bits:
     """A bitmap of codes."""
 
-    def __init__(self, codes: DataFrame) -> None:
-        """Codes in a column named code."""
-        low = F.col("code").bitwiseAND(BITS - 1)
-        t = codes.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 AS int))")).alias("bits")).toArrow()
-        self.words = np.zeros(BITS >> 6, np.uint64)
-        self.words[t.column("at").to_numpy()] = t.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    def __init__(self, places: DataFrame) -> None:
+        """Places in columns named part and codes; tasks put the parts together."""
+        t = places.groupBy("part").applyInArrow(_part, "part long, bits binary").toArrow()
+        self.words = np.zeros((PARTS, BITS // PARTS // 8), np.uint8)
+        for part, bits in zip(t.column("part").to_pylist(), t.column("bits").to_pylist()):
+            self.words[part] = np.frombuffer(bits, np.uint8)
+        self.words = self.words.reshape(-1).view("<u8")
         self.any, self.mask = t.num_rows > 0, _u(BITS - 1)
 
     def has(self, codes: np.ndarray) -> np.ndarray:
@@ -164,7 +230,8 @@ class Tree:
         self.base = np.log10(self.counts + 0.1)
         self.root = (self.counts - self.discount) / n if n else np.full(len(words), 0.5)
         self.end = self.hashes[self.ids[END]]
-        self.depth, self.states, self.nexts = 0, None, None  # of the contexts in the table: levels and bitmaps
+        self.depth, self.states = 0, None  # of the contexts in the table: levels and a bitmap
+        self.buckets = n // ANSWERS + 1  # of the table
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts' tokens, one after the other: places among the heavy words (-1: not heavy), hashes, place in the text; and where texts start."""
@@ -189,31 +256,28 @@ class Tree:
             yield c, _followed_by(c, h)
 
     def lookups(self, h: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By depth: places whose context the bitmaps let through, the codes of context and of it with its next (0: surely unseen)."""
+        """By depth: places whose context the bitmap lets through, the codes of context and of it with its next."""
         for j, (c, t) in enumerate(self.grams(h, self.depth)):
             at = np.flatnonzero(self.states.has(c) & (pos >= j))
-            t = t[at]
-            yield at, c[at], np.where(self.nexts.has(t), t, _u(0))
+            yield at, c[at], t[at]
 
-    def asks(self, texts: list[str | None]) -> np.ndarray:
+    def asks(self, ids: np.ndarray, h: np.ndarray, pos: np.ndarray) -> np.ndarray:
         """Codes that scoring needs from the table."""
-        ids, h, pos, _ = self.read(texts)
         found = [h[ids < 0]]
         for _, c, t in self.lookups(h, pos):
-            found += [c, t[t != 0]]
-        return np.unique(np.concatenate(found))
+            found += [c, t]
+        return _set(np.concatenate(found))
 
-    def chances(self, texts: list[str | None], known: Codes) -> tuple[np.ndarray, ...]:
-        """Of each token its probability, count and log10 of count + 0.1; and where texts start."""
-        ids, h, pos, starts = self.read(texts)
+    def chances(self, ids: np.ndarray, h: np.ndarray, pos: np.ndarray, known: Codes) -> tuple[np.ndarray, ...]:
+        """Of each token its probability, count and log10 of count + 0.1."""
         rare = np.flatnonzero(ids < 0)
         c = known.get(h[rare], 0.0)
         p, base, count = self.root[ids], self.base[ids], self.counts[ids]
         p[rare] = np.where(c > 0, np.maximum(c - self.discount, 1e-300) / max(1, self.n), self.unknown)
         base[rare], count[rare] = np.log10(c + 0.1), c
         for at, context, t in self.lookups(h, pos):
-            p[at] = p[at] * known.get(context, 1.0) + np.where(t != 0, known.get(t, 0.0), 0.0)
-        return p, count, base, starts
+            p[at] = p[at] * known.get(context, 1.0) + known.get(t, 0.0)
+        return p, count, base
 
 
 _PACKED = pa.schema([("bucket", pa.int64()), ("c", pa.binary()), ("s", pa.binary()), ("k", pa.binary()), ("x", pa.binary()), ("n", pa.binary())])
@@ -246,7 +310,7 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
                 first = np.flatnonzero(np.concatenate(([True], c[i + 1 : j] != c[i : j - 1])))
                 k = np.diff(np.append(first, j - i)).astype("<u4") | often[i:j][first].astype("<u4") << np.uint32(31)
                 words = np.ascontiguousarray(h[i:j].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-                out.append((int(bucket[i]), c[i:j][first].tobytes(), s[i:j][first].tobytes(), k.tobytes(), words.tobytes(), n[i:j].astype("<u4").tobytes()))
+                out.append((int(bucket[i]), _packed(c[i:j][first], 8), s[i:j][first].tobytes(), _planes(k, 4), words.tobytes(), _planes(n[i:j].astype("<u4"), 4)))
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out[i : i + 64]), _PACKED)], schema=_PACKED)
 
@@ -272,11 +336,13 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
     return run
 
 
-_COUNTED = "kind int, bucket long, c long, t long, s long, n long, kinds long, low long, v float, p float"
-_FIELDS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("bucket", "c", "t", "s", "n", "kinds", "low")), ("v", pa.float32()), ("p", pa.float32())])
+_COUNTED = "kind int, bucket long, c long, t long, s long, n long, kinds long, low long, v float, codes binary, x binary"
+_FIELDS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("bucket", "c", "t", "s", "n", "kinds", "low")), ("v", pa.float32()), ("codes", pa.binary()), ("x", pa.binary())])
 #: Kinds of rows: parts of hot contexts (n uses, kinds of next words, low uses by rare ones), their next words (v: the
-#: root's chance), next words of settled contexts (v: what a retained one adds, p: the chance), and what these keep (v).
-PART, HOT_NEXT, NEXT, KEEP = range(4)
+#: root's chance), packed next words of settled contexts (codes, x: chances), packed facts by bucket of the table (codes,
+#: x: what a retained context keeps, and what it adds to a next word), places in bitmaps (bucket: the part) of
+#: retained contexts, of next words met LEAST times.
+PART, HOT_NEXT, NEXT, FACT, KEPT, OFTEN = range(6)
 
 
 def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
@@ -284,6 +350,8 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
         x = columns.get(field.name)
         if x is None:
             return pa.nulls(size, field.type)
+        if isinstance(x, list):
+            return pa.array(x, field.type)
         x = x.view(np.int64) if x.dtype == np.uint64 else x
         return pa.array(x.astype(np.float32), field.type, mask=np.isnan(x)) if x.dtype == np.float64 else pa.array(x, field.type)
 
@@ -291,11 +359,26 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([one(f) for f in _FIELDS], schema=_FIELDS)
 
 
+def _bits_rows(kind: int, codes: np.ndarray) -> pa.RecordBatch:
+    part, packed = _places(codes)
+    return _rows(kind, len(part), bucket=np.array(part, np.int64), codes=packed)
+
+
 def _rest(kinds: np.ndarray, low: np.ndarray, total: np.ndarray) -> np.ndarray:
     """What the uses by rare next words gain, each left out in turn."""
     return np.where(low > 0, low * np.log(np.maximum(kinds + low - 2, 1e-300) / np.maximum(total + kinds - 2, 1)), 0.0)
 
 
+def _dealt(codes: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """Facts by their bucket of the table, packed."""
+    order = np.argsort(codes)
+    codes, values = codes[order], values[order]
+    bucket = _mix(codes, _u(3)) % _u(buckets)
+    order = _by_bucket(bucket, buckets)
+    bucket, codes, values = bucket[order], codes[order], values[order]
+    return [(int(bucket[i]), _packed(codes[i:j]), _packed_values(values[i:j])) for i, j in _slices(bucket)]
+
+
 def _counted(tree_of, level: int):
     """A bucket's counts, with the chances that it settled one level below."""
 
@@ -304,15 +387,16 @@ def _counted(tree_of, level: int):
         if not rows.num_rows:
             return pa.Table.from_batches([], _FIELDS)
         take = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
-        k = take("k", "<u4")
+        unpacked = lambda name, read: np.concatenate(list(map(read, rows.column(name).to_pylist())))
+        k, n = (unpacked(name, lambda x: _items(x, 4, "<u4")) for name in ("k", "n"))
         often, k = k >> np.uint32(31) == 1, (k & np.uint32((1 << 31) - 1)).astype(np.int64)
         x = np.zeros((int(k.sum()), 8), np.uint8)
         x[:, :WIDTH] = take("x", np.uint8).reshape(-1, WIDTH)
         x = x.reshape(-1).view("<u8")
-        c = np.repeat(take("c", np.uint64), k)
+        c = np.repeat(unpacked("c", lambda x: _codes(x, 8)), k)
         t = _followed_by(c, x)
         order, first = _distinct(t)
-        n = np.add.reduceat(take("n", "<u4").astype(np.int64)[order], first)
+        n = np.add.reduceat(n.astype(np.int64)[order], first)
         at = order[first]
         order = np.argsort(c[at])
         n, at = n[order], at[order]
@@ -337,8 +421,8 @@ def _counted(tree_of, level: int):
         told, of, q, s = told[cold], of[cold], q[cold], s[cold]
         if len(told):
             if level > 1:
-                known = Codes(below.column("t").to_numpy().astype(np.int64).view(np.uint64), below.column("p").to_numpy())
-                q = known.get(s, np.nan)
+                parts = [(_codes(c, 8), _values(v)) for c, v in zip(below.column("codes").to_pylist(), below.column("x").to_pylist())]
+                q = Codes(*map(np.concatenate, zip(*parts))).get(s, np.nan) if parts else np.full(len(s), np.nan)
             first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
             mine = of[first]  # contexts that something is told of
             whole, keep = (total + kinds)[mine], ((kinds + low) / (total + kinds))[mine]
@@ -347,34 +431,43 @@ def _counted(tree_of, level: int):
             gained = np.add.reduceat(n[told] * np.log(np.maximum(without, 1e-300) / q), first) + _rest(kinds, low, total)[mine]
             kept = gained > GAIN * total[mine]
             gain = np.where(kept[at], n[told] / whole[at], np.nan)
-            p = np.where(kept[at], gain + keep[at] * q, q)
-            bucket = np.full(len(told), rows.column("bucket")[0].as_py(), np.int64)
-            out += [_rows(NEXT, len(told), bucket=bucket, t=t[told], n=n[told], v=gain, p=p), _rows(KEEP, int(kept.sum()), c=c[starts][mine][kept], v=keep[kept])]
+            t, often = t[told], n[told] >= LEAST
+            if level < DEPTH:
+                p = np.where(kept[at], gain + keep[at] * q, q)
+                order = np.argsort(t)
+                parts = [order[i : i + SLICE] for i in range(0, len(order), SLICE)]
+                bucket = np.full(len(parts), rows.column("bucket")[0].as_py(), np.int64)
+                out += [_rows(NEXT, len(parts), bucket=bucket, codes=[_packed(t[x], 8) for x in parts], x=[_packed_values(p[x]) for x in parts]), _bits_rows(OFTEN, t[often])]
+            if kept.any():
+                c, w = c[starts][mine][kept], kept[at]
+                bucket, codes, values = zip(*_dealt(np.concatenate((c, t[w])), np.concatenate((keep[kept], gain[w])), tree.buckets))
+                out += [_bits_rows(KEPT, c), _rows(FACT, len(bucket), bucket=np.array(bucket, np.int64), codes=list(codes), x=list(values))]
         return pa.Table.from_batches(out, _FIELDS)
 
     return run
 
 
 class Level:
-    """Contexts of a level and their next words: keeps (code, v), nexts (code, n, v; v null if the context isn't retained), and chances for the level above, settled (bucket, t, p) and hot (t, p)."""
+    """Contexts of a level and their next words: packed facts for scoring (bucket, codes, x), places in bitmaps (part, codes) of retained contexts and of next words met LEAST times, and chances for the level above, settled (bucket, codes, x) and hot (t, p)."""
 
     def __init__(self, texts: DataFrame, tree: Tree, bits: Bits, hot: np.ndarray, level: int, below: Level | None) -> None:
         spark = texts.sparkSession
         shared = [spark.sparkContext.broadcast(x) for x in (tree, bits, hot)]
         packed = texts.mapInArrow(_followed(*shared, level, tree.n // BUCKET + 1), "bucket long, c binary, s binary, k binary, x binary, n binary")
-        under = below.settled if below else spark.createDataFrame([], "bucket long, t long, p float")
+        under = below.settled if below else spark.range(0).selectExpr("id AS bucket", "cast(NULL AS binary) AS codes", "cast(NULL AS binary) AS x")
         counted = packed.groupBy("bucket").cogroup(under.groupBy("bucket")).applyInArrow(_counted(shared[0], level), _COUNTED)
         counted = common.materialize(counted, f"counted{level}")
         for x in shared:
             x.destroy()  # of copies on disks too: the level is written
-        self.settled = counted.where(F.col("kind") == NEXT).select("bucket", "t", "p")
-        self.nexts = counted.where(F.col("kind") == NEXT).select(F.col("t").alias("code"), "n", "v")
-        self.keeps = counted.where(F.col("kind") == KEEP).select(F.col("c").alias("code"), "v")
+        self.settled = counted.where(F.col("kind") == NEXT).select("bucket", "codes", "x")
+        self.often = counted.where(F.col("kind") == OFTEN).select(F.col("bucket").alias("part"), "codes")
+        self.facts = counted.where(F.col("kind") == FACT).select("bucket", "codes", "x")
+        self.kept = counted.where(F.col("kind") == KEPT).select(F.col("bucket").alias("part"), "codes")
         self.hot, self.tables = None, [counted]
         if len(hot) and not counted.where(F.col("kind") == PART).isEmpty():
-            self._add_hot(counted, below, level)
+            self._add_hot(counted, below, level, tree.buckets)
 
-    def _add_hot(self, counted: DataFrame, below: Level | None, level: int) -> None:
+    def _add_hot(self, counted: DataFrame, below: Level | None, level: int, buckets: int) -> None:
         """The same for contexts of which each bucket has a part."""
         parts = counted.where(F.col("kind") == PART).groupBy("c").agg(F.sum("n").alias("total"), F.sum("kinds").alias("kinds"), F.sum("low").alias("low")).where(F.col("total") >= LEAST)
         nexts = counted.where(F.col("kind") == HOT_NEXT).select("c", "t", "s", "n", F.col("v").alias("q"))
@@ -392,19 +485,19 @@ class Level:
         discard(nexts)
         self.hot = told.select("t", "p")
         self.tables += [states, told]
-        self.nexts = self.nexts.union(told.select("t", "n", "v"))
-        self.keeps = self.keeps.union(states.where("kept").select("c", "keep"))
-
+        self.often = self.often.union(told.where(F.col("n") >= LEAST).select("t").mapInArrow(_placed, _PLACES))
+        self.kept = self.kept.union(states.where("kept").select("c").mapInArrow(_placed, _PLACES))
+        found = told.where("v IS NOT NULL").select("t", F.col("v").cast("double")).union(states.where("kept").select("c", F.col("keep").cast("double")))
+        self.facts = self.facts.union(found.mapInArrow(_facts(buckets), _FACTS))
 
     def slim(self) -> None:
         """Once the level above is settled: what scoring needs stays, the rest is deleted."""
-        gains = self.nexts.where("v IS NOT NULL").select("code", F.col("v").cast("float"), F.lit(False).alias("context"))
-        keeps = self.keeps.select("code", F.col("v").cast("float"), F.lit(True).alias("context"))
-        kept = common.materialize(gains.union(keeps), "level")
+        kept = self.facts.select("*", F.lit(None).cast("long").alias("part")).unionByName(self.kept, allowMissingColumns=True)
+        kept = common.materialize(kept, "level")
         for table in self.tables:
             discard(table)
-        self.tables, self.settled, self.hot = [kept], None, None
-        self.nexts, self.keeps = (kept.where("context" if x else "NOT context").select("code", F.col("v").cast("double").alias("v")) for x in (False, True))
+        self.tables, self.settled, self.often, self.hot = [kept], None, None, None
+        self.facts, self.kept = kept.where("part IS NULL").drop("part"), kept.where("part IS NOT NULL").select("part", "codes")
 
 
 def _hot(words: DataFrame, n: int) -> np.ndarray:
@@ -414,41 +507,42 @@ def _hot(words: DataFrame, n: int) -> np.ndarray:
 
 
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """From a column of training texts: the tree, and the table (code, v) of counts of words and of what contexts keep and gain."""
+    """From a column of training texts: the tree, and the table (packed codes and values by bucket) of counts of words and of what contexts keep and gain."""
     vocab = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    vocab = common.materialize(vocab.where("c > 0"), "vocab")
+    vocab = common.materialize(vocab.where("c > 0").mapInArrow(_word_codes, "word binary, code long, c long"), "vocab")
     n, v, n1, n2 = vocab.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n = n or 0
     heavy = vocab.where((F.col("c") >= HEAVY * n) | (F.col("word") == F.lit(END))).collect() if n else []
     tree = Tree([(bytes(r["word"]), r["c"]) for r in heavy] or [(END, 0)], n, v, n1, n2)
-    facts = common.materialize(vocab.mapInArrow(_word_codes, "code long, v double"), "words")
-    discard(vocab)
+    words = vocab.selectExpr("code", "cast(c AS double) AS v")
+    facts = common.materialize(words.mapInArrow(_facts(tree.buckets), _FACTS), "facts")
     if not n:
+        discard(vocab)
         return tree, facts
-    hot, levels = _hot(facts, n), []
-    counts = facts.select("code", F.col("v").alias("n"))
-    while len(levels) < DEPTH:
-        bits = Bits(counts.where(F.col("n") >= LEAST).select("code"))
-        if not bits.any:
-            break
+    released(texts.sparkSession)
+    hot, levels = _hot(words, n), []
+    bits = Bits(words.where(F.col("v") >= LEAST).select("code").mapInArrow(_placed, _PLACES))
+    discard(vocab)
+    while len(levels) < DEPTH and bits.any:
         levels.append(Level(texts, tree, bits, hot, len(levels) + 1, levels[-1] if levels else None))
-        counts = levels[-1].nexts
+        bits = Bits(levels[-1].often)
+        released(texts.sparkSession)
         if len(levels) > 1:
             levels[-2].slim()
-        released(texts.sparkSession)
     if levels:
         levels[-1].slim()
-        gains = common.union_all([x.nexts for x in levels])
-        keeps = common.union_all([x.keeps for x in levels])
-        tree.depth, tree.states, tree.nexts = len(levels), Bits(keeps), Bits(gains)
-        facts = common.union_all([facts, keeps, gains])
+        tree.depth, tree.states = len(levels), Bits(common.union_all([x.kept for x in levels]))
+        facts = common.union_all([facts, *(x.facts for x in levels)])
         released(texts.sparkSession)
     return tree, facts
 
 
 _CHUNKS = pa.schema([("number", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary())])
+_PLACES = "part long, codes binary"
+_FACTS = "bucket long, codes binary, x binary"
 _MEETING = "bucket long, kind int, number long, codes binary, v binary"
 _MET = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("number", pa.int64()), ("codes", pa.binary()), ("v", pa.binary())])
+_PACKED_FACTS = pa.schema([("bucket", pa.int64()), ("codes", pa.binary()), ("x", pa.binary())])
 _FOUND = pa.schema([("number", pa.int64()), ("bucket", pa.int64()), ("met", pa.binary()), ("v", pa.binary())])
 
 
@@ -484,27 +578,18 @@ def _unpacked(sizes: list[int], body: bytes) -> list[str]:
     return [whole[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
-def _asked(tree: Tree, chunks: list[tuple[list[int], bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A group's codes in order of their buckets, and these."""
-    held = [np.empty(0, np.uint64)]
+def _read(tree: Tree, chunks: list[tuple[list[int], bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
     for sizes, body in chunks:
-        held.append(tree.asks(_unpacked(sizes, body)))
-    codes = np.unique(np.concatenate(held))
-    bucket = _mix(codes, _u(3)) % _u(buckets)
-    order = _by_bucket(bucket, buckets)
-    return codes[order], bucket[order]
-
+        ids, h, pos, starts = tree.read(_unpacked(sizes, body))
+        yield ids.astype(np.int32), h, pos.astype(np.int32), starts
 
-def _short(codes: np.ndarray) -> bytes:
-    """The last 48 bits of each."""
-    return np.ascontiguousarray(codes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-
-def _long(short: bytes) -> np.ndarray:
-    """These bits as the first ones of 64."""
-    out = np.zeros((len(short) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(short, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def _asked(tree: Tree, read: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """A group's codes in order of their buckets, and these."""
+    codes = _set(np.concatenate([np.empty(0, np.uint64), *(tree.asks(ids, h, pos) for ids, h, pos, _ in read)]))
+    bucket = _mix(codes, _u(3)) % _u(tree.buckets)
+    order = _by_bucket(bucket, tree.buckets)
+    return codes[order], bucket[order]
 
 
 def _met(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -513,15 +598,15 @@ def _met(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _facts(buckets: int):
+    """Packs rows (code, value)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            codes, values = (np.concatenate(x) for x in zip(*held))
-            bucket = _mix(codes, _u(3)) % _u(buckets)
-            order = _by_bucket(bucket, buckets)
-            bucket, codes, values = bucket[order], codes[order], values[order].astype("<f4")
-            return _met([(int(bucket[i]), 0, 0, _short(codes[i:j]), values[i:j].tobytes()) for i, j in _slices(bucket)])
+            rows = _dealt(*map(np.concatenate, zip(*held)), buckets)
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[i : i + 64]), _PACKED_FACTS)], schema=_PACKED_FACTS)
 
         for batch in batches:
             held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
@@ -544,14 +629,14 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own != bucket:
                 bucket, parts, known = own, [], None
             if kind == 0:
-                parts.append((_long(codes), np.frombuffer(v, "<f4")))
+                parts.append((_codes(codes), _values(v)))
                 continue
             if known is None:
                 known = Codes(*(np.concatenate(x) for x in zip(*parts))) if parts else Codes(np.empty(0, np.uint64), np.empty(0, np.float32))
                 parts = []
-            at = known.find(_long(codes))
+            at = known.find(_codes(codes))
             met = at >= 0
-            out.append((number, own, np.packbits(met).tobytes(), known.values[at[met]].astype("<f4").tobytes()))
+            out.append((number, own, np.packbits(met).tobytes(), _packed_values(known.values[at[met]])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _FOUND)], schema=_FOUND)
 
@@ -559,15 +644,27 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, tree: Tree, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    buckets = facts.count() // ANSWERS + 1
-    groups = (docs.agg(F.sum(F.length(text_col) + 64)).first()[0] or 0) // GROUP + 1
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    groups = (texts.agg(F.sum(F.length("text") + 64)).first()[0] or 0) // (GROUP * ROUNDS) + 1
+    table = facts.selectExpr("bucket", "0 AS kind", "0L AS number", "codes", "x AS v")
+    done = []
+    for k in range(ROUNDS):
+        mine = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k)
+        done.append(common.materialize(_judged(mine, shared, table, groups), "scores"))
+        released(docs.sparkSession)
+    scale = float(np.log10(tree.n + 0.1 * (tree.v + 1)))
+    return common.union_all(done).select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score")
+
+
+def _judged(texts: DataFrame, shared, table: DataFrame, groups: int) -> DataFrame:
+    """Rows (id, text) dealt into groups: doc_id, n_tokens, n_known, base (the sum of logs of counts), score."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, held, number = shared.value, [], None
 
         def asked() -> Iterator[pa.RecordBatch]:
-            codes, bucket = _asked(tree, held, buckets)
-            return _met([(int(bucket[i]), 1, number, _short(codes[i:j]), None) for i, j in _slices(bucket)])
+            codes, bucket = _asked(tree, _read(tree, held))
+            return _met([(int(bucket[i]), 1, number, _packed(codes[i:j]), None) for i, j in _slices(bucket)])
 
         for batch in batches:
             for own, sizes, body in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
@@ -581,37 +678,31 @@ def score(docs: DataFrame, tree: Tree, facts: DataFrame, id_col: str = "doc_id",
 
     def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
         tree, out = shared.value, []
-        chunks = list(zip(rows.column("sizes").to_pylist(), rows.column("body").to_pylist()))
-        codes, bucket = _asked(tree, chunks, buckets)  # as it was asked
+        read = list(_read(tree, list(zip(rows.column("sizes").to_pylist(), rows.column("body").to_pylist()))))
+        codes, bucket = _asked(tree, read)  # as it was asked
         met, values = np.zeros(len(codes), bool), np.zeros(len(codes))
         place = {int(bucket[i]): (i, j) for i, j in _slices(bucket)}
         for own, bits, v in zip(*(found.column(c).to_pylist() for c in ("bucket", "met", "v"))):
             i, j = place[own]
             met[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i)
-            values[i:j][met[i:j]] = np.frombuffer(v, "<f4")
+            values[i:j][met[i:j]] = _values(v)
         known = Codes(codes[met], values[met])
-        for sizes, body in chunks:
-            texts = _unpacked(sizes, body)
-            for i in range(0, len(texts), 256):
-                p, count, base, starts = tree.chances(texts[i : i + 256], known)
-                out.append((np.diff(np.append(starts, len(p))), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))
+        for ids, h, pos, starts in read:
+            p, count, base = tree.chances(ids, h, pos, known)
+            out.append((np.diff(np.append(starts, len(p))), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
         ids = [i for x in rows.column("ids").to_pylist() for i in x]
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
 
     # Questions and judgment share the exchange of chunks.
-    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     rows = texts.mapInArrow(_chunked(groups), "number long, ids array<long>, sizes array<long>, body binary").repartition("number")
     asked = rows.sortWithinPartitions("number").mapInArrow(ask, _MEETING)
-    both = facts.mapInArrow(_facts(buckets), _MEETING).union(asked)
-    found = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "number long, bucket long, met binary, v binary")
-    total = rows.groupBy("number").cogroup(found.groupBy("number")).applyInArrow(judge, "doc_id long, n_tokens long, n_known long, base double, score double")
-    scale = float(np.log10(tree.n + 0.1 * (tree.v + 1)))
-    return total.select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score")
+    found = table.union(asked).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "number long, bucket long, met binary, v binary")
+    return rows.groupBy("number").cogroup(found.groupBy("number")).applyInArrow(judge, "doc_id long, n_tokens long, n_known long, base double, score double")
 
 
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
+    common.small_batches(spark, size=32 << 20)
     docs = common.read(spark, sf_dir, "documents")
     held = common.crc_mod(F.col("doc_id"), 10) == 0
     tree, facts = train(docs.where(~held).select("text"))

@@ -1,7 +1,30 @@
 """op3: what a group of counts holds in a worker."""
 
+import time
+
+import numpy as np
+
 from lodestar.llm import suffix_tree_lm as L
 
 
 def test_a_bucket_of_counts_is_small():
     assert L.BUCKET <= 1 << 20  # a group of four million tokens took hundreds of megabytes of a worker
+
+
+def test_packed_codes_are_small_and_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000, 100_000):
+        codes = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (L._codes(L._packed(codes, 8), 8) == codes).all()
+        assert (L._codes(L._packed(codes)) == codes >> np.uint64(16) << np.uint64(16)).all()
+        values = rng.random(n).astype("<f4")
+        assert (L._values(L._packed_values(values)) == values).all()
+    assert len(L._packed(codes)) < 5 * n  # six bytes each before
+
+
+def test_distinct_codes_by_sorting():
+    """A million distinct codes; np.unique hashes them and takes seconds."""
+    codes = np.random.default_rng(2).integers(0, 1 << 64, 3_000_000, dtype=np.uint64)
+    start = time.process_time()
+    assert len(L._set(np.append(codes, codes))) == len(codes) and len(L._set(codes[:0])) == 0
+    assert time.process_time() - start < 2
