@@ -12,9 +12,9 @@ Counts cover all training rows. States and next-symbol counts are a table by 64-
 Tasks send the counts of contexts as packed arrays, dealt into buckets by the context's last word, so that a bucket has
 a context's counts and what its suffix predicts, and settles it. Contexts whose last word is so frequent that one bucket
 would hold too much (`_hot`) are dealt by next word as well; their sums meet in joins. A settled bucket leaves packed
-arrays too: chances for the level above, and what scoring needs, dealt into buckets of codes. To score, rows are taken in
+arrays too: chances for the level above, and what scoring needs. To score, rows are taken in
 ROUNDS, so that questions and answers of one are gone before the next. Rows are dealt in compressed chunks into groups of
-about GROUP characters; a group asks once for each code it needs, questions and table meet in buckets of codes, a
+about GROUP characters; a group asks once for each code it needs, questions and table meet in these buckets, a
 bucket's part of the table is held while its questions stream by, and the answers, a bit for each question and the
 values found, meet the group's rows. Questions name a code by 48 of its bits within a bucket of some ANSWERS codes, and
 values travel in single precision, in which counts of words below HEAVY of all are exact up to 16 million. What a worker
@@ -148,27 +148,32 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
     return np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")
 
 
-def _places(codes: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _places(codes: np.ndarray, size: int) -> tuple[list[int], list[bytes]]:
     """Of a bitmap of codes: its parts that have one, and the places there, packed."""
-    at = _set(codes & _u(BITS - 1))
-    part = at // _u(BITS // PARTS)
+    at = _set(codes & _u(size - 1))
+    part = at // _u(size // PARTS)
     cut = _slices(part)
     return [int(part[i]) for i, _ in cut], [_packed(at[i:j], 8) for i, j in cut]
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        part, codes = _places(batch.column(0).to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(codes, pa.binary())], names=["part", "codes"])
+def _placed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, codes = _places(batch.column(0).to_numpy().view(np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(codes, pa.binary())], names=["part", "codes"])
 
+    return run
 
-def _part(rows: pa.Table) -> pa.Table:
-    """A part of a bitmap."""
-    held = np.zeros(BITS // PARTS, bool)
-    for codes in rows.column("codes").to_pylist():
-        held[(_codes(codes, 8) % _u(BITS // PARTS)).astype(np.int64)] = True
-    bits = np.packbits(held, bitorder="little").tobytes()
-    return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+def _part(size: int):
+    def run(rows: pa.Table) -> pa.Table:
+        held = np.zeros(size // PARTS, bool)
+        for codes in rows.column("codes").to_pylist():
+            held[(_codes(codes, 8) % _u(size // PARTS)).astype(np.int64)] = True
+        bits = np.packbits(held, bitorder="little").tobytes()
+        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    return run
 
 
 class Bits:
@@ -176,7 +181,7 @@ class Bits:
 
     def __init__(self, places: DataFrame) -> None:
         """Places in columns named part and codes; tasks put the parts together."""
-        t = places.groupBy("part").applyInArrow(_part, "part long, bits binary").toArrow()
+        t = places.groupBy("part").applyInArrow(_part(BITS), "part long, bits binary").toArrow()
         self.words = np.zeros((PARTS, BITS // PARTS // 8), np.uint8)
         for part, bits in zip(t.column("part").to_pylist(), t.column("bits").to_pylist()):
             self.words[part] = np.frombuffer(bits, np.uint8)
@@ -231,7 +236,8 @@ class Tree:
         self.root = (self.counts - self.discount) / n if n else np.full(len(words), 0.5)
         self.end = self.hashes[self.ids[END]]
         self.depth, self.states = 0, None  # of the contexts in the table: levels and a bitmap
-        self.buckets = n // ANSWERS + 1  # of the table
+        self.buckets, self.bits = n // min(BUCKET, ANSWERS) + 1, BITS  # of counts and of the table; of a bitmap
+        self.hot = np.empty(0, np.uint64)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts' tokens, one after the other: places among the heavy words (-1: not heavy), hashes, place in the text; and where texts start."""
@@ -255,15 +261,35 @@ class Tree:
             c = _mix(c, np.concatenate((np.zeros(min(j, len(h)), np.uint64), before[: max(0, len(h) - j)])))
             yield c, _followed_by(c, h)
 
+    def often(self, words: np.ndarray) -> np.ndarray:
+        """Whether they are hot."""
+        return self.hot[np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)] == words if len(self.hot) else np.zeros(len(words), bool)
+
+    def keys(self, codes: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Buckets of the table, then the first bits of codes: at least 48 up to 65,535 buckets."""
+        bits = _u(self.buckets.bit_length())
+        return bucket << (_u(64) - bits) | codes >> bits
+
+    def alone(self, codes: np.ndarray) -> np.ndarray:
+        """Keys of codes that are dealt by themselves."""
+        return self.keys(codes, _mix(codes, _u(3)) % _u(self.buckets))
+
     def lookups(self, h: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By depth: places whose context the bitmap lets through, the codes of context and of it with its next."""
+        """By depth: places whose context the bitmap lets through, the keys of context and of it with its next; they are dealt by the context's last word."""
+        last = np.concatenate(([self.end], h[:-1]))
+        often, bucket = self.often(last), _mix(last, _u(1)) % _u(self.buckets)
         for j, (c, t) in enumerate(self.grams(h, self.depth)):
             at = np.flatnonzero(self.states.has(c) & (pos >= j))
-            yield at, c[at], t[at]
+            hot = np.flatnonzero(often[at])
+            keys = []
+            for codes in (c[at], t[at]):
+                keys.append(self.keys(codes, bucket[at]))
+                keys[-1][hot] = self.alone(codes[hot])
+            yield at, *keys
 
     def asks(self, ids: np.ndarray, h: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """Codes that scoring needs from the table."""
-        found = [h[ids < 0]]
+        """Keys that scoring needs from the table."""
+        found = [self.alone(h[ids < 0])]
         for _, c, t in self.lookups(h, pos):
             found += [c, t]
         return _set(np.concatenate(found))
@@ -271,7 +297,7 @@ class Tree:
     def chances(self, ids: np.ndarray, h: np.ndarray, pos: np.ndarray, known: Codes) -> tuple[np.ndarray, ...]:
         """Of each token its probability, count and log10 of count + 0.1."""
         rare = np.flatnonzero(ids < 0)
-        c = known.get(h[rare], 0.0)
+        c = known.get(self.alone(h[rare]), 0.0)
         p, base, count = self.root[ids], self.base[ids], self.counts[ids]
         p[rare] = np.where(c > 0, np.maximum(c - self.discount, 1e-300) / max(1, self.n), self.unknown)
         base[rare], count[rare] = np.log10(c + 0.1), c
@@ -288,11 +314,11 @@ def _slices(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], [*cuts, len(keys)])) if len(keys) else []
 
 
-def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
+def _followed(tree_of, bits_of, level: int):
     """By bucket, packed: contexts of a level, those of their suffixes, numbers of next words (the top bit set if hot), and the next words and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, bits, hot, held, size = tree_of.value, bits_of.value, hot_of.value, [], 0
+        tree, bits, held, size = tree_of.value, bits_of.value, [], 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             t, c, s, h, w = (np.concatenate(x) for x in zip(*held))
@@ -300,10 +326,10 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
             order, first = _distinct(t)
             n, order = np.diff(np.append(first, len(t))), order[first]
             t, c, s, h, w = t[order], c[order], s[order], h[order], w[order]
-            often = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w if len(hot) else np.zeros(len(w), bool)
-            bucket = np.where(often, t, _mix(w, _u(1))) % _u(buckets)
+            often = tree.often(w)
+            bucket = np.where(often, t, _mix(w, _u(1))) % _u(tree.buckets)
             order = np.argsort(c)
-            order = order[_by_bucket(bucket[order], buckets)]
+            order = order[_by_bucket(bucket[order], tree.buckets)]
             bucket, c, s, h, n, often = bucket[order], c[order], s[order], h[order], n[order], often[order]
             out = []
             for i, j in _slices(bucket):
@@ -339,8 +365,8 @@ def _followed(tree_of, bits_of, hot_of, level: int, buckets: int):
 _COUNTED = "kind int, bucket long, c long, t long, s long, n long, kinds long, low long, v float, codes binary, x binary"
 _FIELDS = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("bucket", "c", "t", "s", "n", "kinds", "low")), ("v", pa.float32()), ("codes", pa.binary()), ("x", pa.binary())])
 #: Kinds of rows: parts of hot contexts (n uses, kinds of next words, low uses by rare ones), their next words (v: the
-#: root's chance), packed next words of settled contexts (codes, x: chances), packed facts by bucket of the table (codes,
-#: x: what a retained context keeps, and what it adds to a next word), places in bitmaps (bucket: the part) of
+#: root's chance), packed next words of settled contexts of two words or more (codes, x: chances), packed facts (codes,
+#: x: what a retained context keeps, and what it adds to a next word; after one word the chances follow from them), places in bitmaps (bucket: the part) of
 #: retained contexts, of next words met LEAST times.
 PART, HOT_NEXT, NEXT, FACT, KEPT, OFTEN = range(6)
 
@@ -359,11 +385,17 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([one(f) for f in _FIELDS], schema=_FIELDS)
 
 
-def _bits_rows(kind: int, codes: np.ndarray) -> pa.RecordBatch:
-    part, packed = _places(codes)
+def _bits_rows(kind: int, codes: np.ndarray, size: int) -> pa.RecordBatch:
+    part, packed = _places(codes, size)
     return _rows(kind, len(part), bucket=np.array(part, np.int64), codes=packed)
 
 
+def _sliced(kind: int, bucket: int, codes: np.ndarray, values: np.ndarray, width: int) -> pa.RecordBatch:
+    order = np.argsort(codes)
+    parts = [order[i : i + SLICE] for i in range(0, len(order), SLICE)]
+    return _rows(kind, len(parts), bucket=np.full(len(parts), bucket, np.int64), codes=[_packed(codes[x], width) for x in parts], x=[_packed_values(values[x]) for x in parts])
+
+
 def _rest(kinds: np.ndarray, low: np.ndarray, total: np.ndarray) -> np.ndarray:
     """What the uses by rare next words gain, each left out in turn."""
     return np.where(low > 0, low * np.log(np.maximum(kinds + low - 2, 1e-300) / np.maximum(total + kinds - 2, 1)), 0.0)
@@ -421,8 +453,15 @@ def _counted(tree_of, level: int):
         told, of, q, s = told[cold], of[cold], q[cold], s[cold]
         if len(told):
             if level > 1:
-                parts = [(_codes(c, 8), _values(v)) for c, v in zip(below.column("codes").to_pylist(), below.column("x").to_pylist())]
-                q = Codes(*map(np.concatenate, zip(*parts))).get(s, np.nan) if parts else np.full(len(s), np.nan)
+                width = 6 if level == 2 else 8
+                parts = [(_codes(c, width), _values(v)) for c, v in zip(below.column("codes").to_pylist(), below.column("x").to_pylist())]
+                known = Codes(*map(np.concatenate, zip(*parts))) if parts else Codes(np.empty(0, np.uint64), np.empty(0))
+                if level == 2:  # from what contexts of one word keep and gain
+                    suffix = take("s", np.uint64)[owner[told]]
+                    gain, keep = (known.get(x >> _u(16) << _u(16), otherwise) for x, otherwise in ((s, 0.0), (suffix, 1.0)))
+                    q = gain + keep * q
+                else:
+                    q = known.get(s, np.nan)
             first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
             mine = of[first]  # contexts that something is told of
             whole, keep = (total + kinds)[mine], ((kinds + low) / (total + kinds))[mine]
@@ -431,40 +470,37 @@ def _counted(tree_of, level: int):
             gained = np.add.reduceat(n[told] * np.log(np.maximum(without, 1e-300) / q), first) + _rest(kinds, low, total)[mine]
             kept = gained > GAIN * total[mine]
             gain = np.where(kept[at], n[told] / whole[at], np.nan)
-            t, often = t[told], n[told] >= LEAST
+            t, often, bucket = t[told], n[told] >= LEAST, rows.column("bucket")[0].as_py()
             if level < DEPTH:
-                p = np.where(kept[at], gain + keep[at] * q, q)
-                order = np.argsort(t)
-                parts = [order[i : i + SLICE] for i in range(0, len(order), SLICE)]
-                bucket = np.full(len(parts), rows.column("bucket")[0].as_py(), np.int64)
-                out += [_rows(NEXT, len(parts), bucket=bucket, codes=[_packed(t[x], 8) for x in parts], x=[_packed_values(p[x]) for x in parts]), _bits_rows(OFTEN, t[often])]
+                out.append(_bits_rows(OFTEN, t[often], tree.bits))
+                if level > 1:
+                    out.append(_sliced(NEXT, bucket, t, np.where(kept[at], gain + keep[at] * q, q), 8))
             if kept.any():
                 c, w = c[starts][mine][kept], kept[at]
-                bucket, codes, values = zip(*_dealt(np.concatenate((c, t[w])), np.concatenate((keep[kept], gain[w])), tree.buckets))
-                out += [_bits_rows(KEPT, c), _rows(FACT, len(bucket), bucket=np.array(bucket, np.int64), codes=list(codes), x=list(values))]
+                out += [_bits_rows(KEPT, c, tree.bits), _sliced(FACT, bucket, np.concatenate((c, t[w])), np.concatenate((keep[kept], gain[w])), 6)]
         return pa.Table.from_batches(out, _FIELDS)
 
     return run
 
 
 class Level:
-    """Contexts of a level and their next words: packed facts for scoring (bucket, codes, x), places in bitmaps (part, codes) of retained contexts and of next words met LEAST times, and chances for the level above, settled (bucket, codes, x) and hot (t, p)."""
+    """Contexts of a level and their next words: packed facts for scoring (bucket, codes, x), places in bitmaps (part, codes) of retained contexts and of next words met LEAST times, and chances for the level above, by buckets of settled contexts (bucket, codes, x) and hot (t, p)."""
 
-    def __init__(self, texts: DataFrame, tree: Tree, bits: Bits, hot: np.ndarray, level: int, below: Level | None) -> None:
+    def __init__(self, texts: DataFrame, tree: Tree, bits: Bits, level: int, below: Level | None) -> None:
         spark = texts.sparkSession
-        shared = [spark.sparkContext.broadcast(x) for x in (tree, bits, hot)]
-        packed = texts.mapInArrow(_followed(*shared, level, tree.n // BUCKET + 1), "bucket long, c binary, s binary, k binary, x binary, n binary")
-        under = below.settled if below else spark.range(0).selectExpr("id AS bucket", "cast(NULL AS binary) AS codes", "cast(NULL AS binary) AS x")
+        shared = [spark.sparkContext.broadcast(x) for x in (tree, bits)]
+        packed = texts.mapInArrow(_followed(*shared, level), "bucket long, c binary, s binary, k binary, x binary, n binary")
+        under = (below.settled if level > 2 else below.facts_dealt) if below else spark.range(0).selectExpr("id AS bucket", "cast(NULL AS binary) AS codes", "cast(NULL AS binary) AS x")
         counted = packed.groupBy("bucket").cogroup(under.groupBy("bucket")).applyInArrow(_counted(shared[0], level), _COUNTED)
         counted = common.materialize(counted, f"counted{level}")
         for x in shared:
             x.destroy()  # of copies on disks too: the level is written
         self.settled = counted.where(F.col("kind") == NEXT).select("bucket", "codes", "x")
         self.often = counted.where(F.col("kind") == OFTEN).select(F.col("bucket").alias("part"), "codes")
-        self.facts = counted.where(F.col("kind") == FACT).select("bucket", "codes", "x")
+        self.facts = self.facts_dealt = counted.where(F.col("kind") == FACT).select("bucket", "codes", "x")
         self.kept = counted.where(F.col("kind") == KEPT).select(F.col("bucket").alias("part"), "codes")
         self.hot, self.tables = None, [counted]
-        if len(hot) and not counted.where(F.col("kind") == PART).isEmpty():
+        if len(tree.hot) and not counted.where(F.col("kind") == PART).isEmpty():
             self._add_hot(counted, below, level, tree.buckets)
 
     def _add_hot(self, counted: DataFrame, below: Level | None, level: int, buckets: int) -> None:
@@ -485,8 +521,8 @@ class Level:
         discard(nexts)
         self.hot = told.select("t", "p")
         self.tables += [states, told]
-        self.often = self.often.union(told.where(F.col("n") >= LEAST).select("t").mapInArrow(_placed, _PLACES))
-        self.kept = self.kept.union(states.where("kept").select("c").mapInArrow(_placed, _PLACES))
+        self.often = self.often.union(told.where(F.col("n") >= LEAST).select("t").mapInArrow(_placed(BITS), _PLACES))
+        self.kept = self.kept.union(states.where("kept").select("c").mapInArrow(_placed(BITS), _PLACES))
         found = told.where("v IS NOT NULL").select("t", F.col("v").cast("double")).union(states.where("kept").select("c", F.col("keep").cast("double")))
         self.facts = self.facts.union(found.mapInArrow(_facts(buckets), _FACTS))
 
@@ -496,7 +532,7 @@ class Level:
         kept = common.materialize(kept, "level")
         for table in self.tables:
             discard(table)
-        self.tables, self.settled, self.often, self.hot = [kept], None, None, None
+        self.tables, self.settled, self.facts_dealt, self.often, self.hot = [kept], None, None, None, None
         self.facts, self.kept = kept.where("part IS NULL").drop("part"), kept.where("part IS NOT NULL").select("part", "codes")
 
 
@@ -520,11 +556,11 @@ def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
         discard(vocab)
         return tree, facts
     released(texts.sparkSession)
-    hot, levels = _hot(words, n), []
-    bits = Bits(words.where(F.col("v") >= LEAST).select("code").mapInArrow(_placed, _PLACES))
+    tree.hot, levels = _hot(words, n), []
+    bits = Bits(words.where(F.col("v") >= LEAST).select("code").mapInArrow(_placed(BITS), _PLACES))
     discard(vocab)
     while len(levels) < DEPTH and bits.any:
-        levels.append(Level(texts, tree, bits, hot, len(levels) + 1, levels[-1] if levels else None))
+        levels.append(Level(texts, tree, bits, len(levels) + 1, levels[-1] if levels else None))
         bits = Bits(levels[-1].often)
         released(texts.sparkSession)
         if len(levels) > 1:
@@ -585,11 +621,9 @@ def _read(tree: Tree, chunks: list[tuple[list[int], bytes]]) -> Iterator[tuple[n
 
 
 def _asked(tree: Tree, read: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """A group's codes in order of their buckets, and these."""
-    codes = _set(np.concatenate([np.empty(0, np.uint64), *(tree.asks(ids, h, pos) for ids, h, pos, _ in read)]))
-    bucket = _mix(codes, _u(3)) % _u(tree.buckets)
-    order = _by_bucket(bucket, tree.buckets)
-    return codes[order], bucket[order]
+    """A group's keys in order, and their buckets."""
+    keys = _set(np.concatenate([np.empty(0, np.uint64), *(tree.asks(ids, h, pos) for ids, h, pos, _ in read)]))
+    return keys, keys >> _u(64 - tree.buckets.bit_length())
 
 
 def _met(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -663,7 +697,8 @@ def _judged(texts: DataFrame, shared, table: DataFrame, groups: int) -> DataFram
         tree, held, number = shared.value, [], None
 
         def asked() -> Iterator[pa.RecordBatch]:
-            codes, bucket = _asked(tree, _read(tree, held))
+            keys, bucket = _asked(tree, _read(tree, held))
+            codes = keys << _u(tree.buckets.bit_length())
             return _met([(int(bucket[i]), 1, number, _packed(codes[i:j]), None) for i, j in _slices(bucket)])
 
         for batch in batches:
@@ -679,14 +714,14 @@ def _judged(texts: DataFrame, shared, table: DataFrame, groups: int) -> DataFram
     def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
         tree, out = shared.value, []
         read = list(_read(tree, list(zip(rows.column("sizes").to_pylist(), rows.column("body").to_pylist()))))
-        codes, bucket = _asked(tree, read)  # as it was asked
-        met, values = np.zeros(len(codes), bool), np.zeros(len(codes))
+        keys, bucket = _asked(tree, read)  # as it was asked
+        met, values = np.zeros(len(keys), bool), np.zeros(len(keys))
         place = {int(bucket[i]): (i, j) for i, j in _slices(bucket)}
         for own, bits, v in zip(*(found.column(c).to_pylist() for c in ("bucket", "met", "v"))):
             i, j = place[own]
             met[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i)
             values[i:j][met[i:j]] = _values(v)
-        known = Codes(codes[met], values[met])
+        known = Codes(keys[met], values[met])
         for ids, h, pos, starts in read:
             p, count, base = tree.chances(ids, h, pos, known)
             out.append((np.diff(np.append(starts, len(p))), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))
