@@ -28,6 +28,7 @@ that repeat an id are documents of their own. An empty table gives no rows. Othe
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -197,15 +198,17 @@ class Codes:
     """Values by code: codes are hashes, so their first bits say where to look."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(codes)
-        self.codes, self.values = np.append(codes[order], _u(0)), np.append(values[order], 0.0)
-        self.shift = _u(64 - max(1, len(codes).bit_length()))
-        self.first = np.searchsorted(codes[order], np.arange(1 << max(1, len(codes).bit_length()), dtype=np.uint64) << self.shift)
-        self.size = len(codes)
+        if (codes[1:] < codes[:-1]).any():
+            order = np.argsort(codes)
+            codes, values = codes[order], values[order]
+        bits = max(1, len(codes).bit_length() - 1)
+        self.shift, self.size = _u(64 - bits), len(codes)
+        self.first = np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32 if len(codes) < 1 << 31 else np.int64)
+        self.codes, self.values = np.append(codes, _u(0)), np.append(values, values.dtype.type(0))
 
     def find(self, asked: np.ndarray) -> np.ndarray:
         """The place of each, -1 for those not held."""
-        at, out = self.first[(asked >> self.shift).astype(np.int64)], np.full(len(asked), -1)
+        at, out = self.first[(asked >> self.shift).astype(np.int64)], np.full(len(asked), -1, self.first.dtype)
         left = np.arange(len(asked))
         while len(left := left[at[left] < self.size]):
             here, want = self.codes[at[left]], asked[left]
@@ -217,7 +220,7 @@ class Codes:
 
     def get(self, asked: np.ndarray, otherwise: float) -> np.ndarray:
         at = self.find(asked)
-        return np.where(at >= 0, self.values[at], otherwise)
+        return np.where(at >= 0, self.values[at].astype(np.float64), otherwise)  # double precision from here on
 
 
 class Tree:
@@ -686,6 +689,8 @@ def score(docs: DataFrame, tree: Tree, facts: DataFrame, id_col: str = "doc_id",
         mine = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == k)
         done.append(common.materialize(_judged(mine, shared, table, groups), "scores"))
         released(docs.sparkSession)
+        time.sleep(1)  # listeners may have held the plan
+        released(docs.sparkSession)
     scale = float(np.log10(tree.n + 0.1 * (tree.v + 1)))
     return common.union_all(done).select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score")
 
@@ -715,13 +720,14 @@ def _judged(texts: DataFrame, shared, table: DataFrame, groups: int) -> DataFram
         tree, out = shared.value, []
         read = list(_read(tree, list(zip(rows.column("sizes").to_pylist(), rows.column("body").to_pylist()))))
         keys, bucket = _asked(tree, read)  # as it was asked
-        met, values = np.zeros(len(keys), bool), np.zeros(len(keys))
+        met, values = np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
         place = {int(bucket[i]): (i, j) for i, j in _slices(bucket)}
         for own, bits, v in zip(*(found.column(c).to_pylist() for c in ("bucket", "met", "v"))):
             i, j = place[own]
             met[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i)
             values[i:j][met[i:j]] = _values(v)
         known = Codes(keys[met], values[met])
+        del keys, bucket, met, values, found
         for ids, h, pos, starts in read:
             p, count, base = tree.chances(ids, h, pos, known)
             out.append((np.diff(np.append(starts, len(p))), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))

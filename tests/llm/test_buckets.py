@@ -28,3 +28,19 @@ def test_distinct_codes_by_sorting():
     start = time.process_time()
     assert len(L._set(np.append(codes, codes))) == len(codes) and len(L._set(codes[:0])) == 0
     assert time.process_time() - start < 2
+
+
+def test_values_are_counted_in_double_precision():
+    held = L.Codes(np.array([1 << 40, 1 << 50, 1 << 60], np.uint64), np.array([1, 3, 7], np.float32))
+    found = held.get(np.array([1 << 50, 5, 1 << 60], np.uint64), 0.0)
+    assert found.dtype == np.float64 and found.tolist() == [3, 0, 7]
+
+
+def test_keys_go_by_bucket_and_keep_48_bits():
+    tree = L.Tree([(L.END, 3)], 5 * L.BUCKET, 9, 1, 1)
+    codes = np.random.default_rng(3).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    bucket = np.arange(1000, dtype=np.uint64) % np.uint64(tree.buckets)
+    keys = tree.keys(codes, bucket)
+    bits = np.uint64(tree.buckets.bit_length())
+    assert tree.buckets == 6 and (keys >> np.uint64(64) - bits == bucket).all()
+    assert (keys << bits >> np.uint64(16) == codes >> np.uint64(16)).all()
