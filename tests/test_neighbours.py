@@ -100,3 +100,39 @@ def test_what_a_task_gives_on_is_bounded():
         assert sum(b.num_rows for b in out) == n
         assert max(b.nbytes for b in out) < 2 * neighbours.GIVEN
         assert len({tuple(x) for b in out for x in zip(*(b.column(i).to_pylist() for i in range(3)))}) == n
+
+
+@pytest.mark.parametrize(("width", "copies"), [(16, 0), (16, 900), (3, 0)])
+def test_closest_works_out_few_pairs_and_finds_all(monkeypatch, width, copies):
+    """Of all pairs only those that can count are worked out in double, also where a vector stands very often; ties go by id."""
+    rng = np.random.default_rng(8)
+    n, k, worked = 2000, 10, []
+    v = rng.normal(size=(n, width)).astype(np.float32)
+    v[:copies] = v[0]
+    v[-2] = 0
+    v, ids = v[rng.permutation(n)], rng.permutation(n)
+    monkeypatch.setattr(fusion, "OTHERS", 256)
+    plain = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda form, a, b: worked.append(len(a)) or plain(form, a, b))
+    row, at, likeness = fusion.closest(v, ids, v, ids, k)
+    assert len(row) == n * k and sum(worked) < n * 100
+    u = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
+    score = np.round(u @ u.T, 9)
+    for i, best in enumerate(at.reshape(n, k)):
+        assert [ids[j] for j in best] == [ids[j] for j in sorted((j for j in range(n) if j != i), key=lambda j: (-score[i, j], ids[j]))[:k]]
+    assert (row == np.repeat(np.arange(n), k)).all()
+
+
+def test_nearest_refuses_what_has_no_vector(spark):
+    with pytest.raises(Exception, match="vectors must have one length"):
+        fusion.nearest(frame(spark, range(4), [[1, 0], [0, 1], None, [1, 1]]), 2).collect()
+
+
+def test_nearest_deals_small_tables_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "LEAST", 40)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150, 6)).tolist()
+    ids = [f"n{i}" for i in range(150)]
+    assert found(fusion.nearest(frame(spark, range(150), v), 4)) == true(list(range(150)), v, 4)
+    named = spark.createDataFrame([(i, x) for i, x in zip(ids, v)], "ident string, vector array<double>")
+    assert found(fusion.nearest(named, 4)) == true(ids, v, 4)
